@@ -40,7 +40,7 @@ RULES = (
     ("symbol_ratio", None, 0.1),
     ("dup_line_ratio", None, 0.5),
     ("stutter_ratio", None, 0.2),
-    ("stop_ratio", 0.06, None),
+    ("stop_ratio", 0.05, None),
 )
 
 
@@ -77,14 +77,14 @@ def measures(text: Column) -> dict[str, Column]:
     t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
     words = F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    stop = F.array(*[F.lit(x) for x in STOP_WORDS])
+    stop = sorted({y for x in STOP_WORDS for y in (x, x.capitalize())})
 
     def of_words(w: Column) -> Column:
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             _let(F.transform(w, lambda x: F.xxhash64(x)), _repeat_words).alias("n_repeat_words"),
             _let(w, lambda v: F.size(F.filter(v, lambda x, i: x == F.get(v, i - 1)))).cast("long").alias("n_stutter"),
-            F.size(F.filter(w, lambda x: F.array_contains(stop, F.lower(F.translate(x, ".,;:!?", ""))))).cast("long").alias("n_stop"),
+            F.size(F.filter(w, lambda x: x.isin(*stop))).cast("long").alias("n_stop"),
         )
 
     return {
