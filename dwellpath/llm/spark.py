@@ -3,26 +3,40 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+def _checkpoint_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get(CHECKPOINT_KEY) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the written rows.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that
     setting is missing (tests on one machine) a temporary folder is used.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        where = context.getConf().get(CHECKPOINT_KEY) or tempfile.mkdtemp(prefix="spark-checkpoint-")
-        context.setCheckpointDir(where)
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame, *split: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back.
+
+    Smaller than a checkpoint; with ``split`` columns a reader of one part opens only its files.
+    """
+    path = f"{_checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*split).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
