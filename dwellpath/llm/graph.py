@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellpath.llm.spark import cut
+from dwellpath.llm.spark import stored
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -20,7 +20,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     aggregated to their minimum and joined back, so a node of any degree stays spread out.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    e = cut(e)
+    e = stored(e)
     seen = _fingerprint(e)
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -30,7 +30,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: each smaller neighbour, and the node itself, go to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        e = cut(small.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())
+        e = stored(small.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())
         now = _fingerprint(e)
         if now == seen:
             break

@@ -9,8 +9,10 @@ more than ``slack`` agree exactly.
 1. Each set indexes the hash of its non-empty segment subsets in its own band and probes the
    band below. A bucket of few sets gives all its pairs; a larger one gives a star around one
    member, and its members are noted.
-2. Star pairs are verified on whole texts. Most large buckets then lie in one component.
-   Of the others, those with few outsiders give the outsiders' pairs.
+2. A linked pair shares more segments than the slack less its empty ones, so pairs that share
+   fewer are dropped. Of the others each set's best pair is verified on whole texts, then all
+   pairs between different components. Most large buckets then lie in one component. Of the
+   others, those with few outsiders give the outsiders' pairs.
 3. Cost-based allocation for the rest: a set skips (threshold 0) its empty segments and the
    large open buckets. Where it skips no more than the slack, the pigeonhole still holds with
    what was already probed. Only pairs in which *both* sets skip more can be missed, so those
@@ -31,11 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwellpath.llm.graph import components
-from dwellpath.llm.spark import cut, shuffle_width
+from dwellpath.llm.spark import shuffle_width, stored
 from dwellpath.llm.text import scramble, shingle_sets, slices, utf8
 
 _U = np.uint64
@@ -107,10 +109,13 @@ def _subsets(h: np.ndarray, bounds: np.ndarray, m: np.ndarray) -> tuple[np.ndarr
 # ---------------------------------------------------------------- step 1: signatures
 
 _SENT = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("body", pa.binary())])
-_FOUND = "kind byte, a long, b long, n int, own int, low int"
-_FOUND_ARROW = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("own", pa.int32()), ("low", pa.int32())])
+#: Of a set: its band, then segments in use and filled ones of its own band and of the band below,
+#: and what is left of the slack of each after its empty segments.
+_NUMBERS = ("n", "band", "own_used", "own_filled", "low_used", "low_filled", "own_spare", "low_spare")
+_FOUND = "kind byte, a long, b long, " + ", ".join(f"{c} int" for c in _NUMBERS)
+_FOUND_ARROW = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), *[(c, pa.int32()) for c in _NUMBERS]])
 _ENTRY = np.dtype([("key", "<u8"), ("count", "<u2"), ("own", "u1")])
-_DOC = np.dtype([("id", "<i8"), ("key", "<u8"), ("n", "<i4"), ("own", "<i4"), ("low", "<i4"), ("null", "u1")])
+_DOC = np.dtype([("id", "<i8"), ("key", "<u8"), *[(c, "<i4") for c in _NUMBERS], ("null", "u1")])
 
 
 def _sign(parts: int):
@@ -138,8 +143,11 @@ def _sign(parts: int):
                     row, seg, _, content = _subsets(h, bounds, m)
                     inside = seg < used[row]
                     filled = np.bincount(row[inside], minlength=b - a)
-                    spare = _slack(np.maximum(band, 0)) - (used - filled)
-                    docs["own" if own else "low"] = np.where(band >= 0, spare, 1 << 20)
+                    name = "own" if own else "low"
+                    docs[f"{name}_used"], docs[f"{name}_filled"] = used, filled
+                    docs[f"{name}_spare"] = np.where(band >= 0, _slack(np.maximum(band, 0)) - (used - filled), 1 << 20)
+                    if own:
+                        docs["band"] = band
                     take = inside & sign[row] & (band[row] >= 0)
                     row, seg, content = row[take], seg[take], content[take]
                     sigs.append(_signature(content, band[row], seg, 0))
@@ -188,23 +196,23 @@ def _pack(held: list, parts: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(kind, pa.int8()), pa.array(body, pa.binary())], schema=_SENT)
 
 
-def _rows(kind: int, a, b, n=None, own=None, low=None, null=None) -> pa.RecordBatch:
-    zero = np.zeros(len(a), np.int32)
-    col = lambda x: pa.array(zero if x is None else np.asarray(x, np.int32), pa.int32())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(a), kind, np.int8)), pa.array(np.asarray(a).view(np.int64), mask=null), pa.array(np.asarray(b).view(np.int64)), col(n), col(own), col(low)],
-        schema=_FOUND_ARROW,
-    )
+def _rows(kind: int, a, b, numbers: dict, null=None) -> pa.RecordBatch:
+    long = lambda x: np.ascontiguousarray(x).view(np.int64)
+    empty = pa.nulls(len(a), pa.int32())
+    cols = [pa.array(np.ascontiguousarray(numbers[c], dtype=np.int32)) if c in numbers else empty for c in _NUMBERS]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(long(a), mask=null), pa.array(long(b)), *cols], schema=_FOUND_ARROW)
 
 
-def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _counted_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs with the number of times each came."""
     x, y = np.minimum(a, b), np.maximum(a, b)
     order = np.lexsort((y, x))
     x, y = x[order], y[order]
-    keep = np.ones(len(x), dtype=bool)
-    keep[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    keep &= x != y
-    return x[keep], y[keep]
+    at = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+    count = np.diff(np.append(at, len(x)))
+    x, y = x[at], y[at]
+    keep = x != y
+    return x[keep], y[keep], count[keep]
 
 
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +223,7 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             buf = body.as_buffer()
             if kind == 2:
                 d = np.frombuffer(buf, dtype=_DOC)
-                yield _rows(2, np.ascontiguousarray(d["id"]), np.ascontiguousarray(d["key"]), d["n"], d["own"], d["low"], null=d["null"].astype(bool))
+                yield _rows(2, d["id"], d["key"], {c: d[c] for c in _NUMBERS}, null=d["null"].astype(bool))
                 continue
             t = int(np.frombuffer(buf, np.int64, 1)[0])
             table = np.frombuffer(buf, dtype=_ENTRY, count=t, offset=8)
@@ -256,11 +264,12 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, o = key[at : at + c], own[at : at + c]
         centre = k[np.flatnonzero(o)[0]]
         left.append(np.full(c, centre)), right.append(k)
-        yield _rows(1, sig[at : at + c], k, own=o)
+        yield _rows(1, sig[at : at + c], k, {"n": o})
     if left:
-        x, y = _distinct_pairs(np.concatenate(left), np.concatenate(right))
+        x, y, n = _counted_pairs(np.concatenate(left), np.concatenate(right))
         for a in range(0, len(x), 1 << 16):
-            yield _rows(0, x[a : a + (1 << 16)], y[a : a + (1 << 16)])
+            b = a + (1 << 16)
+            yield _rows(0, x[a:b], y[a:b], {"n": n[a:b]})
 
 
 # ---------------------------------------------------------------- verification
@@ -314,7 +323,7 @@ def tested(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFr
         .join(c.select(F.col("key").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb")), "b")
         .filter(4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb"))
     )
-    p = cut(p.select("a", "b", "ra", "rb"))
+    p = stored(p.select("a", "b", "ra", "rb"))
     wanted = p.select(F.col("ra").alias("doc_id")).union(p.select("rb")).distinct()
     texts = with_texts(documents, wanted)
     rows = (
@@ -322,7 +331,7 @@ def tested(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFr
         .join(texts.select(F.col("doc_id").alias("rb"), F.col("text").alias("tb")), "rb")
         .select("a", "b", "ta", "tb")
     )
-    return cut(rows.mapInArrow(_test, _TESTED).groupBy("a", "b").agg(F.max("linked").alias("linked")))
+    return stored(rows.mapInArrow(_test, _TESTED).groupBy("a", "b").agg(F.max("linked").alias("linked")))
 
 
 # ---------------------------------------------------------------- steps 2 and 3
@@ -332,15 +341,67 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return m.withColumn("component", F.coalesce("component", "key"))
 
 
-def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the buckets that span components, with bucket size and size of its main part."""
-    m = _labelled(members.select("sig", "key", "own"), labels)
-    parts = m.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("k"))
-    main = parts.groupBy("sig").agg(
-        F.sum("k").alias("size"), F.count(F.lit(1)).alias("n_parts"), F.max(F.struct("k", F.col("component").alias("c"))).alias("m")
+def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose ends lie in different components."""
+    ends = labels.select("node", "component")
+    p = pairs.join(ends.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+    p = p.join(ends.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    return p.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
+
+
+def _sharing_enough(pairs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b, n shared buckets) that share as many segments as a linked pair must.
+
+    Of the segments that both use, at most H differ and at most the emptier one's empty
+    segments agree unseen; shared large buckets are not counted pair by pair, so all of the
+    fewer large buckets of the two count as shared.
+    """
+    large = members.groupBy(F.col("b").alias("key"), F.col("n").alias("own")).agg(F.count(F.lit(1)).alias("k"))
+    large = large.groupBy("key").agg(
+        F.sum(F.when(F.col("own") == 1, F.col("k")).otherwise(0)).alias("own_large"), F.sum(F.when(F.col("own") == 0, F.col("k")).otherwise(0)).alias("low_large")
     )
-    main = main.filter("n_parts > 1").select("sig", "size", F.col("m.k").alias("main_size"), F.col("m.c").alias("main"))
-    return cut(m.join(main, "sig"))
+    c = classes.join(large, "key", "left").fillna(0, ["own_large", "low_large"])
+    names = [x for x in c.columns if x != "key"]
+    p = pairs.groupBy("a", "b").agg(F.sum("n").alias("shared"))
+    for side in ("a", "b"):
+        p = p.join(c.select(F.col("key").alias(side), *[F.col(x).alias(f"{side}_{x}") for x in names]), side)
+    # which band a side takes part with: its own, or the band below when the other set is smaller by a band
+    def of(side: str, other: str, what: str):
+        return F.when(F.col(f"{side}_band") > F.col(f"{other}_band"), F.col(f"{side}_low_{what}")).otherwise(F.col(f"{side}_own_{what}"))
+
+    used = F.least(of("a", "b", "used"), of("b", "a", "used"))
+    empty = F.least(of("a", "b", "used") - of("a", "b", "filled"), of("b", "a", "used") - of("b", "a", "filled"))
+    large_shared = F.least(of("a", "b", "large"), of("b", "a", "large"))
+    needed = used - F.floor((F.col("a_n") + F.col("b_n")) / 7) - empty
+    p = p.filter(4 * F.least("a_n", "b_n") >= 3 * F.greatest("a_n", "b_n")).filter(F.col("shared") + large_shared >= needed)
+    return p.select("a", "b", "shared")
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """For each set the pair that shares most."""
+    ends = pairs.select(F.col("a").alias("x"), F.struct("shared", "a", "b").alias("p")).unionByName(pairs.select(F.col("b").alias("x"), F.struct("shared", "a", "b").alias("p")))
+    return ends.groupBy("x").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
+
+
+def _open(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of large buckets that still matter, with the buckets' sizes and main parts.
+
+    A bucket matters while it spans components. A set matters while the open buckets that it
+    would skip, with its empty segments, are more than the slack: otherwise every set linked
+    to it also shares a small bucket with it and was met there.
+    """
+    m = _labelled(members.select("sig", "key", "own"), labels)
+
+    def spanning(x: DataFrame) -> DataFrame:
+        parts = x.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("k"))
+        main = parts.groupBy("sig").agg(F.sum("k").alias("size"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", F.col("component").alias("c"))).alias("m"))
+        main = main.filter("parts > 1").select("sig", "size", F.col("m.k").alias("main_size"), F.col("m.c").alias("main"))
+        return x.join(main, "sig")
+
+    m = stored(spanning(m).select("sig", "key", "own", "component"))
+    skipped = m.groupBy("key").agg(F.sum("own").alias("k_own"), F.sum(1 - F.col("own")).alias("k_low"))
+    lacking = skipped.join(classes.select("key", "own_spare", "low_spare"), "key").filter("own_spare < k_own or low_spare < k_low").select("key")
+    return stored(spanning(m.join(lacking, "key", "left_semi")))
 
 
 def _ordered(a: str, b: str) -> list:
@@ -416,26 +477,20 @@ def _entries(x: np.ndarray, entry: tuple, skip: np.ndarray) -> list[tuple[np.nda
     return [(index_exact, 0), (index_less, 0), (np.concatenate(probes), 1)]
 
 
-def _late_pairs(members: DataFrame, docs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+def _late_pairs(members: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
     """Candidate pairs of sets that both skip more segments than their slack."""
-    skipped = members.groupBy("key", "own").agg(F.count(F.lit(1)).cast("int").alias("k"), F.collect_list("sig").alias("sigs"))
-    skipped = skipped.groupBy("key").agg(
-        F.sum(F.when(F.col("own") == 1, F.col("k")).otherwise(0)).alias("k_own"),
-        F.sum(F.when(F.col("own") == 0, F.col("k")).otherwise(0)).alias("k_low"),
-        F.flatten(F.collect_list("sigs")).alias("sigs"),
-    )
+    skipped = members.groupBy("key").agg(F.sum("own").alias("k_own"), F.sum(1 - F.col("own")).alias("k_low"), F.collect_list("sig").alias("sigs"))
     lacking = (
         classes.join(skipped, "key", "left")
-        .filter((F.col("own") < F.coalesce("k_own", F.lit(0))) | (F.col("low") < F.coalesce("k_low", F.lit(0))))
+        .filter((F.col("own_spare") < F.coalesce("k_own", F.lit(0))) | (F.col("low_spare") < F.coalesce("k_low", F.lit(0))))
         .select("key", "rep", "sigs")
     )
-    lacking = cut(lacking)
+    lacking = stored(lacking)
     texts = with_texts(documents, lacking.select(F.col("rep").alias("doc_id")))
     entries = lacking.join(texts, F.col("rep") == F.col("doc_id")).select("key", "text", "sigs")
-    entries = entries.mapInArrow(_allocate, "sig long, key long, role byte, own byte").distinct()
-    shared = entries.groupBy("sig").agg(F.max("role").alias("hi"), F.min("role").alias("lo"), F.count_distinct("key").alias("k")).filter("hi = 1 and lo = 0 and k > 1")
-    entries = cut(entries.join(shared.select("sig"), "sig", "left_semi"))
-    probes = entries.filter("role = 1").select("sig", F.col("key").alias("p"), F.col("own").alias("po"))
+    entries = stored(entries.mapInArrow(_allocate, "sig long, key long, role byte, own byte").distinct())
+    shared = entries.groupBy("sig").agg(F.max("role").alias("hi"), F.min("role").alias("lo")).filter("hi = 1 and lo = 0")
+    probes = entries.filter("role = 1").join(shared, "sig", "left_semi").select("sig", F.col("key").alias("p"), F.col("own").alias("po"))
     index = entries.filter("role = 0").select("sig", F.col("key").alias("q"), F.col("own").alias("qo"))
     return probes.join(index, "sig").filter("p <> q and po + qo > 0").select(*_ordered("p", "q")).distinct()
 
@@ -445,17 +500,21 @@ def join_components(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     parts = shuffle_width(spark)
     sent = documents.select("doc_id", "text").mapInArrow(_sign(parts), "part int, kind byte, body binary")
-    found = cut(sent.repartition(parts, "part").mapInArrow(_bucket, _FOUND))
-    docs = found.filter("kind = 2").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), "n", "own", "low")
-    classes = cut(
-        docs.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("own").alias("own"), F.min("low").alias("low"))
-    )
-    pairs = found.filter("kind = 0").select("a", "b").distinct()
-    members = found.filter("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("key"), "own").distinct()
-    done = tested(pairs, classes, documents)
-    labels = cut(components(done.filter("linked")))
+    found = stored(sent.repartitionById(parts, F.col("part")).mapInArrow(_bucket, _FOUND), "kind")
+    docs = found.filter("kind = 2").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), *_NUMBERS)
+    classes = docs.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in _NUMBERS])
+    classes = stored(classes)
+    large = found.filter("kind = 1")
+    pairs = stored(_sharing_enough(found.filter("kind = 0").select("a", "b", "n"), large, classes))
+    # each set's best candidate first: most of what is alike is then connected
+    done = tested(_best(pairs), classes, documents)
+    labels = stored(components(done.filter("linked")))
+    rest = _across(pairs, labels).select("a", "b").join(done, ["a", "b"], "left_anti")
+    done = _with_tests(done, rest, classes, documents)
+    labels = stored(components(done.filter("linked")))
+    members = large.select(F.col("a").alias("sig"), F.col("b").alias("key"), F.col("n").alias("own")).distinct()
     for _ in range(ROUNDS):
-        members = _open(members, labels)
+        members = _open(members, labels, classes)
         if members.isEmpty():
             break
         # few outsiders: all their pairs, and the bucket is settled; many: one more star
@@ -465,20 +524,25 @@ def join_components(documents: DataFrame) -> DataFrame:
         one = outside.filter(few).select("sig", F.col("key").alias("x")).unionByName(first)
         one = one.join(members.select("sig", F.col("key").alias("x"), F.col("component").alias("cx"), F.col("own").alias("ox")), ["sig", "x"])
         more = one.join(members.select("sig", "key", "component", "own"), "sig").filter("component <> cx and ox + own > 0")
-        more = more.select(*_ordered("x", "key")).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
-        now = tested(more, classes, documents)
-        done = cut(done.unionByName(now))
-        labels = cut(components(done.filter("linked")))
+        more = more.select(*_ordered("x", "key")).distinct().join(done, ["a", "b"], "left_anti")
+        done = _with_tests(done, more, classes, documents)
+        labels = stored(components(done.filter("linked")))
         members = members.filter(~few)
-    members = _open(members, labels)
-    late = _late_pairs(members, docs, classes, documents)
-    late = late.join(done.select("a", "b"), ["a", "b"], "left_anti")
-    late = _labelled(late.withColumnRenamed("a", "key"), labels).select(F.col("key").alias("a"), "b", F.col("component").alias("ca"))
-    late = _labelled(late.withColumnRenamed("b", "key"), labels).filter("ca <> component").select("a", F.col("key").alias("b"))
-    now = tested(late, classes, documents)
-    labels = components(done.filter("linked").unionByName(now.filter("linked")))
-    named = _labelled(classes.select("key", "rep"), labels)
-    named = named.withColumn("component_id", F.min("rep").over(Window.partitionBy("component"))).select("key", "component_id")
-    return docs.join(named, "key", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    members = _open(members, labels, classes)
+    late = _late_pairs(members, classes, documents).join(done, ["a", "b"], "left_anti")
+    now = tested(_across(late, labels), classes, documents)
+    if not now.filter("linked").isEmpty():
+        labels = components(done.filter("linked").unionByName(now.filter("linked")))
+    reps = classes.select("key", "rep")
+    smallest = labels.join(reps, F.col("node") == F.col("key")).groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = labels.join(smallest, "component").select(F.col("node").alias("key"), "component_id")
+    named = reps.join(named, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
+    linked = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    return docs.join(named, "key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), linked.alias("component_id"))
+
+
+def _with_tests(done: DataFrame, pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+    pairs = stored(pairs)
+    if pairs.isEmpty():
+        return done
+    return stored(done.unionByName(tested(pairs, classes, documents)))
