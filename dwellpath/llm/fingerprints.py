@@ -8,7 +8,7 @@ is read back as ``(m - c) / (1 - c)`` with c the share that agrees by chance.
 
 Defined results: a null text is empty; a text without words has the empty fingerprint, like
 itself (1.0) and unlike any other (0.0); equal texts have equal fingerprints; an empty table
-gives no rows; rows with one doc_id are ordered by text, null ids come last.
+gives no rows; rows with one doc_id are ordered by a hash of the text, null ids come last.
 """
 
 from __future__ import annotations
@@ -176,8 +176,9 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     range a row's follower is the next row, and one row a range meets the next range's first.
     """
     spark = documents.sparkSession
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
-    rows = documents.select("doc_id", "text").repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order)
+    # the ranges are found from samples of the order, so no text is in it
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
+    rows = documents.select("doc_id", "text").repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order, "text")
     walked = cut(rows.mapInArrow(_walk, _ROW))
     firsts = walked.filter("kind = 1").select("place", F.col("text").alias("following"))
     # a number for each range, not for each row

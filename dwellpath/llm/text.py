@@ -113,7 +113,7 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, n
     turned = [w * p for w, p in ((words, p) for p in _PLACE)]
     n = len(words)
     rolled = np.zeros(n, dtype=np.uint64)
-    for k in range(SHINGLE):
+    for k in range(min(n, SHINGLE)):
         rolled[: n - k] += scramble(turned[k][k:] + _U(k))
     last = np.repeat(bounds[1:], counts)
     keep = np.arange(n) + SHINGLE <= last
