@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from dwellpath.llm import fingerprints, jaccard, langid, mixing, packing, quality, secret_scan
+from dwellpath.llm import chat, fingerprints, jaccard, langid, licenses, mixing, packing, quality, secret_scan, sharding
 from dwellpath.llm.spark import table
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -34,21 +41,28 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
     return {
+        "op1_chat": op1_chat,
         "op2_fingerprints": op2_fingerprints,
+        "op3_sharding": op3_sharding,
         "op4_secrets": op4_secrets,
         "op5_mixing": op5_mixing,
         "op6_packing": op6_packing,
         "op7_jaccard": op7_jaccard,
         "op8_quality": op8_quality,
+        "op9_licenses": op9_licenses,
         "op10_language": op10_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_licenses": licenses.oracle()}
