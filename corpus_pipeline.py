@@ -1,11 +1,81 @@
-"""The corpus pipeline: quality rules, near duplicates, secret scans, source mixing, packing."""
+"""The corpus pipeline: quality rules, near duplicates, secret scans, source mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; ``run``
+applies the stages to ``documents``, writing and reading Parquet between them in the folder
+that the cluster names in ``spark.checkpoint.dir``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dwellpath.llm import jaccard, mixing, packing, quality, secret_scan
+from dwellpath.llm.spark import stored
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.score(docs, keep=COLUMNS).filter("kept").select(*COLUMNS)
+
+
+def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id.
+
+    Rows without a doc_id can't be linked and stay; of rows that share the smallest doc_id and
+    their text, one stays.
+    """
+    groups = jaccard.join_components(docs)
+    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets in their texts replaced by the names of their kinds."""
+    return secret_scan.redact(docs.select(*COLUMNS))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it whole, and once more for a part of its words.
+
+    The mix cuts at most one document of a source's shard; its first words go in once more,
+    joined by single spaces. Documents that the mix doesn't take are dropped.
+    """
+    taken = mixing.mix_rows(docs.select(*COLUMNS))
+    parted = F.expr("taken % size")
+    copies = F.when(F.col("size") > 0, F.expr("cast(taken div size as int)")).otherwise(0)
+    whole = taken.filter("size > 0 and taken >= size").withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    part = taken.filter("size > 0 and taken % size > 0").withColumn(
+        "text", F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), parted.cast("int")), " ")
+    )
+    part = part.withColumn("n_chars", F.length("text").cast("long"))
+    return whole.select(*COLUMNS).unionByName(part.select(*COLUMNS))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, each a sequence of a power of two tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("near duplicates", duplicate_stage),
+    ("secret scan", secret_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: Tokens, components and entropy spans can't be had in SQL; the stages are tested against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs)
     return docs

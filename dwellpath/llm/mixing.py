@@ -93,6 +93,22 @@ def seeded(doc_id: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(seed + "|"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
+def mix_rows(documents: DataFrame, seed: str = SEED) -> DataFrame:
+    """``documents`` with size and taken.
+
+    Rows get their numbers by (doc_id, source, text digest), so equal rows are told apart only by
+    a running number and texts stay where they are but for one join.
+    """
+    digest = F.xxhash64("text")
+    d = documents.withColumn("_id", F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), digest.cast("string")))
+    taken = mix(d.select(F.col("_id").alias("doc_id"), "source", "text"), seed=seed)
+    # rows that share all of doc_id, source and text share what they are taken for as evenly as whole words allow
+    taken = taken.groupBy("doc_id", "source").agg(F.sum("taken").alias("_sum"), F.count(F.lit(1)).alias("_n"), F.first("size").alias("size"))
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "size", F.expr("_sum div _n").alias("taken"))
+    same = (d["_id"] == taken["_id"]) & d["source"].eqNullSafe(taken["_source"])
+    return d.join(taken, same).select(*[d[c] for c in documents.columns], "size", "taken")
+
+
 def mix(documents: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: str = SEED) -> DataFrame:
     """One row a document: doc_id, size, source_size, target, taken, source, shard, quota."""
     sizes = cut(
