@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dwellpath.plans import trip_queries
+from dwellpath.plans import lookup_queries, trip_queries
 
-_MODULES = (trip_queries,)
+_MODULES = (trip_queries, lookup_queries)
 
 
 def queries() -> dict:
