@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from dwellpath.llm.spark import stored
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("x")).first()
-    return row["n"], row["x"]
+def _is_forest(edges: DataFrame) -> bool:
+    """Whether every edge leads from a node with no other edge straight to a root."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    seen = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.filter("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -21,8 +23,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     e = stored(e)
-    seen = _fingerprint(e)
     for _ in range(max_rounds):
+        if _is_forest(e):
+            break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         # large star: each larger neighbour goes to the node's minimum
@@ -31,10 +34,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         e = stored(small.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())
-        now = _fingerprint(e)
-        if now == seen:
-            break
-        seen = now
-    ends = e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
+    ends = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = ends.select(F.col("component").alias("node"), "component").distinct()
     return ends.unionByName(roots)

@@ -7,8 +7,9 @@ cuts the universe of hashes into segments; of ``H + 1 + slack`` segments at most
 more than ``slack`` agree exactly.
 
 1. Each set indexes the hash of its non-empty segment subsets in its own band and probes the
-   band below. A bucket of few sets gives all its pairs; a larger one gives a star around one
-   member, and its members are noted.
+   band below. A bucket of few sets gives all its pairs; of a larger one the members are noted.
+   A set whose large buckets and empty segments are no more than the slack meets every linked
+   set in a small bucket too; the others get a star in each of their large buckets.
 2. A linked pair shares more segments than the slack less its empty ones, so pairs that share
    fewer are dropped. Of the others each set's best pair is verified on whole texts, then all
    pairs between different components. Most large buckets then lie in one component. Of the
@@ -43,11 +44,12 @@ from dwellpath.llm.text import scramble, shingle_sets, slices, utf8
 _U = np.uint64
 #: Sets of one bucket whose pairs are all tested; a larger bucket starts with a star.
 SMALL = 8
-#: Rounds of stars in large buckets before the allocation takes over.
-ROUNDS = 2
+#: Further rounds of stars in large buckets before the allocation takes over.
+ROUNDS = 1
 #: Bits of the filter that thins a scan for chosen documents; 2 MB when broadcast.
 FILTER_BITS = 1 << 23
-FLUSH = 3_000_000
+#: Signatures that a task holds before it sends them on.
+FLUSH = 1_000_000
 
 
 def _bands() -> np.ndarray:
@@ -260,11 +262,9 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
             ok = (own[x] | own[y]) > 0
             left.append(key[x[ok]]), right.append(key[y[ok]])
-    for at, c in zip(heads[(count > SMALL) & (owners > 0)].tolist(), count[(count > SMALL) & (owners > 0)].tolist(), strict=True):
-        k, o = key[at : at + c], own[at : at + c]
-        centre = k[np.flatnonzero(o)[0]]
-        left.append(np.full(c, centre)), right.append(k)
-        yield _rows(1, sig[at : at + c], k, {"n": o})
+    large = np.repeat((count > SMALL) & (owners > 0), count)
+    if large.any():
+        yield _rows(1, sig[large], key[large], {"n": own[large]})
     if left:
         x, y, n = _counted_pairs(np.concatenate(left), np.concatenate(right))
         for a in range(0, len(x), 1 << 16):
@@ -301,10 +301,10 @@ def _test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def with_texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, text) of the documents whose doc_id is in ``wanted``.
+    """(doc_id, text) of all documents whose doc_id is in ``wanted``, and of few others.
 
-    A bitmap of fixed size over hashed ids thins the scan first, so that far fewer texts are
-    shuffled; the join that follows is exact.
+    A bitmap of fixed size over hashed ids thins the scan, so that few texts are shuffled; a join
+    by doc_id is to follow.
     """
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     word, bit = F.expr("cast(slot div 64 as int)"), F.expr("shiftleft(1L, cast(slot % 64 as int))")
@@ -312,26 +312,26 @@ def with_texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     words = F.broadcast(words)  # at most FILTER_BITS / 64 rows
     d = documents.select("doc_id", "text").filter(F.col("doc_id").isNotNull()).withColumn("slot", slot)
     d = d.withColumn("word", word).join(words, "word").filter("(bits & shiftleft(1L, cast(slot % 64 as int))) <> 0")
-    return d.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    return d.select("doc_id", "text")
 
 
-def tested(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
-    """(a, b, linked) for pairs of set keys; pairs of hopeless sizes are left out."""
+def _with_reps(pairs: DataFrame, classes: DataFrame, *more: str) -> DataFrame:
     c = classes.select("key", "rep", "n")
-    p = (
-        pairs.join(c.select(F.col("key").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na")), "a")
-        .join(c.select(F.col("key").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb")), "b")
-        .filter(4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb"))
-    )
-    p = stored(p.select("a", "b", "ra", "rb"))
-    wanted = p.select(F.col("ra").alias("doc_id")).union(p.select("rb")).distinct()
-    texts = with_texts(documents, wanted)
+    p = pairs.join(c.select(F.col("key").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na")), "a")
+    p = p.join(c.select(F.col("key").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb")), "b")
+    return p.filter(4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")).select("a", "b", *more, "ra", "rb")
+
+
+def tested(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+    """(a, b, linked) for pairs (a, b, ra, rb) of set keys and documents that have these sets."""
+    p = pairs.select("a", "b", "ra", "rb")
+    texts = with_texts(documents, p.select(F.explode(F.array("ra", "rb")).alias("doc_id")))
     rows = (
         p.join(texts.select(F.col("doc_id").alias("ra"), F.col("text").alias("ta")), "ra")
         .join(texts.select(F.col("doc_id").alias("rb"), F.col("text").alias("tb")), "rb")
         .select("a", "b", "ta", "tb")
     )
-    return stored(rows.mapInArrow(_test, _TESTED).groupBy("a", "b").agg(F.max("linked").alias("linked")))
+    return stored(rows.mapInArrow(_test, _TESTED))
 
 
 # ---------------------------------------------------------------- steps 2 and 3
@@ -349,38 +349,42 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return p.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
-def _sharing_enough(pairs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b, n shared buckets) that share as many segments as a linked pair must.
+def _sharing_enough(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b, shared, ra, rb) that share as many segments as a linked pair must.
 
-    Of the segments that both use, at most H differ and at most the emptier one's empty
-    segments agree unseen; shared large buckets are not counted pair by pair, so all of the
-    fewer large buckets of the two count as shared.
+    Of the segments that both use, at most H differ and at most the emptier one's empty segments
+    agree unseen. Shared large buckets are not counted pair by pair, so all large buckets of the
+    set that has fewer count as shared.
     """
-    large = members.groupBy(F.col("b").alias("key"), F.col("n").alias("own")).agg(F.count(F.lit(1)).alias("k"))
-    large = large.groupBy("key").agg(
-        F.sum(F.when(F.col("own") == 1, F.col("k")).otherwise(0)).alias("own_large"), F.sum(F.when(F.col("own") == 0, F.col("k")).otherwise(0)).alias("low_large")
-    )
-    c = classes.join(large, "key", "left").fillna(0, ["own_large", "low_large"])
-    names = [x for x in c.columns if x != "key"]
-    p = pairs.groupBy("a", "b").agg(F.sum("n").alias("shared"))
+    names = [x for x in classes.columns if x != "key"]
+    p = pairs
     for side in ("a", "b"):
-        p = p.join(c.select(F.col("key").alias(side), *[F.col(x).alias(f"{side}_{x}") for x in names]), side)
+        p = p.join(classes.select(F.col("key").alias(side), *[F.col(x).alias(f"{side}_{x}") for x in names]), side)
     # which band a side takes part with: its own, or the band below when the other set is smaller by a band
     def of(side: str, other: str, what: str):
         return F.when(F.col(f"{side}_band") > F.col(f"{other}_band"), F.col(f"{side}_low_{what}")).otherwise(F.col(f"{side}_own_{what}"))
 
     used = F.least(of("a", "b", "used"), of("b", "a", "used"))
     empty = F.least(of("a", "b", "used") - of("a", "b", "filled"), of("b", "a", "used") - of("b", "a", "filled"))
-    large_shared = F.least(of("a", "b", "large"), of("b", "a", "large"))
+    large = F.least(of("a", "b", "large"), of("b", "a", "large"))
     needed = used - F.floor((F.col("a_n") + F.col("b_n")) / 7) - empty
-    p = p.filter(4 * F.least("a_n", "b_n") >= 3 * F.greatest("a_n", "b_n")).filter(F.col("shared") + large_shared >= needed)
-    return p.select("a", "b", "shared")
+    p = p.filter(4 * F.least("a_n", "b_n") >= 3 * F.greatest("a_n", "b_n")).filter(F.col("shared") + large >= needed)
+    return p.select("a", "b", "shared", F.col("a_rep").alias("ra"), F.col("b_rep").alias("rb"))
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """(a, b, shared): each member of a bucket with the one that has most large buckets."""
+    degree = members.groupBy("key").agg(F.count(F.lit(1)).alias("degree"))
+    m = members.join(degree, "key")
+    centre = m.filter("own = 1").groupBy("sig").agg(F.max(F.struct("degree", F.col("key").alias("x"))).alias("c")).select("sig", F.col("c.x").alias("x"))
+    return m.join(centre, "sig").filter("key <> x").groupBy(*_ordered("key", "x")).agg(F.count(F.lit(1)).alias("shared"))
 
 
 def _best(pairs: DataFrame) -> DataFrame:
     """For each set the pair that shares most."""
-    ends = pairs.select(F.col("a").alias("x"), F.struct("shared", "a", "b").alias("p")).unionByName(pairs.select(F.col("b").alias("x"), F.struct("shared", "a", "b").alias("p")))
-    return ends.groupBy("x").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
+    p = F.struct("shared", "a", "b", "ra", "rb").alias("p")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("x"), p)
+    return ends.groupBy("x").agg(F.max("p").alias("p")).select("p.a", "p.b", "p.ra", "p.rb").distinct()
 
 
 def _open(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
@@ -477,7 +481,7 @@ def _entries(x: np.ndarray, entry: tuple, skip: np.ndarray) -> list[tuple[np.nda
     return [(index_exact, 0), (index_less, 0), (np.concatenate(probes), 1)]
 
 
-def _late_pairs(members: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+def _late_pairs(members: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame | None:
     """Candidate pairs of sets that both skip more segments than their slack."""
     skipped = members.groupBy("key").agg(F.sum("own").alias("k_own"), F.sum(1 - F.col("own")).alias("k_low"), F.collect_list("sig").alias("sigs"))
     lacking = (
@@ -486,6 +490,8 @@ def _late_pairs(members: DataFrame, classes: DataFrame, documents: DataFrame) ->
         .select("key", "rep", "sigs")
     )
     lacking = stored(lacking)
+    if lacking.isEmpty():
+        return None
     texts = with_texts(documents, lacking.select(F.col("rep").alias("doc_id")))
     entries = lacking.join(texts, F.col("rep") == F.col("doc_id")).select("key", "text", "sigs")
     entries = stored(entries.mapInArrow(_allocate, "sig long, key long, role byte, own byte").distinct())
@@ -502,17 +508,20 @@ def join_components(documents: DataFrame) -> DataFrame:
     sent = documents.select("doc_id", "text").mapInArrow(_sign(parts), "part int, kind byte, body binary")
     found = stored(sent.repartitionById(parts, F.col("part")).mapInArrow(_bucket, _FOUND), "kind")
     docs = found.filter("kind = 2").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), *_NUMBERS)
+    large = found.filter("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("key"), F.col("n").alias("own"))
+    counts = large.groupBy("key").agg(F.sum("own").alias("own_large"), F.sum(1 - F.col("own")).alias("low_large"))
     classes = docs.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in _NUMBERS])
-    classes = stored(classes)
-    large = found.filter("kind = 1")
-    pairs = stored(_sharing_enough(found.filter("kind = 0").select("a", "b", "n"), large, classes))
+    classes = stored(classes.join(counts, "key", "left").fillna(0, ["own_large", "low_large"]))
+    # only sets whose large buckets and empty segments outnumber the slack can miss a partner elsewhere
+    lacking = classes.filter("own_spare < own_large or low_spare < low_large").select("key")
+    members = stored(large.join(lacking, "key", "left_semi"))
+    shared = found.filter("kind = 0").select("a", "b", F.col("n").alias("shared")).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    pairs = _sharing_enough(shared, classes).unionByName(_with_reps(_stars(members), classes, "shared"))
+    pairs = stored(pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("ra").alias("ra"), F.first("rb").alias("rb")))
     # each set's best candidate first: most of what is alike is then connected
-    done = tested(_best(pairs), classes, documents)
+    done = tested(_best(pairs), documents)
     labels = stored(components(done.filter("linked")))
-    rest = _across(pairs, labels).select("a", "b").join(done, ["a", "b"], "left_anti")
-    done = _with_tests(done, rest, classes, documents)
-    labels = stored(components(done.filter("linked")))
-    members = large.select(F.col("a").alias("sig"), F.col("b").alias("key"), F.col("n").alias("own")).distinct()
+    done, labels = _tested_too(_across(pairs, labels), done, labels, documents)
     for _ in range(ROUNDS):
         members = _open(members, labels, classes)
         if members.isEmpty():
@@ -524,15 +533,14 @@ def join_components(documents: DataFrame) -> DataFrame:
         one = outside.filter(few).select("sig", F.col("key").alias("x")).unionByName(first)
         one = one.join(members.select("sig", F.col("key").alias("x"), F.col("component").alias("cx"), F.col("own").alias("ox")), ["sig", "x"])
         more = one.join(members.select("sig", "key", "component", "own"), "sig").filter("component <> cx and ox + own > 0")
-        more = more.select(*_ordered("x", "key")).distinct().join(done, ["a", "b"], "left_anti")
-        done = _with_tests(done, more, classes, documents)
-        labels = stored(components(done.filter("linked")))
+        more = _with_reps(more.select(*_ordered("x", "key")).distinct(), classes)
+        done, labels = _tested_too(more, done, labels, documents)
         members = members.filter(~few)
-    members = _open(members, labels, classes)
-    late = _late_pairs(members, classes, documents).join(done, ["a", "b"], "left_anti")
-    now = tested(_across(late, labels), classes, documents)
-    if not now.filter("linked").isEmpty():
-        labels = components(done.filter("linked").unionByName(now.filter("linked")))
+    if not members.isEmpty():
+        members = _open(members, labels, classes)
+    late = _late_pairs(members, classes, documents)
+    if late is not None:
+        done, labels = _tested_too(_across(_with_reps(late, classes), labels), done, labels, documents)
     reps = classes.select("key", "rep")
     smallest = labels.join(reps, F.col("node") == F.col("key")).groupBy("component").agg(F.min("rep").alias("component_id"))
     named = labels.join(smallest, "component").select(F.col("node").alias("key"), "component_id")
@@ -541,8 +549,12 @@ def join_components(documents: DataFrame) -> DataFrame:
     return docs.join(named, "key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), linked.alias("component_id"))
 
 
-def _with_tests(done: DataFrame, pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
-    pairs = stored(pairs)
+def _tested_too(pairs: DataFrame, done: DataFrame, labels: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tests and components with those of ``pairs`` that were not tested yet."""
+    pairs = stored(pairs.join(done, ["a", "b"], "left_anti"))
     if pairs.isEmpty():
-        return done
-    return stored(done.unionByName(tested(pairs, classes, documents)))
+        return done, labels
+    now = tested(pairs, documents)
+    done = done.unionByName(now)
+    links = now.filter("linked")
+    return done, labels if links.isEmpty() else stored(components(done.filter("linked")))

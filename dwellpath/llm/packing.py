@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellpath.llm.text import _IS_SPACE, slices, utf8, word_hashes
+from dwellpath.llm.text import _IS_SPACE, utf8, word_hashes
 
 MAX_LENGTH = 4096
 END_ID = 2
 #: Words that a worker remembers at most (about 60 MB).
 MEMORY_WORDS = 1_200_000
 _JOINED = 400
+STRETCH_BYTES = 8 << 20
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -104,7 +105,10 @@ def encode(texts: pa.Array, path: str) -> Iterator[tuple[int, int, np.ndarray, n
     """For row ranges (a, b): their ids one after the other, each text's end id included, and bounds."""
     book = WordIds.of(path)
     raw, off = utf8(texts)
-    for a, b in slices(off, 8 << 20):
+    n = len(off) - 1
+    b = 0
+    while b < n:  # some megabytes at a time, as many words then repeat
+        a, b = b, min(n, max(b + 1, int(np.searchsorted(off, off[b] + STRETCH_BYTES, side="right")) - 1))
         r, o = raw[off[a] : off[b]], off[a : b + 1] - off[a]
         h, bounds = word_hashes(r, o)
         solid = ~_IS_SPACE[r]

@@ -14,7 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SHINGLE = 5
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+SLICE_ROWS = 512
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -71,11 +72,11 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``limit`` bytes each; a longer text is a range of its own."""
+    """Row ranges of at most ``limit`` bytes and SLICE_ROWS rows each; a longer text is a range of its own."""
     a, n = 0, len(offsets) - 1
     while a < n:
         b = int(np.searchsorted(offsets, offsets[a] + limit, side="right")) - 1
-        b = min(n, max(a + 1, b))
+        b = min(n, a + SLICE_ROWS, max(a + 1, b))
         yield a, b
         a = b
 
