@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dwellpath.plans import lookup_queries, trip_queries
+from dwellpath.plans import import_queries, lookup_queries, trip_queries
 
-_MODULES = (trip_queries, lookup_queries)
+_MODULES = (trip_queries, lookup_queries, import_queries)
 
 
 def queries() -> dict:
