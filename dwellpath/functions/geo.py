@@ -19,18 +19,22 @@ def _half_chord(p1: Column, p2: Column, dlon: Column) -> Column:
     return F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(dlon / 2), 2)
 
 
+def _arc(h: Column) -> Column:
+    """Half the angle of a squared half chord; null for null, which least() would pass over."""
+    return F.when(h > 1, F.asin(F.lit(1.0))).otherwise(F.asin(F.sqrt(h)))
+
+
 def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     """Great-circle distance on a sphere of 6371 km."""
     lat1, lon1, lat2, lon2 = map(_c, (lat1, lon1, lat2, lon2))
-    h = _half_chord(F.radians(lat1), F.radians(lat2), F.radians(lon2 - lon1))
-    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return F.lit(2 * EARTH_KM) * _arc(_half_chord(F.radians(lat1), F.radians(lat2), F.radians(lon2 - lon1)))
 
 
 def spheroid_m(lat1, lon1, lat2, lon2) -> Column:
     """Distance on the WGS84 spheroid: great circle over reduced latitudes, corrected to first order in the flattening."""
     lat1, lon1, lat2, lon2 = map(_c, (lat1, lon1, lat2, lon2))
     b1, b2 = (F.atan(F.lit(1 - WGS84_F) * F.tan(F.radians(x))) for x in (lat1, lat2))
-    s = 2 * F.asin(F.sqrt(F.least(F.lit(1.0), _half_chord(b1, b2, F.radians(lon2 - lon1)))))
+    s = 2 * _arc(_half_chord(b1, b2, F.radians(lon2 - lon1)))
     p, q = (b1 + b2) / 2, (b2 - b1) / 2
     x = (s - F.sin(s)) * F.pow(F.sin(p) * F.cos(q) / F.cos(s / 2), 2)
     y = (s + F.sin(s)) * F.pow(F.cos(p) * F.sin(q) / F.sin(s / 2), 2)

@@ -59,7 +59,7 @@ def e7_point(c) -> Column:
 def duration_minutes(start, end) -> Column:
     """Whole minutes, half to even, at least one."""
     us = F.timestamp_diff("MICROSECOND", _c(start), _c(end))
-    return F.greatest(F.lit(1), F.bround(us / 60_000_000.0)).cast("int")
+    return F.when(us.isNotNull(), F.greatest(F.lit(1), F.bround(us / 60_000_000.0)).cast("int"))
 
 
 def normalize_activity(c) -> Column:

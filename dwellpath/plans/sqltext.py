@@ -11,7 +11,7 @@ HOUR = 3_600_000_000
 
 def hav(a: str, b: str, c: str, d: str) -> str:
     return (
-        f"(12742.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin((radians({c}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2)))))"
+        f"(CASE WHEN {a} IS NULL OR {c} IS NULL THEN NULL ELSE 12742.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin((radians({c}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2)))) END)"
     )
 
 
