@@ -30,11 +30,12 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwellpath.llm.graph import components
@@ -43,9 +44,9 @@ from dwellpath.llm.text import scramble, shingle_sets, slices, utf8
 
 _U = np.uint64
 #: Sets of one bucket whose pairs are all tested; a larger bucket starts with a star.
-SMALL = 8
-#: Further rounds of stars in large buckets before the allocation takes over.
-ROUNDS = 1
+SMALL = 32
+#: Sets outside a large bucket's main component that are few enough to be tested against all of it.
+FEW = 8
 #: Bits of the filter that thins a scan for chosen documents; 2 MB when broadcast.
 FILTER_BITS = 1 << 23
 #: Signatures that a task holds before it sends them on.
@@ -412,93 +413,219 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _allocate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index and probe entries of sets that skip more than the slack.
-
-    Rows (key, text, own signatures to skip). Of the own band and the band below, each in which
-    the set lacks segments gets its allocation. role 0 indexes, role 1 probes; ``width`` is the
-    number of segments in use, as the narrower set of a pair must be the one that probes.
-    """
-    schema = pa.schema([("sig", pa.int64()), ("key", pa.int64()), ("role", pa.int8()), ("own", pa.int8())])
-    for batch in batches:
-        raw, off = utf8(batch.column(1))
-        keys = np.asarray(batch.column(0)).view(np.uint64)
-        skips = batch.column(2)
-        out: list[tuple[np.ndarray, int, int, int]] = []
-        for lo, hi in slices(off):
-            h, bounds = shingle_sets(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            right = set_keys(h, bounds) == keys[lo:hi]
-            for i in np.flatnonzero(right).tolist():
-                x = h[bounds[i] : bounds[i + 1]]
-                skip = np.asarray(skips[lo + i].values, dtype=np.int64).view(np.uint64) if skips[lo + i].is_valid else np.zeros(0, np.uint64)
-                for own, entry in zip((1, 0), schemes(np.array([len(x)])), strict=True):
-                    for sig, role in _entries(x, entry, skip):
-                        out.append((sig, int(keys[lo + i].view(np.int64)), role, own))
-        if out:
-            n = [len(o[0]) for o in out]
-            rep = lambda k, t: np.repeat(np.array([o[k] for o in out], dtype=t), n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([o[0] for o in out]).view(np.int64)), pa.array(rep(1, np.int64)), pa.array(rep(2, np.int8)), pa.array(rep(3, np.int8))],
-                schema=schema,
-            )
-
-
-def _entries(x: np.ndarray, entry: tuple, skip: np.ndarray) -> list[tuple[np.ndarray, int]]:
+def _plan(x: np.ndarray, entry: tuple, skip: np.ndarray) -> dict | None:
+    """What a set lacks in one of its bands: None if it skips no more than the slack."""
     band, m, used = (int(e[0]) for e in entry)
     if band < 0:
-        return []
-    row, seg, at, content = _subsets(x, np.array([0, len(x)]), np.array([m]))
+        return None
+    _, seg, at, content = _subsets(x, np.array([0, len(x)]), np.array([m]))
     end = np.append(at[1:], len(x))
     inside = seg < used
     seg, at, end, content = seg[inside], at[inside], end[inside], content[inside]
-    bands = np.full(len(seg), band)
-    plain = _signature(content, bands, seg, 0)
+    plain = _signature(content, np.full(len(seg), band), seg, 0)
     hot = np.isin(plain, skip)
-    slack = int(_slack(np.array([band]))[0])
     empty = np.setdiff1d(np.arange(used), seg)
-    lacking = len(empty) + int(hot.sum()) - slack
+    lacking = len(empty) + int(hot.sum()) - int(_slack(np.array([band]))[0])
     if lacking <= 0:
-        return []
+        return None
     sizes = end - at
-    one = scramble(x ^ _U(0x9FB21C651E98DF25))
     owner = np.repeat(np.arange(len(seg)), sizes)
     element = np.concatenate([np.arange(a, b) for a, b in zip(at, end, strict=True)]) if len(seg) else np.zeros(0, np.int64)
-    less = content[owner] - one[element]
-    index_exact = _signature(np.concatenate([content, np.zeros(len(empty), np.uint64)]), np.full(len(seg) + len(empty), band), np.concatenate([seg, empty]), 1)
-    index_less = _signature(less, bands[owner], seg[owner], 2)
-    # threshold 2 where a neighbourhood says most: many elements first, single ones last
-    free = np.flatnonzero(~hot)
-    raised = free[np.argsort(-sizes[free], kind="stable")][:lacking]
-    probes = [_signature(content[raised], bands[raised], seg[raised], 2)]
-    chosen = np.isin(owner, raised)
-    probes.append(_signature(less[chosen], bands[owner[chosen]], seg[owner[chosen]], 1))
-    short = lacking - len(raised)
-    if short > 0:  # even then too few: skipped segments count again, fullest first
-        back = np.concatenate([np.flatnonzero(hot)[np.argsort(-sizes[hot], kind="stable")], -1 - np.arange(len(empty))])[:short]
-        on = back[back >= 0]
-        off = empty[-1 - back[back < 0]]
-        probes.append(_signature(np.concatenate([content[on], np.zeros(len(off), np.uint64)]), np.full(len(on) + len(off), band), np.concatenate([seg[on], off]), 1))
-    return [(index_exact, 0), (index_less, 0), (np.concatenate(probes), 1)]
-
-
-def _late_pairs(members: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame | None:
-    """Candidate pairs of sets that both skip more segments than their slack."""
+    less = content[owner] - scramble(x ^ _U(0x9FB21C651E98DF25))[element]
+    return {"band": band, "seg": seg, "content": content, "plain": plain, "hot": hot, "empty": empty, "lacking": lacking, "sizes": sizes, "owner": owner, "less": less}
+
+
+def _sets_of(batches: Iterator[pa.RecordBatch], *lists: int):
+    """(key, set, lists) of rows (key, text, lists) whose text has the set of the key."""
+    for batch in batches:
+        raw, off = utf8(batch.column(1))
+        keys = np.asarray(batch.column(0)).view(np.uint64)
+        for lo, hi in slices(off):
+            h, bounds = shingle_sets(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            for i in np.flatnonzero(set_keys(h, bounds) == keys[lo:hi]).tolist():
+                found = [np.asarray(batch.column(c)[lo + i].values, dtype=np.int64) if batch.column(c)[lo + i].is_valid else np.zeros(0, np.int64) for c in lists]
+                yield keys[lo + i], h[bounds[i] : bounds[i + 1]], found
+        yield None
+
+
+_OPTION = pa.schema([("key", pa.int64()), ("own", pa.int8()), ("seg", pa.int64()), ("lacking", pa.int32()), ("sig", pa.int64()), ("base", pa.int64())])
+
+
+def _options(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each segment that a set could raise or count again, the large buckets that its probes might hit.
+
+    ``base`` is the cost without them: the number of probes. Skipped segments count again at the
+    price of their own bucket; empty ones come last, as every sparse set is in their bucket.
+    """
+    held: list[tuple] = []
+    for found in _sets_of(batches, 2):
+        if found is None:
+            if held:
+                cols = [np.concatenate([h[k] for h in held]) for k in range(6)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _OPTION, strict=True)], schema=_OPTION)
+            held = []
+            continue
+        key, x, (skip,) = found
+        for own, entry in zip((1, 0), schemes(np.array([len(x)])), strict=True):
+            p = _plan(x, entry, skip.view(np.uint64))
+            if p is None:
+                continue
+            o = p["owner"]
+            free = ~p["hot"][o]
+            sig = np.concatenate([_signature(p["less"][free], np.full(int(free.sum()), p["band"]), p["seg"][o][free], 0), p["plain"][p["hot"]], np.zeros(len(p["empty"]), np.uint64)])
+            seg = np.concatenate([p["seg"][o][free], p["seg"][p["hot"]], p["empty"]])
+            # the last element gone leaves an empty segment
+            base = np.concatenate([np.where(p["sizes"][o][free] == 1, 1 << 30, 1), np.ones(int(p["hot"].sum()), np.int64), np.full(len(p["empty"]), 1 << 32)])
+            n = len(seg)
+            held.append((np.full(n, key).view(np.int64), np.full(n, own, np.int8), seg, np.full(n, p["lacking"], np.int32), sig.view(np.int64), base))
+
+
+def _bitmap(x: np.ndarray, band: int) -> np.ndarray:
+    """The set's hashes on a bitmap of a size fixed for the band; 64-bit words."""
+    bits = min(16, max(8, int(_LAST[band]).bit_length() + 2))
+    at = (scramble(x) >> _U(64 - bits)).astype(np.int64)
+    words = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    np.bitwise_or.at(words, at >> 6, _U(1) << (at & 63).astype(np.uint64))
+    return words
+
+
+def _allocate(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Index (role 0) and probe (role 1) entries of sets with their chosen segments, by shares of the hash space.
+
+        Rows (key, text, signatures to skip, chosen segments of the own band, of the band below,
+        component). A chosen segment that was skipped counts again; any other is raised to threshold 2.
+        """
+        docs: list[tuple] = []
+        out: list[tuple[np.ndarray, int, int]] = []
+        for found in _sets_of(batches, 2, 3, 4, 5):
+            if found is not None:
+                key, x, (skip, own_seg, low_seg, group) = found
+                for own, entry, chosen in zip((1, 0), schemes(np.array([len(x)])), (own_seg, low_seg), strict=True):
+                    p = _plan(x, entry, skip.view(np.uint64))
+                    if p is not None:
+                        out += [(sig, len(docs), role) for sig, role in _entries(p, chosen)]
+                        docs.append((int(key), len(x), own, _bitmap(x, p["band"]), int(group[0])))
+                continue
+            if out:
+                n = [len(o[0]) for o in out]
+                sig, doc, role = np.concatenate([o[0] for o in out]), np.repeat([o[1] for o in out], n), np.repeat([o[2] for o in out], n)
+                part = ((sig >> _U(33)) % _U(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                cuts = np.searchsorted(part[order], np.arange(parts + 1))
+                for k in np.flatnonzero(np.diff(cuts)).tolist():
+                    at = order[cuts[k] : cuts[k + 1]]
+                    used, local = np.unique(doc[at], return_inverse=True)
+                    body = pickle.dumps((sig[at], local.astype(np.int32), role[at].astype(np.int8), [docs[i] for i in used]))
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([3], pa.int8()), pa.array([body], pa.binary())], schema=_SENT)
+            docs, out = [], []
+
+    return run
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a probing and an indexed set whose bitmaps leave a link possible.
+
+    A bit that one set has and the other hasn't stands for at least one element that is not
+    common, so the bound never loses a linked pair.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    sigs, docs, roles, table = [], [], [], []
+    for batch in batches:
+        for body in batch.column(2).to_pylist():
+            sig, doc, role, rows = pickle.loads(body)
+            sigs.append(sig), docs.append(doc.astype(np.int64) + len(table)), roles.append(role)
+            table += rows
+    if not sigs:
+        return
+    sig, doc, role = np.concatenate(sigs), np.concatenate(docs), np.concatenate(roles)
+    order = np.lexsort((doc, role, sig))
+    sig, doc, role = sig[order], doc[order], role[order]
+    heads = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    ends = np.append(heads[1:], len(sig))
+    # within a signature the indexed sets come first
+    indexed = np.concatenate([[0], np.cumsum(role == 0)])
+    middle = heads + indexed[ends] - indexed[heads]
+    met = (middle > heads) & (ends > middle)
+    held, n = [], 0
+    for a, m, b in zip(heads[met].tolist(), middle[met].tolist(), ends[met].tolist(), strict=True):
+        step = max(1, (1 << 20) // (m - a))
+        for lo in range(m, b, step):
+            hi = min(b, lo + step)
+            held.append(np.repeat(doc[lo:hi], m - a) * len(table) + np.tile(doc[a:m], hi - lo))
+            n += len(held[-1])
+            if n > 1 << 22:
+                yield from _possible(np.concatenate(held), table, schema)
+                held, n = [], 0
+    if held:
+        yield from _possible(np.concatenate(held), table, schema)
+
+
+def _possible(seen: np.ndarray, table: list, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    keys, size, own, group = np.array([t[0] for t in table], np.uint64), *(np.array([t[k] for t in table]) for k in (1, 2, 4))
+    x, y = np.divmod(np.unique(seen), len(table))
+    fits = (group[x] != group[y]) & (own[x] + own[y] > 0) & (4 * np.minimum(size[x], size[y]) >= 3 * np.maximum(size[x], size[y]))
+    x, y = x[fits], y[fits]
+    width = np.array([len(t[3]) for t in table])
+    for w in np.unique(width):
+        of = np.flatnonzero(width == w)
+        where = np.zeros(len(table), np.int64)
+        where[of] = np.arange(len(of))
+        words = np.stack([table[i][3] for i in of])
+        both = (width[x] == w) & (width[y] == w)
+        p, q = x[both], y[both]
+        for lo in range(0, len(p), max(1, (1 << 21) // int(w))):
+            i, j = p[lo : lo + max(1, (1 << 21) // int(w))], q[lo : lo + max(1, (1 << 21) // int(w))]
+            bi, bj = words[where[i]], words[where[j]]
+            common = np.minimum(size[i] - np.bitwise_count(bi & ~bj).sum(axis=1, dtype=np.int64), size[j] - np.bitwise_count(bj & ~bi).sum(axis=1, dtype=np.int64))
+            ok = 7 * common >= 3 * (size[i] + size[j])
+            a, b = keys[i[ok]].view(np.int64), keys[j[ok]].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+
+
+def _entries(p: dict, chosen: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    band, seg, content, owner, less, empty = (p[k] for k in ("band", "seg", "content", "owner", "less", "empty"))
+    zero = np.zeros(len(empty), np.uint64)
+    sign = lambda c, g, space: _signature(c, np.full(len(g), band), g, space)
+    index = [(sign(np.concatenate([content, zero]), np.concatenate([seg, empty]), 1), 0), (sign(less, seg[owner], 2), 0)]
+    raised = np.isin(seg, chosen) & ~p["hot"]
+    again = np.isin(seg, chosen) & p["hot"]
+    blank = np.intersect1d(empty, chosen)
+    of_raised = raised[owner]
+    probes = [sign(content[raised], seg[raised], 2), sign(less[of_raised], seg[owner][of_raised], 1)]
+    probes += [sign(content[again], seg[again], 1), sign(np.zeros(len(blank), np.uint64), blank, 1)]
+    return [*index, (np.concatenate(probes), 1)]
+
+
+def _late_pairs(members: DataFrame, large: DataFrame, labels: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame | None:
+    """Candidate pairs of sets that both skip more segments than their slack, by cost-based allocation.
+
+    Each such set has as many units to place as it lacks: raising a segment costs its probes and
+    what they might hit, counting a skipped one again costs its bucket. The cheapest are chosen.
+    """
     skipped = members.groupBy("key").agg(F.sum("own").alias("k_own"), F.sum(1 - F.col("own")).alias("k_low"), F.collect_list("sig").alias("sigs"))
     lacking = (
         classes.join(skipped, "key", "left")
         .filter((F.col("own_spare") < F.coalesce("k_own", F.lit(0))) | (F.col("low_spare") < F.coalesce("k_low", F.lit(0))))
         .select("key", "rep", "sigs")
     )
-    lacking = stored(lacking)
+    lacking = stored(_labelled(lacking, labels))
     if lacking.isEmpty():
         return None
     texts = with_texts(documents, lacking.select(F.col("rep").alias("doc_id")))
-    entries = lacking.join(texts, F.col("rep") == F.col("doc_id")).select("key", "text", "sigs")
-    entries = stored(entries.mapInArrow(_allocate, "sig long, key long, role byte, own byte").distinct())
-    shared = entries.groupBy("sig").agg(F.max("role").alias("hi"), F.min("role").alias("lo")).filter("hi = 1 and lo = 0")
-    probes = entries.filter("role = 1").join(shared, "sig", "left_semi").select("sig", F.col("key").alias("p"), F.col("own").alias("po"))
-    index = entries.filter("role = 0").select("sig", F.col("key").alias("q"), F.col("own").alias("qo"))
-    return probes.join(index, "sig").filter("p <> q and po + qo > 0").select(*_ordered("p", "q")).distinct()
+    held = stored(lacking.join(texts, F.col("rep") == F.col("doc_id")).select("key", "text", "sigs", F.array("component").alias("component")))
+    options = held.mapInArrow(_options, "key long, own byte, seg long, lacking int, sig long, base long")
+    sizes = large.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
+    cost = options.join(sizes, "sig", "left").groupBy("key", "own", "seg").agg(F.first("lacking").alias("lacking"), F.sum(F.col("base") + F.coalesce("size", F.lit(0))).alias("cost"))
+    place = F.row_number().over(Window.partitionBy("key", "own").orderBy("cost", "seg"))
+    # a set has as many rows here as it has segments
+    chosen = cost.withColumn("place", place).filter("place <= lacking").groupBy("key").agg(
+        F.collect_list(F.when(F.col("own") == 1, F.col("seg"))).alias("own_seg"), F.collect_list(F.when(F.col("own") == 0, F.col("seg"))).alias("low_seg")
+    )
+    entries = held.join(chosen, "key").select("key", "text", "sigs", "own_seg", "low_seg", "component")
+    parts = shuffle_width(documents.sparkSession)
+    sent = entries.mapInArrow(_allocate(parts), "part int, kind byte, body binary").repartitionById(parts, F.col("part"))
+    return sent.mapInArrow(_meet, "a long, b long").distinct()
 
 
 def join_components(documents: DataFrame) -> DataFrame:
@@ -522,25 +649,18 @@ def join_components(documents: DataFrame) -> DataFrame:
     done = tested(_best(pairs), documents)
     labels = stored(components(done.filter("linked")))
     done, labels = _tested_too(_across(pairs, labels), done, labels, documents)
-    for _ in range(ROUNDS):
-        members = _open(members, labels, classes)
-        if members.isEmpty():
-            break
-        # few outsiders: all their pairs, and the bucket is settled; many: one more star
-        outside = members.filter("component <> main")
-        few = F.col("size") - F.col("main_size") <= SMALL
-        first = outside.filter(~few).groupBy("sig").agg(F.min("key").alias("x"))
-        one = outside.filter(few).select("sig", F.col("key").alias("x")).unionByName(first)
-        one = one.join(members.select("sig", F.col("key").alias("x"), F.col("component").alias("cx"), F.col("own").alias("ox")), ["sig", "x"])
+    members = _open(members, labels, classes)
+    if not members.isEmpty():
+        # few outsiders: all their pairs, and the bucket is settled
+        few = F.col("size") - F.col("main_size") <= FEW
+        one = members.filter(few).filter("component <> main").select("sig", F.col("key").alias("x"), F.col("component").alias("cx"), F.col("own").alias("ox"))
         more = one.join(members.select("sig", "key", "component", "own"), "sig").filter("component <> cx and ox + own > 0")
         more = _with_reps(more.select(*_ordered("x", "key")).distinct(), classes)
         done, labels = _tested_too(more, done, labels, documents)
-        members = members.filter(~few)
-    if not members.isEmpty():
-        members = _open(members, labels, classes)
-    late = _late_pairs(members, classes, documents)
+        members = _open(members.filter(~few), labels, classes)
+    late = _late_pairs(members, large, labels, classes, documents)
     if late is not None:
-        done, labels = _tested_too(_across(_with_reps(late, classes), labels), done, labels, documents)
+        done, labels = _tested_too(_with_reps(late, classes), done, labels, documents)
     reps = classes.select("key", "rep")
     smallest = labels.join(reps, F.col("node") == F.col("key")).groupBy("component").agg(F.min("rep").alias("component_id"))
     named = labels.join(smallest, "component").select(F.col("node").alias("key"), "component_id")
