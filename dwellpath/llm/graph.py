@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from dwellpath.llm.spark import stored
 
 
+#: Edges are far fewer than the rows that shuffle partitions are set for.
+SHARE = 8
+
+
 def _is_forest(edges: DataFrame) -> bool:
     """Whether every edge leads from a node with no other edge straight to a root."""
     ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
@@ -22,7 +26,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     aggregated to their minimum and joined back, so a node of any degree stays spread out.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    e = stored(e)
+    e = stored(e, share=SHARE)
     for _ in range(max_rounds):
         if _is_forest(e):
             break
@@ -33,7 +37,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: each smaller neighbour, and the node itself, go to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        e = stored(small.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())
+        e = stored(small.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), share=SHARE)
     ends = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = ends.select(F.col("component").alias("node"), "component").distinct()
     return ends.unionByName(roots)

@@ -51,6 +51,8 @@ FEW = 8
 FILTER_BITS = 1 << 23
 #: Signatures that a task holds before it sends them on.
 FLUSH = 1_000_000
+#: Tables of pairs, labels and large buckets are written from an eighth of the partitions.
+SHARE = 8
 
 
 def _bands() -> np.ndarray:
@@ -403,10 +405,10 @@ def _open(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFram
         main = main.filter("parts > 1").select("sig", "size", F.col("m.k").alias("main_size"), F.col("m.c").alias("main"))
         return x.join(main, "sig")
 
-    m = stored(spanning(m).select("sig", "key", "own", "component"))
+    m = stored(spanning(m).select("sig", "key", "own", "component"), share=SHARE)
     skipped = m.groupBy("key").agg(F.sum("own").alias("k_own"), F.sum(1 - F.col("own")).alias("k_low"))
     lacking = skipped.join(classes.select("key", "own_spare", "low_spare"), "key").filter("own_spare < k_own or low_spare < k_low").select("key")
-    return stored(spanning(m.join(lacking, "key", "left_semi")))
+    return stored(spanning(m.join(lacking, "key", "left_semi")), share=SHARE)
 
 
 def _ordered(a: str, b: str) -> list:
@@ -609,7 +611,7 @@ def _late_pairs(members: DataFrame, large: DataFrame, labels: DataFrame, classes
         .filter((F.col("own_spare") < F.coalesce("k_own", F.lit(0))) | (F.col("low_spare") < F.coalesce("k_low", F.lit(0))))
         .select("key", "rep", "sigs")
     )
-    lacking = stored(_labelled(lacking, labels))
+    lacking = stored(_labelled(lacking, labels), share=SHARE)
     if lacking.isEmpty():
         return None
     texts = with_texts(documents, lacking.select(F.col("rep").alias("doc_id")))
@@ -641,13 +643,13 @@ def join_components(documents: DataFrame) -> DataFrame:
     classes = stored(classes.join(counts, "key", "left").fillna(0, ["own_large", "low_large"]))
     # only sets whose large buckets and empty segments outnumber the slack can miss a partner elsewhere
     lacking = classes.filter("own_spare < own_large or low_spare < low_large").select("key")
-    members = stored(large.join(lacking, "key", "left_semi"))
+    members = stored(large.join(lacking, "key", "left_semi"), share=SHARE)
     shared = found.filter("kind = 0").select("a", "b", F.col("n").alias("shared")).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     pairs = _sharing_enough(shared, classes).unionByName(_with_reps(_stars(members), classes, "shared"))
-    pairs = stored(pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("ra").alias("ra"), F.first("rb").alias("rb")))
+    pairs = stored(pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("ra").alias("ra"), F.first("rb").alias("rb")), share=SHARE)
     # each set's best candidate first: most of what is alike is then connected
     done = tested(_best(pairs), documents)
-    labels = stored(components(done.filter("linked")))
+    labels = stored(components(done.filter("linked")), share=SHARE)
     done, labels = _tested_too(_across(pairs, labels), done, labels, documents)
     members = _open(members, labels, classes)
     if not members.isEmpty():
@@ -671,10 +673,10 @@ def join_components(documents: DataFrame) -> DataFrame:
 
 def _tested_too(pairs: DataFrame, done: DataFrame, labels: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tests and components with those of ``pairs`` that were not tested yet."""
-    pairs = stored(pairs.join(done, ["a", "b"], "left_anti"))
+    pairs = stored(pairs.join(done, ["a", "b"], "left_anti"), share=SHARE)
     if pairs.isEmpty():
         return done, labels
     now = tested(pairs, documents)
     done = done.unionByName(now)
     links = now.filter("linked")
-    return done, labels if links.isEmpty() else stored(components(done.filter("linked")))
+    return done, labels if links.isEmpty() else stored(components(done.filter("linked")), share=SHARE)

@@ -27,11 +27,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, *split: str) -> DataFrame:
+def stored(df: DataFrame, *split: str, share: int = 1) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back.
 
     Smaller than a checkpoint; with ``split`` columns a reader of one part opens only its files.
+    ``share``: write from one of so many shuffle partitions only, for tables much smaller than
+    what the partitions are sized for; partitions are joined without another shuffle.
     """
+    if share > 1:
+        df = df.coalesce(max(1, -(-shuffle_width(df.sparkSession) // share)))
     path = f"{_checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.partitionBy(*split).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
