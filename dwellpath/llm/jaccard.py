@@ -378,7 +378,7 @@ def _sharing_enough(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _stars(members: DataFrame) -> DataFrame:
     """(a, b, shared): each member of a bucket with the one that has most large buckets."""
     degree = members.groupBy("key").agg(F.count(F.lit(1)).alias("degree"))
-    m = members.join(degree, "key")
+    m = stored(members.join(degree, "key"), share=SHARE)
     centre = m.filter("own = 1").groupBy("sig").agg(F.max(F.struct("degree", F.col("key").alias("x"))).alias("c")).select("sig", F.col("c.x").alias("x"))
     return m.join(centre, "sig").filter("key <> x").groupBy(*_ordered("key", "x")).agg(F.count(F.lit(1)).alias("shared"))
 
