@@ -44,15 +44,13 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     The mix cuts at most one document of a source's shard; its first words go in once more,
     joined by single spaces. Documents that the mix doesn't take are dropped.
     """
-    taken = mixing.mix_rows(docs.select(*COLUMNS))
-    parted = F.expr("taken % size")
-    copies = F.when(F.col("size") > 0, F.expr("cast(taken div size as int)")).otherwise(0)
-    whole = taken.filter("size > 0 and taken >= size").withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
-    part = taken.filter("size > 0 and taken % size > 0").withColumn(
-        "text", F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), parted.cast("int")), " ")
-    )
-    part = part.withColumn("n_chars", F.length("text").cast("long"))
-    return whole.select(*COLUMNS).unionByName(part.select(*COLUMNS))
+    taken = mixing.mix_rows(docs.select(*COLUMNS)).filter("taken > 0")
+    rows = taken.withColumn("copy", F.explode(F.expr("sequence(1, cast(taken div size + if(taken % size > 0, 1, 0) as int))")))
+    whole = F.expr("copy <= taken div size")
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    part = F.array_join(F.slice(words, F.lit(1), F.expr("cast(taken % size as int)")), " ")
+    rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(part))
+    return rows.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text"))).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
