@@ -1,9 +1,14 @@
 """License scans by sentence rules, as DataFrame expressions.
 
 Texts are cut into sentences, sentences are normalised (lower case, letters, digits and dots
-only) and looked up among known licence sentences. The sequence of known identifiers of a text
-is then matched against ordered rules: a licence is found where a rule's identifiers follow
-each other in that order, with only unknown sentences in between.
+only) and looked up among known licence sentences. Lines are joined before the cut, so a sentence
+can be wrapped; one that isn't a full sentence of a standard notice is cut again at its line
+breaks, and these parts are looked up among the short sentences. The sequence of known identifiers
+of a text is then matched against ordered rules: a licence is found where a rule's identifiers
+follow each other in that order, with only unknown sentences in between.
+
+The SQL knows the short sentences only; it agrees wherever a text holds no full notice and no
+wrapped sentence.
 
 Defined results: a null, empty or licence-free text has no identifiers and no licences; repeated
 sentences count each time; repeated rows are scanned one by one; an empty table gives no rows.
@@ -43,6 +48,36 @@ SENTENCES = (
     ("rights", "all rights reserved"),
 )
 
+#: A title and a copyright line that no mark or blank line parts from the sentence after them.
+_COPY = r"(?:(?:[a-z0-9.]+ ){0,6}copyright (?:[a-z0-9.]+ ){0,30})?"
+#: The number or letter of an item of a list.
+_ITEM = r"(?:[0-9a-d] )?"
+_GPL = r"(?:[a-z0-9.]+ ){1,16}is free software you can redistribute it and or modify it under the terms of the gnu general public license"
+_CC = r"(?:[a-z0-9.]+ ){0,16}licensed under (?:a |the )?creative commons attribution"
+#: Fixed values: (identifiers, pattern of a whole normalised sentence), the sentences of the standard notices.
+NOTICES = (
+    (("apache-notice",), _COPY + r"licensed under the apache license version 2\.0 the license"),
+    (("apache-grant",), r"you may not use this file except in compliance with the license"),
+    (("apache-copy",), r"you may obtain a copy of the license at(?: https? www\.apache\.org licenses license 2\.0)?(?: unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied)?"),
+    (("mit-grant",), _COPY + r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    (("as-is",), r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    (("gpl-redistribute", "gpl-version3"), _COPY + _GPL + r" as published by the free software foundation either version 3 of the license or at your option any later version"),
+    (("gpl-redistribute", "gpl-version2"), _COPY + _GPL + r" as published by the free software foundation either version 2 of the license or at your option any later version"),
+    (("gpl3-notice",), _COPY + _GPL + r" (?:as published by the free software foundation version 3(?: of the license)?|version 3 as published by the free software foundation)"),
+    (("gpl2-notice",), _COPY + _GPL + r" (?:as published by the free software foundation version 2(?: of the license)?|version 2 as published by the free software foundation)"),
+    (("cc-by-nc4-notice",), _CC + r" non ?commercial 4\.0 international(?: public)? license"),
+    (("cc-by4-notice",), _CC + r" 4\.0 international(?: public)? license"),
+    (("cc-by-sa4-notice",), _CC + r" share ?alike 4\.0 international(?: public)? license"),
+    (("cc0-notice",), r"to the extent possible under law (?:[a-z0-9.]+ ){1,20}waived all copyright and related or neighboring rights to [a-z0-9.]+(?: [a-z0-9.]+){0,20}"),
+    (("bsd-redistribute",), _COPY + r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    (("bsd-source",), _ITEM + r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    (("bsd-binary",), _ITEM + r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    (("bsd-endorse",), _ITEM + r"neither the name of (?:[a-z0-9.]+ ){1,16}nor the names of (?:its|his|her|their|the) contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    (("mpl2-notice",), _COPY + r"this source code form is subject to the terms of the mozilla public license v\.? ?2\.0"),
+    (("isc-grant",), _COPY + r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    (("rights",), r"(?:[a-z0-9.]+ ){0,6}copyright (?:[a-z0-9.]+ ){1,30}all rights reserved"),
+)
+
 #: Fixed values: (licence, identifiers in order). A text can have several licences.
 RULES = (
     ("Apache-2.0", ("apache-notice",)),
@@ -64,7 +99,10 @@ RULES = (
     ("All-Rights-Reserved", ("rights",)),
 )
 
-#: A sentence ends at a line break, or at a mark of an end with white space or the text's end after it.
+#: A sentence over joined lines ends at a blank line (one of comment signs is blank), or at a mark of an
+#: end with white space or the text's end after it, but not at the marks inside 'v. 2.0' and the GPL's notice.
+STOP = r"(?<!\b[vV])[.!?]+(?=\s|$)|(?<!(?i:\bfree[\s*#/]{1,20}software))(?<!(?i:\bsoftware[\s*#/]{1,20}foundation))[;:]+(?=\s|$)|\n(?:[\s*#/;%>|-]*\n)+"
+#: A part of a sentence ends at a line break, or at a mark of an end with white space or the text's end after it.
 END = r"[.!?;:]+(?=\s|$)|\n+"
 #: Sentences without any of these are no licence sentences.
 HINT = "licen|permission|redistribut|rights reserved|public domain|warranty|as is|contributors"
@@ -76,24 +114,42 @@ def normalised(sentence: Column) -> Column:
 
 def identifiers(text: Column) -> Column:
     """The identifiers of a text's known sentences, in order."""
+    hinted = F.filter(F.split(F.coalesce(text, F.lit("")), STOP), lambda s: F.lower(s).rlike(HINT + "|waived"))
+    both = F.transform(hinted, lambda s: F.struct(s.alias("raw"), normalised(s).alias("plain")))
+
+    def names_of(s: Column) -> Column:
+        parts = parts_identifiers(s["raw"])
+        found = parts
+        for names, pattern in NOTICES:
+            whole = F.array(*map(F.lit, names))
+            # what a notice's first lines say is kept ahead of it
+            found = F.when(s["plain"].rlike(f"^{pattern}$"), F.concat(F.array_except(parts, whole), whole)).otherwise(found)
+        short = name_of(s["plain"])
+        return F.when(short.isNotNull(), F.array(short)).otherwise(found)
+
+    return F.flatten(F.transform(both, names_of))
+
+
+def name_of(sentence: Column) -> Column:
+    """The identifier of a short sentence, or null."""
     known: dict[str, list[str]] = {}
-    for name, sentence in SENTENCES:
-        known.setdefault(name, []).append(sentence)
-    hinted = F.filter(F.split(F.coalesce(text, F.lit("")), END), lambda s: F.lower(s).rlike(HINT))
+    for name, short in SENTENCES:
+        known.setdefault(name, []).append(short)
+    found = F.lit(None).cast("string")
+    for name, sentences in known.items():
+        found = F.when(sentence.isin(sentences), F.lit(name)).otherwise(found)
+    return found
 
-    def name_of(s: Column) -> Column:
-        found = F.lit(None).cast("string")
-        for name, sentences in known.items():
-            found = F.when(s.isin(sentences), F.lit(name)).otherwise(found)
-        return found
 
-    named = F.transform(F.transform(hinted, normalised), name_of)
-    return F.filter(named, lambda x: x.isNotNull())
+def parts_identifiers(text: Column) -> Column:
+    """The identifiers of the short sentences among a text's parts, in order."""
+    hinted = F.filter(F.split(text, END), lambda s: F.lower(s).rlike(HINT))
+    return F.filter(F.transform(hinted, lambda s: name_of(normalised(s))), lambda x: x.isNotNull())
 
 
 def scan(documents: DataFrame) -> DataFrame:
     """doc_id, n_known, sentence_ids and licenses (comma-joined, licences in name order)."""
-    rough = F.coalesce(F.col("text"), F.lit("")).rlike("(?i)" + HINT)
+    rough = F.coalesce(F.col("text"), F.lit("")).rlike("(?i)" + HINT + "|waived")
     ids = F.when(rough, identifiers(F.col("text"))).otherwise(F.array().cast("array<string>"))
     d = documents.select("doc_id", ids.alias("ids")).withColumn("chain", F.concat(F.lit(","), F.array_join("ids", ","), F.lit(",")))
     by_name: dict[str, list] = {}

@@ -328,3 +328,53 @@ def test_pipeline_stages(spark):
         if k == 2:
             assert not any(any(x[0] < 3 for x in s) for s in secret_scan.scan_batch(pa.array([r["text"] for r in d.collect()])))
     assert counts[0] >= counts[1] == counts[2] and counts[4] >= counts[3] > 0
+
+
+GPL = "This program is free software{} you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation{} either version {} of the License, or\n(at your option) any later version."
+BSD = """Copyright (c) 2020, Some One
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+NOTICES = {
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    "MIT": """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.""",
+    "GPL-3.0": GPL.format(":", ",", 3),
+    "GPL-2.0": GPL.format(";", ";", 2),
+    "All-Rights-Reserved,BSD-2-Clause": BSD,
+    "All-Rights-Reserved,BSD-2-Clause,BSD-3-Clause": BSD + "\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "ISC": "Copyright (c) 2020, Some One\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0\nInternational License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0\nInternational License.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial\n4.0 International License.",
+    "CC0-1.0": "To the extent possible under law, Some One has waived all copyright and\nrelated or neighboring rights to This Work.",
+}
+
+
+def test_licenses_of_standard_notices(spark):
+    """Each notice wrapped, in a comment, on one line and with its first blank lines gone."""
+    forms = [lambda t: t, lambda t: "/*\n" + "\n".join(f" * {x}".rstrip() for x in t.split("\n")) + "\n */\nint x;", lambda t: " ".join(t.split()), lambda t: "words before.\n" + t.replace("\n\n", "\n", 2) + "\n\nwords after"]
+    rows = [(10 * k + j, form(t)) for k, t in enumerate(NOTICES.values()) for j, form in enumerate(forms)]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {10 * k + j: name for k, name in enumerate(NOTICES) for j in range(len(forms))}
