@@ -3,7 +3,9 @@
 A candidate is a run of at least ``WINDOW`` base64, URL-safe or hexadecimal characters. Every
 window in it is judged by the narrowest character class that holds it; the counts behind its
 Shannon entropy are updated as the window moves. Windows at or over their class's threshold
-are joined to spans, unless the candidate is on the allow-list or a pattern span holds it.
+are joined to spans, unless a pattern span holds them. Placeholder words and counting sequences
+cut a candidate: what lies on each side of one is judged alone, against the allow-list of shapes
+too. A span that reaches such a word goes on over it as far as letters and digits do.
 
 Defined results: a null text is empty; a text without spans gives zero counts, an empty span
 list and the digest of the empty string; repeated rows are scanned one by one; an empty table
@@ -38,7 +40,7 @@ CLASSES = (
     ("lower", "abcdefghijklmnopqrstuvwxyz0123456789", 3.6),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.9),
 )
-#: What is never a secret, however random it looks.
+#: Shapes that are never a secret, however random they look.
 ALLOWED = tuple(
     re.compile(p)
     for p in (
@@ -46,12 +48,21 @@ ALLOWED = tuple(
         rb"[0-9_=+/-]+",
         rb"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
         rb"[A-Za-z]+(?:[-_/=+][A-Za-z]+)+[0-9]{0,4}",
-        rb"(?:.*)(?i:example|sample|placeholder|changeme|dummy|xxxx)(?:.*)",
-        rb"(?:0123456789|abcdefghij).*",
     )
 )
 
 
+def _counted(chars: str) -> str:
+    """A pattern of the first three characters or more, in order."""
+    return chars[:3] + "".join(f"(?:{c}" for c in chars[3:]) + ")?" * len(chars[3:])
+
+
+#: Words of placeholders, and the sequence a stretch can begin with.
+WORDS = re.compile(rb"(?i:example|sample|placeholder|changeme|dummy|x{4,})")
+COUNTED = re.compile(f"(?=0123456789|abcdefghij)(?:{'|'.join(map(_counted, ('0123456789', 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')))})+".encode())
+_JOINTS, _SOLID = b"-_/=+", re.compile(rb"[A-Za-z0-9]*")
+
+
 def _mask(chars: str) -> np.ndarray:
     m = np.zeros(256, dtype=bool)
     m[list(chars.encode())] = True
@@ -77,10 +88,47 @@ def runs(mask: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray,
     return s[long], e[long]
 
 
+def stretches(candidate: bytes) -> Iterator[tuple[int, int]]:
+    """What placeholder words and leading sequences leave of a candidate, where a window fits."""
+    at = 0
+    for end, after in [*(m.span() for m in WORDS.finditer(candidate)), (len(candidate), 0)]:
+        first = at
+        while first < end and candidate[first] in _JOINTS and at:
+            first += 1
+        if m := COUNTED.match(candidate, first, end):
+            at = m.end()
+        if end - at >= WINDOW:
+            yield at, end
+        at = after
+
+
 def entropy_spans(candidate: bytes) -> list[tuple[int, int]]:
-    """Joined windows of a candidate whose entropy reaches the threshold of their class."""
+    """Joined high windows of a candidate's stretches."""
     if any(p.fullmatch(candidate) for p in ALLOWED):
         return []
+    parts = list(stretches(candidate))
+    if parts == [(0, len(candidate))]:
+        return high_windows(candidate)
+    found: list[tuple[int, int]] = []
+    for lo, hi in parts:
+        part = candidate[lo:hi]
+        if any(p.fullmatch(x) for p in ALLOWED for x in (part, part.strip(_JOINTS))):
+            continue
+        for a, b in high_windows(part):
+            a, b = lo + a, lo + b
+            if b == hi and part[-1] not in _JOINTS:  # the rest of a blob beside a word that came up in it by chance
+                b = _SOLID.match(candidate, b).end()
+            if a == lo and part[0] not in _JOINTS:
+                a -= _SOLID.match(candidate[:a][::-1]).end()
+            if found and found[-1][1] >= a:
+                found[-1] = (found[-1][0], max(b, found[-1][1]))
+            else:
+                found.append((a, b))
+    return found
+
+
+def high_windows(candidate: bytes) -> list[tuple[int, int]]:
+    """Joined windows whose entropy reaches the threshold of their class."""
     n = len(candidate)
     outside = [[not m[c] for c in candidate] for m in _MEMBER]
     out = [sum(o[:WINDOW]) for o in outside]

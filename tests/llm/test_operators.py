@@ -378,3 +378,13 @@ def test_licenses_of_standard_notices(spark):
     rows = [(10 * k + j, form(t)) for k, t in enumerate(NOTICES.values()) for j, form in enumerate(forms)]
     got = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {10 * k + j: name for k, name in enumerate(NOTICES) for j in range(len(forms))}
+
+
+def test_words_beside_a_secret_suppress_only_themselves():
+    s = "9fKq3LzT7vB2xW8mR4nY6cD1"
+    for before, after in (("sample", "_id=" + s), ("example", "/" + s), ("", s + "/example"), ("", s + "xXxx" + s + "ab"), ("0123456789", "-" + s), ("my-dummy", "/" + s)):
+        spans = secret_scan.scan_batch(pa.array([f"see {before}{after} there"]))[0]
+        held = [f"see {before}{after} there"[a:b] for _, a, b in spans]
+        assert "".join(held).count(s) == after.count(s) and len(held) == 1 and (not before or before not in held[0])
+    harmless = ["AKIAIOSFODNN7EXAMPL", "sk-" + "x" * 24 + "1234", "example/some-long-words-joined-here", "abcdefghijklmnopqrstuvwxyz0123456789", "example_550e8400-e29b-41d4-a716-446655440000"]
+    assert not any(secret_scan.scan_batch(pa.array(harmless)))
