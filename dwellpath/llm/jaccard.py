@@ -138,10 +138,10 @@ def _sign(parts: int):
                 keys = set_keys(h, bounds)
                 docs = np.zeros(b - a, dtype=_DOC)
                 docs["id"], docs["key"], docs["n"], docs["null"] = ids[a:b], keys, n, null[a:b]
-                # equal sets of this slice sign once
+                # equal sets of this slice sign once, by the first row that can be linked
+                able = np.flatnonzero((n > 0) & ~null[a:b])
                 sign = np.zeros(b - a, dtype=bool)
-                sign[np.unique(keys, return_index=True)[1]] = True
-                sign &= (n > 0) & ~null[a:b]
+                sign[able[np.unique(keys[able], return_index=True)[1]]] = True
                 sigs, entry_of, entries = [], [], 0
                 entry_key, entry_own = [], []
                 for own, (band, m, used) in zip((1, 0), schemes(np.maximum(n, 1)), strict=True):

@@ -388,3 +388,12 @@ def test_words_beside_a_secret_suppress_only_themselves():
         assert "".join(held).count(s) == after.count(s) and len(held) == 1 and (not before or before not in held[0])
     harmless = ["AKIAIOSFODNN7EXAMPL", "sk-" + "x" * 24 + "1234", "example/some-long-words-joined-here", "abcdefghijklmnopqrstuvwxyz0123456789", "example_550e8400-e29b-41d4-a716-446655440000"]
     assert not any(secret_scan.scan_batch(pa.array(harmless)))
+
+
+def test_jaccard_null_id_before_its_copy(spark):
+    g = random.Random(5)
+    ws = [f"w{g.randrange(4000)}" for _ in range(60)]
+    near = " ".join([*ws[:-1], "changed"])
+    rows = [(None, " ".join(ws)), (4, " ".join(ws)), (None, " ".join(ws[:3])), (2, near), (9, " ".join(ws[:3]))]
+    got = jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == {4: 2, 2: 2, 9: 9}
