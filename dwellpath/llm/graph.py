@@ -24,6 +24,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Nodes are longs. Loops, repeated edges and nulls don't matter. Neighbourhoods are only
     aggregated to their minimum and joined back, so a node of any degree stays spread out.
+    Raises where the rounds run out before all components are whole.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     e = stored(e, share=SHARE)
@@ -38,6 +39,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         e = stored(small.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), share=SHARE)
+    else:
+        if not _is_forest(e):
+            raise RuntimeError(f"components are not whole after {max_rounds} rounds")
     ends = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = ends.select(F.col("component").alias("node"), "component").distinct()
     return ends.unionByName(roots)

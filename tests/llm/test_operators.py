@@ -397,3 +397,9 @@ def test_jaccard_null_id_before_its_copy(spark):
     rows = [(None, " ".join(ws)), (4, " ".join(ws)), (None, " ".join(ws[:3])), (2, near), (9, " ".join(ws[:3]))]
     got = jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
     assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == {4: 2, 2: 2, 9: 9}
+
+
+def test_components_raise_when_rounds_run_out(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        graph.components(edges, max_rounds=1)
