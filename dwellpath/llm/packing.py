@@ -8,6 +8,8 @@ are drawn from one bucket.
 Token ids come from a public tokenizer file whose path is a parameter. Its rules never look
 across white space, so each distinct word of a stretch of text is encoded once and its ids are
 looked up for every other place; a bounded memory of words is kept from stretch to stretch.
+It lower-cases as the words' hashes do, except for its special tokens, so words that contain
+``<|`` are told apart by their exact bytes.
 
 Defined results: a null or empty text is the end id alone; texts of any length are cut the same
 way; repeated rows are packed each; an empty table gives no rows; other columns are ignored.
@@ -15,6 +17,7 @@ way; repeated rows are packed each; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -117,6 +120,9 @@ def encode(texts: pa.Array, path: str) -> Iterator[tuple[int, int, np.ndarray, n
         begin = np.flatnonzero(solid & np.concatenate([[True], ~solid[:-1] | edge[1 : len(r)]])[: len(r)])
         data = r.tobytes()
         stop = np.flatnonzero(solid & np.concatenate([~solid[1:] | edge[1 : len(r)], [True]])[: len(r)]) + 1
+        marks = np.flatnonzero((r[:-1] == ord("<")) & (r[1:] == ord("|")))
+        for i in np.unique(np.searchsorted(begin, marks, side="right") - 1).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : stop[i]], digest_size=8).digest(), "little")
         at, count = book.look_up(h, lambda i: data[begin[i] : stop[i]].decode("utf-8", "replace"))  # noqa: B023
         # one end id after each text's words
         ends = bounds[1:]

@@ -403,3 +403,14 @@ def test_components_raise_when_rounds_run_out(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long")
     with pytest.raises(RuntimeError):
         graph.components(edges, max_rounds=1)
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_packing_of_special_tokens_in_any_case(order):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    texts = ["<|endoftext|> a", "<|ENDOFTEXT|> a"][::order]
+    packing.WordIds.of(packing.tokenizer_path()).forget()
+    got = [out[b[k] : b[k + 1]].tolist() for t in texts for _, _, out, b in packing.encode(pa.array([t]), packing.tokenizer_path()) for k in range(len(b) - 1)]
+    assert got == [[*tok.encode(t, add_special_tokens=False).ids, 2] for t in texts]
