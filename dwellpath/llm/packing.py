@@ -7,9 +7,8 @@ are drawn from one bucket.
 
 Token ids come from a public tokenizer file whose path is a parameter. Its rules never look
 across white space, so each distinct word of a stretch of text is encoded once and its ids are
-looked up for every other place; a bounded memory of words is kept from stretch to stretch.
-It lower-cases as the words' hashes do, except for its special tokens, so words that contain
-``<|`` are told apart by their exact bytes.
+looked up, by the word's bytes, for every other place; a bounded memory of words is kept from
+stretch to stretch. A text longer than a stretch is encoded in parts that end at white space.
 
 Defined results: a null or empty text is the end id alone; texts of any length are cut the same
 way; repeated rows are packed each; an empty table gives no rows; other columns are ignored.
@@ -17,23 +16,34 @@ way; repeated rows are packed each; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
-import hashlib
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellpath.llm.text import _IS_SPACE, utf8, word_hashes
+from dwellpath.llm.text import slices, utf8
 
 MAX_LENGTH = 4096
 END_ID = 2
-#: Words that a worker remembers at most (about 60 MB).
-MEMORY_WORDS = 1_200_000
-_JOINED = 400
-STRETCH_BYTES = 8 << 20
+#: Text that is split into words at a time.
+STRETCH_BYTES = 1 << 20
+#: What a worker remembers at most: distinct words, their bytes, and their ids.
+MEMORY_WORDS, MEMORY_BYTES, MEMORY_IDS = 300_000, 6 << 20, 3_000_000
+#: Words in one text that the tokenizer is given, and texts in one call.
+_JOINED, _CALL = 400, 16
+#: Stands for a document's end among its words, as no word is empty.
+_END = b""
+#: Words that go straight to the tokenizer's model, where that gives what its rules give for some such words.
+_MARKS, _ACCENTED = ".,;:!?", "".join(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))
+PLAIN = re.compile(rf"[A-Za-z{_ACCENTED}]{{1,64}}[{_MARKS}]?")
+_PROBES = ("a", "Zebra", "unbelievablenesses,", "THE", "qzxjv.", "s", "ll", "don", "I;", "tvre:", "Well!", "EMDASH?", "Été,", "garçon", *_ACCENTED)
+_SPACE = re.compile(rb"[\x09-\x0D\x20]")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -43,16 +53,20 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordIds:
-    """Ids of words by their hash; unknown words are encoded, many in one call."""
+    """Ids of words by their bytes; unknown words are encoded, many in one call."""
 
     _held: dict[str, WordIds] = {}
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.mark = "<|endoftext|>"
         self.mark_id = self.tok.token_to_id(self.mark)
+        self.tokenize = self.tok.model.tokenize
+        self.bytes_as_letters = {ord(c): "".join(x for x, _ in self.tok.pre_tokenizer.pre_tokenize_str(c)) for c in _ACCENTED} if self.tok.pre_tokenizer else {}
+        self.plain = all(self._plain(w) == self.tok.encode(w, add_special_tokens=False).ids for w in _PROBES)
         self.forget()
 
     @classmethod
@@ -62,77 +76,91 @@ class WordIds:
         return cls._held[path]
 
     def forget(self) -> None:
-        self.hash = np.zeros(0, np.uint64)
-        self.at, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(words)
-        plain = [i for i, w in enumerate(words) if "<|" not in w]
-        groups = [plain[k : k + _JOINED] for k in range(0, len(plain), _JOINED)]
-        for group, e in zip(groups, self.tok.encode_batch_fast([self.mark.join(words[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype=np.uint32)
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
-            a = 0
-            for i, b in zip(group, ends.tolist(), strict=True):
-                out[i] = ids[a:b]
-                a = b + 1
-        for i, x in enumerate(out):
-            if x is None:
-                out[i] = np.array(self.tok.encode(words[i], add_special_tokens=False).ids, dtype=np.uint32)
-        return out
-
-    def look_up(self, hashes: np.ndarray, word_at) -> tuple[np.ndarray, np.ndarray]:
-        """Start and count in ``self.ids`` of each word; ``word_at`` gives the word of an index."""
-        fresh, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.hash) > MEMORY_WORDS:
+        self.place: dict[bytes, int] = {_END: 0}
+        self.at, self.count, self.ids = np.zeros(1, np.int64), np.ones(1, np.int64), np.array([END_ID], np.uint32)
+        self.size = 0
+
+    def _plain(self, word: str) -> list[int]:
+        """Ids of a word that matches PLAIN: the rules leave its letters and its mark whole."""
+        parts = (word[:-1], word[-1]) if word[-1] in _MARKS else (word,)
+        return [t.id for p in parts for t in self.tokenize(p.lower().translate(self.bytes_as_letters))]
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words in some order, how many each word has, and that order."""
+        parts, counts, order = [], np.zeros(len(words), np.int64), []
+        rest = []
+        flat: list[int] = []
+        for i, w in enumerate(words):
+            if self.plain and PLAIN.fullmatch(w):
+                ids = self._plain(w)
+            elif "<|" in w:
+                ids = self.tok.encode(w, add_special_tokens=False).ids
+            else:
+                rest.append(i)
+                continue
+            flat += ids
+            counts[i] = len(ids)
+            order.append(i)
+        parts.append(np.array(flat, dtype=np.uint32))
+        groups = [rest[k : k + _JOINED] for k in range(0, len(rest), _JOINED)]
+        for k in range(0, len(groups), _CALL):
+            some = groups[k : k + _CALL]
+            found = self.tok.encode_batch_fast([self.mark.join([words[i] for i in g]) for g in some], add_special_tokens=False)
+            for g, e in zip(some, found, strict=True):
+                ids = np.array(e.ids, dtype=np.uint32)
+                marks = np.flatnonzero(ids == self.mark_id)
+                counts[g] = np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
+                parts.append(np.delete(ids, marks))
+        return np.concatenate(parts), counts, np.array(order + rest, dtype=np.int64)
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after the other, and how many each has."""
+        if len(self.place) > MEMORY_WORDS or self.size > MEMORY_BYTES or len(self.ids) > MEMORY_IDS:
             self.forget()
-        place = np.searchsorted(self.hash, fresh)
-        known = np.zeros(len(fresh), dtype=bool)
-        inside = place < len(self.hash)
-        known[inside] = self.hash[place[inside]] == fresh[inside]
-        new = np.flatnonzero(~known)
-        if len(new):
-            coded = self._encode([word_at(int(i)) for i in first[new]])
-            count = np.array([len(c) for c in coded], dtype=np.int64)
-            at = len(self.ids) + np.concatenate([[0], np.cumsum(count)[:-1]])
-            self.ids = np.concatenate([self.ids, *coded])
-            h = np.concatenate([self.hash, fresh[new]])
-            order = np.argsort(h, kind="stable")
-            self.hash, self.at, self.count = h[order], np.concatenate([self.at, at])[order], np.concatenate([self.count, count])[order]
-            place = np.searchsorted(self.hash, fresh)
-        return self.at[place][inverse], self.count[place][inverse]
+        k = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(k < 0).tolist()
+        if unknown:
+            new = list(dict.fromkeys([words[i] for i in unknown]))
+            ids, count, order = self._encode(b"\n".join(new).decode("utf-8", "replace").split("\n"))
+            at = np.zeros(len(new), np.int64)
+            at[order] = len(self.ids) + np.cumsum(count[order]) - count[order]
+            self.at, self.count, self.ids = np.concatenate([self.at, at]), np.concatenate([self.count, count]), np.concatenate([self.ids, ids])
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+            self.size += sum(map(len, new))
+            k[unknown] = [self.place[words[i]] for i in unknown]
+        count = self.count[k]
+        total = np.cumsum(count)
+        return self.ids[np.repeat(self.at[k] - total + count, count) + np.arange(total[-1] if len(total) else 0)], count
+
+
+def _chunks(data: bytes, a: int, b: int) -> Iterator[bytes]:
+    """``data[a:b]`` in parts of about STRETCH_BYTES that end at white space."""
+    while a < b:
+        gap = _SPACE.search(data, a + STRETCH_BYTES, b) if b - a > STRETCH_BYTES else None
+        end = gap.start() if gap else b
+        yield data[a:end]
+        a = end
 
 
 def encode(texts: pa.Array, path: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For row ranges (a, b): their ids one after the other, each text's end id included, and bounds."""
     book = WordIds.of(path)
     raw, off = utf8(texts)
-    n = len(off) - 1
-    b = 0
-    while b < n:  # some megabytes at a time, as many words then repeat
-        a, b = b, min(n, max(b + 1, int(np.searchsorted(off, off[b] + STRETCH_BYTES, side="right")) - 1))
-        r, o = raw[off[a] : off[b]], off[a : b + 1] - off[a]
-        h, bounds = word_hashes(r, o)
-        solid = ~_IS_SPACE[r]
-        edge = np.zeros(len(r) + 1, dtype=bool)
-        edge[o] = True
-        begin = np.flatnonzero(solid & np.concatenate([[True], ~solid[:-1] | edge[1 : len(r)]])[: len(r)])
-        data = r.tobytes()
-        stop = np.flatnonzero(solid & np.concatenate([~solid[1:] | edge[1 : len(r)], [True]])[: len(r)]) + 1
-        marks = np.flatnonzero((r[:-1] == ord("<")) & (r[1:] == ord("|")))
-        for i in np.unique(np.searchsorted(begin, marks, side="right") - 1).tolist():
-            h[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : stop[i]], digest_size=8).digest(), "little")
-        at, count = book.look_up(h, lambda i: data[begin[i] : stop[i]].decode("utf-8", "replace"))  # noqa: B023
-        # one end id after each text's words
-        ends = bounds[1:]
-        total = np.concatenate([[0], np.cumsum(count)])
-        token_bounds = total[bounds] + np.arange(len(bounds))
-        out = np.full(int(token_bounds[-1]), END_ID, dtype=np.uint32)
-        text_of = np.searchsorted(ends, np.arange(len(count)), side="right")
-        to = np.repeat(total[:-1] + text_of - 0, count) + (np.arange(int(total[-1])) - np.repeat(total[:-1], count))
-        out[to] = book.ids[np.repeat(at, count) + (np.arange(int(total[-1])) - np.repeat(total[:-1], count))]
-        yield a, b, out, token_bounds
+    for a, b in slices(off, STRETCH_BYTES):
+        lo, hi = int(off[a]), int(off[b])
+        if hi - lo > STRETCH_BYTES:  # one long text
+            ids = np.concatenate([*(book.encode(chunk.split())[0] for chunk in _chunks(raw[lo:hi].tobytes(), 0, hi - lo)), [END_ID]]).astype(np.uint32)
+            yield a, b, ids, np.array([0, len(ids)])
+            continue
+        data = raw[lo:hi].tobytes()
+        words: list[bytes] = []
+        ends = []
+        for x, y in zip((off[a:b] - lo).tolist(), (off[a + 1 : b + 1] - lo).tolist(), strict=True):
+            words += data[x:y].split()
+            words.append(_END)
+            ends.append(len(words))
+        ids, count = book.encode(words)
+        yield a, b, ids, np.concatenate([[0], np.cumsum(count)[np.array(ends) - 1]])
 
 
 def pieces(length: int, longest: int = MAX_LENGTH) -> list[int]:
