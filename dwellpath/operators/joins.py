@@ -32,30 +32,40 @@ def near_in_time(left: DataFrame, right: DataFrame, left_t: str, right_t: str, b
     width = max(1, 2 * within_us)
     lo, hi = bucket(micros(left_t) - within_us, width), bucket(micros(left_t) + within_us, width)
     a = left.withColumn("_b", F.explode(F.when(lo == hi, F.array(lo)).otherwise(F.array(lo, hi))))
-    b = right.withColumn("_b", bucket(micros(right_t), width))
-    on = [a[c] == b[c] for c in by] + [a["_b"] == b["_b"], F.abs(micros(a[left_t]) - micros(b[right_t])) <= within_us]
-    joined = a.join(b, on, how)
-    for c in [*by, "_b"]:
-        if how != "left_semi":
-            joined = joined.drop(b[c])
-    return joined.drop("_b")
+    b = _own_names(right, by).withColumn("_c", bucket(micros(right_t), width))
+    on = [F.col(c) == F.col(f"_r_{c}") for c in by] + [F.col("_b") == F.col("_c"), F.abs(micros(left_t) - micros(right_t)) <= within_us]
+    return a.join(b, on, how).drop("_b", "_c", *[f"_r_{c}" for c in by])
+
+
+def _own_names(right: DataFrame, by: list[str]) -> DataFrame:
+    """``right`` with its keys renamed, so that both sides can come from one table."""
+    return right.withColumnsRenamed({c: f"_r_{c}" for c in by})
+
+
+#: A span over more buckets than this goes to buckets COARSE times as wide.
+LONG, COARSE = 32, 1024
 
 
 def overlapping(left: DataFrame, right: DataFrame, by: list[str], left_span: tuple[str, str], right_span: tuple[str, str], width_us: int = 86_400_000_000) -> DataFrame:
     """Join rows of one key whose open intervals overlap; the sides may share ``by`` columns only.
 
-    Both sides go to every bucket they touch; a pair is kept in the first bucket they share.
+    Two short spans meet in a bucket that both touch. A long span, as one with a far end date, meets
+    all others in wide buckets, so no row is copied more often than its length in wide buckets.
+    A pair is kept in the first bucket that both touch.
     """
-    def spread(df: DataFrame, span: tuple[str, str], first: str) -> DataFrame:
-        lo, hi = bucket(micros(span[0]), width_us), bucket(micros(span[1]), width_us)
-        return df.withColumn(first, lo).withColumn("_b", F.explode(F.sequence(lo, F.greatest(lo, hi))))
+    def spread(df: DataFrame, span: tuple[str, str], short: tuple[int, ...], long: tuple[int, ...], first: str) -> DataFrame:
+        at = lambda width: (bucket(micros(span[0]), width), F.greatest(bucket(micros(span[0]), width), bucket(micros(span[1]), width)))
+        (lo, hi), (wide_lo, wide_hi) = at(width_us), at(width_us * COARSE)
+        put = lambda kind, a, b: F.transform(F.sequence(a, b), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("b"), a.alias("first")))
+        of_short = F.concat(*[put(k, lo, hi) if k == 0 else put(k, wide_lo, wide_hi) for k in short])
+        of_long = F.concat(*[put(k, wide_lo, wide_hi) for k in long])
+        return df.withColumn(first, F.explode(F.when(hi - lo > LONG, of_long).otherwise(of_short)))
 
-    a, b = spread(left, left_span, "_fa"), spread(right, right_span, "_fb")
-    on = [a[c] == b[c] for c in by] + [a["_b"] == b["_b"], a["_b"] == F.greatest("_fa", "_fb"), a[left_span[0]] < b[right_span[1]], a[left_span[1]] > b[right_span[0]]]
-    joined = a.join(b, on)
-    for c in [*by, "_b"]:
-        joined = joined.drop(b[c])
-    return joined.drop("_b", "_fa", "_fb")
+    # kinds: 0 short with short, 1 a long left with any right, 2 a short left with a long right
+    a, b = spread(left, left_span, (0, 2), (1,), "_x"), spread(_own_names(right, by), right_span, (0, 1), (1, 2), "_y")
+    on = [F.col(c) == F.col(f"_r_{c}") for c in by] + [F.col("_x.kind") == F.col("_y.kind"), F.col("_x.b") == F.col("_y.b"), F.col("_x.b") == F.greatest("_x.first", "_y.first")]
+    joined = a.join(b, [*on, F.col(left_span[0]) < F.col(right_span[1]), F.col(left_span[1]) > F.col(right_span[0])])
+    return joined.drop("_x", "_y", *[f"_r_{c}" for c in by])
 
 
 def nearest_record(probes: DataFrame, records: DataFrame, probe_t: str, record_t: str, value: str, by: list[str], probe_id: str) -> DataFrame:
@@ -66,11 +76,14 @@ def nearest_record(probes: DataFrame, records: DataFrame, probe_t: str, record_t
     keys = [F.col(c) for c in by]
     p = probes.select(*keys, F.col(probe_t).alias("_t"), F.lit(1).alias("_kind"), F.col(probe_id).alias("_id"), F.lit(None).cast(records.schema[value].dataType).alias("_v"))
     r = records.select(*keys, F.col(record_t).alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast(probes.schema[probe_id].dataType).alias("_id"), F.col(value).alias("_v"))
-    w = Window.partitionBy(*by).orderBy("_t", "_kind", "_v")
+    order = ("_t", "_kind", "_v")
+    earlier = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # the rows after one are those before it in reversed order: a running value, not a new search for each row
+    later = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
     mark = F.when(F.col("_kind") == 0, F.struct(F.col("_t").alias("t"), F.col("_v").alias("v")))
     u = p.unionByName(r).withColumn("_mark", mark)
-    u = u.withColumn("_before", F.last("_mark", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    u = u.withColumn("_after", F.first("_mark", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    u = u.withColumn("_before", F.last("_mark", ignorenulls=True).over(earlier))
+    u = u.withColumn("_after", F.last("_mark", ignorenulls=True).over(later))
     gap_before, gap_after = between_micros(F.col("_before.t"), F.col("_t")), between_micros(F.col("_t"), F.col("_after.t"))
     pick = F.when(F.col("_before").isNull(), F.col("_after.v")).when(F.col("_after").isNull() | (gap_before <= gap_after), F.col("_before.v")).otherwise(F.col("_after.v"))
     found = u.filter("_kind = 1").select(*[F.col(c) for c in by], F.col("_id").alias(probe_id), pick.alias(value))
