@@ -81,11 +81,19 @@ def strictly_inside(lon: Column, lat: Column, polygons: Column) -> Column:
     ``polygons`` is an array of polygons, each an array of rings of points (lon, lat). Holes and
     further parts need no special case.
     """
-    edges = F.flatten(F.transform(F.flatten(polygons), ring_edges))
+    flat = lambda e: F.struct(e["a"]["lon"].alias("ax"), e["a"]["lat"].alias("ay"), e["b"]["lon"].alias("bx"), e["b"]["lat"].alias("by"))
+    return edges_hold(lon, lat, F.transform(F.flatten(F.transform(F.flatten(polygons), ring_edges)), flat))
+
+
+def edges_hold(lon: Column, lat: Column, edges: Column) -> Column:
+    """Whether a ray from the point to the east meets an odd number of edges (ax, ay, bx, by) and no edge holds it.
+
+    Edges that don't reach the point's latitude, or lie to its west, can be left out.
+    """
     start = F.struct(F.lit(False).alias("odd"), F.lit(False).alias("on"))
 
     def step(s: Column, e: Column) -> Column:
-        ax, ay, bx, by = e["a"]["lon"], e["a"]["lat"], e["b"]["lon"], e["b"]["lat"]
+        ax, ay, bx, by = e["ax"], e["ay"], e["bx"], e["by"]
         cross = (bx - ax) * (lat - ay) - (by - ay) * (lon - ax)
         on = (cross == 0) & lon.between(F.least(ax, bx), F.greatest(ax, bx)) & lat.between(F.least(ay, by), F.greatest(ay, by))
         spans = (ay > lat) != (by > lat)
