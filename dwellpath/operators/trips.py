@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwellpath.functions.geo import haversine_km
-from dwellpath.operators.joins import between_micros, micros, near_in_time
+from dwellpath.operators.joins import between_micros, micros
 
 HOUR = 3_600_000_000
 MINUTE = 60_000_000
@@ -38,11 +38,10 @@ def visit_sequence(visits: DataFrame) -> DataFrame:
     return visits.withColumn("rn", F.row_number().over(Window.partitionBy("subject_id").orderBy("start_time", "id")))
 
 
-def active_anchor(df: DataFrame, ranges: DataFrame, day: Column, key: str, prefix: str) -> DataFrame:
+def active_anchor(df: DataFrame, ranges: DataFrame, day: Column, prefix: str) -> DataFrame:
     """``df`` with {prefix}_lat, {prefix}_lon, {prefix}_place of the anchor that covers ``day``.
 
-    Of several, the one that starts last; of these, the one listed first. ``key`` names a row of
-    ``df``. Ranges are gathered per subject (a subject has a handful) and picked from in place,
+    Of several, the one that starts last; of these, the one listed first. Ranges are gathered per subject (a subject has a handful) and picked from in place,
     so ``df`` is joined once and no row multiplies.
     """
     r = ranges.groupBy("subject_id").agg(
@@ -58,8 +57,8 @@ def active_anchor(df: DataFrame, ranges: DataFrame, day: Column, key: str, prefi
 
 def classify_visits(visits: DataFrame, homes: DataFrame, works: DataFrame, rules: TripRules = TripRules()) -> DataFrame:
     """Adds at_home, at_work and away, by the anchors active on the UTC day of the start."""
-    v = active_anchor(visits, homes, F.to_date("start_time"), "id", "home")
-    v = active_anchor(v, works, F.to_date("start_time"), "id", "work")
+    v = active_anchor(visits, homes, F.to_date("start_time"), "home")
+    v = active_anchor(v, works, F.to_date("start_time"), "work")
     home = F.coalesce(haversine_km("lat", "lon", "home_lat", "home_lon") <= rules.home_km, F.lit(False))
     work = F.coalesce(F.col("place_id") == F.col("work_place"), F.lit(False)) | F.coalesce(haversine_km("lat", "lon", "work_lat", "work_lon") <= rules.work_km, F.lit(False))
     return v.withColumn("at_home", home).withColumn("at_work", work).withColumn("away", ~(F.col("at_home") | F.col("at_work")))
@@ -75,21 +74,34 @@ def sequence_gaps(visits: DataFrame) -> DataFrame:
     return v.withColumn("gap_us", between_micros("prev_end_time", "start_time"))
 
 
+def with_bridges(gaps: DataFrame, movements: DataFrame, minutes: int = 5) -> DataFrame:
+    """Visits with their gaps, and ``bridged``: whether a movement leads from the visit before to this one.
+
+    A subject's gaps and movements are put in one order of time, where a gap looks at the movements
+    that start within the minutes of the visit before; so nothing is joined and the layout by
+    subject stays as it is for what follows.
+    """
+    near = minutes * MINUTE
+    g = gaps.withColumn("_t", micros("prev_end_time"))
+    m = movements.filter("start_time is not null and end_time is not null").select("subject_id", micros("start_time").alias("_t"), F.col("end_time").alias("_to"))
+    both = g.unionByName(m, allowMissingColumns=True)
+    w = Window.partitionBy("subject_id").orderBy("_t").rangeBetween(-near, near)
+    ends = F.collect_set("_to").over(w)
+    reached = F.exists(ends, lambda e: F.abs(between_micros(e, F.col("start_time"))) <= near)
+    out = both.withColumn("bridged", F.coalesce(F.col("prev_id").isNotNull() & reached, F.lit(False))).filter("_to is null")
+    return out.select(*gaps.columns, "bridged")
+
+
 def bridged_gaps(visits: DataFrame, movements: DataFrame, minutes: int = 5) -> DataFrame:
     """(subject_id, id) of visits to which a movement leads from the visit before."""
-    gaps = sequence_gaps(visits.select("subject_id", "id", "start_time", "end_time")).filter(F.col("prev_id").isNotNull()).select("subject_id", "id", "prev_end_time", "start_time")
-    m = movements.select("subject_id", F.col("start_time").alias("m_start"), F.col("end_time").alias("m_end"))
-    near = near_in_time(gaps, m, "prev_end_time", "m_start", ["subject_id"], minutes * MINUTE)
-    near = near.filter(F.abs(between_micros("m_end", "start_time")) <= minutes * MINUTE)
-    return near.select("subject_id", "id").distinct()
+    gaps = sequence_gaps(visits.select("subject_id", "id", "start_time", "end_time"))
+    return with_bridges(gaps, movements, minutes).filter("bridged").select("subject_id", "id")
 
 
 def gap_splits(visits: DataFrame, movements: DataFrame, homes: DataFrame, rules: TripRules = TripRules()) -> DataFrame:
     """Classified visits with prev_* columns and ``split``: whether the gap before ends a block."""
-    g = sequence_gaps(visits)
-    bridged = bridged_gaps(visits, movements).withColumn("bridged", F.lit(True))
-    g = g.join(bridged, ["subject_id", "id"], "left").withColumn("bridged", F.coalesce("bridged", F.lit(False)))
-    g = active_anchor(g, homes, F.to_date("prev_end_time"), "id", "gap_home")
+    g = with_bridges(sequence_gaps(visits), movements)
+    g = active_anchor(g, homes, F.to_date("prev_end_time"), "gap_home")
     far = lambda lat, lon: F.coalesce(haversine_km(lat, lon, "gap_home_lat", "gap_home_lon") >= rules.extended_gap_min_distance_km, F.lit(False))
     split = (
         F.when(F.col("prev_id").isNull() | F.col("bridged"), False)
@@ -143,7 +155,7 @@ def trip_category(hours: Column, rules: TripRules = TripRules()) -> Column:
 
 def trip_distance(bounds: DataFrame, homes: DataFrame, rules: TripRules = TripRules()) -> DataFrame:
     """Blocks far enough from the home active on the trip's first UTC day; blocks without a home stay."""
-    b = active_anchor(bounds, homes, F.to_date("start_time"), "block", "home")
+    b = active_anchor(bounds, homes, F.to_date("start_time"), "home")
     b = b.withColumn("distance_km", haversine_km("lat", "lon", "home_lat", "home_lon"))
     return b.filter(F.col("distance_km").isNull() | (F.col("distance_km") >= rules.min_distance_km)).drop("home_lat", "home_lon", "home_place", "home_name")
 
@@ -156,8 +168,9 @@ def trip_categories(trips: DataFrame, rules: TripRules = TripRules()) -> DataFra
 def absorb_orphans(trips: DataFrame, rules: TripRules = TripRules()) -> DataFrame:
     """Merge single-visit trips under half an hour into the nearest trip less than a day from their start.
 
-    Merges change the gaps that follow, so a subject's trips (not visits) are gone through in
-    order; ties go to the earlier trip; an orphan without a near trip is dropped.
+    Merges change the gaps that follow, so trips (not visits) are gone through in order, but only
+    within islands: where a subject is a day or more without a trip, nothing merges across. Ties
+    go to the earlier trip; an orphan without a near trip is dropped.
     """
     day, short = pd.Timedelta(hours=24), pd.Timedelta(minutes=30)
 
@@ -180,11 +193,15 @@ def absorb_orphans(trips: DataFrame, rules: TripRules = TripRules()) -> DataFram
             kept.at[k, "visit_ids"] = [*ids, *orphan.visit_ids] if at > kept.at[k, "start_time"] else [*orphan.visit_ids, *ids]
             kept.at[k, "n_visits"] += 1
         kept["hours"] = (kept["end_time"] - kept["start_time"]).dt.total_seconds() / 3600
-        return kept
+        return kept[cols]
 
     cols = ["subject_id", "start_time", "end_time", "n_visits", "visit_ids", "hours"]
     schema = trips.select(*cols).schema
-    merged = trips.select(*cols).groupBy("subject_id").applyInPandas(run, schema)
+    w = Window.partitionBy("subject_id").orderBy("start_time", "end_time")
+    t = trips.select(*cols).withColumn("_until", F.max("end_time").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    apart = F.coalesce(between_micros("_until", "start_time") >= 24 * HOUR, F.lit(False))
+    t = t.withColumn("_island", F.sum(apart.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_until")
+    merged = t.groupBy("subject_id", "_island").applyInPandas(run, schema)
     return merged.withColumn("category", trip_category(F.col("hours"), rules))
 
 
@@ -208,14 +225,15 @@ def trip_visits(trips: DataFrame) -> DataFrame:
     return trips.select("trip_id", "subject_id", F.explode("visit_ids").alias("visit_id")).distinct()
 
 
-def _located(trip_visits: DataFrame, visits: DataFrame, locations: DataFrame) -> DataFrame:
+def located(trip_visits: DataFrame, visits: DataFrame, locations: DataFrame) -> DataFrame:
+    """The visits of trips with their location and its names, for names, cities and primary locations alike."""
     v = visits.select("subject_id", F.col("id").alias("visit_id"), "start_time", "location_id")
-    return trip_visits.join(v, ["subject_id", "visit_id"]).join(locations, "location_id", "left")
+    return trip_visits.join(v, ["subject_id", "visit_id"]).join(locations.select("location_id", "city", "county", "state", "country"), "location_id", "left")
 
 
-def trip_names(trip_visits: DataFrame, visits: DataFrame, locations: DataFrame) -> DataFrame:
+def trip_names(located: DataFrame) -> DataFrame:
     """trip_id and display_name by the fewest places that cover the trip."""
-    sets = _located(trip_visits, visits, locations).groupBy("trip_id").agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in ("city", "county", "state", "country")])
+    sets = located.groupBy("trip_id").agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in ("city", "county", "state", "country")])
     n = lambda c: F.size(F.col(c))
     one = lambda c: F.get(F.col(c), 0)
     name = (
@@ -230,16 +248,15 @@ def trip_names(trip_visits: DataFrame, visits: DataFrame, locations: DataFrame)
     return sets.select("trip_id", name.alias("display_name"))
 
 
-def trip_cities(trip_visits: DataFrame, visits: DataFrame, locations: DataFrame) -> DataFrame:
-    return _located(trip_visits, visits, locations).groupBy("trip_id").agg(F.sort_array(F.collect_set("city")).alias("cities"))
+def trip_cities(located: DataFrame) -> DataFrame:
+    return located.groupBy("trip_id").agg(F.sort_array(F.collect_set("city")).alias("cities"))
 
 
-def trip_primary_location(trip_visits: DataFrame, visits: DataFrame) -> DataFrame:
+def trip_primary_location(located: DataFrame) -> DataFrame:
     """The most frequent location of a trip; of equals the one seen first."""
-    v = visits.select("subject_id", F.col("id").alias("visit_id"), "start_time", "location_id").filter(F.col("location_id").isNotNull())
-    c = trip_visits.join(v, ["subject_id", "visit_id"]).groupBy("trip_id", "location_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("start_time", "visit_id")).alias("first"))
-    c = c.withColumn("rank", F.row_number().over(Window.partitionBy("trip_id").orderBy(F.col("n").desc(), F.col("first").asc())))
-    return c.filter("rank = 1").select("trip_id", F.col("location_id").alias("primary_location_id"))
+    c = located.filter("location_id is not null").groupBy("trip_id", "location_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("start_time", "visit_id")).alias("first"))
+    best = F.struct((-F.col("n")).alias("n"), "first", "location_id")
+    return c.groupBy("trip_id").agg(F.min(best)["location_id"].alias("primary_location_id"))
 
 
 def trip_summary(trips: DataFrame, trip_visits: DataFrame, rules: TripRules = TripRules()) -> DataFrame:
