@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwellpath.functions import parse as P
@@ -31,9 +33,20 @@ def _times(df: DataFrame) -> DataFrame:
     )
 
 
+def _placed(records: DataFrame) -> DataFrame:
+    return _times(records.filter("kind = 'visit'")).withColumn("_p", P.geo_point("visit.topCandidate.placeLocation"))
+
+
+def rejected_visits(records: DataFrame) -> DataFrame:
+    """Visit records that can't be stored, with the reason: no candidate, no point or no time."""
+    reason = F.when(F.col("visit.topCandidate").isNull(), "no candidate").when(F.col("_p").isNull(), "no point").when(F.col("start_time").isNull() | F.col("end_time").isNull(), "no time")
+    keep = [c for c in ("subject_id", "file", "seq", "id") if c in records.columns]
+    return _placed(records).withColumn("reason", reason).filter("reason is not null").select(*keep, "startTime", "endTime", "reason")
+
+
 def visits_from_timeline(records: DataFrame) -> DataFrame:
-    """Visits whose place can be parsed."""
-    v = _times(records.filter("kind = 'visit'")).withColumn("_p", P.geo_point("visit.topCandidate.placeLocation")).filter("_p is not null")
+    """Visits whose place and times can be parsed."""
+    v = _placed(records).filter("_p is not null and start_time is not null and end_time is not null")
     keep = [c for c in ("subject_id", "seq", "id") if c in records.columns]
     return v.select(
         *keep, "start_time", "end_time", "duration_minutes", "local_start_ts", "local_end_ts", F.col("_p.lat").alias("lat"), F.col("_p.lon").alias("lon"),
@@ -41,6 +54,12 @@ def visits_from_timeline(records: DataFrame) -> DataFrame:
     )
 
 
+def _metadata(facts: dict[str, Column]) -> Column:
+    """What else the export says, as a map of those facts that are there."""
+    given = F.create_map(*[x for name, value in facts.items() for x in (F.lit(name), value)])
+    return F.map_filter(given, lambda _, v: v.isNotNull()).alias("metadata")
+
+
 def movements_from_activities(records: DataFrame, kind: str) -> DataFrame:
     """Activities of the old (``activity``) or new (``segment``) form; both ends and times are needed."""
     part = "activity" if kind == "activity" else "activitySegment"
@@ -48,12 +67,15 @@ def movements_from_activities(records: DataFrame, kind: str) -> DataFrame:
     m = m.filter("_a is not null and _b is not null and start_time is not null and end_time is not null")
     route = P.route_from_waypoints(f"{part}.timelinePath.waypoints") if kind == "segment" else F.lit(None).cast("array<struct<lon:double,lat:double>>")
     number = lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))
+    facts = {"format": F.lit(kind), "candidate_type": F.col(f"{part}.topCandidate.type"), "candidate_probability": F.col(f"{part}.topCandidate.probability")}
+    if kind == "segment":
+        facts |= {"edit_status": F.col(f"{part}.editConfirmationStatus"), "parking_event": F.col(f"{part}.parkingEvent"), "has_raw_path": F.col(f"{part}.simplifiedRawPath").isNotNull().cast("string")}
     keep = [c for c in ("subject_id", "seq", "id") if c in records.columns]
     return m.select(
         *keep, "start_time", "end_time", "duration_minutes", "local_start_ts", "local_end_ts",
         F.col("_a.lat").alias("start_lat"), F.col("_a.lon").alias("start_lon"), F.col("_b.lat").alias("end_lat"), F.col("_b.lon").alias("end_lon"),
         P.normalize_activity(f"{part}.topCandidate.type").alias("activity_type"), number(f"{part}.topCandidate.probability").alias("confidence"), number(f"{part}.distanceMeters").alias("distance_meters"),
-        F.lit("phone").alias("source"), F.lit("activity").alias("movement_type"), route.alias("route"),
+        F.lit("phone").alias("source"), F.lit("activity").alias("movement_type"), route.alias("route"), _metadata(facts),
     )
 
 
@@ -67,6 +89,7 @@ def movements_from_breadcrumbs(records: DataFrame) -> DataFrame:
         *keep, "startTime", "start_time", "end_time", "duration_minutes", "local_start_ts", "local_end_ts",
         F.col("_a.lat").alias("start_lat"), F.col("_a.lon").alias("start_lon"), F.col("_b.lat").alias("end_lat"), F.col("_b.lon").alias("end_lon"),
         F.lit("phone").alias("source"), F.lit("breadcrumb_trail").alias("movement_type"), P.points_of_path("timelinePath").alias("route"), F.size("timelinePath").alias("waypoint_count"),
+        _metadata({"format": F.lit("breadcrumb"), "waypoint_count": F.size("timelinePath").cast("string")}),
     )
 
 
@@ -82,6 +105,10 @@ def movements_from_tracker(items: DataFrame) -> DataFrame:
         first["lat"].alias("start_lat"), first["lon"].alias("start_lon"), last["lat"].alias("end_lat"), last["lon"].alias("end_lon"),
         P.map_activity("activityType").alias("activity_type"), F.col("activityTypeConfidenceScore").alias("confidence"), F.lit("tracker").alias("source"), F.lit("activity").alias("movement_type"),
         F.when(F.size("_p") >= 2, F.col("_p")).alias("route"), F.size("samples").alias("sample_count"),
+        _metadata({
+            "format": F.lit("tracker"), "item_id": F.col("itemId"), "tracker_activity": F.col("activityType"), "manual_activity": F.col("manualActivityType"),
+            "uncertain_activity": F.col("uncertainActivityType"), "sample_count": F.size("samples").cast("string"),
+        }),
     )
 
 
@@ -90,6 +117,32 @@ def borrow_offset(trails: DataFrame, offsets: DataFrame, by: list[str], trail_id
     return nearest_record(trails, offsets, "start_time", "at", "offset_minutes", by, trail_id)
 
 
+def written_offsets(records: DataFrame) -> DataFrame:
+    """(subject_id, at, offset_minutes) of every record whose start is written with its offset."""
+    o = records.select("subject_id", P.utc_instant("startTime").alias("at"), P.explicit_offset_minutes("startTime").alias("offset_minutes"))
+    return o.filter("at is not null and offset_minutes is not null")
+
+
+def with_local_clocks(trails: DataFrame, offsets: DataFrame, trail_id: str = "id") -> DataFrame:
+    """Trails written in UTC ('Z') with both local clocks at the offset borrowed for their start."""
+    t = borrow_offset(trails, offsets, ["subject_id"], trail_id)
+    shift = F.when(F.endswith("startTime", F.lit("Z")), F.col("offset_minutes"))
+    for name, at in (("local_start_ts", "start_time"), ("local_end_ts", "end_time")):
+        t = t.withColumn(name, F.coalesce(P.shifted(F.col(at), shift), F.col(name)))
+    return t.drop("offset_minutes")
+
+
+def tracker_labels(items: DataFrame) -> DataFrame:
+    """Names of tracker visits for ``label_places``: the place's name, else the street address; a centre is needed."""
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    order = F.struct("file", "seq") if "file" in items.columns else F.col("seq")
+    l = items.filter("coalesce(isVisit, false)").select(
+        "subject_id", P.utc_instant("startDate").alias("label_start"), P.utc_instant("endDate").alias("label_end"), F.coalesce(blank("place.name"), blank("streetAddress")).alias("label"),
+        F.col("center.latitude").alias("label_lat"), F.col("center.longitude").alias("label_lon"), order.alias("seq"),
+    )
+    return l.filter("label is not null and label_lat is not null and label_lon is not null and label_start is not null and label_end is not null")
+
+
 def dedupe_visits(new: DataFrame, stored: DataFrame | None = None, order: str = "seq") -> DataFrame:
     """New visits not stored yet; of equal ones (times and six-decimal point) the first in file order."""
     keyed = lambda df: df.withColumn("_lat", F.round("lat", 6)).withColumn("_lon", F.round("lon", 6))
@@ -101,27 +154,28 @@ def dedupe_visits(new: DataFrame, stored: DataFrame | None = None, order: str =
     return n.filter("_n = 1").drop("_n", "_lat", "_lon")
 
 
-def merge_revision_window(stored: DataFrame, new: DataFrame, source: str, days: int = 7) -> DataFrame:
+def merge_revision_window(stored: DataFrame, new: DataFrame, source: str, days: int = 7, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Stored movements with the last days of ``source`` replaced by the new ones.
 
     A subject's cutoff is its latest stored end less the window: later stored rows of the source
     go, later new rows come, earlier new rows are ignored. Subjects without stored rows take all.
+    ``prepare`` is applied to the new rows that come.
     """
     cutoff = stored.filter(F.col("source") == source).groupBy("subject_id").agg(F.timestamp_add("DAY", F.lit(-days), F.max("end_time")).alias("_cut"))
     old = stored.join(cutoff, "subject_id", "left").filter((F.col("source") != source) | F.col("_cut").isNull() | (F.col("end_time") <= F.col("_cut"))).drop("_cut")
     add = new.join(cutoff, "subject_id", "left").filter(F.col("_cut").isNull() | (F.col("end_time") > F.col("_cut"))).drop("_cut")
-    return old.unionByName(add.select(*old.columns))
+    return old.unionByName(prepare(add).select(*old.columns))
 
 
-def import_once(stored: DataFrame, new: DataFrame, source: str) -> DataFrame:
+def import_once(stored: DataFrame, new: DataFrame, source: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Stored rows, and new ones of subjects that have none of ``source`` stored."""
     have = stored.filter(F.col("source") == source).select("subject_id").distinct()
-    return stored.unionByName(new.join(have, "subject_id", "left_anti").select(*stored.columns))
+    return stored.unionByName(prepare(new.join(have, "subject_id", "left_anti")).select(*stored.columns))
 
 
-def force_reload(stored: DataFrame, new: DataFrame, source: str) -> DataFrame:
+def force_reload(stored: DataFrame, new: DataFrame, source: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Stored rows with all of ``source`` replaced."""
-    return stored.filter(F.col("source") != source).unionByName(new.select(*stored.columns))
+    return stored.filter(F.col("source") != source).unionByName(prepare(new).select(*stored.columns))
 
 
 def link_visits(movements: DataFrame, visits: DataFrame, minutes: int = 5, metres: float = 500.0) -> DataFrame:

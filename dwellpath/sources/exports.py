@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dwellpath.sources.scratch import scratch_folder
+
 #: Read schemas; every field can be missing.
 TIMELINE = """startTime string, endTime string,
   visit struct<topCandidate: struct<placeLocation: string, placeID: string, semanticType: string>>,
@@ -18,17 +20,22 @@ TRACKER = """isVisit boolean, startTime string, startDate string, endTime string
 ANCHORS = "lat double, lon double, place_id string, name string, start_date string, end_date string"
 
 
-def read_timeline(spark: SparkSession, path: str) -> DataFrame:
-    """Records of timeline files, one person's file each: a list, or an object with timelineObjects.
+def read_timeline(spark: SparkSession, path: str, more: str = "") -> DataFrame:
+    """Records of timeline files: a list, or an object with timelineObjects; each file is read whole.
 
-    Keeps the file and the place in it. For exports of one record a line see ``read_timeline_lines``.
+    Keeps the file and the place in it. ``more``: further fields of the records, as "subject_id bigint"
+    where a file has several people's. For exports of one record a line see ``read_timeline_lines``.
     """
+    record = f"struct<{_fields(_with(more, TIMELINE))}>"
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("value"))
-    listed = F.from_json("value", f"array<struct<{_fields(TIMELINE)}>>")
-    nested = F.from_json("value", f"struct<timelineObjects: array<struct<{_fields(TIMELINE)}>>>")["timelineObjects"]
+    listed, nested = F.from_json("value", f"array<{record}>"), F.from_json("value", f"struct<timelineObjects: array<{record}>>")["timelineObjects"]
     return raw.select("file", F.posexplode(F.when(F.startswith("value", F.lit("[")), listed).otherwise(nested)).alias("seq", "r")).select("file", "seq", "r.*")
 
 
+def _with(more: str, schema: str) -> str:
+    return f"{more}, {schema}" if more else schema
+
+
 def _fields(schema: str) -> str:
     """A column list as the fields of a struct."""
     out, depth = [], 0
@@ -38,28 +45,60 @@ def _fields(schema: str) -> str:
     return " ".join(out)
 
 
-def read_timeline_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Records one a line; splittable, so the form to use at scale."""
-    return spark.read.schema(TIMELINE).json(path).withColumn("file", F.col("_metadata.file_path"))
+def read_timeline_lines(spark: SparkSession, path: str, more: str = "") -> DataFrame:
+    """Records one a line; splittable, so the form to use at scale. ``seq`` is a digest of the record."""
+    r = spark.read.schema(_with(more, TIMELINE)).json(path)
+    return r.select(F.col("_metadata.file_path").alias("file"), F.xxhash64(*r.columns).alias("seq"), "*")
 
 
-def read_tracker(spark: SparkSession, path: str) -> DataFrame:
+def read_tracker(spark: SparkSession, path: str, more: str = "") -> DataFrame:
     """Items of daily tracker files (gzip or not), with file name and place in the file."""
-    raw = spark.read.schema(f"timelineItems array<struct<{_fields(TRACKER)}>>").option("multiLine", True).json(path)
+    raw = spark.read.schema(f"timelineItems array<struct<{_fields(_with(more, TRACKER))}>>").option("multiLine", True).json(path)
     return raw.select(F.col("_metadata.file_name").alias("file"), F.posexplode("timelineItems").alias("seq", "r")).select("file", "seq", "r.*")
 
 
-def read_anchor_ranges(spark: SparkSession, path: str) -> DataFrame:
+def read_anchor_ranges(spark: SparkSession, path: str, more: str = "") -> DataFrame:
     """Home or work ranges in listed order; null dates are open sides."""
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<struct<{_fields(ANCHORS)}>>")).alias("pos", "r"))
-    return raw.select("pos", "r.lat", "r.lon", "r.place_id", "r.name", F.to_date("r.start_date").alias("start_date"), F.to_date("r.end_date").alias("end_date"))
+    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<struct<{_fields(_with(more, ANCHORS))}>>")).alias("pos", "r"))
+    r = raw.select("pos", "r.*")
+    return r.withColumn("start_date", F.to_date("start_date")).withColumn("end_date", F.to_date("end_date"))
+
+
+def _by_month(df: DataFrame) -> DataFrame:
+    return df.withColumn("month", F.date_format("start_time", "yyyy-MM"))
 
 
 def append_visits(visits: DataFrame, path: str) -> None:
     """Append to the stored visits, by month of the start."""
-    visits.withColumn("month", F.date_format("start_time", "yyyy-MM")).write.mode("append").partitionBy("month").parquet(path)
+    _by_month(visits).write.mode("append").partitionBy("month").parquet(path)
 
 
 def write_movements(movements: DataFrame, path: str) -> None:
     """Append to the stored movements, by source and month of the start."""
-    movements.withColumn("month", F.date_format("start_time", "yyyy-MM")).write.mode("append").partitionBy("source", "month").parquet(path)
+    _by_month(movements).write.mode("append").partitionBy("source", "month").parquet(path)
+
+
+def replace_source(movements: DataFrame, path: str, source: str) -> None:
+    """Replace one source's stored movements; the files of other sources are not touched.
+
+    The rows may be made from the stored ones, so they are written to the shared scratch folder
+    before the old files go.
+    """
+    ready = f"{scratch_folder(movements.sparkSession)}/replace"
+    own = movements.filter(F.col("source") == source).drop("source")
+    own.write.parquet(ready)
+    again = movements.sparkSession.read.schema(own.schema).parquet(ready)
+    _by_month(again).write.mode("overwrite").partitionBy("month").parquet(f"{path}/source={source}")
+
+
+def write_trips(trips: DataFrame, path: str) -> None:
+    """Append trips and their bridge to visits, as ``trips`` and ``trip_visits`` below ``path``.
+
+    The trips are written first and the bridge is made from what was written, so both agree.
+    """
+    spark = trips.sparkSession
+    ready = f"{scratch_folder(spark)}/trips"
+    trips.write.parquet(ready)
+    t = spark.read.schema(trips.schema).parquet(ready)
+    t.drop("visit_ids").write.mode("append").parquet(f"{path}/trips")
+    t.select("trip_id", "subject_id", F.explode("visit_ids").alias("visit_id")).distinct().write.mode("append").parquet(f"{path}/trip_visits")
