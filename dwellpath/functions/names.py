@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def some(c: str) -> Column:
+def some(c) -> Column:
     """A column with the empty string as null."""
-    return F.nullif(F.col(c), F.lit(""))
+    return F.nullif(c if isinstance(c, Column) else F.col(c), F.lit(""))
 
 
 def format_full() -> Column:

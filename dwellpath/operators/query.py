@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwellpath.functions.geo import distance_m, in_box, radius_box
@@ -90,19 +90,21 @@ def list_visits(visits: DataFrame, locations: DataFrame, f: VisitFilter = VisitF
     return v.withColumn("location_name", F.coalesce(some("place_name"), format_full()))
 
 
-def spots(visits: DataFrame, n: int = MAX_VISITS) -> DataFrame:
-    """Visits that share a coordinate to six decimals, most visited first."""
+def spots(visits: DataFrame, n: int | None = None) -> DataFrame:
+    """Visits that share a coordinate to six decimals: all in no order, or the ``n`` most visited first."""
     g = visits.groupBy(F.round("lat", 6).alias("lat6"), F.round("lon", 6).alias("lon6")).agg(
         F.count(F.lit(1)).alias("n_visits"), F.sum("duration_minutes").alias("minutes"), F.min("start_time").alias("first_visit"), F.max("end_time").alias("last_visit"),
         F.max(F.to_date("local_start_ts")).alias("last_day"), F.max("location_id").alias("location_id"), F.mode("place_name", True).alias("place_name"),
     )
-    return page(g, [F.col("n_visits").desc(), F.col("lat6"), F.col("lon6")], n)
+    return g if n is None else page(g, [F.col("n_visits").desc(), F.col("lat6"), F.col("lon6")], n)
 
 
 def day_spots(visits: DataFrame, day: date) -> DataFrame:
+    """A day's visits by coordinate, named by the first of them that has a name."""
     v = apply_filter(visits, VisitFilter(day=day))
+    named = F.when(F.col("place_name").isNotNull(), F.struct("start_time", "id"))
     return v.groupBy(F.round("lat", 6).alias("lat6"), F.round("lon", 6).alias("lon6")).agg(
-        F.count(F.lit(1)).alias("n_visits"), F.sum("duration_minutes").alias("minutes"), F.max(F.to_date("local_start_ts")).alias("last_day"), F.min_by("place_name", F.struct("start_time", "id")).alias("place_name")
+        F.count(F.lit(1)).alias("n_visits"), F.sum("duration_minutes").alias("minutes"), F.max(F.to_date("local_start_ts")).alias("last_day"), F.min_by("place_name", named).alias("place_name")
     )
 
 
@@ -126,7 +128,8 @@ def city_visits(visits: DataFrame, locations: DataFrame, city: str, n: int = 100
     """The newest visits to a city, any case, and the hours of those listed."""
     where = locations.filter(F.lower("city") == city.lower()).select("location_id", "city", "country")
     v = visits.join(where, "location_id").orderBy(*newest()).limit(n)
-    return v
+    # the listed visits alone, at most n
+    return v.withColumn("hours", F.sum("duration_minutes").over(Window.partitionBy()) / 60)
 
 
 def list_locations(locations: DataFrame, visits: DataFrame, country=None, state=None, city=None, admin_level=None, limit: int = 100, offset: int = 0) -> DataFrame:
@@ -172,9 +175,12 @@ def trips_in_range(trips: DataFrame, start: date | datetime | None, end: date |
 
 
 def trip_detail(trips: DataFrame, trip_visits: DataFrame, visits: DataFrame, names: DataFrame) -> DataFrame:
-    """Trips' visits in start order under the trip's name: display name, else cities."""
+    """Trips' visits under the trip's name: display name, else cities, else the primary location.
+
+    ``names``: trip_id, display_name, cities and primary_name, each of which may be null.
+    """
     v = visits.select("subject_id", F.col("id").alias("visit_id"), F.col("start_time").alias("visit_start"), "duration_minutes", "place_name")
-    t = trips.select("trip_id", "category").join(names, "trip_id", "left").withColumn("name", F.coalesce("display_name", F.nullif(F.array_join("cities", ", "), F.lit(""))))
+    t = trips.select("trip_id", "category").join(names, "trip_id", "left").withColumn("name", F.coalesce(some("display_name"), some(F.array_join("cities", ", ")), "primary_name"))
     return trip_visits.join(t.select("trip_id", "category", "name"), "trip_id").join(v, ["subject_id", "visit_id"])
 
 

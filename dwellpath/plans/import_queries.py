@@ -6,24 +6,27 @@ schemas, so that the steps parse what they would parse in a file.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwellpath.functions import parse as P
+from dwellpath.operators import imports as IM
 from dwellpath.operators import ingest as I
 from dwellpath.operators import places as H
 from dwellpath.plans import fixtures as X
 from dwellpath.plans import sqltext
 from dwellpath.plans.lookup_queries import r3
 from dwellpath.plans.sqltext import hav, spheroid, sql
-from dwellpath.sources.exports import TIMELINE, TRACKER, _fields
+from dwellpath.plans.trip_queries import trips as found_trips
+from dwellpath.sources.exports import TIMELINE, TRACKER, _fields, append_visits, read_anchor_ranges, read_timeline, read_timeline_lines, read_tracker, replace_source, write_movements, write_trips
+from dwellpath.sources.scratch import scratch_folder, staged
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+#: What the records of these exports carry besides their own fields.
+IDS = "subject_id bigint, id bigint"
 
 sqltext.STEPS.update(
     {
@@ -60,59 +63,177 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
     return v
 
 
-def records(spark: SparkSession, d: str) -> DataFrame:
-    """One export record a visit, of all four kinds, through JSON text."""
+def timeline_text(spark: SparkSession, d: str) -> DataFrame:
+    """subject_id, id, value: one export record a visit, of all four kinds, as JSON text."""
     at = "concat('geo:', cast({0} as string), ',', cast({1} as string))"
     here, there = at.format("lat", "lon"), at.format("lat + 0.25D", "lon + 0.5D")
-    times = "'startTime', startTime, 'endTime', endTime"
+    times = "'subject_id', subject_id, 'id', id, 'startTime', startTime, 'endTime', endTime"
     e7 = lambda a, b: f"named_struct('latE7', cast({a} as bigint), 'lngE7', cast({b} as bigint))"
     kinds = {
         0: f"'timelinePath', array(named_struct('point', {here}), named_struct('point', 'geo:bad'), named_struct('point', {there}))",
         1: f"'activity', named_struct('start', {here}, 'end', {there}, 'distanceMeters', cast(id % 900 as string), 'topCandidate', named_struct('type', if(id % 5 = 0, '', 'in passenger vehicle'), 'probability', '0.5'))",
-        2: f"'activitySegment', named_struct('start', {here}, 'end', {there}, 'topCandidate', named_struct('type', 'walking'), 'timelinePath', named_struct('waypoints', "
+        2: f"'activitySegment', named_struct('start', {here}, 'end', {there}, 'topCandidate', named_struct('type', 'walking'), 'editConfirmationStatus', if(id % 4 = 0, 'CONFIRMED', null), 'simplifiedRawPath', if(id % 8 = 0, 'x', null), 'timelinePath', named_struct('waypoints', "
         + f"array({e7('subject_id * 1000000', 'id * 10000')}, {e7('null', '5')}, {e7('subject_id * 1000000 + 5', 'id * 10000 + 7')})))",
-        3: f"'visit', named_struct('topCandidate', named_struct('placeLocation', if(id % 12 = 3, 'geo:1', {here}), 'placeID', place_id, 'semanticType', semantic_type))",
+        3: f"'visit', named_struct('topCandidate', if(id % 24 = 15, null, named_struct('placeLocation', if(id % 12 = 3, 'geo:1', {here}), 'placeID', place_id, 'semanticType', semantic_type)))",
     }
     branches = " ".join(f"WHEN least(id % 6, 3) = {k} THEN to_json(named_struct({times}, {v}))" for k, v in kinds.items())
-    t = texts(spark, d).withColumn("json", F.expr(f"CASE {branches} END"))
-    raw = t.select("subject_id", "id", F.col("id").alias("seq"), F.from_json("json", f"struct<{_fields(TIMELINE)}>").alias("r")).select("subject_id", "id", "seq", "r.*")
+    return texts(spark, d).select("subject_id", "id", F.expr(f"CASE {branches} END").alias("value"))
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    """The records of ``timeline_text`` through the read schema, without files."""
+    raw = timeline_text(spark, d).select(F.col("id").alias("seq"), F.from_json("value", f"struct<{_fields(f'{IDS}, {TIMELINE}')}>").alias("r")).select("seq", "r.*")
     return I.route_records(raw)
 
 
-def items(spark: SparkSession, d: str) -> DataFrame:
-    """One tracker item a visit, through JSON text."""
-    body = """to_json(named_struct('isVisit', id % 3 = 0, 'startDate', if(id % 2 = 0, startTime, null), 'startTime', if(id % 2 = 1, startTime, null), 'endDate', endTime,
-      'activityType', CASE id % 4 WHEN 0 THEN 'car' WHEN 1 THEN 'hiking trail' WHEN 2 THEN 'train' END, 'activityTypeConfidenceScore', 0.5D,
+def tracker_text(spark: SparkSession, d: str) -> DataFrame:
+    """subject_id, id, value: one tracker item a visit, as JSON text."""
+    body = """to_json(named_struct('subject_id', subject_id, 'id', id, 'isVisit', id % 3 = 0, 'startDate', if(id % 2 = 0 or id % 3 = 0, startTime, null), 'startTime', if(id % 2 = 1, startTime, null), 'endDate', endTime,
+      'itemId', if(id % 4 = 0, null, concat('i', id)), 'activityType', CASE id % 4 WHEN 0 THEN 'car' WHEN 1 THEN 'hiking trail' WHEN 2 THEN 'train' END, 'activityTypeConfidenceScore', 0.5D,
+      'place', named_struct('name', CASE id % 4 WHEN 0 THEN concat('place', id) WHEN 1 THEN '' END), 'streetAddress', if(id % 4 = 3, null, concat('street', id)), 'center', named_struct('latitude', if(id % 7 = 0, null, lat), 'longitude', lon),
       'samples', CASE WHEN id % 10 = 1 THEN array() WHEN id % 10 = 2 THEN array(named_struct('location', named_struct('latitude', lat, 'longitude', lon), 'secondsFromGMT', cast(null as int)))
         ELSE array(named_struct('location', named_struct('latitude', cast(null as double), 'longitude', lon), 'secondsFromGMT', cast(null as int)), named_struct('location', named_struct('latitude', lat, 'longitude', lon), 'secondsFromGMT', cast(off_h * 3600 as int)), named_struct('location', named_struct('latitude', lat + 0.25D, 'longitude', lon), 'secondsFromGMT', cast(0 as int))) END))"""
-    t = texts(spark, d).withColumn("json", F.expr(body))
-    return t.select("subject_id", "id", F.col("id").alias("seq"), F.from_json("json", f"struct<{_fields(TRACKER)}>").alias("r")).select("subject_id", "id", "seq", "r.*")
+    return texts(spark, d).select("subject_id", "id", F.expr(body).alias("value"))
+
 
+def items(spark: SparkSession, d: str) -> DataFrame:
+    """The items of ``tracker_text`` through the read schema, without files."""
+    t = tracker_text(spark, d)
+    return t.select(F.col("id").alias("seq"), F.from_json("value", f"struct<{_fields(f'{IDS}, {TRACKER}')}>").alias("r")).select("seq", "r.*")
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder for files that a query writes and reads: below the shared checkpoint folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return f"{context.getCheckpointDir()}/export-{uuid.uuid4().hex}"
 
+#: Files that a container's records are dealt to.
+FILES = 8
 
-@query("SELECT subject_id, id, CASE id % 6 WHEN 0 THEN 'breadcrumb' WHEN 1 THEN 'activity' WHEN 2 THEN 'segment' ELSE 'visit' END AS kind FROM visits")
+
+def _one_a_file(lists: DataFrame, path: str, **options: str) -> str:
+    """Write each row of text as a file of its own."""
+    lists.write.options(maxRecordsPerFile=1, **options).text(path)
+    return path
+
+
+def _lists(text: DataFrame, field: str | None) -> DataFrame:
+    """The records of each of FILES parts as one JSON list, in an object's ``field`` or bare."""
+    whole = F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "value"))), lambda x: x["value"]), ","), F.lit("]"))
+    value = whole if field is None else F.concat(F.lit('{"' + field + '":'), whole, F.lit("}"))
+    return text.groupBy((F.col("id") % FILES).alias("part")).agg(value.alias("value")).select("value")
+
+
+def timeline_files(spark: SparkSession, d: str) -> DataFrame:
+    """All records from files: those of even numbers from lines, the others from a list or an object; every fifth comes twice."""
+    t, path = timeline_text(spark, d), scratch_folder(spark)
+    t.filter("id % 2 = 0 or id % 5 = 0").select("value").write.text(f"{path}/lines")
+    _one_a_file(_lists(t.filter("id % 4 = 1"), None), f"{path}/lists")
+    _one_a_file(_lists(t.filter("id % 4 = 3"), "timelineObjects"), f"{path}/objects")
+    whole = read_timeline(spark, f"{path}/lists", IDS).unionByName(read_timeline(spark, f"{path}/objects", IDS))
+    return read_timeline_lines(spark, f"{path}/lines", IDS).withColumn("seq", F.col("id").cast("bigint")).unionByName(whole.withColumn("seq", F.col("id").cast("bigint")))
+
+
+def tracker_files(spark: SparkSession, d: str) -> DataFrame:
+    path = _one_a_file(_lists(tracker_text(spark, d), "timelineItems"), scratch_folder(spark), compression="gzip")
+    return read_tracker(spark, path, IDS).withColumn("seq", F.col("id"))
+
+
+@query("SELECT subject_id, id, CASE id % 6 WHEN 0 THEN 'breadcrumb' WHEN 1 THEN 'activity' WHEN 2 THEN 'segment' ELSE 'visit' END AS kind FROM visits UNION ALL SELECT subject_id, id, CASE id % 6 WHEN 0 THEN 'breadcrumb' WHEN 1 THEN 'activity' WHEN 2 THEN 'segment' ELSE 'visit' END FROM visits WHERE id % 2 = 1 AND id % 5 = 0")
 def q_scan_timeline(spark, d):
-    """Records written as files of one record a line, and scanned."""
-    path = _folder(spark)
-    r = records(spark, d).drop("kind", "seq")
-    r.write.option("ignoreNullFields", True).json(path)
-    back = spark.read.schema(f"subject_id bigint, id bigint, {TIMELINE}").json(path)
-    return I.route_records(back).select("subject_id", "id", "kind")
+    """Records of all three containers, scanned."""
+    return I.route_records(timeline_files(spark, d)).select("subject_id", "id", "kind")
 
 
 @query("SELECT subject_id, id, id % 3 = 0 AS is_visit FROM visits")
 def q_scan_tracker(spark, d):
-    """Items written as gzip files, and scanned."""
-    path = _folder(spark)
-    items(spark, d).drop("seq").write.option("compression", "gzip").json(path)
-    return spark.read.schema(f"subject_id bigint, id bigint, {TRACKER}").json(path).select("subject_id", "id", F.col("isVisit").alias("is_visit"))
+    """Items of gzip files, scanned."""
+    return tracker_files(spark, d).select("subject_id", "id", F.col("isVisit").alias("is_visit"))
+
+
+@query("SELECT subject_id, id, st AS start_time, st + to_minutes(coalesce(om, 0)) AS local_start_ts, round(lat, 3) AS lat, 'stored' AS fate FROM raw WHERE id % 6 >= 3 AND id % 12 <> 3 AND id % 24 <> 15 AND id % 9 <> 0 UNION ALL SELECT subject_id, id, NULL, NULL, NULL, CASE WHEN id % 24 = 15 THEN 'no candidate' ELSE 'no point' END FROM (SELECT * FROM raw UNION ALL SELECT * FROM raw WHERE id % 2 = 1 AND id % 5 = 0) WHERE id % 6 >= 3 AND (id % 12 = 3 OR id % 24 = 15)")
+def q_import_timeline(spark, d):
+    """The visits job from files, every ninth visit being stored already, and its rejects."""
+    have = I.visits_from_timeline(records(spark, d)).filter("id % 9 = 0")
+    new, rejects = IM.import_visits(timeline_files(spark, d), have)
+    out = new.select("subject_id", "id", "start_time", "local_start_ts", *r3("lat"), F.lit("stored").alias("fate"))
+    empty = [F.lit(None).cast("timestamp_ntz").alias(c) for c in ("start_time", "local_start_ts")]
+    return out.unionByName(rejects.select("subject_id", "id", *empty, F.lit(None).cast("double").alias("lat"), F.col("reason").alias("fate")))
+
+
+def _joined(t: str, la: str, lo: str, vt: str) -> str:
+    return f"""SELECT m.subject_id, m.id, v.id AS v FROM raw_moves m JOIN visits v ON m.subject_id = v.subject_id AND v.{vt} BETWEEN m.{t} - INTERVAL 5 MINUTE AND m.{t} + INTERVAL 5 MINUTE
+WHERE {spheroid('m.' + la, 'm.' + lo, 'v.lat', 'v.lon')} <= 500 QUALIFY row_number() OVER (PARTITION BY m.subject_id, m.id ORDER BY abs(date_diff('microsecond', m.{t}, v.{vt})), {spheroid('m.' + la, 'm.' + lo, 'v.lat', 'v.lon')}, v.id) = 1"""
+
+
+sqltext.STEPS.update(
+    {
+        "borrowed": """SELECT t.subject_id, t.id, arg_min(r.om, {'g': abs(date_diff('microsecond', t.st, r.st)), 'l': CAST(r.st > t.st AS INTEGER), 'i': CASE WHEN r.st > t.st THEN r.om ELSE -r.om END}) AS bm
+FROM raw t JOIN raw r ON t.subject_id = r.subject_id AND r.om IS NOT NULL WHERE t.id % 4 = 0 AND t.id % 6 = 0 GROUP BY 1, 2""",
+        "raw_moves": f"""SELECT r.subject_id, r.id, CASE id % 6 WHEN 0 THEN 'breadcrumb_trail' ELSE 'activity' END AS movement_type, st AS start_time, et AS end_time, lat AS start_lat, lon AS start_lon, lat + 0.25::DOUBLE AS end_lat, lon + 0.5::DOUBLE AS end_lon,
+  st + to_minutes(coalesce(bm, om, 0)) AS local_start_ts, CASE id % 6 WHEN 0 THEN {spheroid('lat', 'lon', '(lat + 0.25::DOUBLE)', '(lon + 0.5::DOUBLE)')} WHEN 1 THEN id % 900 ELSE 0 END AS distance_meters,
+  CASE id % 6 WHEN 0 THEN 'breadcrumb' WHEN 1 THEN 'activity' ELSE 'segment' END AS format, CASE WHEN id % 6 = 2 AND id % 4 = 0 THEN 'CONFIRMED' ELSE '' END AS edit_status
+  FROM raw r LEFT JOIN borrowed b USING (subject_id, id) WHERE id % 6 <= 2""",
+        "stored_moves": "SELECT *, (SELECT max(end_time) - INTERVAL 7 DAY FROM raw_moves x WHERE x.id % 5 = 0 AND x.subject_id = m.subject_id) AS cut FROM raw_moves m",
+    }
+)
+
+
+@query(f"""SELECT m.subject_id, m.id, m.movement_type, m.start_time, m.local_start_ts, round(m.distance_meters, 3) AS distance_meters, m.format, m.edit_status, coalesce(a.v, -1) AS preceding, coalesce(b.v, -1) AS following
+FROM (SELECT * FROM stored_moves WHERE CASE WHEN cut IS NULL THEN true WHEN end_time > cut THEN true ELSE id % 5 = 0 END) m
+LEFT JOIN ({_joined('start_time', 'start_lat', 'start_lon', 'end_time')}) a ON m.subject_id = a.subject_id AND m.id = a.id LEFT JOIN ({_joined('end_time', 'end_lat', 'end_lon', 'start_time')}) b ON m.subject_id = b.subject_id AND m.id = b.id""")
+def q_import_movements(spark, d):
+    """The movements job from files beside stored movements: every fifth, of which the last week is replaced."""
+    raw, v = timeline_files(spark, d).dropDuplicates(["id"]), staged(X.visits(spark, d))
+    write_movements(IM.import_movements(records(spark, d).drop("kind"), v).filter("id % 5 = 0"), f"{(path := scratch_folder(spark))}/stored")
+    have = spark.read.parquet(f"{path}/stored").drop("month")
+    m = IM.import_movements(raw, v, have)
+    return m.select(
+        "subject_id", "id", "movement_type", "start_time", "local_start_ts", *r3("distance_meters"), F.col("metadata")["format"].alias("format"), F.coalesce(F.col("metadata")["edit_status"], F.lit("")).alias("edit_status"),
+        F.coalesce("preceding_visit_id", F.lit(-1)).alias("preceding"), F.coalesce("following_visit_id", F.lit(-1)).alias("following"),
+    )
+
+
+_TRACKED = f"""SELECT subject_id, id, st + to_hours(CASE WHEN id % 10 = 2 THEN 0 ELSE off_h END) AS local_start_ts, CASE WHEN id % 10 <> 2 THEN round({spheroid('lat', 'lon', '(lat + 0.25::DOUBLE)', 'lon')}, 3) END AS distance_meters, CASE WHEN id % 4 = 0 THEN '' ELSE 'i' || id END AS name FROM raw WHERE id % 3 <> 0 AND id % 10 <> 1"""
+
+
+@query(f"""SELECT 'movement' AS what, subject_id, id, local_start_ts, distance_meters, name FROM ({_TRACKED}) WHERE subject_id % 4 <> 0 OR id % 2 = 0
+UNION ALL SELECT 'visit', v.subject_id, v.id, NULL, NULL, coalesce(max_by(l.label, l.id) FILTER (WHERE l.id IS NOT NULL), v.place_name) FROM visits v LEFT JOIN (
+  SELECT subject_id, id, st, et, CASE WHEN id % 4 = 0 THEN 'place' || id WHEN id % 4 <> 3 THEN 'street' || id END AS label, lat, lon FROM raw WHERE id % 3 = 0 AND id % 7 <> 0 AND id % 4 <> 3) l
+  ON v.subject_id = l.subject_id AND v.start_time < l.et AND v.end_time > l.st AND {spheroid('v.lat', 'v.lon', 'l.lat', 'l.lon')} <= 250 GROUP BY v.subject_id, v.id, v.place_name""")
+def q_import_tracker(spark, d):
+    """The tracker job from files: movements of subjects without stored ones, and names for visits."""
+    v = staged(X.visits(spark, d))
+    first, _ = IM.import_tracker(items(spark, d).filter("subject_id % 4 = 0 and id % 2 = 0"), v)
+    write_movements(first, f"{(path := scratch_folder(spark))}/stored")
+    have = spark.read.parquet(f"{path}/stored").drop("month")
+    m, named = IM.import_tracker(tracker_files(spark, d).drop("file"), v, have)
+    m = m.select(F.lit("movement").alias("what"), "subject_id", "id", "local_start_ts", *r3("distance_meters"), F.coalesce(F.col("metadata")["item_id"], F.lit("")).alias("name"))
+    empty = [F.lit(None).cast("timestamp_ntz").alias("local_start_ts"), F.lit(None).cast("double").alias("distance_meters")]
+    return m.unionByName(named.select(F.lit("visit").alias("what"), "subject_id", "id", *empty, F.col("place_name").alias("name")))
+
+
+@query("SELECT subject_id, id, strftime(start_time, '%Y-%m') AS month FROM visits")
+def q_visit_sink(spark, d):
+    """Visits appended in two runs, read back with their folders' months."""
+    v, path = X.visits(spark, d), f"{scratch_folder(spark)}/visits"
+    append_visits(v.filter("id % 2 = 0"), path)
+    append_visits(v.filter("id % 2 = 1"), path)
+    return spark.read.schema("subject_id bigint, id bigint, month string").parquet(path)
+
+
+@query("SELECT subject_id, id, source, strftime(start_time, '%Y-%m') AS month FROM movements WHERE source <> 'phone' OR id % 3 = 0")
+def q_movement_sink(spark, d):
+    """Movements written, then one source's replaced by a part of them as stored."""
+    path = f"{scratch_folder(spark)}/movements"
+    write_movements(X.movements(spark, d), path)
+    m = X.movements(spark, d).schema
+    back = spark.read.schema(m).parquet(path)
+    replace_source(back.filter("id % 3 = 0"), path, "phone")
+    return spark.read.schema("subject_id bigint, id bigint, source string, month string").parquet(path)
+
+
+@query("SELECT t.trip_id, t.category, b.visit_id FROM trip_rows t JOIN bridge b ON t.trip_id = b.trip_id")
+def q_trip_sink(spark, d):
+    path = scratch_folder(spark)
+    write_trips(found_trips(spark, d), path)
+    t = spark.read.schema("trip_id string, category string").parquet(f"{path}/trips")
+    return t.join(spark.read.schema("trip_id string, visit_id bigint").parquet(f"{path}/trip_visits"), "trip_id")
 
 
 # ------------------------------------------------------------------ parsing steps
@@ -163,7 +284,7 @@ def q_route_records(spark, d):
     return records(spark, d).select("subject_id", "id", "kind")
 
 
-@query("SELECT subject_id, id, st AS start_time, et AS end_time, st + to_minutes(coalesce(om, 0)) AS local_start_ts, round(lat, 3) AS lat, round(lon, 3) AS lon, place_id, semantic_type FROM raw WHERE id % 6 >= 3 AND id % 12 <> 3")
+@query("SELECT subject_id, id, st AS start_time, et AS end_time, st + to_minutes(coalesce(om, 0)) AS local_start_ts, round(lat, 3) AS lat, round(lon, 3) AS lon, place_id, semantic_type FROM raw WHERE id % 6 >= 3 AND id % 12 <> 3 AND id % 24 <> 15")
 def q_import_visits(spark, d):
     return I.visits_from_timeline(records(spark, d)).select("subject_id", "id", "start_time", "end_time", "local_start_ts", *r3("lat", "lon"), "place_id", "semantic_type")
 
@@ -263,13 +384,12 @@ def q_label_places(spark, d):
 
 @query("SELECT subject_id, CAST(pos AS INTEGER) AS pos, name, round(lat, 3) AS lat, coalesce(CAST(start_date AS VARCHAR), 'open') AS start_date, coalesce(CAST(end_date AS VARCHAR), 'open') AS end_date FROM homes")
 def q_anchor_ranges(spark, d):
-    """Ranges through their JSON form, open sides as null."""
-    from dwellpath.sources.exports import ANCHORS
-
-    h = X.homes(spark, d)
-    j = h.withColumn("json", F.to_json(F.struct("lat", "lon", "place_id", "name", F.col("start_date").cast("string").alias("start_date"), F.col("end_date").cast("string").alias("end_date"))))
-    r = j.select("subject_id", "pos", F.from_json("json", f"struct<{_fields(ANCHORS)}>").alias("r"))
-    return r.select("subject_id", "pos", "r.name", F.round("r.lat", 3).alias("lat"), *[F.coalesce(F.to_date(f"r.{c}").cast("string"), F.lit("open")).alias(c) for c in ("start_date", "end_date")])
+    """Ranges written as one file a subject and read back; open sides are null."""
+    h = X.homes(spark, d).withColumn("start_date", F.col("start_date").cast("string")).withColumn("end_date", F.col("end_date").cast("string"))
+    entry = F.struct("subject_id", "lat", "lon", "place_id", "name", "start_date", "end_date")
+    lists = h.groupBy("subject_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("pos", entry.alias("e")))), lambda x: x["e"])).alias("value"))
+    r = read_anchor_ranges(spark, _one_a_file(lists.select("value").repartition(FILES), scratch_folder(spark)), "subject_id bigint")
+    return r.select("subject_id", "pos", "name", *r3("lat"), *[F.coalesce(F.col(c).cast("string"), F.lit("open")).alias(c) for c in ("start_date", "end_date")])
 
 
 # ------------------------------------------------------------------ home and work

@@ -18,6 +18,7 @@ from dwellpath.plans import fixtures as X
 from dwellpath.plans import sqltext
 from dwellpath.plans.sqltext import spheroid, sql
 from dwellpath.plans.trip_queries import trips as found_trips
+from dwellpath.sources.scratch import staged
 
 DAY = date(2024, 1, 17)
 BOX = (25.0, -100.0, 45.0, 40.0)
@@ -47,10 +48,11 @@ SELECT trip_id, CASE WHEN len(ci) = 1 THEN ci[1] WHEN len(co) = 1 AND len(ci) <=
 FROM (SELECT trip_id, """
         + ", ".join(f"coalesce(list_sort(list(DISTINCT {c}) FILTER (WHERE {c} IS NOT NULL)), []) AS {a}" for c, a in (("city", "ci"), ("county", "co"), ("state", "st"), ("country", "cn")))
         + " FROM tlocated GROUP BY trip_id)",
+        "tprimary": "SELECT trip_id, location_id AS primary_location_id FROM (SELECT trip_id, location_id, count(*) AS n, min(start_time) AS s, min(id) AS i FROM tlocated WHERE location_id IS NOT NULL GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY trip_id ORDER BY n DESC, s, i) = 1",
         "tlocal": "SELECT t.*, t.start_time + to_hours(o.off_h) AS local_start_ts, t.end_time + to_hours(o.off_h) AS local_end_ts FROM trip_rows t JOIN (SELECT DISTINCT subject_id, off_h FROM visits) o ON t.subject_id = o.subject_id",
         "dayv": f"SELECT * FROM gvisits WHERE CAST(local_start_ts AS DATE) <= DATE '{DAY}' AND CAST(local_end_ts AS DATE) >= DATE '{DAY}'",
         "daym": f"SELECT * FROM movements WHERE CAST(local_start_ts AS DATE) <= DATE '{DAY}' AND CAST(local_end_ts AS DATE) >= DATE '{DAY}'",
-        "mlinked": "SELECT *, prev_visit AS preceding_visit_id, CASE WHEN id % 4 <> 1 THEN next_visit END AS following_visit_id FROM movements",
+        "mlinked": "SELECT *, CASE WHEN id % 8 <> 1 THEN prev_visit END AS preceding_visit_id, CASE WHEN id % 4 <> 1 THEN next_visit END AS following_visit_id FROM movements",
     }
 )
 
@@ -60,7 +62,13 @@ def points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tree(spark: SparkSession, d: str) -> DataFrame:
-    return G.hierarchy(G.point_in_boundary(points(spark, d), X.boundaries(spark, d)))
+    return G.hierarchy(G.point_in_boundary(points(spark, d), X.boundaries(spark, d)), X.boundaries(spark, d))
+
+
+def geocoded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Visits with their location and the locations, from one geocoding that is stored as the engine would."""
+    points = staged(tree(spark, d))
+    return G.geocode_visits(X.visits(spark, d), points), G.upsert_locations(points)
 
 
 def gvisits(spark: SparkSession, d: str) -> DataFrame:
@@ -71,6 +79,11 @@ def locs(spark: SparkSession, d: str) -> DataFrame:
     return G.upsert_locations(tree(spark, d))
 
 
+def located(spark: SparkSession, d: str) -> DataFrame:
+    """Visits of trips with their places: one geocoding for names, cities and primary locations."""
+    return T.located(T.trip_visits(found_trips(spark, d)), *geocoded(spark, d))
+
+
 def tlocal(spark: SparkSession, d: str) -> DataFrame:
     o = X.visits(spark, d).select("subject_id", "off_h").distinct()
     t = found_trips(spark, d).join(o, "subject_id")
@@ -79,7 +92,7 @@ def tlocal(spark: SparkSession, d: str) -> DataFrame:
 
 def mlinked(spark: SparkSession, d: str) -> DataFrame:
     m = X.movements(spark, d)
-    return m.withColumn("preceding_visit_id", F.col("prev_visit")).withColumn("following_visit_id", F.when(F.col("id") % 4 != 1, F.col("next_visit")))
+    return m.withColumn("preceding_visit_id", F.when(F.col("id") % 8 != 1, F.col("prev_visit"))).withColumn("following_visit_id", F.when(F.col("id") % 4 != 1, F.col("next_visit")))
 
 
 def r3(*cols: str):
@@ -145,28 +158,28 @@ def q_geocode_visits(spark, d):
 
 @query("SELECT 'visits' AS measure, count(*) AS n FROM gvisits UNION ALL SELECT 'geocoded', count(location_id) FROM gvisits UNION ALL SELECT 'not geocoded', count(*) - count(location_id) FROM gvisits UNION ALL SELECT 'level ' || admin_level, count(*) FROM locs GROUP BY admin_level")
 def q_geocode_summary(spark, d):
-    return G.geocode_summary(gvisits(spark, d), locs(spark, d))
+    return G.geocode_summary(*geocoded(spark, d))
 
 
 @query("SELECT trip_id, display_name FROM tnames")
 def q_trip_names(spark, d):
-    return T.trip_names(T.trip_visits(found_trips(spark, d)), gvisits(spark, d), locs(spark, d))
+    return T.trip_names(located(spark, d))
 
 
 @query("SELECT trip_id, array_to_string(cities, ',') AS cities FROM tcities")
 def q_trip_cities(spark, d):
-    c = T.trip_cities(T.trip_visits(found_trips(spark, d)), gvisits(spark, d), locs(spark, d))
+    c = T.trip_cities(located(spark, d))
     return c.select("trip_id", F.array_join("cities", ",").alias("cities"))
 
 
-@query("SELECT trip_id, location_id AS primary_location_id FROM (SELECT trip_id, location_id, count(*) AS n, min(start_time) AS s, min(id) AS i FROM tlocated WHERE location_id IS NOT NULL GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY trip_id ORDER BY n DESC, s, i) = 1")
+@query("SELECT trip_id, primary_location_id FROM tprimary")
 def q_trip_primary_location(spark, d):
-    return T.trip_primary_location(T.trip_visits(found_trips(spark, d)), gvisits(spark, d))
+    return T.trip_primary_location(located(spark, d))
 
 
 @query("SELECT city, count(*) AS n_trips FROM (SELECT unnest(cities) AS city FROM tcities) GROUP BY city ORDER BY n_trips DESC, city LIMIT 10")
 def q_top_destinations(spark, d):
-    return T.top_destinations(T.trip_cities(T.trip_visits(found_trips(spark, d)), gvisits(spark, d), locs(spark, d)))
+    return T.top_destinations(T.trip_cities(located(spark, d)))
 
 
 @query("SELECT location_id, CASE WHEN country <> '' THEN concat_ws(', ', coalesce(city, county), state, country) END AS name FROM locs")
@@ -176,7 +189,8 @@ def q_format_full(spark, d):
 
 @query("SELECT g.id, CASE WHEN l.location_id IS NULL THEN format('({:.4f}, {:.4f})', g.lat, g.lon) WHEN city IS NOT NULL THEN concat_ws(', ', city, coalesce(state, country)) WHEN state IS NOT NULL THEN concat_ws(', ', state, country) ELSE country END AS name FROM gvisits g LEFT JOIN locs l ON g.location_id = l.location_id")
 def q_format_short(spark, d):
-    return gvisits(spark, d).join(locs(spark, d), "location_id", "left").select("id", short_name().alias("name"))
+    g, l = geocoded(spark, d)
+    return g.join(l, "location_id", "left").select("id", short_name().alias("name"))
 
 
 # ------------------------------------------------------------------ filters
@@ -209,15 +223,13 @@ def q_visits_in_instants(spark, d):
 @query("SELECT subject_id, id, start_time, end_time FROM gvisits WHERE location_id IN (SELECT max(location_id) FROM gvisits)")
 def q_visits_by_location(spark, d):
     v = gvisits(spark, d)
-    one = v.agg(F.max("location_id").alias("location_id"))
-    return v.join(one, "location_id", "left_semi").select(*V)
+    return Q.apply_filter(v, Q.VisitFilter(location_id=v.agg(F.max("location_id")).first()[0])).select(*V)
 
 
 @query("SELECT v.subject_id, v.id, v.start_time, v.end_time FROM visits v JOIN bridge b ON v.subject_id = b.subject_id AND v.id = b.visit_id WHERE b.trip_id IN (SELECT max(trip_id) FROM trip_rows)")
 def q_visits_by_trip(spark, d):
     t = found_trips(spark, d)
-    one = T.trip_visits(t).join(t.agg(F.max("trip_id").alias("trip_id")), "trip_id", "left_semi")
-    return X.visits(spark, d).join(one.select("subject_id", F.col("visit_id").alias("id")), ["subject_id", "id"]).select(*V)
+    return Q.apply_filter(X.visits(spark, d), Q.VisitFilter(trip_id=t.agg(F.max("trip_id")).first()[0]), T.trip_visits(t)).select(*V)
 
 
 @query("SELECT subject_id, id, start_time, end_time FROM visits ORDER BY start_time DESC, id DESC LIMIT 100 OFFSET 50")
@@ -227,24 +239,22 @@ def q_paged_visits(spark, d):
 
 @query("SELECT g.subject_id, g.id, g.start_time, coalesce(place_name, concat_ws(', ', coalesce(city, county), state, country)) AS location_name FROM gvisits g LEFT JOIN locs l ON g.location_id = l.location_id WHERE place_name IS NOT NULL OR country IS NOT NULL UNION ALL SELECT g.subject_id, g.id, g.start_time, NULL FROM gvisits g WHERE place_name IS NULL AND location_id IS NULL")
 def q_visits(spark, d):
-    return Q.list_visits(gvisits(spark, d), locs(spark, d)).select("subject_id", "id", "start_time", "location_name")
+    return Q.list_visits(*geocoded(spark, d)).select("subject_id", "id", "start_time", "location_name")
 
 
-@query("SELECT round(lat6, 3) AS lat6, round(lon6, 3) AS lon6, n_visits, minutes, first_visit, last_visit, last_day, location_id, place_name FROM (SELECT round(lat, 6) AS lat6, round(lon, 6) AS lon6, count(*) AS n_visits, CAST(sum(duration_minutes) AS BIGINT) AS minutes, min(start_time) AS first_visit, max(end_time) AS last_visit, max(CAST(local_start_ts AS DATE)) AS last_day, max(location_id) AS location_id FROM gvisits GROUP BY 1, 2) a LEFT JOIN (SELECT * FROM (SELECT round(lat, 6) AS la, round(lon, 6) AS lo, place_name, count(*) AS k FROM gvisits WHERE place_name IS NOT NULL GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY la, lo ORDER BY k DESC, place_name) = 1) m ON m.la = a.lat6 AND m.lo = a.lon6 ORDER BY n_visits DESC, a.lat6, a.lon6 LIMIT 200")
+@query("SELECT round(lat6, 3) AS lat6, round(lon6, 3) AS lon6, n_visits, minutes, first_visit, last_visit, last_day, location_id, place_name FROM (SELECT round(lat, 6) AS lat6, round(lon, 6) AS lon6, count(*) AS n_visits, CAST(sum(duration_minutes) AS BIGINT) AS minutes, min(start_time) AS first_visit, max(end_time) AS last_visit, max(CAST(local_start_ts AS DATE)) AS last_day, max(location_id) AS location_id FROM gvisits GROUP BY 1, 2) a LEFT JOIN (SELECT * FROM (SELECT round(lat, 6) AS la, round(lon, 6) AS lo, place_name, count(*) AS k FROM gvisits WHERE place_name IS NOT NULL GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY la, lo ORDER BY k DESC, place_name) = 1) m ON m.la = a.lat6 AND m.lo = a.lon6")
 def q_spots(spark, d):
-    return Q.spots(gvisits(spark, d), 200).select(*r3("lat6", "lon6"), "n_visits", "minutes", "first_visit", "last_visit", "last_day", "location_id", "place_name")
+    return Q.spots(gvisits(spark, d)).select(*r3("lat6", "lon6"), "n_visits", "minutes", "first_visit", "last_visit", "last_day", "location_id", "place_name")
 
 
 @query("SELECT round(lat, 3) AS lat6, round(lon, 3) AS lon6, n_visits, minutes, last_day, place_name FROM (SELECT round(lat, 6) AS lat, round(lon, 6) AS lon, count(*) AS n_visits, CAST(sum(duration_minutes) AS BIGINT) AS minutes, max(CAST(local_start_ts AS DATE)) AS last_day, arg_min(place_name, {'s': start_time, 'i': id}) FILTER (WHERE place_name IS NOT NULL) AS place_name FROM dayv GROUP BY 1, 2)")
 def q_day_spots(spark, d):
-    v = gvisits(spark, d)
-    s = Q.day_spots(v.filter("place_name is not null"), DAY).select("lat6", "lon6", "place_name")
-    return Q.day_spots(v, DAY).drop("place_name").join(s, ["lat6", "lon6"], "left").select(*r3("lat6", "lon6"), "n_visits", "minutes", "last_day", "place_name")
+    return Q.day_spots(gvisits(spark, d), DAY).select(*r3("lat6", "lon6"), "n_visits", "minutes", "last_day", "place_name")
 
 
 @query(f"SELECT g.id, round({spheroid('lat', 'lon', f'{SPOT[0]}::DOUBLE', f'{SPOT[1]}::DOUBLE')} / 1000, 3) AS km, city, country FROM gvisits g LEFT JOIN locs l ON g.location_id = l.location_id WHERE {spheroid('lat', 'lon', f'{SPOT[0]}::DOUBLE', f'{SPOT[1]}::DOUBLE')} <= {SPOT[2] * 1000} ORDER BY start_time DESC, id DESC LIMIT 50")
 def q_nearby(spark, d):
-    return Q.nearby(gvisits(spark, d), locs(spark, d), *SPOT).select("id", *r3("km"), "city", "country")
+    return Q.nearby(*geocoded(spark, d), *SPOT).select("id", *r3("km"), "city", "country")
 
 
 @query(f"SELECT id, start_time, round({spheroid('lat', 'lon', f'{SPOT[0]}::DOUBLE', f'{SPOT[1]}::DOUBLE')} / 1000, 3) AS km FROM visits WHERE {spheroid('lat', 'lon', f'{SPOT[0]}::DOUBLE', f'{SPOT[1]}::DOUBLE')} <= {SPOT[2] * 1000}")
@@ -254,26 +264,24 @@ def q_when_at(spark, d):
 
 @query("SELECT city, state, country, count(*) AS n_visits, round(sum(duration_minutes) / 60.0::DOUBLE, 3) AS hours FROM gvisits g JOIN locs l ON g.location_id = l.location_id WHERE city IS NOT NULL GROUP BY 1, 2, 3 ORDER BY n_visits DESC, city, state, country LIMIT 10")
 def q_top_places(spark, d):
-    return Q.top_places(gvisits(spark, d), locs(spark, d)).select("city", "state", "country", "n_visits", *r3("hours"))
+    return Q.top_places(*geocoded(spark, d)).select("city", "state", "country", "n_visits", *r3("hours"))
 
 
 @query("SELECT g.id, g.start_time, l.city, sum(g.duration_minutes) OVER () / 60.0::DOUBLE AS hours FROM (SELECT g.*, l.city AS c FROM gvisits g JOIN locs l ON g.location_id = l.location_id WHERE lower(l.city) = 'l8_102_71e' ORDER BY start_time DESC, g.id DESC LIMIT 100) g JOIN locs l ON g.location_id = l.location_id")
 def q_city_visits(spark, d):
-    from pyspark.sql import Window
-
-    c = Q.city_visits(gvisits(spark, d), locs(spark, d), "L8_102_71E")
-    return c.select("id", "start_time", "city", (F.sum("duration_minutes").over(Window.partitionBy()) / 60).alias("hours"))
+    return Q.city_visits(*geocoded(spark, d), "L8_102_71E").select("id", "start_time", "city", "hours")
 
 
 @query("SELECT l.location_id, city, state, country, admin_level, count(g.id) AS n_visits FROM locs l LEFT JOIN gvisits g ON l.location_id = g.location_id GROUP BY ALL ORDER BY admin_level DESC, city NULLS LAST, state NULLS LAST, country NULLS LAST, l.location_id LIMIT 1000")
 def q_locations(spark, d):
-    return Q.list_locations(locs(spark, d), gvisits(spark, d), limit=1000).select("location_id", "city", "state", "country", "admin_level", "n_visits")
+    g, l = geocoded(spark, d)
+    return Q.list_locations(l, g, limit=1000).select("location_id", "city", "state", "country", "admin_level", "n_visits")
 
 
 # ------------------------------------------------------------------ trips
 
 def _cities(spark, d):
-    return T.trip_cities(T.trip_visits(found_trips(spark, d)), gvisits(spark, d), locs(spark, d))
+    return T.trip_cities(located(spark, d))
 
 
 @query("SELECT t.trip_id, t.start_time, CAST(floor(hours / 24) AS BIGINT) AS days, array_to_string(cities[1:3], ', ') || CASE WHEN len(cities) > 3 THEN ' (+' || (len(cities) - 3) || ' more)' ELSE '' END AS city_list FROM trip_rows t LEFT JOIN tcities c ON t.trip_id = c.trip_id ORDER BY t.start_time DESC, t.trip_id DESC LIMIT 50")
@@ -287,12 +295,12 @@ def q_trip_details(spark, d):
     return Q.trip_details(t, T.trip_visits(t)).select("trip_id", "category", "visit_count")
 
 
-@query("SELECT t.trip_id, t.category, p.location_id AS primary_location_id, n_visits AS visit_count FROM trip_rows t LEFT JOIN (SELECT trip_id, location_id FROM (SELECT trip_id, location_id, count(*) AS n, min(start_time) AS s, min(id) AS i FROM tlocated WHERE location_id IS NOT NULL GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY trip_id ORDER BY n DESC, s, i) = 1) p ON t.trip_id = p.trip_id WHERE t.category = 'Short Trip'")
+@query("SELECT t.trip_id, t.category, p.primary_location_id, n_visits AS visit_count FROM trip_rows t LEFT JOIN tprimary p ON t.trip_id = p.trip_id WHERE t.category = 'Short Trip'")
 def q_trips(spark, d):
     t = found_trips(spark, d)
     b = T.trip_visits(t)
     one = Q.trips_in_range(t, None, None, "Short Trip")
-    return Q.trip_details(one, b).join(T.trip_primary_location(b, gvisits(spark, d)), "trip_id", "left").select("trip_id", "category", "primary_location_id", "visit_count")
+    return Q.trip_details(one, b).join(T.trip_primary_location(located(spark, d)), "trip_id", "left").select("trip_id", "category", "primary_location_id", "visit_count")
 
 
 @query(f"SELECT 'local' AS how, trip_id FROM tlocal WHERE CAST(local_start_ts AS DATE) <= DATE '2024-01-20' AND CAST(local_end_ts AS DATE) >= DATE '2024-01-10' UNION ALL SELECT 'instant', trip_id FROM tlocal WHERE start_time < TIMESTAMP '{TO}' AND end_time > TIMESTAMP '{FROM}'")
@@ -302,11 +310,16 @@ def q_trips_in_range(spark, d):
     return a.unionByName(Q.trips_in_range(t, FROM, TO).select(F.lit("instant").alias("how"), "trip_id"))
 
 
-@query("SELECT b.trip_id, b.visit_id, v.start_time AS visit_start, n.display_name AS name FROM bridge b JOIN tnames n ON b.trip_id = n.trip_id JOIN visits v ON b.subject_id = v.subject_id AND b.visit_id = v.id")
+@query("""SELECT b.trip_id, b.visit_id, v.start_time AS visit_start, coalesce(CASE WHEN t.n_visits % 2 = 1 THEN nullif(n.display_name, '') END, CASE WHEN t.n_visits % 4 <> 0 THEN nullif(array_to_string(c.cities, ', '), '') END, CASE WHEN l.country <> '' THEN concat_ws(', ', coalesce(l.city, l.county), l.state, l.country) END) AS name
+FROM bridge b JOIN trip_rows t ON b.trip_id = t.trip_id JOIN tnames n ON b.trip_id = n.trip_id JOIN tcities c ON b.trip_id = c.trip_id LEFT JOIN tprimary p ON b.trip_id = p.trip_id LEFT JOIN locs l ON p.primary_location_id = l.location_id JOIN visits v ON b.subject_id = v.subject_id AND b.visit_id = v.id""")
 def q_trip_detail(spark, d):
+    """Under stored names of which every second is missing, and of these every second has no cities either."""
     t = found_trips(spark, d)
-    b, g, l = T.trip_visits(t), gvisits(spark, d), locs(spark, d)
-    names = T.trip_names(b, g, l).join(T.trip_cities(b, g, l), "trip_id")
+    b, (g, l) = T.trip_visits(t), geocoded(spark, d)
+    located = T.located(b, g, l)
+    primary = T.trip_primary_location(located).join(l.select(F.col("location_id").alias("primary_location_id"), full_name().alias("primary_name")), "primary_location_id")
+    names = T.trip_names(located).join(T.trip_cities(located), "trip_id").join(primary, "trip_id", "left").join(t.select("trip_id", F.col("n_visits").alias("k")), "trip_id")
+    names = names.withColumn("display_name", F.when(F.col("k") % 2 == 1, F.col("display_name"))).withColumn("cities", F.when(F.col("k") % 4 != 0, F.col("cities")))
     return Q.trip_detail(t, b, X.visits(spark, d), names).select("trip_id", "visit_id", "visit_start", "name")
 
 
@@ -339,7 +352,7 @@ def q_movement_summary(spark, d):
     return S.movement_summary(X.movements(spark, d)).select("level", "name", "n", *r3("km", "hours"), "with_route")
 
 
-@query("SELECT source, count(*) AS n, round(avg(CAST(preceding_visit_id IS NOT NULL AS INTEGER)), 3) AS preceding, round(avg(CAST(following_visit_id IS NOT NULL AS INTEGER)), 3) AS following, 1.0::DOUBLE AS either FROM mlinked GROUP BY source")
+@query("SELECT source, count(*) AS n, round(avg(CAST(preceding_visit_id IS NOT NULL AS INTEGER)), 3) AS preceding, round(avg(CAST(following_visit_id IS NOT NULL AS INTEGER)), 3) AS following, round(avg(CAST(preceding_visit_id IS NOT NULL OR following_visit_id IS NOT NULL AS INTEGER)), 3) AS either FROM mlinked GROUP BY source")
 def q_link_rates(spark, d):
     return S.link_rates(mlinked(spark, d)).select("source", "n", *r3("preceding", "following", "either"))
 
@@ -406,9 +419,9 @@ def q_movements_by_trip(spark, d):
     return L.movements_by_trip(mlinked(spark, d), T.trip_visits(found_trips(spark, d)))
 
 
-@query("SELECT id, (CAST(distance_meters AS BIGINT) // 10 + CASE WHEN CAST(distance_meters AS BIGINT) % 10 > 5 OR (CAST(distance_meters AS BIGINT) % 10 = 5 AND (CAST(distance_meters AS BIGINT) // 10) % 2 = 1) THEN 1 ELSE 0 END) / 100.0::DOUBLE AS km, round_even(nullif(distance_meters, 0) / nullif(duration_minutes, 0) * 60 / 1000, 1) AS kmh FROM movements")
+@query("SELECT id, (CAST(distance_meters AS BIGINT) // 10 + CASE WHEN CAST(distance_meters AS BIGINT) % 10 > 5 OR (CAST(distance_meters AS BIGINT) % 10 = 5 AND (CAST(distance_meters AS BIGINT) // 10) % 2 = 1) THEN 1 ELSE 0 END) / 100.0::DOUBLE AS km, round_even(nullif(distance_meters, 0) / nullif(duration_minutes, 0) * 60 / 1000, 1) AS kmh, route IS NOT NULL AS routed FROM movements")
 def q_movement_detail(spark, d):
-    return L.movement_detail(X.movements(spark, d)).select("id", "km", "kmh")
+    return L.movement_detail(X.movements(spark, d)).select("id", "km", "kmh", F.col("geojson").isNotNull().alias("routed"))
 
 
 @query("SELECT id, 'LineString' AS kind, CAST(len(route) AS INTEGER) AS n, round(route[1].lon, 3) AS lon, round(route[-1].lat, 3) AS lat FROM movements WHERE route IS NOT NULL")
@@ -446,22 +459,27 @@ def q_geohash_rollup(spark, d):
     return L.geohash_rollup(X.visits(spark, d), 6)
 
 
-@query(" UNION ALL ".join(f"SELECT {n} AS days, id FROM visits WHERE CAST(local_end_ts AS DATE) >= DATE '{DAY}' - {n} AND CAST(local_start_ts AS DATE) <= DATE '{DAY}' + {n}" for n in (0, 1, 3, 15)))
+@query(" UNION ALL ".join(f"SELECT {n} AS days, id FROM visits WHERE CAST(local_end_ts AS DATE) >= DATE '{DAY}' - {n} AND CAST(local_start_ts AS DATE) <= DATE '{DAY}' + {n}" for n in (0, 1, 3, 15))
+       + " UNION ALL SELECT -1, id FROM visits WHERE CAST(local_end_ts AS DATE) >= DATE '2024-01-01' AND CAST(local_start_ts AS DATE) <= DATE '2024-12-31'")
 def q_visits_around(spark, d):
     v = X.visits(spark, d)
     out = None
-    for n in (0, 1, 3, 15):
-        x = Q.visits_around(v, DAY, n).select(F.lit(n).alias("days"), "id")
+    for n in (0, 1, 3, 15, None):
+        x = Q.visits_around(v, DAY, n).select(F.lit(-1 if n is None else n).alias("days"), "id")
         out = x if out is None else out.unionByName(x)
     return out
 
 
-@query(f"SELECT 'week' AS span, id FROM visits WHERE CAST(local_end_ts AS DATE) >= DATE '{DAY}' - 7 AND CAST(local_start_ts AS DATE) <= DATE '{DAY}' UNION ALL SELECT 'month', id FROM visits WHERE CAST(local_end_ts AS DATE) >= DATE '{DAY}' - INTERVAL 1 MONTH AND CAST(local_start_ts AS DATE) <= DATE '{DAY}'")
+@query(" UNION ALL ".join(f"SELECT '{n}' AS span, id FROM visits WHERE CAST(local_end_ts AS DATE) >= DATE '{DAY}' - INTERVAL {n} AND CAST(local_start_ts AS DATE) <= DATE '{DAY}'" for n in ("7 DAY", "1 MONTH", "2 YEAR")))
 def q_visits_trailing(spark, d):
     v = X.visits(spark, d)
-    return Q.visits_trailing(v, DAY, days=7).select(F.lit("week").alias("span"), "id").unionByName(Q.visits_trailing(v, DAY, months=1).select(F.lit("month").alias("span"), "id"))
+    spans = {"7 DAY": {"days": 7}, "1 MONTH": {"months": 1}, "2 YEAR": {"years": 2}}
+    first, *rest = [Q.visits_trailing(v, DAY, **span).select(F.lit(name).alias("span"), "id") for name, span in spans.items()]
+    for x in rest:
+        first = first.unionByName(x)
+    return first
 
 
-@query("SELECT subject_id, id, place_name FROM visits ORDER BY place_name DESC NULLS LAST, subject_id, id LIMIT 500")
+@query("SELECT subject_id, id, place_name FROM visits ORDER BY place_name DESC NULLS LAST, subject_id, id LIMIT 1000")
 def q_visit_table(spark, d):
-    return Q.visit_table(X.visits(spark, d), "place_name", ascending=False, n=500).select("subject_id", "id", "place_name")
+    return Q.visit_table(X.visits(spark, d), "place_name", ascending=False).select("subject_id", "id", "place_name")

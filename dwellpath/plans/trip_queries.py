@@ -85,19 +85,13 @@ def absorb_orphans(spark, d):
 
 
 def active_anchor(spark, d):
-    v = T.active_anchor(X.visits(spark, d), X.homes(spark, d), F.to_date("start_time"), "id", "home")
+    v = T.active_anchor(X.visits(spark, d), X.homes(spark, d), F.to_date("start_time"), "home")
     return v.select("subject_id", "id", "home_name", F.round("home_lat", 3).alias("home_lat"))
 
 
-def trips_by_year(spark, d):
-    """Trips by UTC start year and category, latest year first."""
-    t = trips(spark, d)
-    return t.groupBy(F.year("start_time").alias("year"), "category").agg(F.count(F.lit(1)).alias("n_trips"))
-
-
 QUERIES = {
     f.__name__: f
-    for f in (visit_sequence, classify_visits, bridged_gaps, gap_splits, trip_blocks, trip_bounds, trip_distance, trip_categories, trip_visits, dedupe_trips, trip_summary, absorb_orphans, active_anchor, trips_by_year)
+    for f in (visit_sequence, classify_visits, bridged_gaps, gap_splits, trip_blocks, trip_bounds, trip_distance, trip_categories, trip_visits, dedupe_trips, trip_summary, absorb_orphans, active_anchor)
 }
 
 ORACLES = {
@@ -115,5 +109,4 @@ ORACLES = {
         "SELECT category, count(DISTINCT t.trip_id) AS n_trips, count(visit_id) AS n_visits FROM trip_rows t LEFT JOIN bridge b ON t.trip_id = b.trip_id GROUP BY category"
     ),
     "active_anchor": sql("SELECT subject_id, id, home_name, round(home_lat, 3) AS home_lat FROM home_now"),
-    "trips_by_year": sql("SELECT CAST(year(start_time) AS INTEGER) AS year, category, count(*) AS n_trips FROM trip_rows GROUP BY 1, 2"),
 }

@@ -76,6 +76,44 @@ def test_orphans(spark):
     assert out[0]["end_time"] == T0 + 710 * m
 
 
+def plain_orphans(trips):
+    """Go through one subject's trips as they stand; rows [start, end, ids]."""
+    trips = sorted(trips, key=lambda t: t[:2])
+    short = lambda t: len(t[2]) == 1 and t[1] - t[0] < timedelta(minutes=30)
+    kept = [list(t) for t in trips if not short(t)]
+    for o in filter(short, trips):
+        best = None
+        for k in kept:
+            for gap in (o[0] - k[1], k[0] - o[0]):
+                if timedelta(0) < gap < timedelta(hours=24) and (best is None or (gap, k[0]) < best[0]):
+                    best = ((gap, k[0]), k)
+                    break
+        if best:
+            k = best[1]
+            k[0], k[1], k[2] = min(k[0], o[0]), max(k[1], o[1]), sorted([*k[2], *o[2]])
+    return sorted((k[0], k[1], tuple(sorted(k[2]))) for k in kept)
+
+
+def test_orphans_equal_a_plain_scan(spark):
+    g = random.Random(9)
+    rows, want = [], {}
+    for s in range(40):
+        t, own = T0, []
+        for k in range(25):
+            t += timedelta(hours=g.choice([0.2, 1, 5, 23, 24, 25, 50]))
+            n = g.choice([1, 1, 3])
+            end = t + (timedelta(minutes=g.randrange(5, 29)) if n == 1 else timedelta(hours=g.randrange(1, 9)))
+            own.append((t, end, [100 * k + j for j in range(n)]))
+            t = end
+        want[s] = plain_orphans(own)
+        rows += [(s, a, b, len(i), i) for a, b, i in own]
+    df = spark.createDataFrame(rows, "subject_id long, start_time timestamp_ntz, end_time timestamp_ntz, n_visits long, visit_ids array<long>").withColumn("hours", F.lit(0.0))
+    got = {s: [] for s in want}
+    for r in T.absorb_orphans(df, T.TripRules(categories=(("Any", 0.0, None),))).collect():
+        got[r["subject_id"]].append((r["start_time"], r["end_time"], tuple(sorted(r["visit_ids"]))))
+    assert {s: sorted(x) for s, x in got.items()} == want
+
+
 def test_near_in_time_equals_brute_force(spark):
     g = random.Random(1)
     a = [(k, g.randrange(3), T0 + timedelta(seconds=g.randrange(0, 9000, 60))) for k in range(150)]
@@ -97,6 +135,54 @@ def test_overlapping_equals_brute_force(spark):
     assert sorted(got) == sorted((i, j) for i, s, t, u in a for j, z, v, w in b if s == z and t < w and u > v)
 
 
+def test_overlapping_of_long_spans(spark):
+    """Spans of hours, months and thousands of years meet each other; none is copied to each of its days."""
+    g = random.Random(3)
+    span = lambda: (lambda t: (t, t + timedelta(hours=g.choice([3, 40, 24 * 40, 24 * 3000, 24 * 365 * 7000]))))(T0 + timedelta(hours=g.randrange(20000)))
+    a, b = [(k, g.randrange(2), *span()) for k in range(120)], [(k, g.randrange(2), *span()) for k in range(120)]
+    x, y = spark.createDataFrame(a, "i long, s long, t timestamp_ntz, u timestamp_ntz"), spark.createDataFrame(b, "j long, s long, v timestamp_ntz, w timestamp_ntz")
+    got = [(r["i"], r["j"]) for r in J.overlapping(x, y, ["s"], ("t", "u"), ("v", "w")).collect()]
+    assert sorted(got) == sorted((i, j) for i, s, t, u in a for j, z, v, w in b if s == z and t < w and u > v)
+
+
+def test_nearest_record_equals_brute_force_and_is_linear(spark):
+    import time
+
+    g = random.Random(4)
+    at = lambda: T0 + timedelta(seconds=g.randrange(4000))
+    p, r = [(k % 2, k, at()) for k in range(150)], [(k % 2, at(), k) for k in range(90)]
+    x, y = spark.createDataFrame(p, "s long, id long, t timestamp_ntz"), spark.createDataFrame(r, "s long, at timestamp_ntz, v int")
+    got = {q["id"]: q["v"] for q in J.nearest_record(x, y, "t", "at", "v", ["s"], "id").collect()}
+    when = {(s, v): t for s, t, v in r}
+    for s, k, t in p:
+        best = min(abs(t - u) for z, u, _ in r if z == s)
+        assert abs(when[s, got[k]] - t) == best and (when[s, got[k]] <= t or not any(z == s and u == t - best for z, u, _ in r))
+    many = spark.range(40_000).select(F.lit(1).alias("s"), "id", F.timestamp_add("SECOND", (F.col("id") * 2).cast("int"), F.lit(T0).cast("timestamp_ntz")).alias("t"))
+    began = time.time()
+    out = J.nearest_record(many, many.filter("id % 3 = 0").select("s", F.col("t").alias("at"), F.col("id").alias("v")), "t", "at", "v", ["s"], "id")
+    assert out.filter("v is null").count() == 0 and time.time() - began < 30
+
+
+def test_large_outlines_are_not_carried_to_points(spark):
+    """A ring of 100,000 vertices with a hole: the same hits as the ray cast over the whole, from cells with few edges."""
+    import math
+
+    from dwellpath.operators import geocode as G
+
+    circle = lambda r, n, turn: [{"lon": 5 + r * math.cos(turn * 2 * math.pi * k / n), "lat": 50 + r * math.sin(turn * 2 * math.pi * k / n)} for k in range(n)]
+    shape = [[circle(9.0, 100_000, 1), circle(2.0, 500, -1)]]
+    b = spark.createDataFrame([(1, 2, "big", None, shape)], f"osm_id long, level int, name string, name_en string, polygons {POLY}").cache()
+    g = random.Random(6)
+    points = [(round(g.uniform(39, 61), 6), round(g.uniform(-6, 16), 6)) for _ in range(400)]
+    p = spark.createDataFrame(points, "lat6 double, lon6 double")
+    got = {(r["lat6"], r["lon6"]) for r in G.point_in_boundary(p, b).collect()}
+    assert got == {(y, x) for y, x in points if 2 < math.hypot(x - 5, y - 50) < 9}
+    sizes = G.boundary_cells(b).select("inside", F.coalesce(F.size("edges"), F.lit(0)).alias("n")).collect()
+    assert sum(1 for r in sizes if r["inside"]) > 50 and max(r["n"] for r in sizes) < 30_000
+    tree = G.hierarchy(G.point_in_boundary(p, b), b)
+    assert tree.filter("country = 'big'").count() == len(got)
+
+
 def test_nearest_record_prefers_the_earlier(spark):
     p = spark.createDataFrame([(1, 1, T0 + timedelta(hours=1)), (1, 2, T0 + timedelta(hours=9))], "s long, id long, t timestamp_ntz")
     r = spark.createDataFrame([(1, T0, 60), (1, T0 + timedelta(hours=2), 120)], "s long, at timestamp_ntz, v int")
