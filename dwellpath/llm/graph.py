@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellpath.llm.spark import stored
+from dwellpath.llm.spark import forget, stored
 
 
 #: Edges are far fewer than the rows that shuffle partitions are set for.
@@ -19,11 +19,12 @@ def _is_forest(edges: DataFrame) -> bool:
     return seen.filter("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, component) of every node with an edge; component is the smallest node reached.
 
-    Nodes are longs. Loops, repeated edges and nulls don't matter. Neighbourhoods are only
-    aggregated to their minimum and joined back, so a node of any degree stays spread out.
+    Nodes are longs. Loops, repeated edges and nulls don't matter. Neighbourhoods are aggregated to
+    their minimum and joined back by node; a node of very many edges is one key of that join, which
+    Spark's skew join splits, as the other side has one row for it.
     Raises where the rounds run out before all components are whole.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
@@ -38,7 +39,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: each smaller neighbour, and the node itself, go to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        e = stored(small.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), share=SHARE)
+        before, e = e, stored(small.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), share=SHARE)
+        forget(before)
     else:
         if not _is_forest(e):
             raise RuntimeError(f"components are not whole after {max_rounds} rounds")

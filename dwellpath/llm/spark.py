@@ -4,25 +4,30 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def _checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where that setting is missing a temporary folder serves on one machine; a cluster must name one.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get(CHECKPOINT_KEY) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = context.getConf().get(CHECKPOINT_KEY)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the written rows.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that
-    setting is missing (tests on one machine) a temporary folder is used.
-    """
+    """Write ``df`` to the shared checkpoint folder and go on from the written rows."""
     _checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
@@ -38,7 +43,18 @@ def stored(df: DataFrame, *split: str, share: int = 1) -> DataFrame:
         df = df.coalesce(max(1, -(-shuffle_width(df.sparkSession) // share)))
     path = f"{_checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.partitionBy(*split).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of ``stored`` tables that nothing reads any more; other DataFrames are left alone."""
+    for t in tables:
+        if path := _FOLDERS.pop(t, None):
+            context = t.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
