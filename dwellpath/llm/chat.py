@@ -12,11 +12,12 @@ on elsewhere: each such stretch gives one 4 x 4 matrix, the matrices (two a task
 along the conversation for the states at the borders, and the stretch is then repaired between
 fixed states.
 
-The result has a row a turn, and the pieces of a conversation in order are its rendering.
+The result has a row a turn; ``pos`` is its place in its conversation, from 0, and the pieces of a
+conversation in that order are its rendering.
 
 Defined results: roles are matched without case and with common synonyms, other or null roles
-fit any role at a small cost; null texts are empty; turns of one number are ordered by a hash
-of role and text; an empty table gives no rows; markers inside texts are broken up; conversations with a
+fit any role at a small cost; null texts are empty; turns of one number, and null turns, which
+come first, are ordered by a hash of role and text, then by these; an empty table gives no rows; markers inside texts are broken up; conversations with a
 null id are one conversation.
 """
 
@@ -150,15 +151,15 @@ def pieces(texts: list[str], way: list, start: int, last: bool) -> list[str]:
     return out
 
 
-_OUT = [("conv_id", pa.int64()), ("turn", pa.int64()), ("action", pa.string()), ("role", pa.string()), ("piece", pa.string()), ("place", pa.int32()), ("whole", pa.bool_()), ("edge", pa.int32()), ("seq", pa.int64()), ("matrix", pa.list_(pa.int64()))]
+_OUT = [("conv_id", pa.int64()), ("turn", pa.int64()), ("pos", pa.int64()), ("action", pa.string()), ("role", pa.string()), ("piece", pa.string()), ("place", pa.int32()), ("whole", pa.bool_()), ("edge", pa.int32()), ("matrix", pa.list_(pa.int64()))]
 _SCHEMA = pa.schema(_OUT)
-_DDL = "conv_id long, turn long, action string, role string, piece string, place int, whole boolean, edge int, seq long, matrix array<long>"
+_DDL = "conv_id long, turn long, pos long, action string, role string, piece string, place int, whole boolean, edge int, matrix array<long>"
 
 
-def _finished(conv, turns, roles, texts, start, end, last) -> pa.RecordBatch:
+def _finished(conv, turns, roles, texts, first, start, end, last) -> pa.RecordBatch:
     way = repair(roles, start, end)
     n = len(turns)
-    cols = [[conv] * n, turns, [w[1] for _, w in way], [ROLES[t - 1] for t, _ in way], pieces(texts, way, start, last), [0] * n, [True] * n, [0] * n, [0] * n, [None] * n]
+    cols = [[conv] * n, turns, range(first, first + n), [w[1] for _, w in way], [ROLES[t - 1] for t, _ in way], pieces(texts, way, start, last), [0] * n, [True] * n, [0] * n, [None] * n]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
@@ -167,7 +168,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Passed turns keep their text as ``piece`` and their role as ``role``; ``edge`` is 1 for the
     range's first conversation and 2 for its last. A passed stretch ends with a row without a
-    turn that has its matrix. A conversation is held only while it is read, but the first, which
+    turn that has its matrix and, as ``pos``, its number of turns. A conversation is held only while it is read, but the first, which
     may be long, is passed on batch by batch.
     """
     place = TaskContext.get().partitionId()
@@ -178,11 +179,11 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal sent
         n = len(turns)
         sent += n
-        cols = [[conv] * n, turns, [None] * n, [str(r) for r in roles], texts, [place] * n, [False] * n, [edge] * n, list(range(sent - n, sent)), [None] * n]
+        cols = [[conv] * n, turns, range(sent - n, sent), [None] * n, [str(r) for r in roles], texts, [place] * n, [False] * n, [edge] * n, [None] * n]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SCHEMA, strict=True)], schema=_SCHEMA)
 
     def total(edge: int, m: np.ndarray) -> pa.RecordBatch:
-        row = [conv, None, None, None, None, place, False, edge, 0, m.ravel().tolist()]
+        row = [conv, None, sent, None, None, None, place, False, edge, m.ravel().tolist()]
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _SCHEMA, strict=True)], schema=_SCHEMA)
 
     for batch in batches:
@@ -192,9 +193,9 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     running = np.minimum((running[:, :, None] + product(roles)[None]).min(axis=1), _NEVER)
                     yield passed(1)
                     yield total(1, running)
-                    edge = 2
+                    edge, sent = 2, 0
                 else:
-                    yield _finished(conv, turns, roles, texts, NOTHING, None, True)
+                    yield _finished(conv, turns, roles, texts, 0, NOTHING, None, True)
                 turns, roles, texts = [], [], []
             conv, begun = c, True
             turns.append(t), roles.append(role_of(r)), texts.append(x or "")
@@ -207,9 +208,9 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield total(edge, np.minimum((running[:, :, None] + product(roles)[None]).min(axis=1), _NEVER) if edge == 1 else product(roles))
 
 
-def border_states(stretches: list[tuple]) -> dict[tuple[int, int], tuple[int, int | None, bool]]:
-    """(place, edge) -> (state before, state after, last) from (conv, place, edge, matrix) in order."""
-    out: dict[tuple[int, int], tuple[int, int | None, bool]] = {}
+def border_states(stretches: list[tuple]) -> dict[tuple[int, int], tuple[int, int, int | None, bool]]:
+    """(place, edge) -> (turns before, state before, state after, last) from (conv, place, edge, matrix, turns) in order."""
+    out: dict[tuple[int, int], tuple[int, int, int | None, bool]] = {}
     at = 0
     while at < len(stretches):
         to = at
@@ -220,18 +221,18 @@ def border_states(stretches: list[tuple]) -> dict[tuple[int, int], tuple[int, in
         for x in reversed(run):
             best.append(np.minimum((x[3] + best[-1][None, :]).min(axis=1), _NEVER))
         best.reverse()
-        s = NOTHING
+        s, first = NOTHING, 0
         for k, x in enumerate(run):
             t = int(np.argmin(x[3][s] + best[k + 1]))
             final = k == len(run) - 1
-            out[x[1], x[2]] = (s, None if final else t, final)
-            s = t
+            out[x[1], x[2]] = (first, s, None if final else t, final)
+            s, first = t, first + x[4]
         at = to
     return out
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, action, role, piece of every turn; pieces in order make the rendering."""
+    """conv_id, turn, pos, action, role, piece of every turn; pieces by pos make the rendering."""
     spark = conversations.sparkSession
     # the ranges are found from samples of the order, so no text is in it
     order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.xxhash64("role", "text")]
@@ -239,8 +240,8 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     walked = stored(rows.mapInArrow(_walk, _DDL), "whole")
     passed = walked.filter("not whole")
     # two small matrices a task, whatever the number of turns
-    ends = passed.filter("matrix is not null").select("conv_id", "place", "edge", "matrix").collect()
-    ends = sorted(((r["conv_id"], r["place"], r["edge"], np.array(r["matrix"], dtype=np.int64).reshape(4, 4)) for r in ends), key=lambda r: (r[1], r[2]))
+    ends = passed.filter("matrix is not null").select("conv_id", "place", "edge", "matrix", "pos").collect()
+    ends = sorted(((r["conv_id"], r["place"], r["edge"], np.array(r["matrix"], dtype=np.int64).reshape(4, 4), r["pos"]) for r in ends), key=lambda r: (r[1], r[2]))
     states = spark.sparkContext.broadcast(border_states(ends))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,8 +249,7 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
         key, turns, roles, texts = None, [], [], []
 
         def done() -> pa.RecordBatch:
-            start, end, last = known[key[1], key[2]]
-            return _finished(key[0], turns, roles, texts, start, end, last)
+            return _finished(key[0], turns, roles, texts, *known[key[1], key[2]])
 
         for batch in batches:
             cols = {name: batch.column(batch.schema.get_field_index(name)).to_pylist() for name in ("conv_id", "turn", "role", "piece", "place", "edge")}
@@ -263,8 +263,8 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
             yield done()
 
     # a stretch was one task's work, so it is no larger than a task's share of the turns
-    names = ["conv_id", "turn", "role", "piece", "place", "edge", "seq"]
-    ordered = passed.filter("matrix is null").select(*names).repartition(shuffle_width(spark), "place", "edge").sortWithinPartitions("place", "edge", "seq")
+    names = ["conv_id", "turn", "role", "piece", "place", "edge", "pos"]
+    ordered = passed.filter("matrix is null").select(*names).repartition(shuffle_width(spark), "place", "edge").sortWithinPartitions("place", "edge", "pos")
     late = ordered.mapInArrow(finish, _DDL)
-    out = ["conv_id", "turn", "action", "role", "piece"]
+    out = ["conv_id", "turn", "pos", "action", "role", "piece"]
     return walked.filter("whole").select(*out).unionByName(late.select(*out))
