@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,6 +72,8 @@ def _mask(chars: str) -> np.ndarray:
 
 _HEX, _CANDIDATE = _mask(CLASSES[0][1]), _mask(CLASSES[-1][1])
 _MEMBER = [_mask(c[1]) for c in CLASSES]
+#: Windows of a long candidate that are looked at together.
+_AT_ONCE = 1 << 14
 _PLOGP = [0.0] + [-(k / WINDOW) * math.log2(k / WINDOW) for k in range(1, WINDOW + 1)]
 
 
@@ -129,6 +132,17 @@ def entropy_spans(candidate: bytes) -> list[tuple[int, int]]:
 
 def high_windows(candidate: bytes) -> list[tuple[int, int]]:
     """Joined windows whose entropy reaches the threshold of their class."""
+    found: list[tuple[int, int]] = []
+    for lo in range(0, len(candidate) - WINDOW + 1, _AT_ONCE):
+        for a, b in _high_windows(candidate[lo : lo + _AT_ONCE + WINDOW - 1]):
+            if found and found[-1][1] >= lo + a:
+                found[-1] = (found[-1][0], lo + b)
+            else:
+                found.append((lo + a, lo + b))
+    return found
+
+
+def _high_windows(candidate: bytes) -> list[tuple[int, int]]:
     n = len(candidate)
     outside = [[not m[c] for c in candidate] for m in _MEMBER]
     out = [sum(o[:WINDOW]) for o in outside]
@@ -159,23 +173,24 @@ def scan_batch(texts: pa.Array) -> list[list[tuple[int, int, int]]]:
     """Spans (kind, start, end) of each text in code points, by start, then kind."""
     raw, off = utf8(texts)
     data = raw.tobytes()
+    base: list[list[tuple[int, int]]] = [[], [], []]
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        base[0] += [m.span() for m in ASSIGN.finditer(data, a, b) if m.end(1) - m.start(1) >= MIN_ASSIGN]
+        base[1] += [m.span() for m in ACCESS.finditer(data, a, b) if m.end() - m.start() >= MIN_ACCESS]
+    base[2] = list(zip(*(x.tolist() for x in runs(_HEX[raw], off, MIN_HEX)), strict=True))
+    starts = [[a for a, _ in spans] for spans in base]
+
+    def held(a: int, b: int) -> bool:
+        """Whether a span of a pattern holds this one: of a kind's spans, which don't overlap, only the last begun can."""
+        at = [bisect_right(s, a) - 1 for s in starts]
+        return any(k >= 0 and base[kind][k][1] >= b for kind, k in enumerate(at))
+
+    found = [(kind, a, b) for kind in range(3) for a, b in base[kind]]
+    for s, e in zip(*(x.tolist() for x in runs(_CANDIDATE[raw], off, WINDOW)), strict=True):
+        found += [(3, s + a, s + b) for a, b in entropy_spans(data[s:e]) if not held(s + a, s + b)]
     spans: list[list[tuple[int, int, int]]] = [[] for _ in range(len(off) - 1)]
-    for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
-        for m in ASSIGN.finditer(data, a, b):
-            if m.end(1) - m.start(1) >= MIN_ASSIGN:
-                spans[i].append((0, m.start(), m.end()))
-        for m in ACCESS.finditer(data, a, b):
-            if m.end() - m.start() >= MIN_ACCESS:
-                spans[i].append((1, m.start(), m.end()))
-    for s, e in zip(*runs(_HEX[raw], off, MIN_HEX), strict=True):
-        spans[int(np.searchsorted(off, s, side="right")) - 1].append((2, int(s), int(e)))
-    for s, e in zip(*runs(_CANDIDATE[raw], off, WINDOW), strict=True):
-        own = spans[int(np.searchsorted(off, s, side="right")) - 1]
-        base = [x for x in own if x[0] < 3]
-        for a, b in entropy_spans(data[s:e]):
-            a, b = int(s) + a, int(s) + b
-            if not any(x[1] <= a and b <= x[2] for x in base):
-                own.append((3, a, b))
+    for (kind, a, b), i in zip(found, (np.searchsorted(off, [x[1] for x in found], side="right") - 1).tolist(), strict=True):
+        spans[i].append((kind, a, b))
     for i, own in enumerate(spans):
         if own:
             start = int(off[i])
