@@ -1,18 +1,20 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Features are hashed n-grams of 1 to 3 characters over lower-cased letters (anything else is a
-gap). A text's weight of a feature is its share of the text's n-grams times the inverse
-document frequency, which is counted over every training document. Weights are learned by
-follow-the-regularised-leader with L1 and L2 penalties on at most ``PER_LANG`` documents a
-language (a documented bound; the choice is by hash of doc_id), and a temperature is then
+gap). A text's weight of a feature is its share of the text's n-grams times the inverse document
+frequency, which is counted over every training document. Weights are learned by follow-the-
+regularised-leader with L1 and L2 penalties on at most ``PER_LANG`` documents a language and
+``MAX_ROWS`` in all, of the ``MAX_LANGS`` languages with most training rows (documented bounds;
+the choice is by hash of doc_id and text, equal rows are chosen once), and a temperature is then
 calibrated on a fifth of those documents that the weights haven't seen.
 
 Training rows have a text, a lang and a doc_id whose crc32 modulo 4 is not 2. Predictions look
 at the text alone.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0; without any
-training row every text is ``und``; repeated rows are predicted alike; ties between languages
-go to the first by code point; an empty table gives no rows; other columns are ignored.
+Defined results: a null text, or one without a letter (Unicode category L), is ``und`` with
+score 0; without any training row every text is ``und``; rows of one doc_id are each learned
+from under their own lang, and predicted by their own text; ties between languages go to the
+first by code point; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dwellpath.llm.jaccard import with_texts
+from dwellpath.llm.spark import stored
 from dwellpath.llm.text import slices, utf8
 
 ORDERS = 3
 BUCKETS = 1 << 14
 FEATURES = ORDERS * BUCKETS
-PER_LANG = 500
+#: Bounds of the sample of labelled rows that weights are fitted on: a language, in all, and languages.
+PER_LANG, MAX_ROWS, MAX_LANGS = 500, 20_000, 400
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-3
 SCALE = 10.0
@@ -41,7 +44,7 @@ _LUT_END = 0x3000
 
 
 def _letters() -> np.ndarray:
-    """Lower-cased letter, or 32 for what is no letter, of the code points below _LUT_END."""
+    """Lower-cased letter, a mark that stands on one, or 32 for anything else, of the code points below _LUT_END."""
     t = np.full(_LUT_END, 32, dtype=np.uint32)
     for c in range(_LUT_END):
         x = chr(c)
@@ -54,6 +57,7 @@ def _letters() -> np.ndarray:
 
 
 _LETTER = _letters()
+_IS_LETTER = np.array([chr(c).isalpha() for c in range(_LUT_END)])
 
 
 def code_points(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,11 +66,12 @@ def code_points(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     bounds = np.concatenate([[0], np.cumsum(lead)])[offsets]
     cp = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), dtype=np.uint32)
     high = cp >= _LUT_END
-    folded = _LETTER[np.where(high, 0, cp)]
+    low = np.where(high, 0, cp)
+    folded, is_letter = _LETTER[low], _IS_LETTER[low]
     if high.any():
-        kinds = {int(c): chr(int(c)).isalpha() for c in np.unique(cp[high])}
-        folded[high] = [c if kinds[c] else 32 for c in cp[high].tolist()]
-    is_letter = folded != 32
+        some, at = np.unique(cp[high], return_inverse=True)
+        alpha = np.array([chr(c).isalpha() for c in some.tolist()])[at]
+        folded[high], is_letter[high] = np.where(alpha, cp[high], 32), alpha
     count = np.concatenate([[0], np.cumsum(is_letter)])
     return folded, bounds, count[bounds[1:]] > count[bounds[:-1]]
 
@@ -157,8 +162,24 @@ def ftrl(bags: list, n_langs: int) -> tuple[np.ndarray, np.ndarray]:
     return w[:FEATURES], w[FEATURES]
 
 
-def fit(training: DataFrame, documents: DataFrame, per_lang: int = PER_LANG) -> Model | None:
-    """Learn from ``training`` (doc_id, text, lang); ``documents`` is where texts are fetched."""
+def sample(training: DataFrame, per_lang: int = PER_LANG, max_rows: int = MAX_ROWS, max_langs: int = MAX_LANGS) -> DataFrame:
+    """(lang, text, place) of the rows to fit on: of each language those first by the hash of doc_id.
+
+    Texts stay where they are until the rows are chosen; their digests stand for them.
+    """
+    digest = F.xxhash64("doc_id", "text")
+    ids = stored(training.select("lang", digest.alias("row")).distinct())
+    most = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).select("lang")
+    each = max(1, min(per_lang, max_rows // max(1, most.count())))
+    by_hash = Window.partitionBy("lang").orderBy("row")
+    chosen = ids.join(F.broadcast(most), "lang").withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= each)
+    # at most max_rows rows are broadcast
+    rows = training.withColumn("row", digest).join(F.broadcast(chosen), ["lang", "row"])
+    return rows.groupBy("lang", "place").agg(F.first("text").alias("text"))  # equal rows once
+
+
+def fit(training: DataFrame, per_lang: int = PER_LANG) -> Model | None:
+    """Learn from ``training`` (doc_id, text, lang)."""
     rows = training.select("text").mapInArrow(_frequencies, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect()
     counts = {r["feature"]: r["df"] for r in rows}  # at most FEATURES + 1
     total = counts.pop(-1, 0)
@@ -167,10 +188,7 @@ def fit(training: DataFrame, documents: DataFrame, per_lang: int = PER_LANG) ->
     idf = np.zeros(FEATURES)
     at = np.array(list(counts), dtype=np.int64)
     idf[at] = np.log((1 + total) / (1 + np.array([counts[k] for k in at.tolist()]))) + 1.0
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = training.select("doc_id", "lang").withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= per_lang)
-    texts = with_texts(documents, chosen.select("doc_id"))
-    bags = chosen.join(texts, "doc_id").select("lang", "text", "place").mapInArrow(_bags, "lang string, f array<int>, w array<float>, place int").toPandas()
+    bags = sample(training, per_lang).select("lang", "text", "place").mapInArrow(_bags, "lang string, f array<int>, w array<float>, place int").toPandas()
     if bags.empty:
         return None
     langs = sorted(bags["lang"].unique())
@@ -226,4 +244,4 @@ def identify(documents: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """Train on the rows that may be learned from and predict every row."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     training = documents.filter(~held & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
-    return predict(documents, fit(training, documents, per_lang), held)
+    return predict(documents, fit(training, per_lang), held)
