@@ -4,10 +4,12 @@ The mix is counted in blocks of ``block_words`` words. Blocks are apportioned to
 the highest quotients ``target / (2 * seats + 1)``, and each source's blocks to its shards in
 the same way. Inside a shard the documents stand in a seeded order and the quota takes the
 first blocks of that order, going round once more when the quota exceeds the shard.
+What is done in one place, by window, has a row a source, or the rows of one shard.
 
 Defined results: a null text has size 0; a null source is one source of its own, sorted last;
 an empty table gives no rows; repeated rows are separate documents (equal rows are
-interchangeable, so reruns agree); extra columns are ignored.
+interchangeable, so reruns agree); rows without a doc_id are spread by their texts; extra columns
+are ignored by ``mix``, and ``mix_rows`` replaces columns named size and taken.
 """
 
 from __future__ import annotations
@@ -89,34 +91,22 @@ def apportion(parts: DataFrame, group: list[str], order: list[Column], votes: st
     return joined.select(*[F.col(f"p.{c}") for c in parts.columns], (F.col("p._base") + F.coalesce(F.col("r._more"), F.lit(0))).alias("quota"))
 
 
-def seeded(doc_id: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(seed + "|"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def place_of(doc_id: Column, text: Column, seed: str) -> Column:
+    """A digest that orders rows; the text is part of it, so rows of one doc_id, or of none, are spread too."""
+    return F.md5(F.concat(F.lit(seed + "|"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
 
 
-def mix_rows(documents: DataFrame, seed: str = SEED) -> DataFrame:
-    """``documents`` with size and taken.
+def _groups(documents: DataFrame, block_words: int, shard_words: int, seed: str) -> DataFrame:
+    """One row for the ``n`` rows of one doc_id, source and text: what the mix takes of them, as
 
-    Rows get their numbers by (doc_id, source, text digest), so equal rows are told apart only by
-    a running number and texts stay where they are but for one join.
+    ``rounds`` times each and then ``rest`` words of the first of them, besides source_size, target,
+    shard and quota.
     """
-    digest = F.xxhash64("text")
-    d = documents.withColumn("_id", F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), digest.cast("string")))
-    taken = mix(d.select(F.col("_id").alias("doc_id"), "source", "text"), seed=seed)
-    # rows that share all of doc_id, source and text share what they are taken for as evenly as whole words allow
-    taken = taken.groupBy("doc_id", "source").agg(F.sum("taken").alias("_sum"), F.count(F.lit(1)).alias("_n"), F.first("size").alias("size"))
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "size", F.expr("_sum div _n").alias("taken"))
-    same = (d["_id"] == taken["_id"]) & d["source"].eqNullSafe(taken["_source"])
-    return d.join(taken, same).select(*[d[c] for c in documents.columns], "size", "taken")
-
-
-def mix(documents: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: str = SEED) -> DataFrame:
-    """One row a document: doc_id, size, source_size, target, taken, source, shard, quota."""
-    sizes = cut(
-        documents.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")).withColumn(
-            "place", seeded(F.col("doc_id"), seed)
-        )
-    )
-    targets = source_targets(sizes)
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = documents.select("doc_id", "source", size.alias("size"), place_of(F.col("doc_id"), F.col("text"), seed).alias("place"))
+    # equal rows meet before any of them is placed, so a text that came a great many times is one row
+    sizes = cut(rows.groupBy("doc_id", "source", "size", "place").agg(F.count(F.lit(1)).alias("n")))
+    targets = source_targets(sizes.select("source", (F.col("size") * F.col("n")).alias("size")))
     one = Window.partitionBy()
     blocks = F.floor(F.sum("target").over(one) / block_words + 0.5).cast("long")
     targets = apportion(targets.withColumn("blocks", blocks), [], [F.col("source").asc_nulls_last()], "target", "blocks").withColumnRenamed("quota", "source_quota")
@@ -124,19 +114,73 @@ def mix(documents: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int =
     t = targets.alias("t")
     # as many rows as sources; Spark broadcasts them by their measured size or else splits the hot source
     placed = sizes.alias("d").join(t, F.col("d.source").eqNullSafe(F.col("t.source")), "inner").select(
-        "d.doc_id", "d.source", "d.size", "d.place", "t.source_size", "t.target", "t.source_quota",
+        "d.doc_id", "d.source", "d.size", "d.place", "d.n", "t.source_size", "t.target", "t.source_quota",
         F.pmod(F.conv(F.substring("d.place", 1, 8), 16, 10).cast("long"), F.col("t.shards")).alias("shard"),
     )
-    shards = placed.groupBy("source", "shard", "source_quota").agg(F.sum("size").alias("shard_size"))
+    shards = placed.groupBy("source", "shard", "source_quota").agg(F.sum(F.col("size") * F.col("n")).alias("shard_size"))
     shards = apportion(shards, ["source"], [F.col("shard")], "shard_size", "source_quota")
     s = shards.alias("s")
     placed = placed.alias("d").join(s, F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.shard") == F.col("s.shard")), "inner").select(
         "d.*", "s.shard_size", "s.quota"
     )
+    # texts without words have no place in the order, however many there are
+    some, none = placed.filter("size > 0"), placed.filter("size = 0")
     order = Window.partitionBy("source", "shard").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = placed.withColumn("before", F.sum("size").over(order) - F.col("size"))
+    some = some.withColumn("before", F.sum(F.col("size") * F.col("n")).over(order) - F.col("size") * F.col("n"))
+    placed = some.unionByName(none.withColumn("before", F.lit(0).cast("long")))
     words = F.least(F.col("quota") * block_words, F.col("shard_size") * EPOCHS)
-    rounds = F.when(F.col("shard_size") > 0, F.expr("least(quota * {b}, shard_size * {e}) div shard_size".format(b=block_words, e=EPOCHS))).otherwise(F.lit(0))
-    rest = words - rounds * F.col("shard_size")
-    taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "shard", "quota")
+    rounds = F.when(F.col("shard_size") > 0, F.expr(f"least(quota * {block_words}, shard_size * {EPOCHS}) div shard_size")).otherwise(F.lit(0))
+    rest = F.greatest(F.lit(0), F.least(F.col("size") * F.col("n"), words - rounds * F.col("shard_size") - F.col("before")))
+    return placed.select("doc_id", "source", "size", "place", "n", "source_size", "target", "shard", "quota", rounds.cast("long").alias("rounds"), rest.cast("long").alias("rest"))
+
+
+def mix_rows(documents: DataFrame, seed: str = SEED, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``documents`` with size and taken, which replace columns of these names.
+
+    Texts stay where they are but for one join. Rows equal in doc_id, source and text share what
+    they are taken for as evenly as whole words allow.
+    """
+    taken = _groups(documents, block_words, shard_words, seed)
+    per_row = F.col("rounds") * F.col("size") + F.expr("rest div n")
+    t = taken.select(F.col("place").alias("_p"), F.col("source").alias("_s"), "size", per_row.alias("taken")).alias("t")
+    d = documents.alias("d")
+    same = (place_of(F.col("d.doc_id"), F.col("d.text"), seed) == F.col("t._p")) & F.col("d.source").eqNullSafe(F.col("t._s"))
+    return d.join(t, same).select(*[F.col(f"d.`{c}`") for c in documents.columns if c not in ("size", "taken")], "t.size", "t.taken")
+
+
+#: Equal rows that one task writes out at a time.
+AT_ONCE = 10_000
+
+
+def mix(documents: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: str = SEED) -> DataFrame:
+    """One row a document: doc_id, size, source_size, target, taken, source, shard, quota."""
+    g = _groups(documents, block_words, shard_words, seed)
+    few = g.filter(F.col("n") <= AT_ONCE).withColumn("_j", F.explode(F.expr("sequence(0L, n - 1)")))
+    many = g.filter(F.col("n") > AT_ONCE).withColumn("_k", F.explode(F.expr(f"sequence(0L, (n - 1) div {AT_ONCE})"))).repartition("place", "_k")
+    many = many.withColumn("_j", F.explode(F.expr(f"sequence(_k * {AT_ONCE}, least(n, (_k + 1) * {AT_ONCE}) - 1)"))).drop("_k")
+    # of equal rows the first ones are taken once more
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("_j") * F.col("size")))
+    taken = (F.col("rounds") * F.col("size") + part).cast("long")
+    return few.unionByName(many).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "shard", "quota")
+
+
+def oracle() -> str:
+    """DuckDB SQL of the mix: every quotient of every source and shard is written out and the highest are taken."""
+    weights = "[" + ", ".join(map(str, WEIGHTS)) + "]"
+    before = "ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"""
+WITH sized AS MATERIALIZED (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS digest FROM documents),
+sources AS (SELECT source, sum(size) AS source_size, CAST({weights}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS DOUBLE) AS weight, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM sized GROUP BY source),
+leveled AS (SELECT *, source_size * {float(EPOCHS)}::DOUBLE / weight AS ratio, (sum(source_size) OVER () * {SHARE}::DOUBLE - coalesce(sum(source_size * {float(EPOCHS)}::DOUBLE) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM (SELECT *, source_size * {float(EPOCHS)}::DOUBLE / weight AS ratio FROM sources) WINDOW before AS ({before})),
+targets AS MATERIALIZED (SELECT source, source_size, place, CASE WHEN level >= ratio THEN source_size * {float(EPOCHS)}::DOUBLE ELSE weight * (SELECT arg_min(level, {{'r': ratio, 'p': place}}) FROM leveled WHERE level < ratio) END AS target FROM leveled),
+blocks AS (SELECT CAST(floor(sum(target) / {BLOCK_WORDS} + 0.5) AS BIGINT) AS n FROM targets),
+seats AS (SELECT source, place, target / (2 * s + 1) AS quotient, s FROM (SELECT source, place, target, unnest(range(0, CAST((SELECT n FROM blocks) AS BIGINT))) AS s FROM targets)),
+quotas AS (SELECT t.source, t.source_size, t.target, coalesce(q.k, 0) AS quota FROM targets t LEFT JOIN (SELECT place, count(*) AS k FROM (SELECT place, row_number() OVER (ORDER BY quotient DESC, place, s) AS rank FROM seats) WHERE rank <= (SELECT n FROM blocks) GROUP BY place) q ON t.place = q.place),
+placed AS MATERIALIZED (SELECT d.*, q.source_size, q.target, q.quota AS source_quota, CAST('0x' || substr(digest, 1, 8) AS BIGINT) % CAST(greatest(ceil(source_size / {SHARD_WORDS}.0::DOUBLE), 1) AS BIGINT) AS shard FROM sized d JOIN quotas q ON d.source IS NOT DISTINCT FROM q.source),
+shards AS MATERIALIZED (SELECT source, shard, source_quota, sum(size) AS shard_size FROM placed GROUP BY ALL),
+shard_seats AS (SELECT source, shard, source_quota, shard_size / (2 * s + 1)::DOUBLE AS quotient, s FROM (SELECT *, unnest(range(0, source_quota)) AS s FROM shards)),
+shard_quotas AS (SELECT source, shard, count(*) AS k FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY quotient DESC, shard, s) AS rank FROM shard_seats) WHERE rank <= source_quota GROUP BY ALL),
+final AS (SELECT p.*, s.shard_size, least(coalesce(k, 0) * {BLOCK_WORDS}, s.shard_size * {EPOCHS}) AS words, sum(p.size) OVER (PARTITION BY p.source, p.shard ORDER BY p.digest, p.size ROWS UNBOUNDED PRECEDING) - p.size AS before
+  FROM placed p JOIN shards s ON p.source IS NOT DISTINCT FROM s.source AND p.shard = s.shard LEFT JOIN shard_quotas q ON p.source IS NOT DISTINCT FROM q.source AND p.shard = q.shard)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target, CAST(CASE WHEN shard_size = 0 THEN 0 ELSE words // shard_size * size + greatest(0, least(size, words % shard_size - before)) END AS BIGINT) AS taken FROM final"""
