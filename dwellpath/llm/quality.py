@@ -135,3 +135,23 @@ def score(documents: DataFrame, rules=RULES, keep: tuple[str, ...] = ("doc_id",)
         per("n_stop").alias("stop_ratio"),
     )
     return ratios.withColumn("kept", ~F.col("base_failed") & compiled(rules))
+
+
+def oracle() -> str:
+    """DuckDB SQL of the counts and the verdict, from a row a word."""
+    quoted = ", ".join(f"'{y}'" for y in sorted({y for x in STOP_WORDS for y in (x, x.capitalize())}))
+    limits = " AND ".join(f"{name} {op} {bound}" for name, low, high in RULES for op, bound in ((">=", low), ("<=", high)) if bound is not None)
+    window = "concat_ws(' ', " + ", ".join(["w", *[f"lead(w, {k}) OVER o" for k in range(1, WINDOW)]]) + ")"
+    return f"""
+WITH t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+words AS MATERIALIZED (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM t)),
+windows AS (SELECT r, i, w, coalesce(w = lag(w) OVER o, false) AS again, CASE WHEN lead(w, {WINDOW - 1}) OVER o IS NOT NULL THEN {window} END AS k FROM words WINDOW o AS (PARTITION BY r ORDER BY i)),
+repeated AS (SELECT r, i, w, again, k IS NOT NULL AND count(*) OVER (PARTITION BY r, k) > 1 AS starts FROM windows),
+marked AS (SELECT r, w, again, max(CASE WHEN starts THEN i END) OVER (PARTITION BY r ORDER BY i ROWS {WINDOW - 1} PRECEDING) IS NOT NULL AS covered FROM repeated),
+of_words AS (SELECT r, count(*) AS n_words, sum(length(w)) AS word_chars, count(*) FILTER (covered) AS n_repeat_words, count(*) FILTER (again) AS n_stutter, count(*) FILTER (w IN ({quoted})) AS n_stop FROM marked GROUP BY r),
+of_lines AS (SELECT r, count(*) AS n_lines, count(DISTINCT line) AS n_own FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+counts AS (SELECT t.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_lines - n_own, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_stutter, 0) AS n_stutter, coalesce(n_stop, 0) AS n_stop FROM t LEFT JOIN of_words USING (r) LEFT JOIN of_lines USING (r)),
+ratios AS (SELECT *, n_repeat_words / greatest(n_words, 1) AS repeat_ratio, word_chars / greatest(n_words, 1) AS mean_word_chars, n_symbols / greatest(n_words, 1) AS symbol_ratio,
+  n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio, n_stutter / greatest(n_words, 1) AS stutter_ratio, n_stop / greatest(n_words, 1) AS stop_ratio, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND {limits} AS kept FROM ratios"""

@@ -65,4 +65,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_licenses": licenses.oracle()}
+    return {"op3_sharding": sharding.oracle(), "op5_mixing": mixing.oracle(), "op8_quality": quality.oracle(), "op9_licenses": licenses.oracle()}

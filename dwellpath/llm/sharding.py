@@ -63,3 +63,12 @@ def place(documents: DataFrame, shards=SHARDS, size: int = TABLE_SIZE) -> DataFr
     # one row a slot: the size is the operator's parameter, whatever the input
     slots = F.broadcast(documents.sparkSession.createDataFrame(slots, "slot int, shard string"))
     return documents.select("doc_id", slot_of(F.col("doc_id"), size).alias("slot")).join(slots, "slot").select("doc_id", "slot", "shard")
+
+
+def oracle(shards=SHARDS, size: int = TABLE_SIZE) -> str:
+    """DuckDB SQL of the placement; the table of slots is filled here and written into it, two digits a slot."""
+    table = "".join(f"{s:02x}" for s in lookup_table(shards, size).tolist())
+    names = "[" + ", ".join(f"'{s}'" for s in shards) + "]"
+    return f"""
+SELECT doc_id, slot, {names}[CAST('0x' || substr('{table}', 2 * slot + 1, 2) AS INTEGER) + 1] AS shard
+FROM (SELECT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {size} AS INTEGER) AS slot FROM documents)"""
