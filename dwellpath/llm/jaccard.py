@@ -16,16 +16,22 @@ more than ``slack`` agree exactly.
    others, those with few outsiders give the outsiders' pairs.
 3. Cost-based allocation for the rest: a set skips (threshold 0) its empty segments and the
    large open buckets. Where it skips no more than the slack, the pigeonhole still holds with
-   what was already probed. Only pairs in which *both* sets skip more can be missed, so those
-   sets raise as many other segments as they lack to threshold 2 and probe these with their
-   one-deletion neighbourhoods, indexed for such sets alone.
+   what was already probed. Only pairs in which *both* sets skip more can be missed. Of these,
+   pairs that share a hash which is rare among such sets meet by it. In the others the rare
+   hashes are all differences, so only sets with few of them are left; these raise as many other
+   segments as they lack to threshold 2 and probe these with their one-deletion neighbourhoods,
+   indexed for such sets alone.
 
 Only components are asked for, so pairs already connected need no test; no link between
-different components is left untested. Equal sets are one node (a 64-bit key of the set).
+different components is left untested. Equal sets are one node.
+
+Links are verified on the texts' words. Equal sets are told by a 64-bit key of unstructured
+hashes: among n different sets two share a key with a chance of n * n / 2**65.
 
 Defined results: null, empty or wordless texts have n_shingles 0 and are alone; a row whose
 doc_id is null is counted but never linked and has no component; repeated rows are equal sets;
-an empty table gives no rows; other columns are ignored.
+rows of one doc_id with different texts are nodes of their own under one id, and a pair's test
+reads all texts under its two ids; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,12 +41,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwellpath.llm.graph import components
-from dwellpath.llm.spark import shuffle_width, stored
-from dwellpath.llm.text import scramble, shingle_sets, slices, utf8
+from dwellpath.llm.spark import forget, shuffle_width, stored
+from dwellpath.llm.text import exact_sets, scramble, shingle_sets, slices, utf8
 
 _U = np.uint64
 #: Sets of one bucket whose pairs are all tested; a larger bucket starts with a star.
@@ -49,6 +55,8 @@ SMALL = 32
 FEW = 8
 #: Bits of the filter that thins a scan for chosen documents; 2 MB when broadcast.
 FILTER_BITS = 1 << 23
+#: Slots of the table of bucket sizes that costs are read from; 4 MB when broadcast.
+COST_SLOTS = 1 << 20
 #: Signatures that a task holds before it sends them on.
 FLUSH = 1_000_000
 #: Tables of pairs, labels and large buckets are written from an eighth of the partitions.
@@ -281,26 +289,24 @@ _TESTED = "a long, b long, linked boolean"
 
 
 def _test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, text_a, text_b): whether the texts' sets are a and b and are linked."""
+    """Rows (a, b, text_a, text_b): whether the texts' sets are a and b and are linked, by their words."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
     for batch in batches:
-        a = np.asarray(batch.column(0)).view(np.uint64)
-        b = np.asarray(batch.column(1)).view(np.uint64)
+        keys = [np.asarray(batch.column(k)).view(np.uint64) for k in (0, 1)]
         (ra, oa), (rb, ob) = utf8(batch.column(2)), utf8(batch.column(3))
-        at, linked, fits = 0, np.zeros(len(a), bool), np.zeros(len(a), bool)
+        linked, fits = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, bool)
         for lo, hi in slices(oa + ob):
-            ha, ba = shingle_sets(ra[oa[lo] : oa[hi]], oa[lo : hi + 1] - oa[lo])
-            hb, bb = shingle_sets(rb[ob[lo] : ob[hi]], ob[lo : hi + 1] - ob[lo])
-            fits[lo:hi] = (set_keys(ha, ba) == a[lo:hi]) & (set_keys(hb, bb) == b[lo:hi])
+            raw = np.concatenate([ra[oa[lo] : oa[hi]], rb[ob[lo] : ob[hi]]])
+            off = np.concatenate([oa[lo:hi] - oa[lo], ob[lo : hi + 1] - ob[lo] + oa[hi] - oa[lo]])
+            found = set_keys(*shingle_sets(raw, off))
+            fits[lo:hi] = (found[: hi - lo] == keys[0][lo:hi]) & (found[hi - lo :] == keys[1][lo:hi])
+            x, bounds = exact_sets(raw, off)
             for i in np.flatnonzero(fits[lo:hi]).tolist():
-                x, y = ha[ba[i] : ba[i + 1]], hb[bb[i] : bb[i + 1]]
-                both = np.sort(np.concatenate([x, y]))
+                j = i + hi - lo
+                both = np.sort(np.concatenate([x[bounds[i] : bounds[i + 1]], x[bounds[j] : bounds[j + 1]]]))
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
-                linked[lo + i] = 4 * common >= 3 * (len(x) + len(y) - common)
-            at = hi
-        assert at == len(a)
-        keep = pa.array(fits)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], schema=schema).filter(keep)
+                linked[lo + i] = 4 * common >= 3 * (len(both) - common)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], schema=schema).filter(pa.array(fits))
 
 
 def with_texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -339,11 +345,6 @@ def tested(pairs: DataFrame, documents: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- steps 2 and 3
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    m = members.join(labels.select(F.col("node").alias("key"), "component"), "key", "left")
-    return m.withColumn("component", F.coalesce("component", "key"))
-
-
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose ends lie in different components."""
     ends = labels.select("node", "component")
@@ -375,10 +376,17 @@ def _sharing_enough(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return p.select("a", "b", "shared", F.col("a_rep").alias("ra"), F.col("b_rep").alias("rb"))
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """(a, b, shared): each member of a bucket with the one that has most large buckets."""
-    degree = members.groupBy("key").agg(F.count(F.lit(1)).alias("degree"))
-    m = stored(members.join(degree, "key"), share=SHARE)
+def _memberships(sets: DataFrame, *more: str) -> DataFrame:
+    """(key, more, sig, own): a row for each large bucket that a set lists."""
+    def listed(name: str, own: int) -> Column:
+        return F.transform(name, lambda s: F.struct(s.alias("sig"), F.lit(own).alias("own")))
+
+    return sets.select("key", *more, F.explode(F.concat(listed("own_sigs", 1), listed("low_sigs", 0))).alias("m")).select("key", *more, "m.sig", "m.own")
+
+
+def _stars(sets: DataFrame) -> DataFrame:
+    """(a, b, shared): each member of a large bucket with the one that has most large buckets."""
+    m = stored(_memberships(sets.withColumn("degree", F.size("own_sigs") + F.size("low_sigs")), "degree"), share=SHARE)
     centre = m.filter("own = 1").groupBy("sig").agg(F.max(F.struct("degree", F.col("key").alias("x"))).alias("c")).select("sig", F.col("c.x").alias("x"))
     return m.join(centre, "sig").filter("key <> x").groupBy(*_ordered("key", "x")).agg(F.count(F.lit(1)).alias("shared"))
 
@@ -390,25 +398,99 @@ def _best(pairs: DataFrame) -> DataFrame:
     return ends.groupBy("x").agg(F.max("p").alias("p")).select("p.a", "p.b", "p.ra", "p.rb").distinct()
 
 
-def _open(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of large buckets that still matter, with the buckets' sizes and main parts.
+def _labelled(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    m = sets.join(labels.select(F.col("node").alias("key"), "component"), "key", "left")
+    return m.withColumn("component", F.coalesce("component", "key"))
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sig, component, k): how many of a task's sets list a bucket, by component.
+
+    A bucket of more than FEW + 1 components has one row, without a component: it is known to span
+    components, and not to be one with few outsiders.
+    """
+    schema = pa.schema([("sig", pa.int64()), ("component", pa.int64()), ("k", pa.int64())])
+    sigs, groups, size = [], [], 0
+
+    def counted() -> pa.RecordBatch:
+        sig, group = np.concatenate(sigs), np.concatenate(groups)
+        order = np.lexsort((group, sig))
+        sig, group = sig[order], group[order]
+        at = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (group[1:] != group[:-1])]))
+        k, sig, group = np.diff(np.append(at, len(sig))), sig[at], group[at]
+        heads = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        kinds = np.diff(np.append(heads, len(sig)))
+        many = kinds > FEW + 1
+        alone = ~np.repeat(many, kinds)
+        total = np.add.reduceat(k, heads)[many]
+        none = pa.array(np.concatenate([group[alone], np.zeros(int(many.sum()), np.int64)]), mask=np.concatenate([np.zeros(int(alone.sum()), bool), np.ones(int(many.sum()), bool)]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[alone], sig[heads[many]]])), none, pa.array(np.concatenate([k[alone], total]).astype(np.int64))], schema=schema)
+
+    for batch in batches:
+        component = np.asarray(batch.column(2))
+        for lists in (batch.column(0), batch.column(1)):
+            start = np.asarray(lists.offsets).astype(np.int64)
+            sigs.append(np.asarray(lists.values)[start[0] : start[-1]])
+            groups.append(np.repeat(component, np.diff(start)))
+            size += len(sigs[-1])
+        if size > FLUSH:
+            yield counted()
+            sigs, groups, size = [], [], 0
+    if size:
+        yield counted()
+
+
+def _spanning(sets: DataFrame) -> DataFrame:
+    """Large buckets whose listed members lie in several components: sig, main (their main component) and few.
+
+    ``few``: whether at most FEW members lie outside the main component.
+    """
+    parts = sets.select("own_sigs", "low_sigs", "component").mapInArrow(_parts, "sig long, component long, k long").groupBy("sig", "component").agg(F.sum("k").alias("k"))
+    main = parts.groupBy("sig").agg(F.sum("k").alias("size"), F.count(F.lit(1)).alias("parts"), F.max(F.col("component").isNull()).alias("many"), F.max(F.when(F.col("component").isNotNull(), F.struct("k", "component"))).alias("m"))
+    few = ~F.col("many") & (F.col("size") - F.col("m.k") <= FEW)
+    return main.filter("parts > 1 or many").select("sig", F.col("m.component").alias("main"), few.alias("few"))
+
+
+def _listing(sets: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``sets`` with their lists thinned to ``buckets`` and few others, by a bitmap of a fixed size."""
+    slot = F.pmod(F.shiftrightunsigned("sig", 7), F.lit(FILTER_BITS))
+    word, bit = F.expr("cast(slot div 64 as int)"), F.expr("shiftleft(1L, cast(slot % 64 as int))")
+    found = buckets.select(slot.alias("slot")).groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()  # at most FILTER_BITS / 64 rows
+    words = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    shared = sets.sparkSession.sparkContext.broadcast(words)
+
+    @F.arrow_udf("array<long>")
+    def thinned(lists: pa.Array) -> pa.Array:
+        start, sigs = np.asarray(lists.offsets).astype(np.int64), np.asarray(lists.values)
+        at = ((sigs.view(np.uint64) >> _U(7)) % _U(FILTER_BITS)).astype(np.int64)
+        keep = (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & _U(1) > 0
+        before = np.concatenate([[0], np.cumsum(keep)])[start]
+        return pa.ListArray.from_arrays(pa.array(before - before[0], pa.int32()), pa.array(sigs[start[0] : start[-1]][keep[start[0] : start[-1]]]))
+
+    return sets.withColumn("own_sigs", thinned("own_sigs")).withColumn("low_sigs", thinned("low_sigs"))
 
-    A bucket matters while it spans components. A set matters while the open buckets that it
-    would skip, with its empty segments, are more than the slack: otherwise every set linked
-    to it also shares a small bucket with it and was met there.
+
+def _open(sets: DataFrame, but: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Labelled sets that still matter, with the large buckets that they would skip; and these buckets.
+
+    A bucket matters while it spans components (``but`` those settled otherwise). A set matters
+    while the buckets that it would skip, with its empty segments, are more than the slack:
+    otherwise every set linked to it also shares a small bucket with it and was met there.
     """
-    m = _labelled(members.select("sig", "key", "own"), labels)
+    buckets = _spanning(sets)
+    if but is not None:
+        buckets = buckets.join(but.select("sig"), "sig", "left_anti")
+    buckets = stored(buckets, share=SHARE)
+    kept = _listing(sets, buckets).filter((F.col("own_spare") < F.size("own_sigs")) | (F.col("low_spare") < F.size("low_sigs")))
+    return stored(kept, share=SHARE), buckets
 
-    def spanning(x: DataFrame) -> DataFrame:
-        parts = x.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("k"))
-        main = parts.groupBy("sig").agg(F.sum("k").alias("size"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", F.col("component").alias("c"))).alias("m"))
-        main = main.filter("parts > 1").select("sig", "size", F.col("m.k").alias("main_size"), F.col("m.c").alias("main"))
-        return x.join(main, "sig")
 
-    m = stored(spanning(m).select("sig", "key", "own", "component"), share=SHARE)
-    skipped = m.groupBy("key").agg(F.sum("own").alias("k_own"), F.sum(1 - F.col("own")).alias("k_low"))
-    lacking = skipped.join(classes.select("key", "own_spare", "low_spare"), "key").filter("own_spare < k_own or low_spare < k_low").select("key")
-    return stored(spanning(m.join(lacking, "key", "left_semi")), share=SHARE)
+def _of_few(sets: DataFrame, few: DataFrame) -> DataFrame:
+    """(a, b): the pairs of the outsiders of ``few`` buckets with all their other members."""
+    m = stored(_memberships(_listing(sets, few), "component").join(few.select("sig", "main"), "sig"), share=SHARE)
+    one = m.filter("component <> main").select("sig", F.col("key").alias("x"), F.col("component").alias("cx"), F.col("own").alias("ox"))
+    return one.join(m.drop("main"), "sig").filter("component <> cx and ox + own > 0").select(*_ordered("x", "key")).distinct()
 
 
 def _ordered(a: str, b: str) -> list:
@@ -450,77 +532,132 @@ def _sets_of(batches: Iterator[pa.RecordBatch], *lists: int):
         yield None
 
 
-_OPTION = pa.schema([("key", pa.int64()), ("own", pa.int8()), ("seg", pa.int64()), ("lacking", pa.int32()), ("sig", pa.int64()), ("base", pa.int64())])
+def _bucket_sizes(large: DataFrame) -> np.ndarray:
+    """The size of the largest bucket in each of COST_SLOTS slots of hashed signatures, whatever the input's size."""
+    sizes = large.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
+    slot = F.pmod(F.shiftrightunsigned("sig", 7), F.lit(COST_SLOTS)).cast("int")
+    found = sizes.groupBy(slot.alias("slot")).agg(F.max("size").cast("int").alias("size")).toPandas()  # at most COST_SLOTS rows
+    out = np.zeros(COST_SLOTS, dtype=np.int32)
+    out[found["slot"].to_numpy()] = found["size"].to_numpy()
+    return out
 
 
-def _options(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each segment that a set could raise or count again, the large buckets that its probes might hit.
+def _choose(p: dict, sizes: np.ndarray) -> np.ndarray:
+    """The segments on which a set places the units that it lacks, by cost.
 
-    ``base`` is the cost without them: the number of probes. Skipped segments count again at the
-    price of their own bucket; empty ones come last, as every sparse set is in their bucket.
+    Raising a segment costs its probes and the large buckets that they might hit; counting a
+    skipped one again costs its own bucket. A segment of one element comes late, as without it
+    the segment is empty, and empty segments come last, as every sparse set is in their bucket.
     """
-    held: list[tuple] = []
-    for found in _sets_of(batches, 2):
-        if found is None:
-            if held:
-                cols = [np.concatenate([h[k] for h in held]) for k in range(6)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _OPTION, strict=True)], schema=_OPTION)
-            held = []
-            continue
-        key, x, (skip,) = found
-        for own, entry in zip((1, 0), schemes(np.array([len(x)])), strict=True):
-            p = _plan(x, entry, skip.view(np.uint64))
-            if p is None:
-                continue
-            o = p["owner"]
-            free = ~p["hot"][o]
-            sig = np.concatenate([_signature(p["less"][free], np.full(int(free.sum()), p["band"]), p["seg"][o][free], 0), p["plain"][p["hot"]], np.zeros(len(p["empty"]), np.uint64)])
-            seg = np.concatenate([p["seg"][o][free], p["seg"][p["hot"]], p["empty"]])
-            # the last element gone leaves an empty segment
-            base = np.concatenate([np.where(p["sizes"][o][free] == 1, 1 << 30, 1), np.ones(int(p["hot"].sum()), np.int64), np.full(len(p["empty"]), 1 << 32)])
-            n = len(seg)
-            held.append((np.full(n, key).view(np.int64), np.full(n, own, np.int8), seg, np.full(n, p["lacking"], np.int32), sig.view(np.int64), base))
+    size_of = lambda sig: sizes[((sig >> _U(7)) % _U(COST_SLOTS)).astype(np.int64)].astype(np.int64)
+    seg, owner = p["seg"], p["owner"]
+    probes = _signature(p["less"], np.full(len(owner), p["band"]), seg[owner], 0)
+    cost = p["sizes"] + np.bincount(owner, weights=size_of(probes), minlength=len(seg)).astype(np.int64)
+    cost = np.where(p["hot"], size_of(p["plain"]), np.where(p["sizes"] == 1, 1 << 30, cost))
+    segs, costs = np.concatenate([seg, p["empty"]]), np.concatenate([cost, np.full(len(p["empty"]), 1 << 32)])
+    return segs[np.lexsort((segs, costs))[: p["lacking"]]]
 
 
 def _bitmap(x: np.ndarray, band: int) -> np.ndarray:
-    """The set's hashes on a bitmap of a size fixed for the band; 64-bit words."""
-    bits = min(16, max(8, int(_LAST[band]).bit_length() + 2))
+    """The set's hashes on a bitmap of a size fixed for the band, 16 to 32 bits an element; 64-bit words."""
+    bits = min(18, max(8, int(_LAST[band]).bit_length() + 4))
     at = (scramble(x) >> _U(64 - bits)).astype(np.int64)
     words = np.zeros(1 << (bits - 6), dtype=np.uint64)
     np.bitwise_or.at(words, at >> 6, _U(1) << (at & 63).astype(np.uint64))
     return words
 
 
-def _allocate(parts: int):
+def _dealt(docs: list[tuple], out: list[tuple[np.ndarray, int, int]], parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows for the shares of the hash space: (hashes, number of doc, role) in ``out``, with the docs that each share needs."""
+    if not out:
+        return
+    n = [len(o[0]) for o in out]
+    sig, doc, role = np.concatenate([o[0] for o in out]), np.repeat([o[1] for o in out], n), np.repeat([o[2] for o in out], n)
+    part = ((sig >> _U(33)) % _U(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        at = order[cuts[k] : cuts[k + 1]]
+        used, local = np.unique(doc[at], return_inverse=True)
+        body = pickle.dumps((sig[at], local.astype(np.int32), role[at].astype(np.int8), [docs[i] for i in used]))
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([3], pa.int8()), pa.array([body], pa.binary())], schema=_SENT)
+
+
+def _received(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple]]:
+    """What ``_dealt`` sent to one share: hashes, numbers of docs, roles and docs."""
+    sigs, docs, roles, table = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int8)], []
+    for batch in batches:
+        for body in batch.column(2).to_pylist():
+            sig, doc, role, rows = pickle.loads(body)
+            sigs.append(sig), docs.append(doc.astype(np.int64) + len(table)), roles.append(role)
+            table += rows
+    return np.concatenate(sigs), np.concatenate(docs), np.concatenate(roles), table
+
+
+def _spread(parts: int):
+    """Rows (key, text, component): each set's hashes, by shares of the hash space, for both of its bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, out = [], []
+        for found in _sets_of(batches, 2):
+            if found is None:
+                yield from _dealt(docs, out, parts)
+                docs, out = [], []
+                continue
+            key, x, (group,) = found
+            for own, (band, _, _) in zip((1, 0), schemes(np.array([len(x)])), strict=True):
+                if band[0] >= 0:
+                    out.append((x, len(docs), 0))
+                    docs.append((int(key), len(x), own, _bitmap(x, int(band[0])), int(group[0]), 0))
+
+    return run
+
+
+def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that share a rare hash (kind 0), and how many rare hashes a set has in this share, if any (kind 1)."""
+    schema = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64())])
+    sig, doc, _, table = _received(batches)
+    if not table:
+        return
+    order = np.lexsort((doc, sig))
+    sig, doc = sig[order], doc[order]
+    heads = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    count = np.diff(np.append(heads, len(sig)))
+    rare = np.repeat(count <= 2 * SMALL, count)  # most sets come twice, once for each band
+    n = np.bincount(doc[rare], minlength=len(table))
+    some = np.array([t[2] for t in table], dtype=bool) & (n > 0)
+    keys = np.array([t[0] for t in table], np.uint64).view(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(some.sum()), np.int8)), pa.array(keys[some]), pa.array(n[some].astype(np.int64))], schema=schema)
+    seen = [np.zeros(0, np.int64)]
+    for c in range(2, 2 * SMALL + 1):
+        at = heads[count == c]
+        i, j = np.triu_indices(c, 1)
+        seen.append((doc[(at[:, None] + i).ravel()] * len(table) + doc[(at[:, None] + j).ravel()]))
+    for found in _possible(np.concatenate(seen), table, pa.schema(list(schema)[1:])):
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(found.num_rows, np.int8)), *found.columns], schema=schema)
+
+
+def _allocate(parts: int, bucket_sizes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Index (role 0) and probe (role 1) entries of sets with their chosen segments, by shares of the hash space.
 
-        Rows (key, text, signatures to skip, chosen segments of the own band, of the band below,
-        component). A chosen segment that was skipped counts again; any other is raised to threshold 2.
+        Rows (key, text, signatures to skip, component and number of rare hashes). A chosen segment
+        that was skipped counts again; any other is raised to threshold 2.
         """
+        sizes = bucket_sizes.value
         docs: list[tuple] = []
         out: list[tuple[np.ndarray, int, int]] = []
-        for found in _sets_of(batches, 2, 3, 4, 5):
-            if found is not None:
-                key, x, (skip, own_seg, low_seg, group) = found
-                for own, entry, chosen in zip((1, 0), schemes(np.array([len(x)])), (own_seg, low_seg), strict=True):
-                    p = _plan(x, entry, skip.view(np.uint64))
-                    if p is not None:
-                        out += [(sig, len(docs), role) for sig, role in _entries(p, chosen)]
-                        docs.append((int(key), len(x), own, _bitmap(x, p["band"]), int(group[0])))
+        for found in _sets_of(batches, 2, 3):
+            if found is None:
+                yield from _dealt(docs, out, parts)
+                docs, out = [], []
                 continue
-            if out:
-                n = [len(o[0]) for o in out]
-                sig, doc, role = np.concatenate([o[0] for o in out]), np.repeat([o[1] for o in out], n), np.repeat([o[2] for o in out], n)
-                part = ((sig >> _U(33)) % _U(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                for k in np.flatnonzero(np.diff(cuts)).tolist():
-                    at = order[cuts[k] : cuts[k + 1]]
-                    used, local = np.unique(doc[at], return_inverse=True)
-                    body = pickle.dumps((sig[at], local.astype(np.int32), role[at].astype(np.int8), [docs[i] for i in used]))
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([3], pa.int8()), pa.array([body], pa.binary())], schema=_SENT)
-            docs, out = [], []
+            key, x, (skip, (group, rare)) = found
+            for own, entry in zip((1, 0), schemes(np.array([len(x)])), strict=True):
+                p = _plan(x, entry, skip.view(np.uint64))
+                if p is not None:
+                    out += [(sig, len(docs), role) for sig, role in _entries(p, _choose(p, sizes))]
+                    docs.append((int(key), len(x), own, _bitmap(x, p["band"]), int(group), int(rare)))
 
     return run
 
@@ -529,19 +666,18 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a probing and an indexed set whose bitmaps leave a link possible.
 
     A bit that one set has and the other hasn't stands for at least one element that is not
-    common, so the bound never loses a linked pair.
+    common, so the bound never loses a linked pair. Pairs that share a rare hash were met before;
+    of others the rare hashes of both are not common, so only indexed sets with few enough are
+    looked at. Sets of the signature's main component are not compared with each other.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    sigs, docs, roles, table = [], [], [], []
-    for batch in batches:
-        for body in batch.column(2).to_pylist():
-            sig, doc, role, rows = pickle.loads(body)
-            sigs.append(sig), docs.append(doc.astype(np.int64) + len(table)), roles.append(role)
-            table += rows
-    if not sigs:
+    sig, doc, role, table = _received(batches)
+    if not table:
         return
-    sig, doc, role = np.concatenate(sigs), np.concatenate(docs), np.concatenate(roles)
-    order = np.lexsort((doc, role, sig))
+    size, group, rare = (np.array([t[k] for t in table], np.int64) for k in (1, 4, 5))
+    # the largest partner is larger by a third
+    left = (size + size * 4 // 3) // 7 - rare
+    order = np.lexsort((rare[doc], role, sig))
     sig, doc, role = sig[order], doc[order], role[order]
     heads = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     ends = np.append(heads[1:], len(sig))
@@ -550,12 +686,27 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     middle = heads + indexed[ends] - indexed[heads]
     met = (middle > heads) & (ends > middle)
     held, n = [], 0
+
+    def cross(probes: np.ndarray, index: np.ndarray) -> Iterator[np.ndarray]:
+        """Probes with the indexed sets whose rare hashes are few enough; ``index`` has these in order."""
+        many = np.searchsorted(rare[index], left[probes], side="right")
+        ends = np.cumsum(many)
+        lo = 0
+        while lo < len(probes):  # about a million pairs at a time
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20), side="right")))
+            k = many[lo:hi]
+            at = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+            yield np.repeat(probes[lo:hi], k) * len(table) + index[at]
+            lo = hi
+
     for a, m, b in zip(heads[met].tolist(), middle[met].tolist(), ends[met].tolist(), strict=True):
-        step = max(1, (1 << 20) // (m - a))
-        for lo in range(m, b, step):
-            hi = min(b, lo + step)
-            held.append(np.repeat(doc[lo:hi], m - a) * len(table) + np.tile(doc[a:m], hi - lo))
-            n += len(held[-1])
+        index, probes = doc[a:m], doc[m:b]
+        names, counts = np.unique(group[index], return_counts=True)
+        main = names[np.argmax(counts)]
+        outside, probing = group[index] != main, group[probes] == main
+        for found in (*cross(probes[probing], index[outside]), *cross(probes[~probing], index)):
+            held.append(found)
+            n += len(found)
             if n > 1 << 22:
                 yield from _possible(np.concatenate(held), table, schema)
                 held, n = [], 0
@@ -566,7 +717,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _possible(seen: np.ndarray, table: list, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     keys, size, own, group = np.array([t[0] for t in table], np.uint64), *(np.array([t[k] for t in table]) for k in (1, 2, 4))
     x, y = np.divmod(np.unique(seen), len(table))
-    fits = (group[x] != group[y]) & (own[x] + own[y] > 0) & (4 * np.minimum(size[x], size[y]) >= 3 * np.maximum(size[x], size[y]))
+    fits = (keys[x] != keys[y]) & (group[x] != group[y]) & (own[x] + own[y] > 0) & (4 * np.minimum(size[x], size[y]) >= 3 * np.maximum(size[x], size[y]))
     x, y = x[fits], y[fits]
     width = np.array([len(t[3]) for t in table])
     for w in np.unique(width):
@@ -599,76 +750,83 @@ def _entries(p: dict, chosen: np.ndarray) -> list[tuple[np.ndarray, int]]:
     return [*index, (np.concatenate(probes), 1)]
 
 
-def _late_pairs(members: DataFrame, large: DataFrame, labels: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame | None:
-    """Candidate pairs of sets that both skip more segments than their slack, by cost-based allocation.
+def _late_pairs(sets: DataFrame, large: DataFrame, documents: DataFrame) -> DataFrame:
+    """Candidate pairs of sets that both skip more segments than their slack.
 
-    Each such set has as many units to place as it lacks: raising a segment costs its probes and
-    what they might hit, counting a skipped one again costs its bucket. The cheapest are chosen.
+    The universe is parted once more, into hashes that are rare among these sets and others. A
+    linked pair shares a rare hash, and then meets there, or else the rare hashes of both are among
+    the elements in which they differ. So only sets with few rare hashes go on to the cost-based
+    allocation: each has as many units to place as it lacks, and places them where they cost least.
     """
-    skipped = members.groupBy("key").agg(F.sum("own").alias("k_own"), F.sum(1 - F.col("own")).alias("k_low"), F.collect_list("sig").alias("sigs"))
-    lacking = (
-        classes.join(skipped, "key", "left")
-        .filter((F.col("own_spare") < F.coalesce("k_own", F.lit(0))) | (F.col("low_spare") < F.coalesce("k_low", F.lit(0))))
-        .select("key", "rep", "sigs")
-    )
-    lacking = stored(_labelled(lacking, labels), share=SHARE)
-    if lacking.isEmpty():
-        return None
-    texts = with_texts(documents, lacking.select(F.col("rep").alias("doc_id")))
-    held = stored(lacking.join(texts, F.col("rep") == F.col("doc_id")).select("key", "text", "sigs", F.array("component").alias("component")))
-    options = held.mapInArrow(_options, "key long, own byte, seg long, lacking int, sig long, base long")
-    sizes = large.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
-    cost = options.join(sizes, "sig", "left").groupBy("key", "own", "seg").agg(F.first("lacking").alias("lacking"), F.sum(F.col("base") + F.coalesce("size", F.lit(0))).alias("cost"))
-    place = F.row_number().over(Window.partitionBy("key", "own").orderBy("cost", "seg"))
-    # a set has as many rows here as it has segments
-    chosen = cost.withColumn("place", place).filter("place <= lacking").groupBy("key").agg(
-        F.collect_list(F.when(F.col("own") == 1, F.col("seg"))).alias("own_seg"), F.collect_list(F.when(F.col("own") == 0, F.col("seg"))).alias("low_seg")
-    )
-    entries = held.join(chosen, "key").select("key", "text", "sigs", "own_seg", "low_seg", "component")
-    parts = shuffle_width(documents.sparkSession)
-    sent = entries.mapInArrow(_allocate(parts), "part int, kind byte, body binary").repartitionById(parts, F.col("part"))
-    return sent.mapInArrow(_meet, "a long, b long").distinct()
+    spark = documents.sparkSession
+    parts = shuffle_width(spark)
+    texts = with_texts(documents, sets.select(F.col("rep").alias("doc_id")))
+    held = stored(sets.join(texts, F.col("rep") == F.col("doc_id")).select("key", "text", F.concat("own_sigs", "low_sigs").alias("sigs"), "component", "n"))
+    tokens = held.select("key", "text", F.array("component").alias("component")).mapInArrow(_spread(parts), "part int, kind byte, body binary")
+    found = stored(tokens.repartitionById(parts, F.col("part")).mapInArrow(_rare, "kind byte, a long, b long"), "kind")
+    rare = found.filter("kind = 1").groupBy(F.col("a").alias("key")).agg(F.sum("b").alias("rare"))
+    common = held.join(rare, "key", "left").withColumn("rare", F.coalesce("rare", F.lit(0))).filter(3 * F.col("rare") <= F.col("n")).select("key", "text", "sigs", F.array("component", "rare").alias("more"))
+    bucket_sizes = spark.sparkContext.broadcast(_bucket_sizes(large))
+    sent = common.mapInArrow(_allocate(parts, bucket_sizes), "part int, kind byte, body binary").repartitionById(parts, F.col("part"))
+    met = sent.mapInArrow(_meet, "a long, b long")
+    return met.unionByName(found.filter("kind = 0").select("a", "b")).distinct()
+
+
+def set_key(text: Column) -> Column:
+    """The key of a text's set, which is what ``join_components`` calls a row's ``key``; 0 for the empty set."""
+
+    @F.arrow_udf("long")
+    def keys(texts: pa.Array) -> pa.Array:
+        raw, off = utf8(texts)
+        found = [set_keys(*shingle_sets(raw[off[a] : off[b]], off[a : b + 1] - off[a])) for a, b in slices(off)]
+        return pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())
 
+    return keys(text)
 
-def join_components(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document (see the module's text)."""
+
+def join_components(documents: DataFrame, with_key: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document (see the module's text).
+
+    ``with_key`` adds the key of each row's set, which tells rows of one doc_id apart.
+    """
     spark = documents.sparkSession
     parts = shuffle_width(spark)
     sent = documents.select("doc_id", "text").mapInArrow(_sign(parts), "part int, kind byte, body binary")
     found = stored(sent.repartitionById(parts, F.col("part")).mapInArrow(_bucket, _FOUND), "kind")
     docs = found.filter("kind = 2").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), *_NUMBERS)
     large = found.filter("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("key"), F.col("n").alias("own"))
-    counts = large.groupBy("key").agg(F.sum("own").alias("own_large"), F.sum(1 - F.col("own")).alias("low_large"))
+    # a set has no more large buckets than segments
+    lists = large.groupBy("key").agg(*[F.collect_list(F.when(F.col("own") == own, F.col("sig"))).alias(f"{c}_sigs") for c, own in (("own", 1), ("low", 0))])
     classes = docs.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in _NUMBERS])
-    classes = stored(classes.join(counts, "key", "left").fillna(0, ["own_large", "low_large"]))
+    classes = classes.join(lists, "key", "left")
+    for c in ("own", "low"):
+        classes = classes.withColumn(f"{c}_sigs", F.coalesce(f"{c}_sigs", F.array().cast("array<long>"))).withColumn(f"{c}_large", F.size(f"{c}_sigs"))
+    classes = stored(classes)
     # only sets whose large buckets and empty segments outnumber the slack can miss a partner elsewhere
-    lacking = classes.filter("own_spare < own_large or low_spare < low_large").select("key")
-    members = stored(large.join(lacking, "key", "left_semi"), share=SHARE)
+    sets = classes.filter("own_spare < own_large or low_spare < low_large").select("key", "rep", "n", "own_spare", "low_spare", "own_sigs", "low_sigs")
+    classes = classes.drop("own_sigs", "low_sigs")
     shared = found.filter("kind = 0").select("a", "b", F.col("n").alias("shared")).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    pairs = _sharing_enough(shared, classes).unionByName(_with_reps(_stars(members), classes, "shared"))
+    pairs = _sharing_enough(shared, classes).unionByName(_with_reps(_stars(sets), classes, "shared"))
     pairs = stored(pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("ra").alias("ra"), F.first("rb").alias("rb")), share=SHARE)
     # each set's best candidate first: most of what is alike is then connected
     done = tested(_best(pairs), documents)
     labels = stored(components(done.filter("linked")), share=SHARE)
     done, labels = _tested_too(_across(pairs, labels), done, labels, documents)
-    members = _open(members, labels, classes)
-    if not members.isEmpty():
+    sets, buckets = _open(_labelled(sets, labels))
+    if not sets.isEmpty():
         # few outsiders: all their pairs, and the bucket is settled
-        few = F.col("size") - F.col("main_size") <= FEW
-        one = members.filter(few).filter("component <> main").select("sig", F.col("key").alias("x"), F.col("component").alias("cx"), F.col("own").alias("ox"))
-        more = one.join(members.select("sig", "key", "component", "own"), "sig").filter("component <> cx and ox + own > 0")
-        more = _with_reps(more.select(*_ordered("x", "key")).distinct(), classes)
-        done, labels = _tested_too(more, done, labels, documents)
-        members = _open(members.filter(~few), labels, classes)
-    late = _late_pairs(members, large, labels, classes, documents)
-    if late is not None:
-        done, labels = _tested_too(_with_reps(late, classes), done, labels, documents)
+        few = buckets.filter("few")
+        done, labels = _tested_too(_with_reps(_of_few(sets, few), classes), done, labels, documents)
+        sets, _ = _open(_labelled(sets.drop("component"), labels), few)
+    if not sets.isEmpty():
+        done, labels = _tested_too(_with_reps(_late_pairs(sets, large, documents), classes), done, labels, documents)
     reps = classes.select("key", "rep")
     smallest = labels.join(reps, F.col("node") == F.col("key")).groupBy("component").agg(F.min("rep").alias("component_id"))
     named = labels.join(smallest, "component").select(F.col("node").alias("key"), "component_id")
     named = reps.join(named, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
     linked = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return docs.join(named, "key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), linked.alias("component_id"))
+    more = ["key"] if with_key else []
+    return docs.join(named, "key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), linked.alias("component_id"), *more)
 
 
 def _tested_too(pairs: DataFrame, done: DataFrame, labels: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -678,5 +836,7 @@ def _tested_too(pairs: DataFrame, done: DataFrame, labels: DataFrame, documents:
         return done, labels
     now = tested(pairs, documents)
     done = done.unionByName(now)
-    links = now.filter("linked")
-    return done, labels if links.isEmpty() else stored(components(done.filter("linked")), share=SHARE)
+    if not now.filter("linked").isEmpty():
+        before, labels = labels, stored(components(done.filter("linked")), share=SHARE)
+        forget(before)
+    return done, labels

@@ -1,8 +1,9 @@
 """Words and word shingles of Arrow string columns, by numpy over the raw UTF-8 bytes.
 
 Words are runs of anything but space and the control characters 9 to 13; A-Z count as a-z.
-All of these are single bytes in UTF-8, so the bytes need no decoding. A word's hash is a
-polynomial over a random table of bytes; a shingle's hash mixes the hashes of its words.
+All of these are single bytes in UTF-8, so the bytes need no decoding. A word's hash mixes its
+blocks of eight bytes, each with its place, so words of up to eight bytes and of one length never
+share a hash; a shingle's hash mixes the hashes of its words. ``exact_sets`` uses no hash at all.
 """
 
 from __future__ import annotations
@@ -18,37 +19,14 @@ SLICE_BYTES = 1 << 20
 SLICE_ROWS = 512
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-
-
-def _table() -> np.ndarray:
-    t = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
-    t[65:91] = t[97:123]
-    return t
-
-
-_BYTE = _table()
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+#: Of eight bytes, the first k.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-class _Powers:
-    """Powers of the base and of its inverse modulo 2**64, grown on demand."""
-
-    up = down = np.ones(1, dtype=np.uint64)
-
-    @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            inverse = pow(_BASE, -1, 1 << 64)
-            both = []
-            for b in (_BASE, inverse):
-                x = np.full(n, b, dtype=np.uint64)
-                x[0] = 1
-                both.append(np.multiply.accumulate(x))
-            cls.up, cls.down = both
-        return cls.up, cls.down
-
-
 def scramble(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (xor-shift and multiply), element by element."""
     x = x ^ (x >> _U(30))
@@ -93,11 +71,19 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     starts[1:] &= ~solid[:-1] | first[1:n]
     ends = np.append(~solid[1:] | first[1:n], True) & solid
     s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    up, down = _Powers.get(n + 1)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[raw] * up[:n], out=total[1:])
-    h = (total[e] - total[s]) * down[s]
-    return scramble(h + (e - s).astype(np.uint64) * _U(0xD6E8FEB86659FD93)), np.searchsorted(s, offsets)
+    folded = np.zeros(n + 8, dtype=np.uint8)
+    folded[:n] = _FOLD[raw]
+    block = np.ndarray(n + 1, dtype="<u8", buffer=folded.data, strides=(1,))
+    size = e - s
+    h = scramble(block[s] & _FIRST[np.minimum(size, 8)])
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) >> 3
+        first = np.cumsum(more) - more
+        k = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        x = block[np.repeat(s[long], more) + 8 * k] & _FIRST[np.minimum(np.repeat(size[long], more) - 8 * k, 8)]
+        h[long] += np.add.reduceat(scramble(x ^ scramble(k.astype(np.uint64) * _U(_BASE))), first)
+    return scramble(h + size.astype(np.uint64) * _U(0xD6E8FEB86659FD93)), np.searchsorted(s, offsets)
 
 
 #: Odd multipliers, one for each place of a word in a shingle.
@@ -139,3 +125,32 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         fresh[heads] = True
     kept = np.concatenate([[0], np.cumsum(fresh)])
     return h[fresh], kept[bounds]
+
+
+def exact_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``shingle_sets``, but numbers of the shingles themselves: equal in this call where the words are."""
+    data = raw.tobytes().lower()  # of bytes, A-Z alone
+    words: list[bytes] = []
+    bounds = [0]
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        words += data[a:b].split()
+        bounds.append(len(words))
+    number = {w: k for k, w in enumerate(dict.fromkeys(words), 1)}
+    many = np.diff(bounds)
+    row = np.repeat(np.arange(len(many)), many)
+    at = np.arange(len(words)) + (SHINGLE - 1) * row
+    w = np.zeros(len(words) + (SHINGLE - 1) * len(many), dtype=np.int64)  # each text, then zeros
+    w[at] = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    base = len(number) + 1
+    rank = lambda x: np.unique(x, return_inverse=True)[1]
+    two = rank(w[:-1] * base + w[1:]) if len(w) > 1 else w
+    four = rank(two[:-2] * len(w) + two[2:]) if len(w) > 3 else w
+    left = np.repeat(np.array(bounds[1:]), many) - np.arange(len(words))
+    head = (left >= SHINGLE) | ((left == many[row]) & (many[row] < SHINGLE))
+    i = at[head]
+    x, r = four[i] * base + w[i + SHINGLE - 1], row[head]
+    order = np.lexsort((x, r))
+    x, r = x[order], r[order]
+    fresh = np.ones(len(x), dtype=bool)
+    fresh[1:] = (x[1:] != x[:-1]) | (r[1:] != r[:-1])
+    return x[fresh], np.searchsorted(r[fresh], np.arange(len(many) + 1))
