@@ -24,13 +24,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id.
 
-    Rows without a doc_id can't be linked and stay; of rows that share the smallest doc_id and
-    their text, one stays.
+    Rows without a doc_id can't be linked and stay. Rows of one doc_id are told apart by the keys
+    of their sets; of rows that share doc_id and set, one stays.
     """
-    groups = jaccard.join_components(docs)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
+    groups = jaccard.join_components(docs, with_key=True).filter("doc_id is not null")
+    first = groups.groupBy("component_id", (F.col("n_shingles") > 0).alias("linked")).agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    first = first.select("first.doc_id", F.col("first.key").alias("_key"))
+    keyed = docs.filter("doc_id is not null").withColumn("_key", jaccard.set_key(F.col("text")))
+    kept = keyed.join(first, ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"])
+    return kept.select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
