@@ -59,6 +59,8 @@ FILTER_BITS = 1 << 23
 COST_SLOTS = 1 << 20
 #: Signatures that a task holds before it sends them on.
 FLUSH = 1_000_000
+#: Pairs whose bitmaps a task compares at a time; some 100 bytes each while it does.
+PAIRS = 1 << 19
 #: Tables of pairs, labels and large buckets are written from an eighth of the partitions.
 SHARE = 8
 
@@ -628,12 +630,15 @@ def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     some = np.array([t[2] for t in table], dtype=bool) & (n > 0)
     keys = np.array([t[0] for t in table], np.uint64).view(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(some.sum()), np.int8)), pa.array(keys[some]), pa.array(n[some].astype(np.int64))], schema=schema)
-    seen = [np.zeros(0, np.int64)]
-    for c in range(2, 2 * SMALL + 1):
-        at = heads[count == c]
-        i, j = np.triu_indices(c, 1)
-        seen.append((doc[(at[:, None] + i).ravel()] * len(table) + doc[(at[:, None] + j).ravel()]))
-    for found in _possible(np.concatenate(seen), table, pa.schema(list(schema)[1:])):
+
+    def pairs() -> Iterator[np.ndarray]:
+        for c in range(2, 2 * SMALL + 1):
+            at, (i, j) = heads[count == c], np.triu_indices(c, 1)
+            for lo in range(0, len(at), max(1, PAIRS // len(i))):
+                some = at[lo : lo + max(1, PAIRS // len(i)), None]
+                yield doc[(some + i).ravel()] * len(table) + doc[(some + j).ravel()]
+
+    for found in _possible(pairs(), table, pa.schema(list(schema)[1:])):
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(found.num_rows, np.int8)), *found.columns], schema=schema)
 
 
@@ -685,40 +690,51 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     indexed = np.concatenate([[0], np.cumsum(role == 0)])
     middle = heads + indexed[ends] - indexed[heads]
     met = (middle > heads) & (ends > middle)
-    held, n = [], 0
 
     def cross(probes: np.ndarray, index: np.ndarray) -> Iterator[np.ndarray]:
         """Probes with the indexed sets whose rare hashes are few enough; ``index`` has these in order."""
         many = np.searchsorted(rare[index], left[probes], side="right")
         ends = np.cumsum(many)
         lo = 0
-        while lo < len(probes):  # about a million pairs at a time
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20), side="right")))
+        while lo < len(probes):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
             k = many[lo:hi]
             at = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
             yield np.repeat(probes[lo:hi], k) * len(table) + index[at]
             lo = hi
 
-    for a, m, b in zip(heads[met].tolist(), middle[met].tolist(), ends[met].tolist(), strict=True):
-        index, probes = doc[a:m], doc[m:b]
-        names, counts = np.unique(group[index], return_counts=True)
-        main = names[np.argmax(counts)]
-        outside, probing = group[index] != main, group[probes] == main
-        for found in (*cross(probes[probing], index[outside]), *cross(probes[~probing], index)):
-            held.append(found)
-            n += len(found)
-            if n > 1 << 22:
-                yield from _possible(np.concatenate(held), table, schema)
-                held, n = [], 0
-    if held:
-        yield from _possible(np.concatenate(held), table, schema)
-
-
-def _possible(seen: np.ndarray, table: list, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    def pairs() -> Iterator[np.ndarray]:
+        for a, m, b in zip(heads[met].tolist(), middle[met].tolist(), ends[met].tolist(), strict=True):
+            index, probes = doc[a:m], doc[m:b]
+            names, counts = np.unique(group[index], return_counts=True)
+            main = names[np.argmax(counts)]
+            outside, probing = group[index] != main, group[probes] == main
+            yield from cross(probes[probing], index[outside])
+            yield from cross(probes[~probing], index)
+
+    yield from _possible(pairs(), table, schema)
+
+
+def _possible(found: Iterator[np.ndarray], table: list, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Of pairs of docs (numbers in ``table``, the first times its length plus the second) those that can be linked."""
+    held, n = [], 0
+    for pairs in found:
+        held.append(pairs)
+        n += len(pairs)
+        if n >= PAIRS:
+            yield from _compared(np.concatenate(held), table, schema)
+            held, n = [], 0
+    if n:
+        yield from _compared(np.concatenate(held), table, schema)
+
+
+def _compared(seen: np.ndarray, table: list, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     keys, size, own, group = np.array([t[0] for t in table], np.uint64), *(np.array([t[k] for t in table]) for k in (1, 2, 4))
     x, y = np.divmod(np.unique(seen), len(table))
     fits = (keys[x] != keys[y]) & (group[x] != group[y]) & (own[x] + own[y] > 0) & (4 * np.minimum(size[x], size[y]) >= 3 * np.maximum(size[x], size[y]))
     x, y = x[fits], y[fits]
+    if not len(x):
+        return
     width = np.array([len(t[3]) for t in table])
     for w in np.unique(width):
         of = np.flatnonzero(width == w)
@@ -727,8 +743,8 @@ def _possible(seen: np.ndarray, table: list, schema: pa.Schema) -> Iterator[pa.R
         words = np.stack([table[i][3] for i in of])
         both = (width[x] == w) & (width[y] == w)
         p, q = x[both], y[both]
-        for lo in range(0, len(p), max(1, (1 << 21) // int(w))):
-            i, j = p[lo : lo + max(1, (1 << 21) // int(w))], q[lo : lo + max(1, (1 << 21) // int(w))]
+        for lo in range(0, len(p), max(1, (1 << 19) // int(w))):
+            i, j = p[lo : lo + max(1, (1 << 19) // int(w))], q[lo : lo + max(1, (1 << 19) // int(w))]
             bi, bj = words[where[i]], words[where[j]]
             common = np.minimum(size[i] - np.bitwise_count(bi & ~bj).sum(axis=1, dtype=np.int64), size[j] - np.bitwise_count(bj & ~bi).sum(axis=1, dtype=np.int64))
             ok = 7 * common >= 3 * (size[i] + size[j])
