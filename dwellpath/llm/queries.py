@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dwellpath.llm import chat, fingerprints, jaccard, langid, licenses, mixing, packing, quality, secret_scan, sharding
+from dwellpath.llm import chat, fim, fingerprints, jaccard, langid, licenses, merkle, mixing, packing, quality, secret_scan, sharding
 from dwellpath.llm.spark import table
 
 
@@ -49,6 +49,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_chat": op1_chat,
@@ -61,8 +69,17 @@ def queries() -> dict:
         "op8_quality": op8_quality,
         "op9_licenses": op9_licenses,
         "op10_language": op10_language,
+        "op11_manifest": op11_manifest,
+        "op12_fill_in_middle": op12_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": sharding.oracle(), "op5_mixing": mixing.oracle(), "op8_quality": quality.oracle(), "op9_licenses": licenses.oracle()}
+    return {
+        "op3_sharding": sharding.oracle(),
+        "op5_mixing": mixing.oracle(),
+        "op8_quality": quality.oracle(),
+        "op9_licenses": licenses.oracle(),
+        "op11_manifest": merkle.oracle(),
+        "op12_fill_in_middle": fim.oracle(),
+    }
