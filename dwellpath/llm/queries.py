@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dwellpath.llm import chat, fim, fingerprints, jaccard, langid, licenses, merkle, mixing, packing, quality, secret_scan, sharding
+from dwellpath.llm import chat, fim, fingerprints, jaccard, langid, licenses, merkle, mixing, packing, pii, quality, secret_scan, sharding
 from dwellpath.llm.spark import table
 
 
@@ -57,6 +57,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_chat": op1_chat,
@@ -71,6 +75,7 @@ def queries() -> dict:
         "op10_language": op10_language,
         "op11_manifest": op11_manifest,
         "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_personal_data": op13_personal_data,
     }
 
 
