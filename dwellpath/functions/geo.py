@@ -71,8 +71,8 @@ def radius_box(lat, lon, at_lat: float, at_lon: float, km: float) -> Column:
 
 def ring_edges(ring: Column) -> Column:
     """Pairs (a, b) of consecutive points of a ring, closed if it isn't; in time linear in its points."""
-    closed = F.when(F.element_at(ring, 1) == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
-    legs = F.size(closed) - 1
+    closed = F.when(F.get(ring, 0) == F.try_element_at(ring, F.lit(-1)), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
+    legs = F.greatest(F.size(closed) - 1, F.lit(0))
     return F.zip_with(F.slice(closed, F.lit(1), legs), F.slice(closed, F.lit(2), legs), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dwellpath.functions.geo import area_centroid, edges_hold, ring_edges
+from dwellpath.functions.geo import area_centroid
+from dwellpath.operators.cells import boundary_cells, cell_holds, cell_keys
 
 LEVELS = ((8, "city"), (6, "county"), (4, "state"), (2, "country"))
-#: Cell sizes in degrees; a boundary is covered with the smallest that needs few cells.
-CELLS = (0.25, 2.0, 16.0)
-MAX_CELLS_A_SIDE = 24
 
 
 def admin_boundaries(relations: DataFrame, levels=(2, 4, 6, 8)) -> DataFrame:
@@ -33,47 +31,15 @@ def unique_coords(visits: DataFrame) -> DataFrame:
     return v.groupBy("lat6", "lon6").agg(F.count(F.lit(1)).alias("n_visits"))
 
 
-def boundary_cells(boundaries: DataFrame) -> DataFrame:
-    """(osm_id, _size, _y, _x, inside, edges): the grid cells that a boundary covers or touches.
-
-    The cell size fits the boundary's extent. A row of cells has the edges that reach its band of
-    latitudes. A cell that no edge may touch lies inside or outside as a whole, by its centre;
-    a touched cell keeps those edges of its band that a ray to the east of its west side can meet.
-    So a point in a cell is compared with a small part of a large outline, or with nothing.
-    """
-    e = boundaries.select("osm_id", F.explode(F.flatten(F.transform(F.flatten("polygons"), ring_edges))).alias("_e"))
-    e = e.select("osm_id", *[F.col(f"_e.{p}.{c}").alias(f"{p}{n}") for p in ("a", "b") for c, n in (("lon", "x"), ("lat", "y"))])
-    low, high = (lambda c, f=f: f(F.col(f"a{c}"), F.col(f"b{c}")) for f in (F.least, F.greatest))
-    box = e.groupBy("osm_id").agg(F.max(high("y")).alias("n"), F.min(low("y")).alias("s"), F.max(high("x")).alias("e"), F.min(low("x")).alias("w"))
-    extent = F.greatest(F.col("n") - F.col("s"), F.col("e") - F.col("w"))
-    size = F.lit(CELLS[-1])
-    for c in reversed(CELLS[:-1]):
-        size = F.when(extent <= c * MAX_CELLS_A_SIDE, F.lit(c)).otherwise(size)
-    e = e.join(box.select("osm_id", size.alias("_size")), "osm_id")
-    cells = lambda a, z: F.sequence(F.floor(a / F.col("_size")), F.floor(z / F.col("_size")))
-    bands = e.withColumn("_y", F.explode(cells(low("y"), high("y")))).groupBy("osm_id", "_size", "_y").agg(
-        F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("_band"), F.min(low("x")).alias("_w"), F.max(high("x")).alias("_e")
-    )
-    at = bands.withColumn("_x", F.explode(cells(F.col("_w"), F.col("_e"))))
-    west, east = F.col("_x") * F.col("_size"), (F.col("_x") + 1) * F.col("_size")
-    touched = F.exists("_band", lambda s: (F.least(s["ax"], s["bx"]) <= east) & (F.greatest(s["ax"], s["bx"]) >= west))
-    centre = edges_hold((F.col("_x") + 0.5) * F.col("_size"), (F.col("_y") + 0.5) * F.col("_size"), F.col("_band"))
-    near = F.filter("_band", lambda s: F.greatest(s["ax"], s["bx"]) >= west)
-    at = at.withColumn("_touched", touched)
-    at = at.select("osm_id", "_size", "_y", "_x", F.when(~F.col("_touched"), centre).alias("inside"), F.when(F.col("_touched"), near).alias("edges"))
-    return at.filter("inside is null or inside")
-
-
 def point_in_boundary(points: DataFrame, boundaries: DataFrame) -> DataFrame:
     """(lat6, lon6) with each boundary that holds the point strictly inside: osm_id, level, name, name_en.
 
-    Points are joined by grid cell; names come in at the end, by id.
+    Points are joined by grid cell (``operators/cells.py``); names come in at the end, by id.
     """
-    p = points.select("lat6", "lon6", F.explode(F.array(*[F.lit(c) for c in CELLS])).alias("_size"))
-    p = p.withColumn("_y", F.floor(F.col("lat6") / F.col("_size"))).withColumn("_x", F.floor(F.col("lon6") / F.col("_size")))
+    p = points.select("lat6", "lon6", F.explode(cell_keys(F.col("lat6"), F.col("lon6"))).alias("_k")).select("lat6", "lon6", "_k.*")
     hits = p.join(boundary_cells(boundaries), ["_size", "_y", "_x"])
-    hits = hits.filter(F.coalesce("inside", edges_hold(F.col("lon6"), F.col("lat6"), F.col("edges")))).select("lat6", "lon6", "osm_id")
-    return hits.join(boundaries.select("osm_id", "level", "name", "name_en"), "osm_id")
+    held = cell_holds(F.col("lon6"), F.col("lat6"), (F.col("_x") + 1) * F.col("_size"), F.col("_y") * F.col("_size"), F.col("odd"), F.col("edges"))
+    return hits.filter(held).select("lat6", "lon6", "osm_id").join(boundaries.select("osm_id", "level", "name", "name_en"), "osm_id")
 
 
 def boundary_centroid(boundaries: DataFrame) -> DataFrame:
