@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dwellpath.functions import parse as P
 from dwellpath.functions.geo import distance_m, path_length_m
 from dwellpath.operators.joins import between_micros, near_in_time, nearest_record, overlapping
+from dwellpath.operators.slices import SLICE_ROWS, time_slices
 
 MINUTE = 60_000_000
 
@@ -112,9 +113,9 @@ def movements_from_tracker(items: DataFrame) -> DataFrame:
     )
 
 
-def borrow_offset(trails: DataFrame, offsets: DataFrame, by: list[str], trail_id: str) -> DataFrame:
+def borrow_offset(trails: DataFrame, offsets: DataFrame, by: list[str], parts: DataFrame | None = None) -> DataFrame:
     """Trails with ``offset_minutes`` of the record nearest in time that writes its offset out."""
-    return nearest_record(trails, offsets, "start_time", "at", "offset_minutes", by, trail_id)
+    return nearest_record(trails, offsets, "start_time", "at", "offset_minutes", by, parts)
 
 
 def written_offsets(records: DataFrame) -> DataFrame:
@@ -123,9 +124,9 @@ def written_offsets(records: DataFrame) -> DataFrame:
     return o.filter("at is not null and offset_minutes is not null")
 
 
-def with_local_clocks(trails: DataFrame, offsets: DataFrame, trail_id: str = "id") -> DataFrame:
+def with_local_clocks(trails: DataFrame, offsets: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Trails written in UTC ('Z') with both local clocks at the offset borrowed for their start."""
-    t = borrow_offset(trails, offsets, ["subject_id"], trail_id)
+    t = borrow_offset(trails, offsets, ["subject_id"], time_slices(offsets, "at", slice_rows))
     shift = F.when(F.endswith("startTime", F.lit("Z")), F.col("offset_minutes"))
     for name, at in (("local_start_ts", "start_time"), ("local_end_ts", "end_time")):
         t = t.withColumn(name, F.coalesce(P.shifted(F.col(at), shift), F.col(name)))

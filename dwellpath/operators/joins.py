@@ -68,23 +68,39 @@ def overlapping(left: DataFrame, right: DataFrame, by: list[str], left_span: tup
     return joined.drop("_x", "_y", *[f"_r_{c}" for c in by])
 
 
-def nearest_record(probes: DataFrame, records: DataFrame, probe_t: str, record_t: str, value: str, by: list[str], probe_id: str) -> DataFrame:
+def nearest_record(probes: DataFrame, records: DataFrame, probe_t: str, record_t: str, value: str, by: list[str], parts: DataFrame | None = None) -> DataFrame:
     """``probes`` with the ``value`` of the record nearest in time; of two as near, the earlier.
 
-    Both are ordered together once and values are carried from either side, so no pair is made.
+    Both are ordered together once, each probe as a whole, and values are carried from either side:
+    no pair is made and nothing is joined back, so probes need no id and equal ones stay apart.
+    ``parts``: (key, cuts) of keys that are too large for one task; such a key is ordered in slices
+    of time, and a slice learns the nearest records outside from one row a slice.
     """
     keys = [F.col(c) for c in by]
-    p = probes.select(*keys, F.col(probe_t).alias("_t"), F.lit(1).alias("_kind"), F.col(probe_id).alias("_id"), F.lit(None).cast(records.schema[value].dataType).alias("_v"))
-    r = records.select(*keys, F.col(record_t).alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast(probes.schema[probe_id].dataType).alias("_id"), F.col(value).alias("_v"))
-    order = ("_t", "_kind", "_v")
-    earlier = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    # the rows after one are those before it in reversed order: a running value, not a new search for each row
-    later = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    width = records.schema[value].dataType
+    row = F.struct(*[F.col(c).alias(c) for c in probes.columns])
+    p = probes.select(*keys, F.col(probe_t).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast(width).alias("_v"), row.alias("_row"))
+    r = records.select(*keys, F.col(record_t).alias("_t"), F.lit(0).alias("_kind"), F.col(value).alias("_v"), F.lit(None).cast(p.schema["_row"].dataType).alias("_row"))
     mark = F.when(F.col("_kind") == 0, F.struct(F.col("_t").alias("t"), F.col("_v").alias("v")))
     u = p.unionByName(r).withColumn("_mark", mark)
-    u = u.withColumn("_before", F.last("_mark", ignorenulls=True).over(earlier))
-    u = u.withColumn("_after", F.last("_mark", ignorenulls=True).over(later))
+    on = by
+    if parts is not None:
+        # one row for each key of several slices
+        u = u.join(F.broadcast(parts.select(*by, F.col("cuts").alias("_cuts"))), by, "left")
+        u = u.withColumn("_slice", F.when(F.col("_cuts").isNotNull(), F.coalesce(F.size(F.filter("_cuts", lambda c: c <= micros("_t"))), F.lit(0))).otherwise(0))
+        on = [*by, "_slice"]
+    order = ("_t", "_kind", "_v")
+    earlier = Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # the rows after one are those before it in reversed order: a running value, not a new search for each row
+    later = Window.partitionBy(*on).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    found = u.withColumn("_before", F.last("_mark", ignorenulls=True).over(earlier)).withColumn("_after", F.last("_mark", ignorenulls=True).over(later))
+    if parts is not None:
+        ends = u.filter("_cuts is not null").groupBy(*on).agg(F.max("_mark").alias("_z"), F.min("_mark").alias("_a"))
+        slices = Window.partitionBy(*by).orderBy("_slice")
+        past, future = slices.rowsBetween(Window.unboundedPreceding, -1), slices.rowsBetween(1, Window.unboundedFollowing)
+        carried = ends.select(*on, F.last("_z", ignorenulls=True).over(past).alias("_past"), F.first("_a", ignorenulls=True).over(future).alias("_future"))
+        found = found.join(F.broadcast(carried), on, "left")  # one row a slice
+        found = found.withColumn("_before", F.coalesce("_before", "_past")).withColumn("_after", F.coalesce("_after", "_future"))
     gap_before, gap_after = between_micros(F.col("_before.t"), F.col("_t")), between_micros(F.col("_t"), F.col("_after.t"))
     pick = F.when(F.col("_before").isNull(), F.col("_after.v")).when(F.col("_after").isNull() | (gap_before <= gap_after), F.col("_before.v")).otherwise(F.col("_after.v"))
-    found = u.filter("_kind = 1").select(*[F.col(c) for c in by], F.col("_id").alias(probe_id), pick.alias(value))
-    return probes.join(found, [*by, probe_id], "left")
+    return found.filter("_kind = 1").select("_row.*", pick.alias(value))

@@ -2,22 +2,28 @@
 
 A block of visits away from home and work is found with lag and lead alone: an anchor ends any
 block and an away visit always lies in one, so every decision looks one visit back or ahead.
-Everything up to the categories shares one shuffle by subject.
+Everything up to the categories shares one shuffle by subject, or by slices of a subject's time where
+a subject is too large for one task (``slices``).
 """
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass, field
+from datetime import datetime, timedelta
+from heapq import heapify, heappop, heappush
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwellpath.functions.geo import haversine_km
-from dwellpath.operators.joins import between_micros, micros
+from dwellpath.operators.joins import between_micros, bucket, micros
+from dwellpath.operators.slices import SLICE, SLICE_ROWS, keys, neighbours, running_count, sliced, time_slices
 
 HOUR = 3_600_000_000
 MINUTE = 60_000_000
+_DAY, _SHORT = timedelta(hours=24), timedelta(minutes=30)
 
 
 @dataclass(frozen=True)
@@ -33,9 +39,12 @@ class TripRules:
     categories: tuple = field(default=(("Day Trip", 4.0, 16.0), ("Short Trip", 16.0, 96.0), ("Long Trip", 96.0, None)))
 
 
-def visit_sequence(visits: DataFrame) -> DataFrame:
-    """Visits numbered by (start, id) within their subject."""
-    return visits.withColumn("rn", F.row_number().over(Window.partitionBy("subject_id").orderBy("start_time", "id")))
+ORDER = ("start_time", "id")
+
+
+def visit_sequence(visits: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
+    """Visits numbered by (start, id) within their subject. ``cuts``: of subjects too large for one task, see ``slices``."""
+    return running_count(visits, "rn", F.lit(True), ORDER, cuts).drop(SLICE)
 
 
 def active_anchor(df: DataFrame, ranges: DataFrame, day: Column, prefix: str) -> DataFrame:
@@ -64,43 +73,53 @@ def classify_visits(visits: DataFrame, homes: DataFrame, works: DataFrame, rules
     return v.withColumn("at_home", home).withColumn("at_work", work).withColumn("away", ~(F.col("at_home") | F.col("at_work")))
 
 
-def sequence_gaps(visits: DataFrame) -> DataFrame:
+def sequence_gaps(visits: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
     """Each visit with the visit before it: prev_* columns and gap_us (which may be negative)."""
-    w = Window.partitionBy("subject_id").orderBy("start_time", "id")
-    v = visit_sequence(visits)
-    for c in ("id", "end_time", "lat", "lon", "away"):
-        if c in v.columns:
-            v = v.withColumn(f"prev_{c}", F.lag(c).over(w))
+    before = [c for c in ("id", "end_time", "lat", "lon", "away", "local_end_ts") if c in visits.columns]
+    v = neighbours(visits, ORDER, {f"prev_{c}": c for c in before}, cuts=cuts)
     return v.withColumn("gap_us", between_micros("prev_end_time", "start_time"))
 
 
-def with_bridges(gaps: DataFrame, movements: DataFrame, minutes: int = 5) -> DataFrame:
-    """Visits with their gaps, and ``bridged``: whether a movement leads from the visit before to this one.
+def bridges(gaps: DataFrame, movements: DataFrame, minutes: int = 5) -> DataFrame:
+    """The keys and id of gaps with a movement that starts within the minutes of the visit before and ends within those of this one.
 
-    A subject's gaps and movements are put in one order of time, where a gap looks at the movements
-    that start within the minutes of the visit before; so nothing is joined and the layout by
-    subject stays as it is for what follows.
+    Both times are in the key of the join, as buckets twice as wide as the minutes, so a gap looks
+    at the few movements that start and end near it, and at none further once it has found one.
     """
     near = minutes * MINUTE
-    g = gaps.withColumn("_t", micros("prev_end_time"))
-    m = movements.filter("start_time is not null and end_time is not null").select("subject_id", micros("start_time").alias("_t"), F.col("end_time").alias("_to"))
-    both = g.unionByName(m, allowMissingColumns=True)
-    w = Window.partitionBy("subject_id").orderBy("_t").rangeBetween(-near, near)
-    ends = F.collect_set("_to").over(w)
-    reached = F.exists(ends, lambda e: F.abs(between_micros(e, F.col("start_time"))) <= near)
-    out = both.withColumn("bridged", F.coalesce(F.col("prev_id").isNotNull() & reached, F.lit(False))).filter("_to is null")
-    return out.select(*gaps.columns, "bridged")
+    by = keys(gaps)
+    at = lambda t: F.array_distinct(F.array(bucket(F.col(t) - near, 2 * near), bucket(F.col(t) + near, 2 * near)))
+    g = gaps.filter("prev_id is not null and prev_end_time is not null").select(*by, "id", micros("prev_end_time").alias("_a"), micros("start_time").alias("_z"))
+    g = g.withColumn("_x", F.explode(at("_a"))).withColumn("_y", F.explode(at("_z")))
+    m = movements.filter("start_time is not null and end_time is not null").select(F.col("subject_id").alias("_s"), micros("start_time").alias("_ma"), micros("end_time").alias("_mz"))
+    m = m.withColumn("_mx", bucket(F.col("_ma"), 2 * near)).withColumn("_my", bucket(F.col("_mz"), 2 * near))
+    on = [F.col("subject_id") == F.col("_s"), F.col("_x") == F.col("_mx"), F.col("_y") == F.col("_my"), F.abs(F.col("_a") - F.col("_ma")) <= near, F.abs(F.col("_z") - F.col("_mz")) <= near]
+    return g.join(m, on, "left_semi").select(*by, "id").distinct()
 
 
-def bridged_gaps(visits: DataFrame, movements: DataFrame, minutes: int = 5) -> DataFrame:
+def with_bridges(gaps: DataFrame, movements: DataFrame, minutes: int = 5, least_us: int = 0) -> DataFrame:
+    """Visits with their gaps, and ``bridged``: whether a movement leads from the visit before to this one.
+
+    Gaps shorter than ``least_us`` are not asked about and count as not bridged; of the others a
+    subject has no more than its years hold, so they are gathered by subject and the layout of the
+    visits stays as it is for what follows.
+    """
+    by = keys(gaps)
+    found = bridges(gaps.filter(F.col("gap_us") >= least_us), movements, minutes).groupBy(*by).agg(F.collect_set("id").alias("_bridged"))
+    asked = F.when(F.col("gap_us") >= least_us, F.array_contains("_bridged", F.col("id")))
+    return gaps.join(found, by, "left").withColumn("bridged", F.coalesce(asked, F.lit(False))).drop("_bridged")
+
+
+def bridged_gaps(visits: DataFrame, movements: DataFrame, minutes: int = 5, cuts: DataFrame | None = None) -> DataFrame:
     """(subject_id, id) of visits to which a movement leads from the visit before."""
-    gaps = sequence_gaps(visits.select("subject_id", "id", "start_time", "end_time"))
-    return with_bridges(gaps, movements, minutes).filter("bridged").select("subject_id", "id")
+    gaps = sequence_gaps(visits.select("subject_id", "id", "start_time", "end_time"), cuts)
+    return bridges(gaps, movements, minutes).select("subject_id", "id")
 
 
-def gap_splits(visits: DataFrame, movements: DataFrame, homes: DataFrame, rules: TripRules = TripRules()) -> DataFrame:
+def gap_splits(visits: DataFrame, movements: DataFrame, homes: DataFrame, rules: TripRules = TripRules(), cuts: DataFrame | None = None) -> DataFrame:
     """Classified visits with prev_* columns and ``split``: whether the gap before ends a block."""
-    g = with_bridges(sequence_gaps(visits), movements)
+    # shorter gaps never split, bridged or not
+    g = with_bridges(sequence_gaps(visits, cuts), movements, least_us=int(rules.max_gap_hours * HOUR))
     g = active_anchor(g, homes, F.to_date("prev_end_time"), "gap_home")
     far = lambda lat, lon: F.coalesce(haversine_km(lat, lon, "gap_home_lat", "gap_home_lon") >= rules.extended_gap_min_distance_km, F.lit(False))
     split = (
@@ -112,37 +131,51 @@ def gap_splits(visits: DataFrame, movements: DataFrame, homes: DataFrame, rules:
     return g.withColumn("split", split)
 
 
-def trip_blocks(splits: DataFrame, rules: TripRules = TripRules()) -> DataFrame:
+def trip_blocks(splits: DataFrame, rules: TripRules = TripRules(), cuts: DataFrame | None = None) -> DataFrame:
     """Away visits with their block number and the times of the anchors that bound the block.
 
     ``departed`` is the end of the anchor just before the block and ``returned`` the start of the
-    anchor just after it, each only within the largest gap.
+    anchor just after it, each only within the largest gap; with the anchors' local clocks beside
+    them where visits have local clocks.
     """
-    w = Window.partitionBy("subject_id").orderBy("start_time", "id")
     first = F.col("away") & (F.col("prev_away").isNull() | ~F.col("prev_away") | F.col("split"))
-    b = splits.withColumn("block", F.sum(first.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    b = b.withColumn("next_away", F.lead("away").over(w)).withColumn("next_start", F.lead("start_time").over(w))
+    b = running_count(splits, "block", first, ORDER, cuts)
+    local = "local_start_ts" in splits.columns
+    b = neighbours(b, ORDER, ahead={"next_away": "away", "next_start": "start_time"} | ({"next_local": "local_start_ts"} if local else {}), cuts=cuts)
     limit = rules.max_gap_hours * HOUR
-    departed = F.when(first & ~F.col("prev_away") & (F.col("gap_us") <= limit), F.col("prev_end_time"))
-    returned = F.when(~F.col("next_away") & (between_micros("end_time", "next_start") <= limit), F.col("next_start"))
-    return b.withColumn("departed", departed).withColumn("returned", returned).filter("away")
+    left = first & ~F.col("prev_away") & (F.col("gap_us") <= limit)
+    back = ~F.col("next_away") & (between_micros("end_time", "next_start") <= limit)
+    b = b.withColumn("departed", F.when(left, F.col("prev_end_time"))).withColumn("returned", F.when(back, F.col("next_start")))
+    if local:
+        b = b.withColumn("departed_local", F.when(left, F.col("prev_local_end_ts"))).withColumn("returned_local", F.when(back, F.col("next_local")))
+    return b.filter("away").drop(SLICE)
 
 
 def trip_bounds(blocks: DataFrame) -> DataFrame:
-    """One row a block: door-to-door start and end, centre, visit ids in order."""
+    """One row a block: door-to-door start and end, their local clocks where visits have them, centre, visit ids in order.
+
+    A side without an anchor takes the clock of the visit it is taken from: the first visit, or of
+    those that end last the first.
+    """
     order = F.struct("start_time", "id")
+    local = "departed_local" in blocks.columns
+    latest = F.struct((-micros("end_time")).alias("e"), "start_time", "id")
+    clocks = [F.min_by("departed_local", order).alias("_dl"), F.min_by("local_start_ts", order).alias("_fl"), F.max_by("returned_local", order).alias("_rl"), F.min_by("local_end_ts", latest).alias("_ll")] if local else []
     g = blocks.groupBy("subject_id", "block").agg(
         F.min_by("departed", order).alias("departed"),
         F.min("start_time").alias("first_start"),
         F.max_by("returned", order).alias("returned"),
         F.max("end_time").alias("last_end"),
+        *clocks,
         F.avg("lat").alias("lat"),
         F.avg("lon").alias("lon"),
         F.count(F.lit(1)).alias("n_visits"),
         # a block is one person's stretch between two anchors
         F.transform(F.sort_array(F.collect_list(order)), lambda x: x["id"]).alias("visit_ids"),
     )
-    return g.select("subject_id", "block", F.coalesce("departed", "first_start").alias("start_time"), F.coalesce("returned", "last_end").alias("end_time"), "lat", "lon", "n_visits", "visit_ids")
+    own = lambda anchor, a, b, name: F.when(F.col(anchor).isNotNull(), F.col(a)).otherwise(F.col(b)).alias(name)
+    clocks = [own("departed", "_dl", "_fl", "local_start_ts"), own("returned", "_rl", "_ll", "local_end_ts")] if local else []
+    return g.select("subject_id", "block", F.coalesce("departed", "first_start").alias("start_time"), F.coalesce("returned", "last_end").alias("end_time"), *clocks, "lat", "lon", "n_visits", "visit_ids")
 
 
 def trip_category(hours: Column, rules: TripRules = TripRules()) -> Column:
@@ -165,50 +198,80 @@ def trip_categories(trips: DataFrame, rules: TripRules = TripRules()) -> DataFra
     return t.withColumn("category", trip_category(F.col("hours"), rules)).filter(F.col("category").isNotNull())
 
 
+def _absorbed(trips: list[dict]) -> list[dict]:
+    """One island's trips, by start and end, after its orphans are merged.
+
+    Orphans come in order of time. The nearest trip that ended before is the top of a heap by end,
+    to which trips move as their ends are passed; the nearest that starts after is the next one that
+    hasn't begun. Merges only lengthen trips, so an old entry of a heap is told by its end.
+    """
+    lone = lambda t: t["n_visits"] == 1 and t["end_time"] - t["start_time"] < _SHORT
+    kept = [t | {"visit_ids": deque(t["visit_ids"])} for t in trips if not lone(t)]
+    open_ends = [(t["end_time"], k) for k, t in enumerate(kept)]
+    heapify(open_ends)
+    ended: list[tuple] = []  # (end reversed, start, place)
+    following = 0
+    epoch = datetime(1970, 1, 1)
+    for orphan in filter(lone, trips):
+        at = orphan["start_time"]
+        while open_ends and open_ends[0][0] < at:
+            end, k = heappop(open_ends)
+            if kept[k]["end_time"] == end:
+                heappush(ended, (epoch - end, kept[k]["start_time"], k))
+        while following < len(kept) and kept[following]["start_time"] <= at:
+            following += 1
+        while ended and epoch - ended[0][0] != kept[ended[0][2]]["end_time"]:
+            heappop(ended)
+        near = [(at - kept[k]["end_time"], kept[k]["start_time"], k) for _, _, k in ended[:1]]
+        near += [(kept[following]["start_time"] - at, kept[following]["start_time"], following)] if following < len(kept) else []
+        # of equally near trips the one that began earlier
+        gap, _, k = min(near, default=(_DAY, None, None))
+        if gap >= _DAY:
+            continue
+        trip = kept[k]
+        for c, bound in (("start_time", min), ("end_time", max)):
+            was = trip[c]
+            trip[c] = bound(was, orphan[c])
+            local = f"local_{c.split('_')[0]}_ts"
+            if trip[c] != was and local in trip:
+                trip[local] = orphan[local]
+            if c == "end_time" and trip[c] != was:
+                heappush(open_ends, (trip[c], k))
+        if at > trip["start_time"]:
+            trip["visit_ids"].extend(orphan["visit_ids"])
+        else:
+            trip["visit_ids"].extendleft(reversed(orphan["visit_ids"]))
+        trip["n_visits"] += 1
+    return [t | {"visit_ids": list(t["visit_ids"]), "hours": (t["end_time"] - t["start_time"]).total_seconds() / 3600} for t in kept]
+
+
 def absorb_orphans(trips: DataFrame, rules: TripRules = TripRules()) -> DataFrame:
     """Merge single-visit trips under half an hour into the nearest trip less than a day from their start.
 
     Merges change the gaps that follow, so trips (not visits) are gone through in order, but only
     within islands: where a subject is a day or more without a trip, nothing merges across. Ties
-    go to the earlier trip; an orphan without a near trip is dropped.
+    go to the earlier trip; an orphan without a near trip is dropped. Local clocks move with the times.
     """
-    day, short = pd.Timedelta(hours=24), pd.Timedelta(minutes=30)
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["start_time", "end_time"]).assign(visit_ids=[list(x) for x in pdf.sort_values(["start_time", "end_time"])["visit_ids"]])
-        lone = (rows["n_visits"] == 1) & (rows["end_time"] - rows["start_time"] < short)
-        kept = rows[~lone].reset_index(drop=True)
-        for orphan in rows[lone].itertuples():
-            at = orphan.start_time
-            before, after = at - kept["end_time"], kept["start_time"] - at
-            gaps = before.where(before > pd.Timedelta(0)).combine_first(after.where(after > pd.Timedelta(0))).dropna()
-            gaps = gaps[gaps < day]
-            if gaps.empty:
-                continue
-            # of equally near trips the one that ended before comes first
-            k = min(gaps.index, key=lambda i: (gaps[i], kept.at[i, "start_time"]))
-            kept.at[k, "start_time"] = min(kept.at[k, "start_time"], at)
-            kept.at[k, "end_time"] = max(kept.at[k, "end_time"], orphan.end_time)
-            ids = kept.at[k, "visit_ids"]
-            kept.at[k, "visit_ids"] = [*ids, *orphan.visit_ids] if at > kept.at[k, "start_time"] else [*orphan.visit_ids, *ids]
-            kept.at[k, "n_visits"] += 1
-        kept["hours"] = (kept["end_time"] - kept["start_time"]).dt.total_seconds() / 3600
-        return kept[cols]
-
-    cols = ["subject_id", "start_time", "end_time", "n_visits", "visit_ids", "hours"]
+    cols = ["subject_id", "start_time", "end_time", "n_visits", "visit_ids", "hours", *[c for c in ("local_start_ts", "local_end_ts") if c in trips.columns]]
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda t: (t["start_time"], t["end_time"], t["visit_ids"]))
+        return pa.Table.from_pylist(_absorbed(rows), schema=table.schema).select(cols)
+
     schema = trips.select(*cols).schema
     w = Window.partitionBy("subject_id").orderBy("start_time", "end_time")
     t = trips.select(*cols).withColumn("_until", F.max("end_time").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     apart = F.coalesce(between_micros("_until", "start_time") >= 24 * HOUR, F.lit(False))
     t = t.withColumn("_island", F.sum(apart.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_until")
-    merged = t.groupBy("subject_id", "_island").applyInPandas(run, schema)
+    merged = t.groupBy("subject_id", "_island").applyInArrow(run, schema)
     return merged.withColumn("category", trip_category(F.col("hours"), rules))
 
 
-def detect_trips(visits: DataFrame, homes: DataFrame, works: DataFrame, movements: DataFrame, rules: TripRules = TripRules()) -> DataFrame:
+def detect_trips(visits: DataFrame, homes: DataFrame, works: DataFrame, movements: DataFrame, rules: TripRules = TripRules(), slice_rows: int = SLICE_ROWS) -> DataFrame:
     """The whole chain: one row a trip with subject, times, category, visit ids and trip_id."""
-    away = classify_visits(visits, homes, works, rules)
-    blocks = trip_blocks(gap_splits(away, movements, homes, rules), rules)
+    cuts = time_slices(visits, slice_rows=slice_rows)
+    away = classify_visits(sliced(visits, cuts), homes, works, rules)
+    blocks = trip_blocks(gap_splits(away, movements, homes, rules, cuts), rules, cuts)
     trips = trip_categories(trip_distance(trip_bounds(blocks), homes, rules), rules)
     return dedupe_trips(trips).withColumn("trip_id", F.concat_ws("-", "subject_id", micros("start_time"), micros("end_time")))
 
@@ -271,5 +334,3 @@ def trip_summary(trips: DataFrame, trip_visits: DataFrame, rules: TripRules = Tr
 def top_destinations(trip_cities: DataFrame, n: int = 10) -> DataFrame:
     c = trip_cities.select(F.explode("cities").alias("city")).groupBy("city").agg(F.count(F.lit(1)).alias("n_trips"))
     return c.orderBy(F.col("n_trips").desc(), "city").limit(n)
-
-

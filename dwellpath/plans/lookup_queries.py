@@ -49,7 +49,6 @@ FROM (SELECT trip_id, """
         + ", ".join(f"coalesce(list_sort(list(DISTINCT {c}) FILTER (WHERE {c} IS NOT NULL)), []) AS {a}" for c, a in (("city", "ci"), ("county", "co"), ("state", "st"), ("country", "cn")))
         + " FROM tlocated GROUP BY trip_id)",
         "tprimary": "SELECT trip_id, location_id AS primary_location_id FROM (SELECT trip_id, location_id, count(*) AS n, min(start_time) AS s, min(id) AS i FROM tlocated WHERE location_id IS NOT NULL GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY trip_id ORDER BY n DESC, s, i) = 1",
-        "tlocal": "SELECT t.*, t.start_time + to_hours(o.off_h) AS local_start_ts, t.end_time + to_hours(o.off_h) AS local_end_ts FROM trip_rows t JOIN (SELECT DISTINCT subject_id, off_h FROM visits) o ON t.subject_id = o.subject_id",
         "dayv": f"SELECT * FROM gvisits WHERE CAST(local_start_ts AS DATE) <= DATE '{DAY}' AND CAST(local_end_ts AS DATE) >= DATE '{DAY}'",
         "daym": f"SELECT * FROM movements WHERE CAST(local_start_ts AS DATE) <= DATE '{DAY}' AND CAST(local_end_ts AS DATE) >= DATE '{DAY}'",
         "mlinked": "SELECT *, CASE WHEN id % 8 <> 1 THEN prev_visit END AS preceding_visit_id, CASE WHEN id % 4 <> 1 THEN next_visit END AS following_visit_id FROM movements",
@@ -62,7 +61,8 @@ def points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tree(spark: SparkSession, d: str) -> DataFrame:
-    return G.hierarchy(G.point_in_boundary(points(spark, d), X.boundaries(spark, d)), X.boundaries(spark, d))
+    b = staged(X.boundaries(spark, d))  # a stored table, as an engine has it
+    return G.hierarchy(G.point_in_boundary(points(spark, d), b), b)
 
 
 def geocoded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -84,12 +84,6 @@ def located(spark: SparkSession, d: str) -> DataFrame:
     return T.located(T.trip_visits(found_trips(spark, d)), *geocoded(spark, d))
 
 
-def tlocal(spark: SparkSession, d: str) -> DataFrame:
-    o = X.visits(spark, d).select("subject_id", "off_h").distinct()
-    t = found_trips(spark, d).join(o, "subject_id")
-    return t.withColumn("local_start_ts", F.expr("timestampadd(HOUR, off_h, start_time)")).withColumn("local_end_ts", F.expr("timestampadd(HOUR, off_h, end_time)"))
-
-
 def mlinked(spark: SparkSession, d: str) -> DataFrame:
     m = X.movements(spark, d)
     return m.withColumn("preceding_visit_id", F.when(F.col("id") % 8 != 1, F.col("prev_visit"))).withColumn("following_visit_id", F.when(F.col("id") % 4 != 1, F.col("next_visit")))
@@ -122,7 +116,7 @@ def q_unique_coords(spark, d):
 
 @query("SELECT round(lat6, 3) AS lat6, round(lon6, 3) AS lon6, osm_id, level, name FROM hits")
 def q_point_in_boundary(spark, d):
-    return G.point_in_boundary(points(spark, d), X.boundaries(spark, d)).select(*r3("lat6", "lon6"), "osm_id", "level", "name")
+    return G.point_in_boundary(points(spark, d), staged(X.boundaries(spark, d))).select(*r3("lat6", "lon6"), "osm_id", "level", "name")
 
 
 @query("SELECT round(lat6, 3) AS lat6, round(lon6, 3) AS lon6, city, county, state, country, coalesce(city_osm_id, 0) AS city_osm_id, coalesce(country_osm_id, 0) AS country_osm_id, admin_level, round(centroid_lat, 3) AS centroid_lat, round(centroid_lon, 3) AS centroid_lon FROM hier")
@@ -222,13 +216,13 @@ def q_visits_in_instants(spark, d):
 
 @query("SELECT subject_id, id, start_time, end_time FROM gvisits WHERE location_id IN (SELECT max(location_id) FROM gvisits)")
 def q_visits_by_location(spark, d):
-    v = gvisits(spark, d)
+    v = staged(gvisits(spark, d))
     return Q.apply_filter(v, Q.VisitFilter(location_id=v.agg(F.max("location_id")).first()[0])).select(*V)
 
 
 @query("SELECT v.subject_id, v.id, v.start_time, v.end_time FROM visits v JOIN bridge b ON v.subject_id = b.subject_id AND v.id = b.visit_id WHERE b.trip_id IN (SELECT max(trip_id) FROM trip_rows)")
 def q_visits_by_trip(spark, d):
-    t = found_trips(spark, d)
+    t = staged(found_trips(spark, d))
     return Q.apply_filter(X.visits(spark, d), Q.VisitFilter(trip_id=t.agg(F.max("trip_id")).first()[0]), T.trip_visits(t)).select(*V)
 
 
@@ -303,9 +297,9 @@ def q_trips(spark, d):
     return Q.trip_details(one, b).join(T.trip_primary_location(located(spark, d)), "trip_id", "left").select("trip_id", "category", "primary_location_id", "visit_count")
 
 
-@query(f"SELECT 'local' AS how, trip_id FROM tlocal WHERE CAST(local_start_ts AS DATE) <= DATE '2024-01-20' AND CAST(local_end_ts AS DATE) >= DATE '2024-01-10' UNION ALL SELECT 'instant', trip_id FROM tlocal WHERE start_time < TIMESTAMP '{TO}' AND end_time > TIMESTAMP '{FROM}'")
+@query(f"SELECT 'local' AS how, trip_id FROM trip_rows WHERE CAST(local_start_ts AS DATE) <= DATE '2024-01-20' AND CAST(local_end_ts AS DATE) >= DATE '2024-01-10' UNION ALL SELECT 'instant', trip_id FROM trip_rows WHERE start_time < TIMESTAMP '{TO}' AND end_time > TIMESTAMP '{FROM}'")
 def q_trips_in_range(spark, d):
-    t = tlocal(spark, d)
+    t = found_trips(spark, d)
     a = Q.trips_in_range(t, FROM.date(), TO.date()).select(F.lit("local").alias("how"), "trip_id")
     return a.unionByName(Q.trips_in_range(t, FROM, TO).select(F.lit("instant").alias("how"), "trip_id"))
 
@@ -323,8 +317,8 @@ def q_trip_detail(spark, d):
     return Q.trip_detail(t, b, X.visits(spark, d), names).select("trip_id", "visit_id", "visit_start", "name")
 
 
-QUERIES["trips_by_year"] = lambda spark, d: S.trips_by_year(tlocal(spark, d))
-ORACLES["trips_by_year"] = sql("SELECT CAST(year(local_start_ts) AS INTEGER) AS year, category, count(*) AS n_trips FROM tlocal GROUP BY 1, 2")
+QUERIES["trips_by_year"] = lambda spark, d: S.trips_by_year(found_trips(spark, d))
+ORACLES["trips_by_year"] = sql("SELECT CAST(year(local_start_ts) AS INTEGER) AS year, category, count(*) AS n_trips FROM trip_rows GROUP BY 1, 2")
 
 
 # ------------------------------------------------------------------ rollups

@@ -50,7 +50,7 @@ SELECT *, NOT (at_home OR at_work) AS away FROM (
     coalesce(place_id = work_place, false) OR coalesce({hav('lat', 'lon', 'work_lat', 'work_lon')} <= 1, false) AS at_work FROM both_now)""",
     "gaps": f"""
 SELECT *, {us('prev_end_time', 'start_time')} AS gap_us FROM (
-  SELECT *, row_number() OVER w AS rn, lag(id) OVER w AS prev_id, lag(end_time) OVER w AS prev_end_time, lag(lat) OVER w AS prev_lat, lag(lon) OVER w AS prev_lon, lag(away) OVER w AS prev_away
+  SELECT *, row_number() OVER w AS rn, lag(id) OVER w AS prev_id, lag(end_time) OVER w AS prev_end_time, lag(lat) OVER w AS prev_lat, lag(lon) OVER w AS prev_lon, lag(away) OVER w AS prev_away, lag(local_end_ts) OVER w AS prev_local_end_ts
   FROM classified WINDOW w AS (PARTITION BY subject_id ORDER BY start_time, id))""",
     "bridges": """
 SELECT DISTINCT g.subject_id, g.id FROM gaps g JOIN movements m ON g.subject_id = m.subject_id
@@ -66,12 +66,15 @@ FROM gap_home g LEFT JOIN bridges b ON g.subject_id = b.subject_id AND g.id = b.
 SELECT * FROM (
   SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY subject_id ORDER BY start_time, id ROWS UNBOUNDED PRECEDING) AS block,
     CASE WHEN starts AND NOT prev_away AND gap_us <= {8 * HOUR} THEN prev_end_time END AS departed,
-    CASE WHEN NOT next_away AND {us('end_time', 'next_start')} <= {8 * HOUR} THEN next_start END AS returned
+    CASE WHEN NOT next_away AND {us('end_time', 'next_start')} <= {8 * HOUR} THEN next_start END AS returned,
+    CASE WHEN starts AND NOT prev_away AND gap_us <= {8 * HOUR} THEN prev_local_end_ts END AS departed_local, CASE WHEN NOT next_away AND {us('end_time', 'next_start')} <= {8 * HOUR} THEN next_local END AS returned_local
   FROM (SELECT *, away AND (prev_away IS NULL OR NOT prev_away OR split) AS starts,
-      lead(away) OVER w AS next_away, lead(start_time) OVER w AS next_start FROM splits WINDOW w AS (PARTITION BY subject_id ORDER BY start_time, id))
+      lead(away) OVER w AS next_away, lead(start_time) OVER w AS next_start, lead(local_start_ts) OVER w AS next_local FROM splits WINDOW w AS (PARTITION BY subject_id ORDER BY start_time, id))
 ) WHERE away""",
     "bounds": """
 SELECT subject_id, CAST(block AS BIGINT) AS block, coalesce(first(departed ORDER BY start_time, id), min(start_time)) AS start_time, coalesce(last(returned ORDER BY start_time, id), max(end_time)) AS end_time,
+  CASE WHEN first(departed ORDER BY start_time, id) IS NOT NULL THEN first(departed_local ORDER BY start_time, id) ELSE first(local_start_ts ORDER BY start_time, id) END AS local_start_ts,
+  CASE WHEN last(returned ORDER BY start_time, id) IS NOT NULL THEN last(returned_local ORDER BY start_time, id) ELSE first(local_end_ts ORDER BY end_time DESC, start_time, id) END AS local_end_ts,
   avg(lat) AS lat, avg(lon) AS lon, count(*) AS n_visits, list(id ORDER BY start_time, id) AS visit_ids FROM blocks GROUP BY subject_id, block""",
     "bound_home": active("bounds", "homes", "CAST(s.start_time AS DATE)", "block", "home"),
     "far_trips": f"SELECT * FROM (SELECT *, {hav('lat', 'lon', 'home_lat', 'home_lon')} AS distance_km FROM bound_home) WHERE distance_km IS NULL OR distance_km >= 80",

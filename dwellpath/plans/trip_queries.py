@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwellpath.operators import trips as T
+from dwellpath.operators.slices import time_slices
 from dwellpath.plans import fixtures as X
 from dwellpath.plans.sqltext import sql
 
@@ -18,12 +19,18 @@ def classified(spark: SparkSession, d: str) -> DataFrame:
     return T.classify_visits(X.visits(spark, d), X.homes(spark, d), X.works(spark, d), RULES)
 
 
-def splits(spark: SparkSession, d: str) -> DataFrame:
-    return T.gap_splits(classified(spark, d), X.movements(spark, d), X.homes(spark, d), RULES)
+def cuts(spark: SparkSession, d: str) -> DataFrame | None:
+    """Slices of subjects with too many visits for one task."""
+    return time_slices(X.visits(spark, d))
+
+
+def splits(spark: SparkSession, d: str, slices: DataFrame | None = None) -> DataFrame:
+    return T.gap_splits(classified(spark, d), X.movements(spark, d), X.homes(spark, d), RULES, slices)
 
 
 def blocks(spark: SparkSession, d: str) -> DataFrame:
-    return T.trip_blocks(splits(spark, d), RULES)
+    slices = cuts(spark, d)
+    return T.trip_blocks(splits(spark, d, slices), RULES, slices)
 
 
 def trips(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +38,7 @@ def trips(spark: SparkSession, d: str) -> DataFrame:
 
 
 def visit_sequence(spark, d):
-    return T.visit_sequence(X.visits(spark, d)).select("subject_id", "id", F.col("rn").cast("long").alias("rn"))
+    return T.visit_sequence(X.visits(spark, d), cuts(spark, d)).select("subject_id", "id", F.col("rn").cast("long").alias("rn"))
 
 
 def classify_visits(spark, d):
@@ -39,11 +46,11 @@ def classify_visits(spark, d):
 
 
 def bridged_gaps(spark, d):
-    return T.bridged_gaps(X.visits(spark, d), X.movements(spark, d))
+    return T.bridged_gaps(X.visits(spark, d), X.movements(spark, d), cuts=cuts(spark, d))
 
 
 def gap_splits(spark, d):
-    return splits(spark, d).select("subject_id", "id", "split")
+    return splits(spark, d, cuts(spark, d)).select("subject_id", "id", "split")
 
 
 def trip_blocks(spark, d):
@@ -52,7 +59,7 @@ def trip_blocks(spark, d):
 
 def trip_bounds(spark, d):
     b = T.trip_bounds(blocks(spark, d))
-    return b.select("subject_id", F.col("block").cast("long").alias("block"), "start_time", "end_time", F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"), "n_visits", F.array_join("visit_ids", ",").alias("visit_ids"))
+    return b.select("subject_id", F.col("block").cast("long").alias("block"), "start_time", "end_time", "local_start_ts", "local_end_ts", F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"), "n_visits", F.array_join("visit_ids", ",").alias("visit_ids"))
 
 
 def trip_distance(spark, d):
@@ -100,7 +107,7 @@ ORACLES = {
     "bridged_gaps": sql("SELECT subject_id, id FROM bridges"),
     "gap_splits": sql("SELECT subject_id, id, split FROM splits"),
     "trip_blocks": sql("SELECT subject_id, id, CAST(block AS BIGINT) AS block, departed, returned FROM blocks"),
-    "trip_bounds": sql("SELECT subject_id, block, start_time, end_time, round(lat, 3) AS lat, round(lon, 3) AS lon, n_visits, array_to_string(visit_ids, ',') AS visit_ids FROM bounds"),
+    "trip_bounds": sql("SELECT subject_id, block, start_time, end_time, local_start_ts, local_end_ts, round(lat, 3) AS lat, round(lon, 3) AS lon, n_visits, array_to_string(visit_ids, ',') AS visit_ids FROM bounds"),
     "trip_distance": sql("SELECT subject_id, block, round(distance_km, 3) AS distance_km FROM far_trips"),
     "trip_categories": sql("SELECT trip_id, subject_id, start_time, end_time, category, round(hours, 3) AS hours, n_visits FROM trip_rows"),
     "trip_visits": sql("SELECT trip_id, subject_id, visit_id FROM bridge"),

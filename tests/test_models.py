@@ -152,14 +152,14 @@ def test_nearest_record_equals_brute_force_and_is_linear(spark):
     at = lambda: T0 + timedelta(seconds=g.randrange(4000))
     p, r = [(k % 2, k, at()) for k in range(150)], [(k % 2, at(), k) for k in range(90)]
     x, y = spark.createDataFrame(p, "s long, id long, t timestamp_ntz"), spark.createDataFrame(r, "s long, at timestamp_ntz, v int")
-    got = {q["id"]: q["v"] for q in J.nearest_record(x, y, "t", "at", "v", ["s"], "id").collect()}
+    got = {q["id"]: q["v"] for q in J.nearest_record(x, y, "t", "at", "v", ["s"]).collect()}
     when = {(s, v): t for s, t, v in r}
     for s, k, t in p:
         best = min(abs(t - u) for z, u, _ in r if z == s)
         assert abs(when[s, got[k]] - t) == best and (when[s, got[k]] <= t or not any(z == s and u == t - best for z, u, _ in r))
     many = spark.range(40_000).select(F.lit(1).alias("s"), "id", F.timestamp_add("SECOND", (F.col("id") * 2).cast("int"), F.lit(T0).cast("timestamp_ntz")).alias("t"))
     began = time.time()
-    out = J.nearest_record(many, many.filter("id % 3 = 0").select("s", F.col("t").alias("at"), F.col("id").alias("v")), "t", "at", "v", ["s"], "id")
+    out = J.nearest_record(many, many.filter("id % 3 = 0").select("s", F.col("t").alias("at"), F.col("id").alias("v")), "t", "at", "v", ["s"])
     assert out.filter("v is null").count() == 0 and time.time() - began < 30
 
 
@@ -186,7 +186,7 @@ def test_large_outlines_are_not_carried_to_points(spark):
 def test_nearest_record_prefers_the_earlier(spark):
     p = spark.createDataFrame([(1, 1, T0 + timedelta(hours=1)), (1, 2, T0 + timedelta(hours=9))], "s long, id long, t timestamp_ntz")
     r = spark.createDataFrame([(1, T0, 60), (1, T0 + timedelta(hours=2), 120)], "s long, at timestamp_ntz, v int")
-    assert {x["id"]: x["v"] for x in J.nearest_record(p, r, "t", "at", "v", ["s"], "id").collect()} == {1: 60, 2: 120}
+    assert {x["id"]: x["v"] for x in J.nearest_record(p, r, "t", "at", "v", ["s"]).collect()} == {1: 60, 2: 120}
 
 
 def ring(*p):
