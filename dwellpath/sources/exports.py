@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dwellpath.sources.records import json_records, text_lines
 from dwellpath.sources.scratch import scratch_folder
 
 #: Read schemas; every field can be missing.
@@ -21,15 +22,17 @@ ANCHORS = "lat double, lon double, place_id string, name string, start_date stri
 
 
 def read_timeline(spark: SparkSession, path: str, more: str = "") -> DataFrame:
-    """Records of timeline files: a list, or an object with timelineObjects; each file is read whole.
+    """Records of timeline files: a list, or an object with timelineObjects; files of any size, read in parallel.
 
-    Keeps the file and the place in it. ``more``: further fields of the records, as "subject_id bigint"
-    where a file has several people's. For exports of one record a line see ``read_timeline_lines``.
+    Keeps the file, and in ``seq`` the place in it. ``more``: further fields of the records, as
+    "subject_id bigint" where a file has several people's. For records one a line see ``read_timeline_lines``.
     """
+    return _parsed(json_records(spark, path, "timelineObjects"), more)
+
+
+def _parsed(texts: DataFrame, more: str) -> DataFrame:
     record = f"struct<{_fields(_with(more, TIMELINE))}>"
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("value"))
-    listed, nested = F.from_json("value", f"array<{record}>"), F.from_json("value", f"struct<timelineObjects: array<{record}>>")["timelineObjects"]
-    return raw.select("file", F.posexplode(F.when(F.startswith("value", F.lit("[")), listed).otherwise(nested)).alias("seq", "r")).select("file", "seq", "r.*")
+    return texts.select("file", "seq", F.from_json("value", record).alias("r")).filter("r is not null").select("file", "seq", "r.*")
 
 
 def _with(more: str, schema: str) -> str:
@@ -46,9 +49,8 @@ def _fields(schema: str) -> str:
 
 
 def read_timeline_lines(spark: SparkSession, path: str, more: str = "") -> DataFrame:
-    """Records one a line; splittable, so the form to use at scale. ``seq`` is a digest of the record."""
-    r = spark.read.schema(_with(more, TIMELINE)).json(path)
-    return r.select(F.col("_metadata.file_path").alias("file"), F.xxhash64(*r.columns).alias("seq"), "*")
+    """Records one a line, with the file and the place in it."""
+    return _parsed(text_lines(spark, path).filter(F.trim("value") != ""), more)
 
 
 def read_tracker(spark: SparkSession, path: str, more: str = "") -> DataFrame:
