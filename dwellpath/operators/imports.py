@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwellpath.operators import ingest as I
+from dwellpath.sources.exports import revise_movements
 from dwellpath.sources.scratch import staged
 
 #: Columns of a stored movement before it is linked, whatever it came from, with their types.
@@ -17,25 +18,23 @@ MOVEMENT = {
 
 
 def stored_form(movements: DataFrame) -> DataFrame:
-    """Movements in the columns of MOVEMENT; what a kind of record doesn't have is null.
+    """Movements in the columns of MOVEMENT, each once; what a kind of record doesn't have is null.
 
-    A record that brings no id is named by a digest of its natural key.
+    Of records with one natural key (subject, source, type, times, points) the first in file order
+    stays. One that brings no id is named by a digest of that key, wherever in its file it stands.
     """
-    key = F.xxhash64("subject_id", "source", "movement_type", "start_time", "end_time", *[c for c in ("seq",) if c in movements.columns])
-    m = movements if "id" in movements.columns else movements.withColumn("id", key)
+    m = I.dedupe_movements(movements)
+    m = m if "id" in m.columns else m.withColumn("id", F.xxhash64(*I.movement_key()))
     return m.select(*[(F.col(c) if c in m.columns else F.lit(None)).cast(t).alias(c) for c, t in MOVEMENT.items()])
 
 
 def timeline_movements(records: DataFrame) -> DataFrame:
     """All movements of routed timeline records; trails in UTC get the clocks of the nearest written offset."""
     trails = I.movements_from_breadcrumbs(records)
-    if "id" not in trails.columns:
-        trails = trails.withColumn("id", F.xxhash64("subject_id", "start_time", "end_time", "seq"))
-    kinds = [I.movements_from_activities(records, "activity"), I.movements_from_activities(records, "segment"), I.with_local_clocks(trails, I.written_offsets(records))]
-    first, *rest = map(stored_form, kinds)
+    first, *rest = [I.movements_from_activities(records, "activity"), I.movements_from_activities(records, "segment"), I.with_local_clocks(trails, I.written_offsets(records))]
     for k in rest:
-        first = first.unionByName(k)
-    return first
+        first = first.unionByName(k, allowMissingColumns=True)
+    return stored_form(first)
 
 
 def import_visits(raw: DataFrame, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -64,6 +63,12 @@ def import_movements(raw: DataFrame, visits: DataFrame, stored: DataFrame | None
     return merge(stored, new, "phone", prepare=_enriched(visits))
 
 
+def revise_stored(raw: DataFrame, visits: DataFrame, path: str) -> set[tuple[str, ...]]:
+    """``import_movements`` on the table stored at ``path``: only the months that change are written; returns their partitions."""
+    new = staged(timeline_movements(staged(I.route_records(raw))))
+    return revise_movements(new, path, "phone", prepare=_enriched(visits))
+
+
 def import_tracker(items: DataFrame, visits: DataFrame, stored: DataFrame | None = None, force: bool = False) -> tuple[DataFrame, DataFrame]:
     """(stored movements, visits) after tracker items came in: movements once a subject, visits with names.
 

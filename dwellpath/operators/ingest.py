@@ -48,7 +48,7 @@ def rejected_visits(records: DataFrame) -> DataFrame:
 def visits_from_timeline(records: DataFrame) -> DataFrame:
     """Visits whose place and times can be parsed."""
     v = _placed(records).filter("_p is not null and start_time is not null and end_time is not null")
-    keep = [c for c in ("subject_id", "seq", "id") if c in records.columns]
+    keep = [c for c in ("subject_id", "file", "seq", "id") if c in records.columns]
     return v.select(
         *keep, "start_time", "end_time", "duration_minutes", "local_start_ts", "local_end_ts", F.col("_p.lat").alias("lat"), F.col("_p.lon").alias("lon"),
         F.lit("timeline").alias("visit_type"), F.col("visit.topCandidate.semanticType").alias("semantic_type"), F.col("visit.topCandidate.placeID").alias("place_id"),
@@ -71,7 +71,7 @@ def movements_from_activities(records: DataFrame, kind: str) -> DataFrame:
     facts = {"format": F.lit(kind), "candidate_type": F.col(f"{part}.topCandidate.type"), "candidate_probability": F.col(f"{part}.topCandidate.probability")}
     if kind == "segment":
         facts |= {"edit_status": F.col(f"{part}.editConfirmationStatus"), "parking_event": F.col(f"{part}.parkingEvent"), "has_raw_path": F.col(f"{part}.simplifiedRawPath").isNotNull().cast("string")}
-    keep = [c for c in ("subject_id", "seq", "id") if c in records.columns]
+    keep = [c for c in ("subject_id", "file", "seq", "id") if c in records.columns]
     return m.select(
         *keep, "start_time", "end_time", "duration_minutes", "local_start_ts", "local_end_ts",
         F.col("_a.lat").alias("start_lat"), F.col("_a.lon").alias("start_lon"), F.col("_b.lat").alias("end_lat"), F.col("_b.lon").alias("end_lon"),
@@ -85,7 +85,7 @@ def movements_from_breadcrumbs(records: DataFrame) -> DataFrame:
     m = _times(records.filter("kind = 'breadcrumb'")).filter(F.size("timelinePath") >= 2)
     m = m.withColumn("_a", P.geo_point(F.element_at("timelinePath", 1)["point"])).withColumn("_b", P.geo_point(F.element_at("timelinePath", -1)["point"]))
     m = m.filter("_a is not null and _b is not null and start_time is not null and end_time is not null")
-    keep = [c for c in ("subject_id", "seq", "id") if c in records.columns]
+    keep = [c for c in ("subject_id", "file", "seq", "id") if c in records.columns]
     return m.select(
         *keep, "startTime", "start_time", "end_time", "duration_minutes", "local_start_ts", "local_end_ts",
         F.col("_a.lat").alias("start_lat"), F.col("_a.lon").alias("start_lon"), F.col("_b.lat").alias("end_lat"), F.col("_b.lon").alias("end_lon"),
@@ -100,7 +100,7 @@ def movements_from_tracker(items: DataFrame) -> DataFrame:
     m = m.withColumn("start_time", P.utc_instant(F.coalesce("startTime", "startDate"))).withColumn("end_time", P.utc_instant(F.coalesce("endTime", "endDate")))
     m = m.filter("start_time is not null and end_time is not null").withColumn("duration_minutes", P.duration_minutes("start_time", "end_time"))
     first, last = F.element_at("_p", 1), F.element_at("_p", -1)
-    keep = [c for c in ("subject_id", "seq", "id") if c in items.columns]
+    keep = [c for c in ("subject_id", "file", "seq", "id") if c in items.columns]
     return m.select(
         *keep, "start_time", "end_time", "duration_minutes", P.tracker_local_clock("start_time", "samples").alias("local_start_ts"), P.tracker_local_clock("end_time", "samples").alias("local_end_ts"),
         first["lat"].alias("start_lat"), first["lon"].alias("start_lon"), last["lat"].alias("end_lat"), last["lon"].alias("end_lon"),
@@ -144,15 +144,60 @@ def tracker_labels(items: DataFrame) -> DataFrame:
     return l.filter("label is not null and label_lat is not null and label_lon is not null and label_start is not null and label_end is not null")
 
 
-def dedupe_visits(new: DataFrame, stored: DataFrame | None = None, order: str = "seq") -> DataFrame:
+def file_order(df: DataFrame) -> list[str]:
+    """The columns that tell the order of records: the file and the place in it, as far as they are there."""
+    return [c for c in ("file", "seq", "id") if c in df.columns]
+
+
+def first_of_equal(df: DataFrame, *key: str | Column) -> DataFrame:
+    """Of rows with equal keys (nulls equal) the first in file order."""
+    w = Window.partitionBy(*key).orderBy(*file_order(df))
+    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def dedupe_visits(new: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """New visits not stored yet; of equal ones (times and six-decimal point) the first in file order."""
     keyed = lambda df: df.withColumn("_lat", F.round("lat", 6)).withColumn("_lon", F.round("lon", 6))
     key = ["subject_id", "start_time", "end_time", "_lat", "_lon"]
     n = keyed(new)
     if stored is not None:
         n = n.join(keyed(stored.filter("visit_type = 'timeline'")).select(*key), key, "left_anti")
-    n = n.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(order)))
-    return n.filter("_n = 1").drop("_n", "_lat", "_lon")
+    return first_of_equal(n, *key).drop("_lat", "_lon")
+
+
+#: What tells movements apart: a record that comes again, in another file or place, is the same one.
+MOVEMENT_KEY = ("subject_id", "source", "movement_type", "start_time", "end_time", "start_lat", "start_lon", "end_lat", "end_lon")
+
+
+def movement_key() -> list[Column]:
+    """The natural key of a movement, points to six decimals."""
+    return [F.round(c, 6) if c.endswith(("lat", "lon")) else F.col(c) for c in MOVEMENT_KEY]
+
+
+def dedupe_movements(new: DataFrame) -> DataFrame:
+    """Of movements with equal natural keys the first in file order."""
+    return first_of_equal(new, *movement_key())
+
+
+def _cutoff(stored: DataFrame, source: str, days: int) -> DataFrame:
+    return stored.filter(F.col("source") == source).groupBy("subject_id").agg(F.timestamp_add("DAY", F.lit(-days), F.max("end_time")).alias("_cut"))
+
+
+def _since(new: DataFrame, cutoff: DataFrame) -> DataFrame:
+    return new.join(cutoff, "subject_id", "left").filter(F.col("_cut").isNull() | (F.col("end_time") > F.col("_cut"))).drop("_cut")
+
+
+def revision(stored: DataFrame, new: DataFrame, source: str, days: int = 7) -> tuple[DataFrame, DataFrame]:
+    """(stored rows that go, new rows that come) where the last days of ``source`` are replaced, as in ``merge_revision_window``."""
+    cutoff = _cutoff(stored, source, days)
+    going = stored.filter(F.col("source") == source).join(cutoff, "subject_id").filter(F.col("end_time") > F.col("_cut")).drop("_cut")
+    return going, _since(new, cutoff)
+
+
+def revision_kept(stored: DataFrame, going: DataFrame) -> DataFrame:
+    """Stored rows without those that go."""
+    key = ["subject_id", "id", "source", "start_time", "end_time"]
+    return stored.join(going.select(*key), key, "left_anti")
 
 
 def merge_revision_window(stored: DataFrame, new: DataFrame, source: str, days: int = 7, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
@@ -162,10 +207,9 @@ def merge_revision_window(stored: DataFrame, new: DataFrame, source: str, days:
     go, later new rows come, earlier new rows are ignored. Subjects without stored rows take all.
     ``prepare`` is applied to the new rows that come.
     """
-    cutoff = stored.filter(F.col("source") == source).groupBy("subject_id").agg(F.timestamp_add("DAY", F.lit(-days), F.max("end_time")).alias("_cut"))
+    cutoff = _cutoff(stored, source, days)
     old = stored.join(cutoff, "subject_id", "left").filter((F.col("source") != source) | F.col("_cut").isNull() | (F.col("end_time") <= F.col("_cut"))).drop("_cut")
-    add = new.join(cutoff, "subject_id", "left").filter(F.col("_cut").isNull() | (F.col("end_time") > F.col("_cut"))).drop("_cut")
-    return old.unionByName(prepare(add).select(*old.columns))
+    return old.unionByName(prepare(_since(new, cutoff)).select(*old.columns))
 
 
 def import_once(stored: DataFrame, new: DataFrame, source: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:

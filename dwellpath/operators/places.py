@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwellpath.functions.geo import haversine_km
+from dwellpath.operators.joins import overlapping
 
 
 def place_candidates(visits: DataFrame, start: date, end: date, min_hours: float = 100.0, n: int = 20) -> DataFrame:
@@ -35,21 +36,28 @@ def work_months(visits: DataFrame, min_minutes: int = 2000) -> DataFrame:
 
 
 def dwell_periods(months: DataFrame, max_gap: int = 2, min_months: int = 2) -> DataFrame:
-    """Islands of a place's months with gaps of at most ``max_gap``; islands of enough rows stay."""
+    """Islands of a place's months with gaps of at most ``max_gap``; islands of enough rows stay.
+
+    An island's coordinate is that of its first month, where several are the one with most minutes.
+    """
     w = Window.partitionBy("subject_id", "place_id").orderBy("month", "lat", "lon")
     number = F.year("month") * 12 + F.month("month")
     m = months.withColumn("_no", number).withColumn("_new", (F.col("_no") - F.lag("_no").over(w) > max_gap).cast("int"))
     m = m.withColumn("island", F.coalesce(F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    first = F.struct("month", "lat", "lon")
+    first = F.struct("month", (-F.col("minutes")).alias("most"), "lat", "lon")
     g = m.groupBy("subject_id", "place_id", "island").agg(F.min("month").alias("first_month"), F.max("month").alias("last_month"), F.count(F.lit(1)).alias("n_rows"), (F.sum("minutes") / 60).alias("hours"), F.min(first).alias("_f"))
     return g.filter(F.col("n_rows") >= min_months).select("subject_id", "place_id", "island", "first_month", "last_month", "n_rows", "hours", F.col("_f.lat").alias("lat"), F.col("_f.lon").alias("lon"))
 
 
 def period_bounds(periods: DataFrame, visits: DataFrame) -> DataFrame:
     """Periods with the days of the place's first and last visit from the first month to a month after the last begins."""
-    v = visits.select("subject_id", "place_id", F.to_date("start_time").alias("_day"), "start_time", "end_time")
     keys = ["subject_id", "place_id"]
-    j = periods.select(*keys, "island", "first_month", "last_month").join(v, keys).filter((F.col("_day") >= F.col("first_month")) & (F.col("_day") <= F.add_months("last_month", 1)))
+    day = F.to_date("start_time")
+    at = lambda d: d.cast("timestamp_ntz")
+    v = visits.select(*keys, at(day).alias("_day"), at(F.date_add(day, 1)).alias("_next"), "start_time", "end_time")
+    p = periods.select(*keys, "island", at(F.col("first_month")).alias("_from"), at(F.date_add(F.add_months("last_month", 1), 1)).alias("_to"))
+    # in buckets of a month a visit meets the one or two periods around it
+    j = overlapping(v, p, keys, ("_day", "_next"), ("_from", "_to"), 30 * 86_400_000_000)
     b = j.groupBy(*keys, "island").agg(F.to_date(F.min("start_time")).alias("start_date"), F.to_date(F.max("end_time")).alias("end_date"))
     return periods.join(b, [*keys, "island"])
 

@@ -92,10 +92,14 @@ def list_visits(visits: DataFrame, locations: DataFrame, f: VisitFilter = VisitF
 
 def spots(visits: DataFrame, n: int | None = None) -> DataFrame:
     """Visits that share a coordinate to six decimals: all in no order, or the ``n`` most visited first."""
-    g = visits.groupBy(F.round("lat", 6).alias("lat6"), F.round("lon", 6).alias("lon6")).agg(
-        F.count(F.lit(1)).alias("n_visits"), F.sum("duration_minutes").alias("minutes"), F.min("start_time").alias("first_visit"), F.max("end_time").alias("last_visit"),
-        F.max(F.to_date("local_start_ts")).alias("last_day"), F.max("location_id").alias("location_id"), F.mode("place_name", True).alias("place_name"),
-    )
+    by_name = visits.groupBy(F.round("lat", 6).alias("lat6"), F.round("lon", 6).alias("lon6"), "place_name").agg(
+        F.count(F.lit(1)).alias("k"), F.sum("duration_minutes").alias("m"), F.min("start_time").alias("a"), F.max("end_time").alias("z"), F.max(F.to_date("local_start_ts")).alias("d"), F.max("location_id").alias("l")
+    )
+    # the name given most often, of equals the first; counted by name before, so a coordinate of many names needs no memory for them
+    often = F.when(F.col("place_name").isNotNull(), F.struct((-F.col("k")).alias("k"), "place_name"))
+    g = by_name.groupBy("lat6", "lon6").agg(
+        F.sum("k").alias("n_visits"), F.sum("m").alias("minutes"), F.min("a").alias("first_visit"), F.max("z").alias("last_visit"), F.max("d").alias("last_day"), F.max("l").alias("location_id"), F.min(often)["place_name"].alias("place_name")
+    )
     return g if n is None else page(g, [F.col("n_visits").desc(), F.col("lat6"), F.col("lon6")], n)
 
 

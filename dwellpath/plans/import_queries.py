@@ -15,13 +15,14 @@ from dwellpath.functions import parse as P
 from dwellpath.operators import imports as IM
 from dwellpath.operators import ingest as I
 from dwellpath.operators import places as H
+from dwellpath.operators import trips as T
 from dwellpath.operators.slices import time_slices
 from dwellpath.plans import fixtures as X
 from dwellpath.plans import sqltext
-from dwellpath.plans.lookup_queries import r3
+from dwellpath.plans.lookup_queries import geocoded, r3
 from dwellpath.plans.sqltext import hav, spheroid, sql
 from dwellpath.plans.trip_queries import trips as found_trips
-from dwellpath.sources.exports import TIMELINE, TRACKER, _fields, append_visits, read_anchor_ranges, read_timeline, read_timeline_lines, read_tracker, replace_source, write_movements, write_trips
+from dwellpath.sources.exports import TIMELINE, TRACKER, _fields, append_visits, movement_store, read_anchor_ranges, read_timeline, read_timeline_lines, read_tracker, read_trips, replace_source, visit_store, write_movements, write_trips
 from dwellpath.sources.scratch import scratch_folder, staged
 
 QUERIES: dict = {}
@@ -35,7 +36,7 @@ sqltext.STEPS.update(
         "work_places": "SELECT DISTINCT place_id FROM stays WHERE place_id LIKE 'w%'",
         "hmonths": "SELECT subject_id, place_id, CAST(date_trunc('month', start_time) AS DATE) AS month, lat, lon, count(*) AS n_visits, CAST(sum(duration_minutes) AS BIGINT) AS minutes FROM stays WHERE place_id NOT IN (SELECT place_id FROM work_places) GROUP BY 1, 2, 3, 4, 5 HAVING sum(duration_minutes) > 5000",
         "periods": """
-SELECT subject_id, place_id, island, min(month) AS first_month, max(month) AS last_month, count(*) AS n_rows, sum(minutes) / 60.0::DOUBLE AS hours, arg_min(lat, {'m': month, 'a': lat, 'b': lon}) AS lat, arg_min(lon, {'m': month, 'a': lat, 'b': lon}) AS lon
+SELECT subject_id, place_id, island, min(month) AS first_month, max(month) AS last_month, count(*) AS n_rows, sum(minutes) / 60.0::DOUBLE AS hours, arg_min(lat, {'m': month, 'x': -minutes, 'a': lat, 'b': lon}) AS lat, arg_min(lon, {'m': month, 'x': -minutes, 'a': lat, 'b': lon}) AS lon
 FROM (SELECT *, CAST(coalesce(sum(CASE WHEN gap > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY subject_id, place_id ORDER BY month, lat, lon ROWS UNBOUNDED PRECEDING), 0) AS BIGINT) AS island
   FROM (SELECT *, (year(month) * 12 + month(month)) - lag(year(month) * 12 + month(month)) OVER (PARTITION BY subject_id, place_id ORDER BY month, lat, lon) AS gap FROM hmonths))
 GROUP BY 1, 2, 3 HAVING count(*) >= 2""",
@@ -103,8 +104,8 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("id").alias("seq"), F.from_json("value", f"struct<{_fields(f'{IDS}, {TRACKER}')}>").alias("r")).select("seq", "r.*")
 
 
-#: Files that a container's records are dealt to.
-FILES = 8
+#: Records of one export file: files grow in number with the tables, not in size.
+A_FILE = 5_000
 
 
 def _one_a_file(lists: DataFrame, path: str, **options: str) -> str:
@@ -114,10 +115,10 @@ def _one_a_file(lists: DataFrame, path: str, **options: str) -> str:
 
 
 def _lists(text: DataFrame, field: str | None) -> DataFrame:
-    """The records of each of FILES parts as one JSON list, in an object's ``field`` or bare."""
+    """The records of each range of A_FILE ids as one JSON list, in an object's ``field`` or bare."""
     whole = F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "value"))), lambda x: x["value"]), ","), F.lit("]"))
     value = whole if field is None else F.concat(F.lit('{"' + field + '":'), whole, F.lit("}"))
-    return text.groupBy((F.col("id") % FILES).alias("part")).agg(value.alias("value")).select("value")
+    return text.groupBy(F.floor(F.col("id") / A_FILE).alias("part")).agg(value.alias("value")).orderBy("part").select("value")  # files in the order of ids
 
 
 def timeline_files(spark: SparkSession, d: str) -> DataFrame:
@@ -127,12 +128,12 @@ def timeline_files(spark: SparkSession, d: str) -> DataFrame:
     _one_a_file(_lists(t.filter("id % 4 = 1"), None), f"{path}/lists")
     _one_a_file(_lists(t.filter("id % 4 = 3"), "timelineObjects"), f"{path}/objects")
     whole = read_timeline(spark, f"{path}/lists", IDS).unionByName(read_timeline(spark, f"{path}/objects", IDS))
-    return read_timeline_lines(spark, f"{path}/lines", IDS).withColumn("seq", F.col("id").cast("bigint")).unionByName(whole.withColumn("seq", F.col("id").cast("bigint")))
+    return read_timeline_lines(spark, f"{path}/lines", IDS).unionByName(whole)
 
 
 def tracker_files(spark: SparkSession, d: str) -> DataFrame:
     path = _one_a_file(_lists(tracker_text(spark, d), "timelineItems"), scratch_folder(spark), compression="gzip")
-    return read_tracker(spark, path, IDS).withColumn("seq", F.col("id"))
+    return read_tracker(spark, path, IDS)
 
 
 @query("SELECT subject_id, id, CASE id % 6 WHEN 0 THEN 'breadcrumb' WHEN 1 THEN 'activity' WHEN 2 THEN 'segment' ELSE 'visit' END AS kind FROM visits UNION ALL SELECT subject_id, id, CASE id % 6 WHEN 0 THEN 'breadcrumb' WHEN 1 THEN 'activity' WHEN 2 THEN 'segment' ELSE 'visit' END FROM visits WHERE id % 2 = 1 AND id % 5 = 0")
@@ -180,10 +181,10 @@ FROM (SELECT * FROM stored_moves WHERE CASE WHEN cut IS NULL THEN true WHEN end_
 LEFT JOIN ({_joined('start_time', 'start_lat', 'start_lon', 'end_time')}) a ON m.subject_id = a.subject_id AND m.id = a.id LEFT JOIN ({_joined('end_time', 'end_lat', 'end_lon', 'start_time')}) b ON m.subject_id = b.subject_id AND m.id = b.id""")
 def q_import_movements(spark, d):
     """The movements job from files beside stored movements: every fifth, of which the last week is replaced."""
-    raw, v = timeline_files(spark, d).dropDuplicates(["id"]), staged(X.visits(spark, d))
-    write_movements(IM.import_movements(records(spark, d).drop("kind"), v).filter("id % 5 = 0"), f"{(path := scratch_folder(spark))}/stored")
-    have = spark.read.parquet(f"{path}/stored").drop("month")
-    m = IM.import_movements(raw, v, have)
+    v, path = staged(X.visits(spark, d)), f"{scratch_folder(spark)}/stored"
+    write_movements(IM.import_movements(records(spark, d).drop("kind"), v).filter("id % 5 = 0"), path)
+    IM.revise_stored(timeline_files(spark, d), v, path)
+    m = movement_store(spark, path).read()
     return m.select(
         "subject_id", "id", "movement_type", "start_time", "local_start_ts", *r3("distance_meters"), F.col("metadata")["format"].alias("format"), F.coalesce(F.col("metadata")["edit_status"], F.lit("")).alias("edit_status"),
         F.coalesce("preceding_visit_id", F.lit(-1)).alias("preceding"), F.coalesce("following_visit_id", F.lit(-1)).alias("following"),
@@ -201,9 +202,9 @@ def q_import_tracker(spark, d):
     """The tracker job from files: movements of subjects without stored ones, and names for visits."""
     v = staged(X.visits(spark, d))
     first, _ = IM.import_tracker(items(spark, d).filter("subject_id % 4 = 0 and id % 2 = 0"), v)
-    write_movements(first, f"{(path := scratch_folder(spark))}/stored")
-    have = spark.read.parquet(f"{path}/stored").drop("month")
-    m, named = IM.import_tracker(tracker_files(spark, d).drop("file"), v, have)
+    write_movements(first, path := f"{scratch_folder(spark)}/stored")
+    have = movement_store(spark, path).read().drop("month")
+    m, named = IM.import_tracker(tracker_files(spark, d), v, have)
     m = m.select(F.lit("movement").alias("what"), "subject_id", "id", "local_start_ts", *r3("distance_meters"), F.coalesce(F.col("metadata")["item_id"], F.lit("")).alias("name"))
     empty = [F.lit(None).cast("timestamp_ntz").alias("local_start_ts"), F.lit(None).cast("double").alias("distance_meters")]
     return m.unionByName(named.select(F.lit("visit").alias("what"), "subject_id", "id", *empty, F.col("place_name").alias("name")))
@@ -215,7 +216,7 @@ def q_visit_sink(spark, d):
     v, path = X.visits(spark, d), f"{scratch_folder(spark)}/visits"
     append_visits(v.filter("id % 2 = 0"), path)
     append_visits(v.filter("id % 2 = 1"), path)
-    return spark.read.schema("subject_id bigint, id bigint, month string").parquet(path)
+    return visit_store(spark, path).read().select("subject_id", "id", "month")
 
 
 @query("SELECT subject_id, id, source, strftime(start_time, '%Y-%m') AS month FROM movements WHERE source <> 'phone' OR id % 3 = 0")
@@ -223,18 +224,21 @@ def q_movement_sink(spark, d):
     """Movements written, then one source's replaced by a part of them as stored."""
     path = f"{scratch_folder(spark)}/movements"
     write_movements(X.movements(spark, d), path)
-    m = X.movements(spark, d).schema
-    back = spark.read.schema(m).parquet(path)
-    replace_source(back.filter("id % 3 = 0"), path, "phone")
-    return spark.read.schema("subject_id bigint, id bigint, source string, month string").parquet(path)
+    back = movement_store(spark, path).read()
+    replace_source(back.filter("id % 3 = 0").drop("month"), path, "phone")
+    return movement_store(spark, path).read().select("subject_id", "id", "source", "month")
 
 
-@query("SELECT t.trip_id, t.category, b.visit_id FROM trip_rows t JOIN bridge b ON t.trip_id = b.trip_id")
+@query("SELECT t.trip_id, t.category, t.local_start_ts, n.display_name, array_to_string(c.cities, ',') AS cities, p.primary_location_id, b.visit_id FROM trip_rows t JOIN bridge b ON t.trip_id = b.trip_id LEFT JOIN tnames n ON t.trip_id = n.trip_id LEFT JOIN tcities c ON t.trip_id = c.trip_id LEFT JOIN tprimary p ON t.trip_id = p.trip_id")
 def q_trip_sink(spark, d):
-    path = scratch_folder(spark)
-    write_trips(found_trips(spark, d), path)
-    t = spark.read.schema("trip_id string, category string").parquet(f"{path}/trips")
-    return t.join(spark.read.schema("trip_id string, visit_id bigint").parquet(f"{path}/trip_visits"), "trip_id")
+    """Half of the trips stored first, then all: those stored already are passed over."""
+    path, t = scratch_folder(spark), staged(found_trips(spark, d))
+    l = staged(T.located(T.trip_visits(t), *geocoded(spark, d)))
+    names = T.trip_names(l).join(T.trip_cities(l), "trip_id", "full").join(T.trip_primary_location(l), "trip_id", "full")
+    write_trips(t.filter("subject_id % 2 = 0"), path, names)
+    write_trips(t, path, names)
+    stored, bridge = read_trips(spark, path)
+    return stored.join(bridge.select("trip_id", "visit_id"), "trip_id").select("trip_id", "category", "local_start_ts", "display_name", F.array_join("cities", ",").alias("cities"), "primary_location_id", "visit_id")
 
 
 # ------------------------------------------------------------------ parsing steps
@@ -389,7 +393,7 @@ def q_anchor_ranges(spark, d):
     h = X.homes(spark, d).withColumn("start_date", F.col("start_date").cast("string")).withColumn("end_date", F.col("end_date").cast("string"))
     entry = F.struct("subject_id", "lat", "lon", "place_id", "name", "start_date", "end_date")
     lists = h.groupBy("subject_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("pos", entry.alias("e")))), lambda x: x["e"])).alias("value"))
-    r = read_anchor_ranges(spark, _one_a_file(lists.select("value").repartition(FILES), scratch_folder(spark)), "subject_id bigint")
+    r = read_anchor_ranges(spark, _one_a_file(lists.select("value"), scratch_folder(spark)), "subject_id bigint")
     return r.select("subject_id", "pos", "name", *r3("lat"), *[F.coalesce(F.col(c).cast("string"), F.lit("open")).alias(c) for c in ("start_date", "end_date")])
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dwellpath.operators.ingest import revision, revision_kept
 from dwellpath.sources.records import json_records, text_lines
-from dwellpath.sources.scratch import scratch_folder
+from dwellpath.sources.scratch import staged
+from dwellpath.sources.store import Store
 
 #: Read schemas; every field can be missing.
 TIMELINE = """startTime string, endTime string,
@@ -70,37 +74,86 @@ def _by_month(df: DataFrame) -> DataFrame:
     return df.withColumn("month", F.date_format("start_time", "yyyy-MM"))
 
 
+def visit_store(spark: SparkSession, path: str) -> Store:
+    return Store(spark, path, ("month",))
+
+
+def movement_store(spark: SparkSession, path: str) -> Store:
+    return Store(spark, path, ("source", "month"))
+
+
 def append_visits(visits: DataFrame, path: str) -> None:
     """Append to the stored visits, by month of the start."""
-    _by_month(visits).write.mode("append").partitionBy("month").parquet(path)
+    visit_store(visits.sparkSession, path).write(_by_month(visits))
 
 
 def write_movements(movements: DataFrame, path: str) -> None:
     """Append to the stored movements, by source and month of the start."""
-    _by_month(movements).write.mode("append").partitionBy("source", "month").parquet(path)
+    movement_store(movements.sparkSession, path).write(_by_month(movements))
 
 
 def replace_source(movements: DataFrame, path: str, source: str) -> None:
-    """Replace one source's stored movements; the files of other sources are not touched.
+    """Replace one source's stored movements, by rows that may be made from the stored ones; all at once, or not at all."""
+    movement_store(movements.sparkSession, path).write(_by_month(movements.filter(F.col("source") == source)), replace=lambda p: p[0] == source)
+
+
+def revise_movements(new: DataFrame, path: str, source: str, days: int = 7, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> set[tuple[str, ...]]:
+    """Bring new movements of ``source`` into the stored ones by ``merge_revision_window``; only the months that change are read whole and written.
 
-    The rows may be made from the stored ones, so they are written to the shared scratch folder
-    before the old files go.
+    A subject's later stored rows go and later new rows come; the partitions that either is in are
+    written anew. Returns the partitions written.
     """
-    ready = f"{scratch_folder(movements.sparkSession)}/replace"
-    own = movements.filter(F.col("source") == source).drop("source")
-    own.write.parquet(ready)
-    again = movements.sparkSession.read.schema(own.schema).parquet(ready)
-    _by_month(again).write.mode("overwrite").partitionBy("month").parquet(f"{path}/source={source}")
+    store = movement_store(new.sparkSession, path)
+    stored = store.read(lambda p: p[0] == source)
+    if stored is None:
+        return store.write(_by_month(prepare(new)))
+    going, coming = revision(stored, new, source, days)
+    coming = staged(_by_month(prepare(coming)))
+    changed = _months(going.select("month")).union(_months(coming.select("month"))).distinct()
+    months = {r["month"] for r in changed.collect()}  # of a calendar
+    touched = lambda p: p[0] == source and p[1] in months
+    kept = revision_kept(store.read(touched), going)
+    return store.write(kept.unionByName(coming.select(*kept.columns)), replace=touched)
+
+
+def _months(df: DataFrame) -> DataFrame:
+    return df.select(F.col("month").cast("string").alias("month")).distinct()
+
+
+TRIP = ("trip_id", "subject_id", "start_time", "end_time", "local_start_ts", "local_end_ts", "category", "display_name", "cities", "primary_location_id")
+
+
+def trip_stores(spark: SparkSession, path: str) -> tuple[Store, Store]:
+    """Trips by month of the start, and their bridge to visits by the same."""
+    return Store(spark, f"{path}/trips", ("month",)), Store(spark, f"{path}/trip_visits", ("month",))
 
 
-def write_trips(trips: DataFrame, path: str) -> None:
-    """Append trips and their bridge to visits, as ``trips`` and ``trip_visits`` below ``path``.
+def write_trips(trips: DataFrame, path: str, names: DataFrame | None = None, force: bool = False) -> DataFrame:
+    """Store trips and their bridge to visits; a trip whose subject, start and end are stored already is passed over, with its visits.
 
-    The trips are written first and the bridge is made from what was written, so both agree.
+    ``names``: trip_id with display_name, cities and primary_location_id, of which any may be
+    missing. ``force``: in place of all that is stored. The bridge is committed first, so no trip
+    is seen without its visits, and readers take the bridge of stored trips alone. Returns the trips
+    that came new.
     """
     spark = trips.sparkSession
-    ready = f"{scratch_folder(spark)}/trips"
-    trips.write.parquet(ready)
-    t = spark.read.schema(trips.schema).parquet(ready)
-    t.drop("visit_ids").write.mode("append").parquet(f"{path}/trips")
-    t.select("trip_id", "subject_id", F.explode("visit_ids").alias("visit_id")).distinct().write.mode("append").parquet(f"{path}/trip_visits")
+    t_store, b_store = trip_stores(spark, path)
+    stored = None if force else t_store.read()
+    key = ["subject_id", "start_time", "end_time"]
+    new = trips.dropDuplicates(key) if stored is None else trips.dropDuplicates(key).join(stored.select(*key), key, "left_anti")
+    if names is not None:
+        new = new.join(names.select("trip_id", *[c for c in TRIP if c in names.columns and c != "trip_id"]), "trip_id", "left")
+    new = staged(_by_month(new))
+    pairs = new.select("trip_id", "subject_id", F.explode("visit_ids").alias("visit_id"), "month").distinct()
+    b_store.write(pairs, replace=lambda _: force)
+    t_store.write(new.select(*[c for c in TRIP if c in new.columns], "month"), replace=lambda _: force)
+    return new
+
+
+def read_trips(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(trips, bridge) as stored."""
+    t_store, b_store = trip_stores(spark, path)
+    trips = t_store.read()
+    if trips is None:
+        raise FileNotFoundError(f"no trips are stored in {path}")
+    return trips, b_store.read().join(trips.select("trip_id"), "trip_id", "left_semi").distinct()
