@@ -56,17 +56,63 @@ def in_box(lat, lon, south: float, west: float, north: float, east: float) -> Co
 
 def radius_box(lat, lon, at_lat: float, at_lon: float, km: float) -> Column:
     """A box that holds every point within ``km``; it can be pushed to a scan."""
+    south, west, north, east = radius_extent(at_lat, at_lon, km)
+    box = _c(lat).between(south, north)
+    return box if (west, east) == (-180.0, 180.0) else box & _c(lon).between(west, east)
+
+
+Z_BITS = 16
+
+
+def z_key(lat, lon) -> Column:
+    """Z-order key: the cell numbers of both axes with their bits in turn, so that points near each other mostly have keys near each other."""
+    def spread(x: Column) -> Column:
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask).cast("long"))
+        return x
+
+    def cell(v: Column, low: float, span: float) -> Column:
+        at = F.floor((v - F.lit(low)) / F.lit(span) * F.lit(float(1 << Z_BITS))).cast("long")
+        return F.greatest(F.lit(0).cast("long"), F.least(F.lit((1 << Z_BITS) - 1).cast("long"), at))
+
+    x, y = spread(cell(_c(lon), -180.0, 360.0)), spread(cell(_c(lat), -90.0, 180.0))
+    return F.shiftleft(y, 1).bitwiseOR(x)
+
+
+def z_ranges(south: float, west: float, north: float, east: float, most: int = 32) -> list[tuple[int, int]]:
+    """At most about ``most`` ranges of keys, ends included, that hold the keys of all points of a box: quarters of the world, split where the box's edge runs through them."""
+    side = 1 << Z_BITS
+    at = lambda v, low, span: max(0, min(side - 1, int((v - low) / span * side // 1)))
+    x0, x1, y0, y1 = at(west, -180.0, 360.0), at(east, -180.0, 360.0), at(south, -90.0, 180.0), at(north, -90.0, 180.0)
+    whole, open_cells = [], [(0, 0, side)]
+    while open_cells and len(whole) + len(open_cells) < most:
+        x, y, n = max(open_cells, key=lambda c: c[2])
+        open_cells.remove((x, y, n))
+        h = n // 2
+        for a, b in ((x, y), (x + h, y), (x, y + h), (x + h, y + h)):
+            if a > x1 or a + h - 1 < x0 or b > y1 or b + h - 1 < y0:
+                continue
+            inside = h == 1 or (x0 <= a and a + h - 1 <= x1 and y0 <= b and b + h - 1 <= y1)
+            (whole if inside else open_cells).append((a, b, h))
+    key = lambda x, y: sum(((x >> k & 1) << 2 * k) | ((y >> k & 1) << 2 * k + 1) for k in range(Z_BITS))
+    out: list[tuple[int, int]] = []
+    for a, z in sorted((key(x, y), key(x, y) + n * n - 1) for x, y, n in whole + open_cells):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
+
+
+def radius_extent(lat: float, lon: float, km: float) -> tuple[float, float, float, float]:
+    """A box (south, west, north, east) that holds every point within ``km``; all longitudes where the circle meets a pole or 180 degrees."""
     import math
 
     dlat = km / KM_PER_DEGREE
-    south, north = at_lat - dlat, at_lat + dlat
-    box = _c(lat).between(south, north)
+    south, north = lat - dlat, lat + dlat
     far = max(abs(south), abs(north))
-    if far < 89.0:
-        dlon = km / (KM_PER_DEGREE * math.cos(math.radians(far)))
-        if -180.0 <= at_lon - dlon and at_lon + dlon <= 180.0:
-            box = box & _c(lon).between(at_lon - dlon, at_lon + dlon)
-    return box
+    dlon = km / (KM_PER_DEGREE * math.cos(math.radians(far))) if far < 89.0 else 360.0
+    return (south, -180.0, north, 180.0) if lon - dlon < -180 or lon + dlon > 180 else (south, lon - dlon, north, lon + dlon)
 
 
 def ring_edges(ring: Column) -> Column:

@@ -232,7 +232,7 @@ def link_visits(movements: DataFrame, visits: DataFrame, minutes: int = 5, metre
     def best(t: str, lat: str, lon: str, v_t: str, name: str) -> DataFrame:
         m = movements.select("subject_id", F.col("id").alias("_m"), F.col(t).alias("_t"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
         v = visits.select("subject_id", F.col("id").alias("_v"), F.col(v_t).alias("_vt"), "lat", "lon")
-        c = near_in_time(m, v, "_t", "_vt", ["subject_id"], minutes * MINUTE).withColumn("_d", distance_m("_lat", "_lon", "lat", "lon")).filter(F.col("_d") <= metres)
+        c = near_in_time(m, v, "_t", "_vt", ["subject_id"], minutes * MINUTE, (("_lat", "_lon"), ("lat", "lon"), metres)).withColumn("_d", distance_m("_lat", "_lon", "lat", "lon")).filter(F.col("_d") <= metres)
         rank = F.struct(F.abs(between_micros("_t", "_vt")).alias("g"), F.col("_d"), F.col("_v"))
         return c.groupBy("subject_id", F.col("_m").alias("id")).agg(F.min_by("_v", rank).alias(name))
 

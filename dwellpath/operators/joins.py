@@ -23,18 +23,70 @@ def bucket(t: Column, width_us: int) -> Column:
     return F.floor(t / F.lit(width_us)).cast("long")
 
 
-def near_in_time(left: DataFrame, right: DataFrame, left_t: str, right_t: str, by: list[str], within_us: int, how: str = "inner") -> DataFrame:
+def near_in_time(left: DataFrame, right: DataFrame, left_t: str, right_t: str, by: list[str], within_us: int, place: tuple[tuple[str, str], tuple[str, str], float] | None = None) -> DataFrame:
     """Join rows of one key whose times are at most ``within_us`` apart, edges included.
 
     Buckets are twice that wide: a right row has one, a left row at most two, so no pair comes
-    twice. The sides may share the ``by`` columns only.
+    twice. The sides may share the ``by`` columns only. ``place``: (lat, lon) of the left, of the
+    right, and metres; rows then meet only in cells of about that size, and no pair within the metres is missed.
     """
     width = max(1, 2 * within_us)
     lo, hi = bucket(micros(left_t) - within_us, width), bucket(micros(left_t) + within_us, width)
     a = left.withColumn("_b", F.explode(F.when(lo == hi, F.array(lo)).otherwise(F.array(lo, hi))))
     b = _own_names(right, by).withColumn("_c", bucket(micros(right_t), width))
-    on = [F.col(c) == F.col(f"_r_{c}") for c in by] + [F.col("_b") == F.col("_c"), F.abs(micros(left_t) - micros(right_t)) <= within_us]
-    return a.join(b, on, how).drop("_b", "_c", *[f"_r_{c}" for c in by])
+    on = [F.col(c) == F.col(f"_r_{c}") for c in by] + [F.col("_b") == F.col("_c")]
+    if place is not None:
+        here, there, metres = place
+        a = a.withColumn("_p", F.explode(cells_near(*map(F.col, here), metres)))
+        b = b.withColumn("_q", cell_of(*map(F.col, there), metres))
+        on.append(F.col("_p") == F.col("_q"))
+    on.append(F.abs(micros(left_t) - micros(right_t)) <= within_us)
+    return a.join(b, on).drop("_b", "_c", "_p", "_q", *[f"_r_{c}" for c in by])
+
+
+#: Metres of a degree of latitude at least, on the sphere and the spheroid.
+METRES_A_DEGREE = 110_500.0
+
+
+def _height(metres: float) -> float:
+    return 2 * metres / METRES_A_DEGREE
+
+
+def _columns(row: Column, metres: float) -> Column:
+    """Cells round the earth in a row: each is twice the metres wide where the row is narrowest, but there is one at least."""
+    h = _height(metres)
+    low, high = row * h - 90, (row + 1) * h - 90
+    narrow = F.cos(F.radians(F.least(F.lit(90.0), F.greatest(F.abs(low), F.abs(high)))))
+    return F.greatest(F.lit(1), F.floor(narrow * (360 / h))).cast("long")
+
+
+def _cell(row: Column, column: Column) -> Column:
+    """One number for a cell: no row has as many columns as a degree of a metre has parts."""
+    return row * (1 << 32) + column
+
+
+def cell_of(lat: Column, lon: Column, metres: float) -> Column:
+    """The cell of a point in a grid whose cells are at least twice the metres high and wide."""
+    row = F.floor((lat + 90) / _height(metres)).cast("long")
+    n = _columns(row, metres)
+    return _cell(row, F.pmod(F.floor((lon + 180) / 360 * n).cast("long"), n))
+
+
+def cells_near(lat: Column, lon: Column, metres: float) -> Column:
+    """All cells with points within the metres, as an array: four or six at most, more only near the poles."""
+    reach = metres / METRES_A_DEGREE
+    at = lambda d: F.floor((lat + 90 + d) / _height(metres)).cast("long")
+    far = F.abs(lat) + reach
+    wide = F.when(far < 89.9, reach / F.cos(F.radians(far))).otherwise(F.lit(360.0))
+
+    def of_row(row: Column) -> Column:
+        n = _columns(row, metres)
+        col = lambda d: F.floor((lon + 180 + d) / 360 * n).cast("long")
+        round_it = col(wide) - col(-wide) >= n
+        some = F.sequence(F.when(round_it, F.lit(0)).otherwise(col(-wide)), F.when(round_it, n - 1).otherwise(col(wide)))
+        return F.transform(some, lambda c: _cell(row, F.pmod(c, n)))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(at(-reach), at(reach)), of_row)))
 
 
 def _own_names(right: DataFrame, by: list[str]) -> DataFrame:

@@ -8,8 +8,9 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dwellpath.functions.geo import distance_m, in_box, radius_box
+from dwellpath.functions.geo import distance_m, in_box, radius_box, radius_extent, z_ranges
 from dwellpath.functions.names import format_full, some
+from dwellpath.sources.store import Store
 
 MAX_VISITS, MAX_LISTED, MAX_MOVEMENTS = 50_000, 1_000, 10_000
 
@@ -54,6 +55,11 @@ class VisitFilter:
             out.append(F.col("location_id") == self.location_id)
         return out
 
+    def key_ranges(self) -> list[Column]:
+        """Conditions on ``z_key`` that hold wherever those on place do: for tables laid out by it."""
+        boxes = [b for b in (self.box, self.near and radius_extent(*self.near)) if b]
+        return [F.expr(" or ".join(f"z_key between {a} and {z}" for a, z in z_ranges(*b))) for b in boxes]
+
 
 def within_km(lat: float, lon: float, km: float) -> Column:
     """At most ``km`` away on the spheroid; the box can be pushed to the scan."""
@@ -61,7 +67,7 @@ def within_km(lat: float, lon: float, km: float) -> Column:
 
 
 def apply_filter(visits: DataFrame, f: VisitFilter, trip_visits: DataFrame | None = None) -> DataFrame:
-    for c in f.conditions():
+    for c in [*f.conditions(), *(f.key_ranges() if "z_key" in visits.columns else [])]:
         visits = visits.filter(c)
     if f.trip_id is not None:
         if trip_visits is None:
@@ -77,6 +83,28 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0, most:
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def newest_after(store: Store, limit: int, after: tuple[datetime, int] | None = None, f: VisitFilter = VisitFilter()) -> DataFrame:
+    """The page of the newest stored visits that follows a row (start_time, id), or the first.
+
+    Months are read from that row's back until they hold a page, so a late page reads as little as
+    an early one and nothing is sorted but what is on it or ties with it.
+    """
+    if not 1 <= limit <= MAX_VISITS:
+        raise ValueError(f"limit must be 1 to {MAX_VISITS}")
+    months = sorted({p[0] for p in store.partitions() if after is None or p[0] <= after[0].strftime("%Y-%m")}, reverse=True)
+    step, found = 1, store.read(lambda p: False)
+    while months and found is not None:
+        own, months, step = months[:step], months[step:], step * 2
+        rows = apply_filter(store.read(lambda p: p[0] in own), f)  # noqa: B023
+        if after is not None:
+            at = F.lit(after[0].isoformat(" ")).cast("timestamp_ntz")
+            rows = rows.filter((F.col("start_time") < at) | ((F.col("start_time") == at) & (F.col("id") < after[1])))
+        found = found.unionByName(rows)
+        if not months or found.select("id").limit(limit).count() == limit:
+            break
+    return found.orderBy(*newest()).limit(limit)
+
+
 def newest() -> list[Column]:
     return [F.col("start_time").desc(), F.col("id").desc()]
 

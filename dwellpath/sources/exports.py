@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dwellpath.functions.geo import z_key
 from dwellpath.operators.ingest import revision, revision_kept
 from dwellpath.sources.records import json_records, text_lines
 from dwellpath.sources.scratch import staged
@@ -82,9 +83,17 @@ def movement_store(spark: SparkSession, path: str) -> Store:
     return Store(spark, path, ("source", "month"))
 
 
-def append_visits(visits: DataFrame, path: str) -> None:
-    """Append to the stored visits, by month of the start."""
-    visit_store(visits.sparkSession, path).write(_by_month(visits))
+def append_visits(visits: DataFrame, path: str, rows_a_group: int | None = None) -> None:
+    """Append to the stored visits, by month of the start and in it by place.
+
+    Rows are dealt out and sorted by (month, z_key), so a file and a group of rows in it hold a
+    small area, and readers of a box skip the others by the bounds of z_key, lat and lon that Parquet keeps.
+    ``rows_a_group``: smaller groups than Parquet's default, for tables that are small or read in small boxes.
+    """
+    v = _by_month(visits).withColumn("z_key", z_key("lat", "lon"))
+    laid = v.repartitionByRange("month", "z_key").sortWithinPartitions("month", "z_key")
+    options = {"parquet.block.row.count.limit": str(rows_a_group), "parquet.page.row.count.limit": str(rows_a_group)} if rows_a_group else {}
+    visit_store(visits.sparkSession, path).write(laid, **options)
 
 
 def write_movements(movements: DataFrame, path: str) -> None:

@@ -83,7 +83,7 @@ class Store:
 
     # -------------------------------------------------------------- writing
 
-    def write(self, rows: DataFrame, replace: Callable[[Partition], bool] = lambda _: False) -> set[Partition]:
+    def write(self, rows: DataFrame, replace: Callable[[Partition], bool] = lambda _: False, **options: str) -> set[Partition]:
         """Add ``rows``, in place of what the partitions to replace held; the partitions that got rows.
 
         Rows may be made from the table itself: its files stay as they are.
@@ -92,7 +92,7 @@ class Store:
 
         number, manifest = self._manifest()
         version = uuid.uuid4().hex
-        rows.withColumn(VERSION, F.lit(version)).write.mode("append").partitionBy(*self.by, VERSION).parquet(self.path)
+        rows.withColumn(VERSION, F.lit(version)).write.mode("append").options(**options).partitionBy(*self.by, VERSION).parquet(self.path)
         written = self._written(version)
         kept = {k: v for k, v in manifest["partitions"].items() if not replace(tuple(json.loads(k)))}
         for p in written:
