@@ -27,7 +27,10 @@ MAX_CELLS_A_SIDE = 8
 MAX_EDGES = 64
 _FLUSH = 200_000
 
-SCHEMA = "osm_id long, _size double, _y long, _x long, odd boolean, edges array<struct<ax double, ay double, bx double, by double>>"
+#: An outline of so few edges is listed whole in each of its cells.
+FEW_EDGES = 16
+
+SCHEMA = "osm_id long, _size double, _y long, _x long, east double, south double, odd boolean, edges array<struct<ax double, ay double, bx double, by double>>"
 
 
 # ------------------------------------------------------------------ cutting polygons, in numpy
@@ -96,8 +99,12 @@ def _touched(e: np.ndarray, size: float, x0: int, y0: int, nx: int, ny: int) ->
     return edge[order], cell[order]
 
 
-def polygon_cells(e: np.ndarray) -> Iterator[tuple[float, int, int, bool, np.ndarray]]:
-    """(size, y, x, parity of the south-east corner, edges) of the cells that a polygon covers or touches."""
+def polygon_cells(e: np.ndarray) -> Iterator[tuple[float, int, int, float, float, bool, np.ndarray]]:
+    """(size, y, x, longitude and latitude of the corner, its parity, edges) of the cells that a polygon covers or touches.
+
+    The corner is the cell's south-east one; where the edges are few, all are listed and the corner
+    is one outside of them.
+    """
     if not e.shape[1]:
         return
     west, south, east, north = min(e[0].min(), e[2].min()), min(e[1].min(), e[3].min()), max(e[0].max(), e[2].max()), max(e[1].max(), e[3].max())
@@ -107,6 +114,9 @@ def polygon_cells(e: np.ndarray) -> Iterator[tuple[float, int, int, bool, np.nda
     x0, y0 = at(west), at(south)
     nx, ny = at(east) - x0 + 1, at(north) - y0 + 1
     far = (x0 + nx) * SIZES[level], y0 * SIZES[level]
+    if e.shape[1] <= FEW_EDGES:
+        yield from ((SIZES[level], y0 + k // nx, x0 + k % nx, *far, False, e) for k in range(nx * ny))
+        return
     grids = [(level, x0, y0, nx, ny, e, *far, False)]
     while grids:
         level, x0, y0, nx, ny, e, east, south, odd = grids.pop()
@@ -121,7 +131,7 @@ def polygon_cells(e: np.ndarray) -> Iterator[tuple[float, int, int, bool, np.nda
             parity = bool(odd[y, x])
             if len(own) <= MAX_EDGES or level + 1 == len(SIZES):
                 if len(own) or parity:
-                    yield size, y0 + y, x0 + x, parity, e[:, own]
+                    yield size, y0 + y, x0 + x, float(xs[x]), float(ys[y]), parity, e[:, own]
             else:
                 grids.append((level + 1, (x0 + x) * 8, (y0 + y) * 8, 8, 8, e[:, own], xs[x], ys[y], parity))
 
@@ -165,17 +175,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _batch(rows: list) -> pa.RecordBatch:
-    ids, sizes, ys, xs, odd, edges = zip(*rows, strict=True)
+    ids, sizes, ys, xs, east, south, odd, edges = zip(*rows, strict=True)
     e = np.concatenate(edges, axis=1)
     offsets = pa.array(np.cumsum([0, *[x.shape[1] for x in edges]]), pa.int32())
     lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(c) for c in e], names=["ax", "ay", "bx", "by"]))
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(ys, pa.int64()), pa.array(xs, pa.int64()), pa.array(odd), lists], names=["osm_id", "_size", "_y", "_x", "odd", "edges"])
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(ys, pa.int64()), pa.array(xs, pa.int64()), pa.array(east), pa.array(south), pa.array(odd), lists], names=["osm_id", "_size", "_y", "_x", "east", "south", "odd", "edges"])
 
 
 # ------------------------------------------------------------------ on Spark
 
 def boundary_cells(boundaries: DataFrame) -> DataFrame:
-    """(osm_id, _size, _y, _x, odd, edges): the grid cells that each boundary covers or touches.
+    """(osm_id, _size, _y, _x, east, south, odd, edges): the grid cells that each boundary covers or touches.
 
     Each boundary is cut where its row is, so nothing is shuffled. A cell without edges is listed
     only if it lies inside.

@@ -38,7 +38,7 @@ def point_in_boundary(points: DataFrame, boundaries: DataFrame) -> DataFrame:
     """
     p = points.select("lat6", "lon6", F.explode(cell_keys(F.col("lat6"), F.col("lon6"))).alias("_k")).select("lat6", "lon6", "_k.*")
     hits = p.join(boundary_cells(boundaries), ["_size", "_y", "_x"])
-    held = cell_holds(F.col("lon6"), F.col("lat6"), (F.col("_x") + 1) * F.col("_size"), F.col("_y") * F.col("_size"), F.col("odd"), F.col("edges"))
+    held = cell_holds(F.col("lon6"), F.col("lat6"), *map(F.col, ("east", "south", "odd", "edges")))
     return hits.filter(held).select("lat6", "lon6", "osm_id").join(boundaries.select("osm_id", "level", "name", "name_en"), "osm_id")
 
 

@@ -37,11 +37,10 @@ def near_in_time(left: DataFrame, right: DataFrame, left_t: str, right_t: str, b
     on = [F.col(c) == F.col(f"_r_{c}") for c in by] + [F.col("_b") == F.col("_c")]
     if place is not None:
         here, there, metres = place
-        a = a.withColumn("_p", F.explode(cells_near(*map(F.col, here), metres)))
-        b = b.withColumn("_q", cell_of(*map(F.col, there), metres))
-        on.append(F.col("_p") == F.col("_q"))
+        a, b = with_cells_near(a, *here, metres), with_cell(b, *there, metres)
+        on += [F.col("_row") == F.col("_r_row"), F.col("_col") == F.col("_r_col")]
     on.append(F.abs(micros(left_t) - micros(right_t)) <= within_us)
-    return a.join(b, on).drop("_b", "_c", "_p", "_q", *[f"_r_{c}" for c in by])
+    return a.join(b, on).drop("_b", "_c", "_row", "_col", "_r_row", "_r_col", *[f"_r_{c}" for c in by])
 
 
 #: Metres of a degree of latitude at least, on the sphere and the spheroid.
@@ -49,44 +48,33 @@ METRES_A_DEGREE = 110_500.0
 
 
 def _height(metres: float) -> float:
-    return 2 * metres / METRES_A_DEGREE
+    """Degrees of a cell: a little over twice the metres."""
+    return 2.001 * metres / METRES_A_DEGREE
 
 
 def _columns(row: Column, metres: float) -> Column:
-    """Cells round the earth in a row: each is twice the metres wide where the row is narrowest, but there is one at least."""
+    """Cells round the earth in a row: each is as wide in metres as high where the row is narrowest; rows within a degree of a pole have one."""
     h = _height(metres)
-    low, high = row * h - 90, (row + 1) * h - 90
-    narrow = F.cos(F.radians(F.least(F.lit(90.0), F.greatest(F.abs(low), F.abs(high)))))
-    return F.greatest(F.lit(1), F.floor(narrow * (360 / h))).cast("long")
+    far = F.abs((row + 0.5) * h - 90) + h / 2
+    return F.when(far > 89, 1).otherwise(F.floor(F.cos(F.radians(far)) * (360 / h))).cast("long")
 
 
-def _cell(row: Column, column: Column) -> Column:
-    """One number for a cell: no row has as many columns as a degree of a metre has parts."""
-    return row * (1 << 32) + column
+def with_cell(df: DataFrame, lat: str, lon: str, metres: float) -> DataFrame:
+    """``df`` with the cell of each point (_r_row, _r_col), in a grid whose cells are over twice the metres high and wide."""
+    d = df.withColumn("_r_row", F.floor((F.col(lat) + 90) / _height(metres)).cast("long")).withColumn("_n", _columns(F.col("_r_row"), metres))
+    return d.withColumn("_r_col", F.pmod(F.floor((F.col(lon) + 180) / 360 * F.col("_n")).cast("long"), F.col("_n"))).drop("_n")
 
 
-def cell_of(lat: Column, lon: Column, metres: float) -> Column:
-    """The cell of a point in a grid whose cells are at least twice the metres high and wide."""
-    row = F.floor((lat + 90) / _height(metres)).cast("long")
-    n = _columns(row, metres)
-    return _cell(row, F.pmod(F.floor((lon + 180) / 360 * n).cast("long"), n))
-
-
-def cells_near(lat: Column, lon: Column, metres: float) -> Column:
-    """All cells with points within the metres, as an array: four or six at most, more only near the poles."""
+def with_cells_near(df: DataFrame, lat: str, lon: str, metres: float) -> DataFrame:
+    """A row of ``df`` for each cell (_row, _col) that may have points within the metres: mostly one or two, six at most."""
     reach = metres / METRES_A_DEGREE
-    at = lambda d: F.floor((lat + 90 + d) / _height(metres)).cast("long")
-    far = F.abs(lat) + reach
-    wide = F.when(far < 89.9, reach / F.cos(F.radians(far))).otherwise(F.lit(360.0))
-
-    def of_row(row: Column) -> Column:
-        n = _columns(row, metres)
-        col = lambda d: F.floor((lon + 180 + d) / 360 * n).cast("long")
-        round_it = col(wide) - col(-wide) >= n
-        some = F.sequence(F.when(round_it, F.lit(0)).otherwise(col(-wide)), F.when(round_it, n - 1).otherwise(col(wide)))
-        return F.transform(some, lambda c: _cell(row, F.pmod(c, n)))
-
-    return F.array_distinct(F.flatten(F.transform(F.sequence(at(-reach), at(reach)), of_row)))
+    at = lambda d: F.floor((F.col(lat) + 90 + d) / _height(metres)).cast("long")
+    d = df.withColumn("_wide", reach / F.cos(F.radians(F.least(F.abs(lat) + reach, F.lit(89.9)))))
+    d = d.withColumn("_row", F.explode(F.array_distinct(F.array(at(-reach), at(reach))))).withColumn("_n", _columns(F.col("_row"), metres))
+    for name, sign in (("_a", -1), ("_z", 1)):
+        d = d.withColumn(name, F.floor((F.col(lon) + 180 + sign * F.col("_wide")) / 360 * F.col("_n")).cast("long"))
+    some = F.array_distinct(F.transform(F.array("_a", F.least(F.col("_a") + 1, F.col("_z")), "_z"), lambda c: F.pmod(c, F.col("_n"))))
+    return d.withColumn("_col", F.explode(some)).drop("_wide", "_n", "_a", "_z")
 
 
 def _own_names(right: DataFrame, by: list[str]) -> DataFrame:

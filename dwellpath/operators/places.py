@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwellpath.functions.geo import haversine_km
-from dwellpath.operators.joins import overlapping
 
 
 def place_candidates(visits: DataFrame, start: date, end: date, min_hours: float = 100.0, n: int = 20) -> DataFrame:
@@ -50,15 +49,17 @@ def dwell_periods(months: DataFrame, max_gap: int = 2, min_months: int = 2) -> D
 
 
 def period_bounds(periods: DataFrame, visits: DataFrame) -> DataFrame:
-    """Periods with the days of the place's first and last visit from the first month to a month after the last begins."""
+    """Periods with the days of the place's first and last visit from the first month to a month after the last begins.
+
+    Visits are summed up by month before they meet the months of periods, so none is copied and
+    none meets a period of another time. The day on which the month after begins is kept apart.
+    """
     keys = ["subject_id", "place_id"]
-    day = F.to_date("start_time")
-    at = lambda d: d.cast("timestamp_ntz")
-    v = visits.select(*keys, at(day).alias("_day"), at(F.date_add(day, 1)).alias("_next"), "start_time", "end_time")
-    p = periods.select(*keys, "island", at(F.col("first_month")).alias("_from"), at(F.date_add(F.add_months("last_month", 1), 1)).alias("_to"))
-    # in buckets of a month a visit meets the one or two periods around it
-    j = overlapping(v, p, keys, ("_day", "_next"), ("_from", "_to"), 30 * 86_400_000_000)
-    b = j.groupBy(*keys, "island").agg(F.to_date(F.min("start_time")).alias("start_date"), F.to_date(F.max("end_time")).alias("end_date"))
+    by_month = visits.groupBy(*keys, F.trunc("start_time", "month").alias("_month"), (F.dayofmonth("start_time") == 1).alias("_first_day")).agg(F.min("start_time").alias("_s"), F.max("end_time").alias("_e"))
+    after = F.add_months("last_month", 1)
+    months = periods.select(*keys, "island", "last_month", F.explode(F.sequence("first_month", after, F.expr("interval 1 month"))).alias("_month"))
+    j = months.join(by_month, [*keys, "_month"]).filter((F.col("_month") <= F.col("last_month")) | F.col("_first_day"))
+    b = j.groupBy(*keys, "island").agg(F.to_date(F.min("_s")).alias("start_date"), F.to_date(F.max("_e")).alias("end_date"))
     return periods.join(b, [*keys, "island"])
 
 

@@ -371,7 +371,7 @@ FROM raw t JOIN raw r ON t.subject_id = r.subject_id AND r.om IS NOT NULL WHERE
 def q_borrow_offset(spark, d):
     t = texts(spark, d).select("subject_id", "id", P.utc_instant("startTime").alias("start_time"), "startTime")
     offsets = t.select("subject_id", F.col("start_time").alias("at"), P.explicit_offset_minutes("startTime").alias("offset_minutes")).filter("offset_minutes is not null")
-    return I.borrow_offset(t.filter("id % 4 = 0"), offsets, ["subject_id"], time_slices(offsets, "at")).select("subject_id", "id", "offset_minutes").filter("offset_minutes is not null")
+    return I.borrow_offset(t.filter("id % 4 = 0"), offsets, ["subject_id"], time_slices(X.visits(spark, d))).select("subject_id", "id", "offset_minutes").filter("offset_minutes is not null")
 
 
 @query(f"SELECT id, round(CASE WHEN distance_meters IS NULL AND route IS NOT NULL THEN {spheroid('route[1].lat', 'route[1].lon', 'route[2].lat', 'route[2].lon')} + {spheroid('route[2].lat', 'route[2].lon', 'route[3].lat', 'route[3].lon')} ELSE distance_meters END, 3) AS distance_meters FROM movements")

@@ -71,7 +71,7 @@ def test_dense_outlines_split_and_small_ones_do_not():
     ring = star(g, 10, 50, 8, 50_000)
     e = C._edges([(np.array([x for x, _ in ring]), np.array([y for _, y in ring]))])
     rows = list(C.polygon_cells(e))
-    assert max(r[4].shape[1] for r in rows) <= C.MAX_EDGES
+    assert max(r[-1].shape[1] for r in rows) <= C.MAX_EDGES
     assert len(list(C.polygon_cells(C._edges([(np.array([0.0, 9, 9, 0]), np.array([0.0, 0, 9, 9]))])))) <= 81
     many = C._edges([(np.array([0.0, math.cos(k), math.cos(k + 0.01)]), np.array([0.0, math.sin(k), math.sin(k + 0.01)])) for k in range(100)])
     assert list(C.polygon_cells(many))  # all meet in one point: splitting ends at the smallest size
