@@ -3,12 +3,14 @@
 States are what was written last: nothing, system, user or assistant. Legal sequences are an
 optional system turn and then user and assistant in turn, ending with assistant. Each input
 turn is kept, relabelled or merged into what was written last, and empty turns may be put in
-before it or at the end; a conversation takes the cheapest way, ties by the order of ACTIONS.
+before it or at the end; a conversation takes the cheapest way; of ways that cost the same the one whose states come first, compared turn by turn in
+the order nothing, system, user, assistant, and for one pair of states the one with fewer empty turns.
 
-A turn's choices form a matrix over states in the (min, +) algebra. Turns are dealt out by
+A turn's choices form a matrix over states in the (min, +) algebra; beside each cost it has the
+rank of the way among those from the same state, so that ties fall the same however turns are dealt out. Turns are dealt out by
 ranges of (conversation, turn), so a conversation of any length lies on one or more tasks.
 Conversations within one task are repaired there. A task's first and last conversations may go
-on elsewhere: each such stretch gives one 4 x 4 matrix, the matrices (two a task) are multiplied
+on elsewhere: each such stretch gives one 4 x 4 matrix of costs and ranks, the matrices (two a task) are multiplied
 along the conversation for the states at the borders, and the stretch is then repaired between
 fixed states.
 
@@ -105,11 +107,29 @@ def _closing() -> list[tuple[int, list[int]]]:
 _CLOSE = _closing()
 
 
-def product(roles: list[int]) -> np.ndarray:
-    """The (min, +) product of the turns' matrices."""
-    m = np.where(np.eye(4, dtype=bool), 0, _NEVER).astype(np.int64)
+Matrix = tuple[np.ndarray, np.ndarray]
+_NO_TURN: Matrix = (np.where(np.eye(4, dtype=bool), 0, _NEVER).astype(np.int64), np.zeros((4, 4), dtype=np.int64))
+_ONE_TURN: list[Matrix] = [(c, np.tile(np.arange(4), (4, 1))) for c in _COSTS]
+
+
+def joined(a: Matrix, b: Matrix) -> Matrix:
+    """Costs and ranks of the best ways through two stretches.
+
+    Of midway states with one cost the one whose way there ranks first is taken; the ways from a
+    state are then ranked by their first parts, and by their second where they share the first.
+    """
+    cost = np.minimum(a[0][:, :, None] + b[0][None, :, :], _NEVER)
+    mid = (cost * 4 + a[1][:, :, None]).argmin(axis=1)
+    rows = np.arange(4)[:, None]
+    order = a[1][rows, mid] * 4 + b[1][mid, np.arange(4)[None, :]]
+    return cost.min(axis=1), order.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
+
+
+def product(roles: list[int]) -> Matrix:
+    """The joined matrices of turns."""
+    m = _NO_TURN
     for r in roles:
-        m = np.minimum((m[:, :, None] + _COSTS[r][None, :, :]).min(axis=1), _NEVER)
+        m = joined(m, _ONE_TURN[r])
     return m
 
 
@@ -182,15 +202,15 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [[conv] * n, turns, range(sent - n, sent), [None] * n, [str(r) for r in roles], texts, [place] * n, [False] * n, [edge] * n, [None] * n]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SCHEMA, strict=True)], schema=_SCHEMA)
 
-    def total(edge: int, m: np.ndarray) -> pa.RecordBatch:
-        row = [conv, None, sent, None, None, None, place, False, edge, m.ravel().tolist()]
+    def total(edge: int, m: Matrix) -> pa.RecordBatch:
+        row = [conv, None, sent, None, None, None, place, False, edge, np.concatenate(m, axis=None).tolist()]
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _SCHEMA, strict=True)], schema=_SCHEMA)
 
     for batch in batches:
         for c, t, r, x in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             if begun and c != conv:
                 if edge == 1:
-                    running = np.minimum((running[:, :, None] + product(roles)[None]).min(axis=1), _NEVER)
+                    running = joined(running, product(roles))
                     yield passed(1)
                     yield total(1, running)
                     edge, sent = 2, 0
@@ -200,12 +220,12 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             conv, begun = c, True
             turns.append(t), roles.append(role_of(r)), texts.append(x or "")
         if edge == 1 and turns:
-            running = np.minimum((running[:, :, None] + product(roles)[None]).min(axis=1), _NEVER)
+            running = joined(running, product(roles))
             yield passed(1)
             turns, roles, texts = [], [], []
     if begun:
         yield passed(edge)
-        yield total(edge, np.minimum((running[:, :, None] + product(roles)[None]).min(axis=1), _NEVER) if edge == 1 else product(roles))
+        yield total(edge, joined(running, product(roles)) if edge == 1 else product(roles))
 
 
 def border_states(stretches: list[tuple]) -> dict[tuple[int, int], tuple[int, int, int | None, bool]]:
@@ -219,11 +239,12 @@ def border_states(stretches: list[tuple]) -> dict[tuple[int, int], tuple[int, in
         run = stretches[at:to]
         best = [np.array([_CLOSE[s][0] for s in range(4)], dtype=np.int64)]
         for x in reversed(run):
-            best.append(np.minimum((x[3] + best[-1][None, :]).min(axis=1), _NEVER))
+            best.append(np.minimum((x[3][0] + best[-1][None, :]).min(axis=1), _NEVER))
         best.reverse()
         s, first = NOTHING, 0
         for k, x in enumerate(run):
-            t = int(np.argmin(x[3][s] + best[k + 1]))
+            cost, rank = x[3]
+            t = int(np.argmin((cost[s] + best[k + 1]) * 4 + rank[s]))
             final = k == len(run) - 1
             out[x[1], x[2]] = (first, s, None if final else t, final)
             s, first = t, first + x[4]
@@ -241,7 +262,7 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     passed = walked.filter("not whole")
     # two small matrices a task, whatever the number of turns
     ends = passed.filter("matrix is not null").select("conv_id", "place", "edge", "matrix", "pos").collect()
-    ends = sorted(((r["conv_id"], r["place"], r["edge"], np.array(r["matrix"], dtype=np.int64).reshape(4, 4), r["pos"]) for r in ends), key=lambda r: (r[1], r[2]))
+    ends = sorted(((r["conv_id"], r["place"], r["edge"], tuple(np.array(r["matrix"], dtype=np.int64).reshape(2, 4, 4)), r["pos"]) for r in ends), key=lambda r: (r[1], r[2]))
     states = spark.sparkContext.broadcast(border_states(ends))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

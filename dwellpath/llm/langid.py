@@ -4,9 +4,10 @@ Features are hashed n-grams of 1 to 3 characters over lower-cased letters (anyth
 gap). A text's weight of a feature is its share of the text's n-grams times the inverse document
 frequency, which is counted over every training document. Weights are learned by follow-the-
 regularised-leader with L1 and L2 penalties on at most ``PER_LANG`` documents a language and
-``MAX_ROWS`` in all, of the ``MAX_LANGS`` languages with most training rows (documented bounds;
-the choice is by hash of doc_id and text, equal rows are chosen once), and a temperature is then
-calibrated on a fifth of those documents that the weights haven't seen.
+``MAX_ROWS`` in all, but one of each language at least (documented bounds; the choice is by hash of
+doc_id and text, equal rows are chosen once), and a temperature is then calibrated on a fifth of
+those documents that the weights haven't seen. Every language is learned: where there are so many
+that a weight for each feature and language would pass ``MAX_WEIGHTS``, features share weights.
 
 Training rows have a text, a lang and a doc_id whose crc32 modulo 4 is not 2. Predictions look
 at the text alone.
@@ -34,8 +35,10 @@ from dwellpath.llm.text import slices, utf8
 ORDERS = 3
 BUCKETS = 1 << 14
 FEATURES = ORDERS * BUCKETS
-#: Bounds of the sample of labelled rows that weights are fitted on: a language, in all, and languages.
-PER_LANG, MAX_ROWS, MAX_LANGS = 500, 20_000, 400
+#: Bounds of the sample of labelled rows that weights are fitted on: a language, and in all.
+PER_LANG, MAX_ROWS = 500, 20_000
+#: Weights at most, where not even one feature of each order needs more.
+MAX_WEIGHTS = 1 << 22
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-3
 SCALE = 10.0
@@ -128,9 +131,11 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @dataclass
 class Model:
     langs: list[str]
-    table: np.ndarray  # FEATURES x langs, inverse document frequency included
+    table: np.ndarray  # features x langs
     bias: np.ndarray
     temperature: float
+    idf: np.ndarray  # of each of FEATURES
+    buckets: int
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -138,9 +143,9 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def ftrl(bags: list, n_langs: int) -> tuple[np.ndarray, np.ndarray]:
+def ftrl(bags: list, n_langs: int, n_features: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and bias after EPOCHS passes of per-coordinate follow-the-regularised-leader."""
-    z, n = np.zeros((FEATURES + 1, n_langs)), np.zeros((FEATURES + 1, n_langs))
+    z, n = np.zeros((n_features + 1, n_langs)), np.zeros((n_features + 1, n_langs))
 
     def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
         w = -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2)
@@ -159,25 +164,37 @@ def ftrl(bags: list, n_langs: int) -> tuple[np.ndarray, np.ndarray]:
             z[f] = zi + grad - step * w
             n[f] = ni + grad * grad
     w = weights(z, n)
-    return w[:FEATURES], w[FEATURES]
+    return w[:n_features], w[n_features]
 
 
-def sample(training: DataFrame, per_lang: int = PER_LANG, max_rows: int = MAX_ROWS, max_langs: int = MAX_LANGS) -> DataFrame:
+def sample(training: DataFrame, per_lang: int = PER_LANG, max_rows: int = MAX_ROWS) -> DataFrame:
     """(lang, text, place) of the rows to fit on: of each language those first by the hash of doc_id.
 
     Texts stay where they are until the rows are chosen; their digests stand for them.
     """
     digest = F.xxhash64("doc_id", "text")
     ids = stored(training.select("lang", digest.alias("row")).distinct())
-    most = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).select("lang")
-    each = max(1, min(per_lang, max_rows // max(1, most.count())))
+    each = max(1, min(per_lang, max_rows // max(1, ids.select("lang").distinct().count())))
     by_hash = Window.partitionBy("lang").orderBy("row")
-    chosen = ids.join(F.broadcast(most), "lang").withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= each)
-    # at most max_rows rows are broadcast
+    chosen = ids.withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= each)
+    # at most max_rows rows, or one a language, are broadcast
     rows = training.withColumn("row", digest).join(F.broadcast(chosen), ["lang", "row"])
     return rows.groupBy("lang", "place").agg(F.first("text").alias("text"))  # equal rows once
 
 
+def shared_buckets(n_langs: int, most: int = MAX_WEIGHTS) -> int:
+    """Buckets of an order: all of them, or the largest power of two that keeps the weights within the bound."""
+    b = BUCKETS
+    while b > 1 and ORDERS * b * n_langs > most:
+        b //= 2
+    return b
+
+
+def shared_feature(f: np.ndarray, buckets: int) -> np.ndarray:
+    """Feature numbers where an order has so many buckets."""
+    return f if buckets == BUCKETS else f // BUCKETS * buckets + f % buckets
+
+
 def fit(training: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     """Learn from ``training`` (doc_id, text, lang)."""
     rows = training.select("text").mapInArrow(_frequencies, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect()
@@ -193,24 +210,30 @@ def fit(training: DataFrame, per_lang: int = PER_LANG) -> Model | None:
         return None
     langs = sorted(bags["lang"].unique())
     index = {x: k for k, x in enumerate(langs)}
+    buckets = shared_buckets(len(langs))
+    n_features = ORDERS * buckets
     made, test = [], []
     order = bags.sort_values(["lang", "place"], kind="stable")
     for lang, f, w, place in zip(order["lang"], order["f"], order["w"], order["place"], strict=True):
         f = np.asarray(f, dtype=np.int64)
         x = np.asarray(w, dtype=np.float64) * idf[f] * SCALE
-        bag = (np.append(f, FEATURES), np.append(x, 1.0), index[lang])
+        if buckets != BUCKETS:
+            f, at = np.unique(shared_feature(f, buckets), return_inverse=True)
+            x = np.bincount(at, x, len(f))
+        bag = (np.append(f, n_features), np.append(x, 1.0), index[lang])
         (test if place % 5 == 0 else made).append(bag)
-    w, bias = ftrl(made, len(langs))
+    w, bias = ftrl(made, len(langs), n_features)
     logits = np.array([x[:-1] @ w[f[:-1]] + bias for f, x, _ in test or made])
     truth = np.array([y for _, _, y in test or made])
     grid = np.exp(np.linspace(np.log(0.05), np.log(20.0), 121))
     loss = [-np.log(_softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in grid]
-    return Model(langs, (w * idf[:, None] * SCALE).astype(np.float32), bias, float(grid[int(np.argmin(loss))]))
+    scaled = (w * idf[:, None] * SCALE if buckets == BUCKETS else w).astype(np.float32)
+    return Model(langs, scaled, bias, float(grid[int(np.argmin(loss))]), idf * SCALE, buckets)
 
 
 def predict(documents: DataFrame, model: Model | None, held_out) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # FEATURES x languages
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # MAX_WEIGHTS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -230,7 +253,8 @@ def predict(documents: DataFrame, model: Model | None, held_out) -> DataFrame:
                     rows = np.flatnonzero(c)
                     if len(rows):
                         starts = np.concatenate([[0], np.cumsum(c[rows])[:-1]])
-                        total[rows] += np.add.reduceat(m.table[f], starts, axis=0, dtype=np.float64)
+                        w = m.table[f] if m.buckets == BUCKETS else m.table[shared_feature(f, m.buckets)] * m.idf[f][:, None].astype(np.float32)
+                        total[rows] += np.add.reduceat(w, starts, axis=0, dtype=np.float64)
                 p = _softmax((total / np.maximum(count, 1)[:, None] + m.bias) / m.temperature)
                 k = p.argmax(axis=1)
                 best += [m.langs[j] if s else "und" for j, s in zip(k.tolist(), some.tolist(), strict=True)]

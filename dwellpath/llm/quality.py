@@ -3,6 +3,9 @@
 Words are runs of anything but space and the control characters 9 to 13. The base counts are
 n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words; the rules are ratios over them.
 
+The rule on stop words asks only texts in the languages whose stop words are listed, and texts of
+unknown language; a text in another language is judged by the other rules.
+
 Defined results: a null or empty text has no words, so it fails; ties and repeated rows are
 judged one by one; an empty table gives no rows; columns of the input that clash with a
 measure's name are left alone, as measures are built from the text column only.
@@ -20,7 +23,9 @@ SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = 8
 
-#: Frequent function words of the corpus languages.
+#: Languages with stop words below, and the rules that ask for them.
+STOP_LANGS, ASK_STOP_WORDS = ("en", "fr", "de", "es"), ("stop_ratio",)
+#: Frequent function words of these languages.
 STOP_WORDS = tuple(
     sorted(
         set(
@@ -96,11 +101,12 @@ def measures(text: Column) -> dict[str, Column]:
 
 
 def compiled(rules=RULES) -> Column:
-    """The threshold table as one boolean over the ratio columns."""
+    """The threshold table as one boolean over the ratio columns, and over ``_other``: whether the language has no stop words here."""
     tests = [F.lit(True)]
     for name, low, high in rules:
-        tests += [F.col(name) >= low] if low is not None else []
-        tests += [F.col(name) <= high] if high is not None else []
+        own = [F.col(name) >= low] if low is not None else []
+        own += [F.col(name) <= high] if high is not None else []
+        tests += [F.col("_other") | t for t in own] if name in ASK_STOP_WORDS else own
     return reduce(and_, tests)
 
 
@@ -109,9 +115,11 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 def score(documents: DataFrame, rules=RULES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, the five counts, base_failed, kept, and the ratios the rules look at."""
-    m = documents.select(*keep, *[c.alias(f"_m{k}") for k, c in measures(F.col("text")).items()])
+    other = F.coalesce(~F.lower("lang").isin(*STOP_LANGS), F.lit(False)) if "lang" in documents.columns else F.lit(False)
+    m = documents.select(*keep, other.alias("_other"), *[c.alias(f"_m{k}") for k, c in measures(F.col("text")).items()])
     counts = m.select(
         *keep,
+        "_other",
         F.col("_m_of_words.n_words").alias("n_words"),
         F.col("_mword_chars").alias("word_chars"),
         F.col("_mn_symbols").alias("n_symbols"),
@@ -125,6 +133,7 @@ def score(documents: DataFrame, rules=RULES, keep: tuple[str, ...] = ("doc_id",)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     ratios = counts.select(
         *keep,
+        "_other",
         *COUNTS,
         failed.alias("base_failed"),
         per("n_repeat_words").alias("repeat_ratio"),
@@ -134,23 +143,24 @@ def score(documents: DataFrame, rules=RULES, keep: tuple[str, ...] = ("doc_id",)
         per("n_stutter").alias("stutter_ratio"),
         per("n_stop").alias("stop_ratio"),
     )
-    return ratios.withColumn("kept", ~F.col("base_failed") & compiled(rules))
+    return ratios.withColumn("kept", ~F.col("base_failed") & compiled(rules)).drop("_other")
 
 
 def oracle() -> str:
     """DuckDB SQL of the counts and the verdict, from a row a word."""
     quoted = ", ".join(f"'{y}'" for y in sorted({y for x in STOP_WORDS for y in (x, x.capitalize())}))
-    limits = " AND ".join(f"{name} {op} {bound}" for name, low, high in RULES for op, bound in ((">=", low), ("<=", high)) if bound is not None)
+    other = f"coalesce(lower(lang) NOT IN ({', '.join(repr(x) for x in STOP_LANGS)}), false)"
+    limits = " AND ".join(f"({other} OR {name} {op} {bound})" if name in ASK_STOP_WORDS else f"{name} {op} {bound}" for name, low, high in RULES for op, bound in ((">=", low), ("<=", high)) if bound is not None)
     window = "concat_ws(' ', " + ", ".join(["w", *[f"lead(w, {k}) OVER o" for k in range(1, WINDOW)]]) + ")"
     return f"""
-WITH t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+WITH t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text FROM documents),
 words AS MATERIALIZED (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM t)),
 windows AS (SELECT r, i, w, coalesce(w = lag(w) OVER o, false) AS again, CASE WHEN lead(w, {WINDOW - 1}) OVER o IS NOT NULL THEN {window} END AS k FROM words WINDOW o AS (PARTITION BY r ORDER BY i)),
 repeated AS (SELECT r, i, w, again, k IS NOT NULL AND count(*) OVER (PARTITION BY r, k) > 1 AS starts FROM windows),
 marked AS (SELECT r, w, again, max(CASE WHEN starts THEN i END) OVER (PARTITION BY r ORDER BY i ROWS {WINDOW - 1} PRECEDING) IS NOT NULL AS covered FROM repeated),
 of_words AS (SELECT r, count(*) AS n_words, sum(length(w)) AS word_chars, count(*) FILTER (covered) AS n_repeat_words, count(*) FILTER (again) AS n_stutter, count(*) FILTER (w IN ({quoted})) AS n_stop FROM marked GROUP BY r),
 of_lines AS (SELECT r, count(*) AS n_lines, count(DISTINCT line) AS n_own FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
-counts AS (SELECT t.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_lines - n_own, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines,
+counts AS (SELECT t.doc_id, t.lang, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_lines - n_own, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines,
   coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_stutter, 0) AS n_stutter, coalesce(n_stop, 0) AS n_stop FROM t LEFT JOIN of_words USING (r) LEFT JOIN of_lines USING (r)),
 ratios AS (SELECT *, n_repeat_words / greatest(n_words, 1) AS repeat_ratio, word_chars / greatest(n_words, 1) AS mean_word_chars, n_symbols / greatest(n_words, 1) AS symbol_ratio,
   n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio, n_stutter / greatest(n_words, 1) AS stutter_ratio, n_stop / greatest(n_words, 1) AS stop_ratio, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts)
