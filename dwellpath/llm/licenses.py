@@ -5,10 +5,13 @@ only) and looked up among known licence sentences. Lines are joined before the c
 can be wrapped; one that isn't a full sentence of a standard notice is cut again at its line
 breaks, and these parts are looked up among the short sentences. The sequence of known identifiers
 of a text is then matched against ordered rules: a licence is found where a rule's identifiers
-follow each other in that order, with only unknown sentences in between.
+follow each other in that order, with only unknown sentences in between. A sentence that is none of
+these but says that something is licensed (released, distributed ...) under a licence it names has
+an identifier for that licence. Lines with an SPDX expression give an identifier for each known
+licence in it, after those of the sentences; what stands after WITH is an exception, not a licence.
 
-The SQL knows the short sentences only; it agrees wherever a text holds no full notice and no
-wrapped sentence.
+The SQL knows no full notices and joins no lines; it agrees wherever a text holds no full notice
+and no wrapped sentence.
 
 Defined results: a null, empty or licence-free text has no identifiers and no licences; repeated
 sentences count each time; repeated rows are scanned one by one; an empty table gives no rows.
@@ -53,6 +56,7 @@ _COPY = r"(?:(?:[a-z0-9.]+ ){0,6}copyright (?:[a-z0-9.]+ ){0,30})?"
 #: The number or letter of an item of a list.
 _ITEM = r"(?:[0-9a-d] )?"
 _GPL = r"(?:[a-z0-9.]+ ){1,16}is free software you can redistribute it and or modify it under the terms of the gnu general public license"
+_FSF = r"(?: as published by the free software foundation)?"
 _CC = r"(?:[a-z0-9.]+ ){0,16}licensed under (?:a |the )?creative commons attribution"
 #: Fixed values: (identifiers, pattern of a whole normalised sentence), the sentences of the standard notices.
 NOTICES = (
@@ -76,8 +80,34 @@ NOTICES = (
     (("mpl2-notice",), _COPY + r"this source code form is subject to the terms of the mozilla public license v\.? ?2\.0"),
     (("isc-grant",), _COPY + r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     (("rights",), r"(?:[a-z0-9.]+ ){0,6}copyright (?:[a-z0-9.]+ ){1,30}all rights reserved"),
+    (("lgpl21-notice",), _COPY + _GPL.replace("general", "lesser general") + _FSF + r" either version 2\.1 of the license or at your option any later version"),
+    (("lgpl3-notice",), _COPY + _GPL.replace("general", "lesser general") + _FSF + r" either version 3 of the license or at your option any later version"),
+    (("agpl3-notice",), _COPY + _GPL.replace("general", "affero general") + _FSF + r" either version 3 of the license or at your option any later version"),
+    (("unlicense-notice",), r"(?:the unlicense )?this is free and unencumbered software released into the public domain"),
+    (("zlib-grant",), r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    (("epl2-notice",), _COPY + r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:version |v\.? ?)?2\.0(?: which (?:[a-z0-9.]+ ?){1,20})?"),
+    (("epl1-notice",), _COPY + r"(?:all rights reserved )?this program and the accompanying materials are made available under the terms of the eclipse public license (?:version |v\.? ?)?1\.0(?: which (?:[a-z0-9.]+ ?){1,20})?"),
+    (("boost-notice",), _COPY + r"distributed under the boost software license version 1\.0"),
+    (("boost-grant",), _COPY + r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (?:[a-z0-9.]+ ){20,80}all subject to the following"),
+    (("bsd-advertise",), _ITEM + r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    (("artistic2-notice",), r"(?:[a-z0-9.]+ ){1,40}under the terms of the artistic license (?:version |v\.? ?)?2\.0"),
 )
 
+_V2, _V3 = r"(?: version| v\.?)? ?2(?:\.0)?", r"(?: version| v\.?)? ?3(?:\.0)?"
+#: Fixed values: (licence, pattern of its name in a normalised sentence), of which the first that fits counts.
+NAMES = (
+    ("Apache-2.0", r"apache(?: software)?(?: licen[sc]e)?" + _V2), ("MIT", r"mit"), ("AGPL-3.0", r"(?:gnu )?(?:agpl|affero general public licen[sc]e)" + _V3),
+    ("LGPL-2.1", r"(?:gnu )?(?:lgpl|lesser general public licen[sc]e)(?: version| v\.?)? ?2\.1"), ("LGPL-3.0", r"(?:gnu )?(?:lgpl|lesser general public licen[sc]e)" + _V3),
+    ("GPL-2.0", r"(?:gnu )?(?:gpl|general public licen[sc]e)" + _V2), ("GPL-3.0", r"(?:gnu )?(?:gpl|general public licen[sc]e)" + _V3),
+    ("BSD-2-Clause", r"(?:simplified bsd|bsd 2 clause|(?:2|two) clause bsd)"), ("BSD-3-Clause", r"(?:(?:new|modified) bsd|bsd 3 clause|(?:3|three) clause bsd)"), ("BSD-4-Clause", r"(?:original bsd|bsd 4 clause|(?:4|four) clause bsd)"),
+    ("MPL-2.0", r"(?:mpl|mozilla public licen[sc]e)" + _V2), ("EPL-2.0", r"(?:epl|eclipse public licen[sc]e)" + _V2), ("EPL-1.0", r"(?:epl|eclipse public licen[sc]e)(?: version| v\.?)? ?1(?:\.0)?"),
+    ("ISC", r"isc"), ("Zlib", r"zlib"), ("Unlicense", r"unlicense"), ("BSL-1.0", r"boost software licen[sc]e(?:(?: version| v\.?)? ?1(?:\.0)?)?"), ("Artistic-2.0", r"artistic licen[sc]e" + _V2),
+    ("CC0-1.0", r"(?:cc0|creative commons zero)(?: 1\.0)?"), ("CC-BY-NC-4.0", r"cc by nc 4\.0"), ("CC-BY-SA-4.0", r"cc by sa 4\.0"), ("CC-BY-4.0", r"cc by 4\.0"),
+)
+#: What a sentence says before the name of a licence that it puts something under.
+SAID = r"(?:^| )(?:licen[sc]ed|released|distributed|available|published|modify it|used) under (?:the |an? )?(?:(?:terms|conditions|terms and conditions) of )?(?:the |an? )?"
+_SPDX = r"SPDX-License-Identifier:[ \t]*([^\r\n]*)"
+
 #: Fixed values: (licence, identifiers in order). A text can have several licences.
 RULES = (
     ("Apache-2.0", ("apache-notice",)),
@@ -97,6 +127,18 @@ RULES = (
     ("MPL-2.0", ("mpl2-notice",)),
     ("ISC", ("isc-grant",)),
     ("All-Rights-Reserved", ("rights",)),
+    ("LGPL-2.1", ("lgpl21-notice",)),
+    ("LGPL-3.0", ("lgpl3-notice",)),
+    ("AGPL-3.0", ("agpl3-notice",)),
+    ("Unlicense", ("unlicense-notice",)),
+    ("Zlib", ("zlib-grant",)),
+    ("EPL-2.0", ("epl2-notice",)),
+    ("EPL-1.0", ("epl1-notice",)),
+    ("BSL-1.0", ("boost-notice",)),
+    ("BSL-1.0", ("boost-grant",)),
+    ("BSD-4-Clause", ("bsd-redistribute", "bsd-source", "bsd-binary", "bsd-advertise")),
+    ("Artistic-2.0", ("artistic2-notice",)),
+    *((name, (f"{how}-{name}",)) for name, _ in NAMES for how in ("says", "spdx")),
 )
 
 #: A sentence over joined lines ends at a blank line (one of comment signs is blank), or at a mark of an
@@ -105,13 +147,54 @@ STOP = r"(?<!\b[vV])[.!?]+(?=\s|$)|(?<!(?i:\bfree[\s*#/]{1,20}software))(?<!(?i:
 #: A part of a sentence ends at a line break, or at a mark of an end with white space or the text's end after it.
 END = r"[.!?;:]+(?=\s|$)|\n+"
 #: Sentences without any of these are no licence sentences.
-HINT = "licen|permission|redistribut|rights reserved|public domain|warranty|as is|contributors"
+HINT = "licen|permission|redistribut|rights reserved|public domain|warranty|as is|contributors|advertising materials|released under|distributed under"
 
 
 def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), r"[^a-z0-9.]+", " "))
 
 
+def _sure(pattern: str) -> str:
+    """The longest stretch of plain text that every match of a pattern holds: tested before the pattern is."""
+    depth, pieces, at = 0, [""], 0
+    while at < len(pattern):
+        c, step = pattern[at], 1
+        if c == "\\":
+            c, step = pattern[at + 1], 2
+        if c in "()" and step == 1:
+            depth += 1 if c == "(" else -1
+            pieces.append("")
+        elif not depth:
+            if at + step < len(pattern) and pattern[at + step] in "?{*":
+                pieces.append("")
+                step += len(pattern[at + step :].split("}")[0]) + 1 if pattern[at + step] == "{" else 1
+            elif step == 1 and c in "?{[":  # after a group
+                step = len(pattern[at:].split("}")[0]) + 1 if c == "{" else 1
+                pieces.append("")
+            else:
+                pieces[-1] += c
+        at += step
+    return max(pieces, key=len)
+
+
+def _compact(found: list[Column]) -> Column:
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
+def said(sentence: Column) -> Column:
+    """Identifiers of the licences that a normalised sentence says something is under."""
+    hits = [F.when(sentence.rlike(f"{SAID}{name}(?: |$)"), F.lit(f"says-{licence}")) for licence, name in NAMES]
+    return F.when(sentence.rlike(SAID), _compact(hits)).otherwise(F.array().cast("array<string>"))
+
+
+def spdx(text: Column) -> Column:
+    """Identifiers of the known licences in a text's SPDX expressions, in order."""
+    known = F.create_map(*[F.lit(x) for name, _ in NAMES for x in (name.lower(), f"spdx-{name}")])
+    words = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_SPDX), F.lit(1)), lambda e: F.split(F.regexp_replace(F.lower(e), r"\bwith\s+\S+", ""), r"[\s()]+")))
+    found = F.transform(words, lambda w: F.try_element_at(known, F.regexp_replace(w, r"(?:-only|-or-later|\+)$", "")))
+    return F.when(text.contains("SPDX-License-Identifier"), F.filter(found, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+
+
 def identifiers(text: Column) -> Column:
     """The identifiers of a text's known sentences, in order."""
     hinted = F.filter(F.split(F.coalesce(text, F.lit("")), STOP), lambda s: F.lower(s).rlike(HINT + "|waived"))
@@ -119,11 +202,12 @@ def identifiers(text: Column) -> Column:
 
     def names_of(s: Column) -> Column:
         parts = parts_identifiers(s["raw"])
-        found = parts
+        found = F.when(F.size(parts) > 0, parts).otherwise(said(s["plain"]))
         for names, pattern in NOTICES:
             whole = F.array(*map(F.lit, names))
             # what a notice's first lines say is kept ahead of it
-            found = F.when(s["plain"].rlike(f"^{pattern}$"), F.concat(F.array_except(parts, whole), whole)).otherwise(found)
+            ahead = F.filter(parts, lambda x: ~x.isin(*names) & ~x.startswith("says-"))  # noqa: B023
+            found = F.when(s["plain"].contains(_sure(pattern)) & s["plain"].rlike(f"^{pattern}$"), F.concat(ahead, whole)).otherwise(found)
         short = name_of(s["plain"])
         return F.when(short.isNotNull(), F.array(short)).otherwise(found)
 
@@ -142,15 +226,20 @@ def name_of(sentence: Column) -> Column:
 
 
 def parts_identifiers(text: Column) -> Column:
-    """The identifiers of the short sentences among a text's parts, in order."""
-    hinted = F.filter(F.split(text, END), lambda s: F.lower(s).rlike(HINT))
-    return F.filter(F.transform(hinted, lambda s: name_of(normalised(s))), lambda x: x.isNotNull())
+    """The identifiers of the short sentences among a text's parts, and of what other parts say, in order."""
+    hinted = F.transform(F.filter(F.split(text, END), lambda s: F.lower(s).rlike(HINT)), normalised)
+
+    def of_part(s: Column) -> Column:
+        short = name_of(s)
+        return F.when(short.isNotNull(), F.array(short)).otherwise(said(s))
+
+    return F.flatten(F.transform(hinted, of_part))
 
 
 def scan(documents: DataFrame) -> DataFrame:
     """doc_id, n_known, sentence_ids and licenses (comma-joined, licences in name order)."""
     rough = F.coalesce(F.col("text"), F.lit("")).rlike("(?i)" + HINT + "|waived")
-    ids = F.when(rough, identifiers(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    ids = F.when(rough, F.concat(identifiers(F.col("text")), spdx(F.col("text")))).otherwise(F.array().cast("array<string>"))
     d = documents.select("doc_id", ids.alias("ids")).withColumn("chain", F.concat(F.lit(","), F.array_join("ids", ","), F.lit(",")))
     by_name: dict[str, list] = {}
     for name, chain in RULES:
@@ -174,18 +263,23 @@ def oracle() -> str:
     for name, chain in RULES:
         by_name.setdefault(name, []).append(f"contains(chain, ',{','.join(chain)},')")
     hits = ", ".join(f"CASE WHEN {' OR '.join(v)} THEN '{k}' END" for k, v in sorted(by_name.items()))
+    says = ", ".join(f"CASE WHEN regexp_matches(s, '{SAID}{name}(?: |$)') THEN 'says-{licence}' END" for licence, name in NAMES)
+    spdx_names = ", ".join(f"'{name.lower()}': 'spdx-{name}'" for name, _ in NAMES)
     # RE2 has no look-ahead: a marked end and the white space after it are split off together,
     # which only moves white space that normalising trims
     return f"""
 WITH parts AS (
-  SELECT doc_id, row_number() OVER () AS rid, regexp_split_to_array(coalesce(text, ''), '[.!?;:]+(\\s|$)|\\n+') AS sentences FROM documents
+  SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid, regexp_split_to_array(coalesce(text, ''), '[.!?;:]+(\\s|$)|\\n+') AS sentences FROM documents
 ), normal AS (
-  SELECT rid, doc_id, list_transform(list_filter(sentences, lambda x: regexp_matches(lower(x), '{HINT}')),
+  SELECT rid, doc_id, text, list_transform(list_filter(sentences, lambda x: regexp_matches(lower(x), '{HINT}')),
     lambda x: trim(regexp_replace(lower(x), '[^a-z0-9.]+', ' ', 'g'))) AS sentences FROM parts
 ), named AS (
-  SELECT rid, doc_id, list_filter(list_transform(sentences, lambda s: CASE {case} END), lambda x: x IS NOT NULL) AS ids FROM normal
+  SELECT rid, doc_id, text, flatten(list_transform(sentences, lambda s: CASE WHEN (CASE {case} END) IS NOT NULL THEN [CASE {case} END] WHEN regexp_matches(s, '{SAID}') THEN list_filter([{says}], lambda x: x IS NOT NULL) ELSE [] END)) AS said,
+    flatten(list_transform(regexp_extract_all(text, '{_SPDX}', 1), lambda e: string_split_regex(regexp_replace(lower(e), '\\bwith\\s+\\S+', '', 'g'), '[\\s()]+'))) AS words FROM normal
+), found AS (
+  SELECT doc_id, list_concat(said, list_filter(list_transform(words, lambda w: MAP {{{spdx_names}}}[regexp_replace(w, '(?:-only|-or-later|\\+)$', '')]), lambda x: x IS NOT NULL)) AS ids FROM named
 ), chained AS (
-  SELECT doc_id, ids, ',' || array_to_string(ids, ',') || ',' AS chain FROM named
+  SELECT doc_id, ids, ',' || array_to_string(ids, ',') || ',' AS chain FROM found
 )
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_known, coalesce(array_to_string(ids, ','), '') AS sentence_ids, concat_ws(',', {hits}) AS licenses FROM chained
 """
