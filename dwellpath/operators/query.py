@@ -146,7 +146,8 @@ def nearby(visits: DataFrame, locations: DataFrame, lat: float, lon: float, km:
 
 
 def when_at(visits: DataFrame, lat: float, lon: float, km: float = 0.1) -> DataFrame:
-    return visits.filter(within_km(lat, lon, km)).withColumn("km", distance_m("lat", "lon", lat, lon) / 1000)
+    """All visits within ``km``, oldest first."""
+    return visits.filter(within_km(lat, lon, km)).withColumn("km", distance_m("lat", "lon", lat, lon) / 1000).orderBy("start_time", "id")
 
 
 def top_places(visits: DataFrame, locations: DataFrame, n: int = 10) -> DataFrame:

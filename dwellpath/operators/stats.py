@@ -59,14 +59,14 @@ def overview(visits: DataFrame, trips: DataFrame, movements: DataFrame, location
 
 
 def movement_stats(movements: DataFrame, by: str | None) -> DataFrame:
-    """Counts, km, hours by ``by`` (activity_type, movement_type, source) or overall with the routes' share."""
+    """Counts, km, hours by ``by`` (activity_type, movement_type, source) or overall with the routes' share; activities with their mean confidence to three places."""
     m = movements
     aggs = [F.count(F.lit(1)).alias("n"), _km().alias("km"), _hours().alias("hours")]
     if by is None:
         return m.agg(*aggs, F.count("route").alias("with_route"), F.coalesce(100 * F.count("route") / F.nullif(F.count(F.lit(1)), F.lit(0)), F.lit(0.0)).alias("route_pct"))
     if by == "activity_type":
         m = m.filter("movement_type = 'activity' and activity_type is not null")
-        aggs.append(F.avg("confidence").alias("confidence"))
+        aggs.append(F.round(F.avg("confidence"), 3).alias("confidence"))
     return m.groupBy(by).agg(*aggs)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwellpath.functions.geo import geohash, in_box, segment_hits_box
+from dwellpath.operators.query import MAX_MOVEMENTS, newest, page
 
 MOVEMENT_TYPES = ("activity", "breadcrumb_trail", "gps_track", "inferred")
 
@@ -47,7 +48,8 @@ def preferred_source(movements: DataFrame, day: date, priority: tuple[str, str]
     return d.join(covered, "subject_id", "left").filter((F.col("source") != second) | F.col("_covered").isNull()).drop("_covered")
 
 
-def list_movements(movements: DataFrame, f: MovementFilter) -> DataFrame:
+def list_movements(movements: DataFrame, f: MovementFilter, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """A day's movements, newest first: all, or a page of them."""
     m = preferred_source(movements, f.day) if f.source is None else on_day(movements, f.day).filter(F.col("source") == f.source)
     for c, value in (("activity_type", f.activity_type), ("movement_type", f.movement_type)):
         if value is not None:
@@ -56,7 +58,8 @@ def list_movements(movements: DataFrame, f: MovementFilter) -> DataFrame:
         m = m.filter(F.col("distance_meters") >= f.min_metres)
     if f.max_metres is not None:
         m = m.filter(F.col("distance_meters") <= f.max_metres)
-    return m if f.box is None else m.filter(route_in_box(f.box))
+    m = m if f.box is None else m.filter(route_in_box(f.box))
+    return m.orderBy(*newest()) if limit is None else page(m, newest(), limit, offset, MAX_MOVEMENTS)
 
 
 def movements_by_trip(movements: DataFrame, trip_visits: DataFrame) -> DataFrame:

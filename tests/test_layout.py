@@ -125,3 +125,22 @@ def test_links_equal_brute_force_and_a_full_minute_is_quick(spark):
     began = time.time()
     assert I.link_visits(went, many).filter("preceding_visit_id = id and following_visit_id = id").count() == 10_000
     assert time.time() - began < 20
+
+
+def test_surveyed_orders(spark):
+    from datetime import date
+
+    from dwellpath.operators import stats as S
+    from dwellpath.operators import timeline as L
+
+    rows = [(1, k, T0 + timedelta(hours=h), "phone", "activity", "WALKING", c) for k, (h, c) in enumerate(((3, 0.1), (1, 0.2), (2, 0.9), (3, 0.6665)))]
+    m = spark.createDataFrame(rows, "subject_id long, id long, start_time timestamp_ntz, source string, movement_type string, activity_type string, confidence double")
+    for c in ("local_start_ts", "local_end_ts"):
+        m = m.withColumn(c, F.col("start_time"))
+    f = L.MovementFilter(date(2024, 1, 1))
+    assert [r["id"] for r in L.list_movements(m, f).collect()] == [3, 0, 2, 1]
+    assert [r["id"] for r in L.list_movements(m, f, limit=2, offset=1).collect()] == [0, 2]
+    v = m.withColumn("lat", F.lit(0.0)).withColumn("lon", F.lit(0.0))
+    assert [r["id"] for r in Q.when_at(v, 0.0, 0.0).collect()] == [1, 2, 0, 3]
+    m = m.withColumn("distance_meters", F.lit(1.0)).withColumn("duration_minutes", F.lit(1)).withColumn("route", F.lit(None).cast("array<int>"))
+    assert S.movement_stats(m, "activity_type").first()["confidence"] == 0.467
