@@ -15,11 +15,12 @@ from dwellpath.functions import parse as P
 from dwellpath.operators import imports as IM
 from dwellpath.operators import ingest as I
 from dwellpath.operators import places as H
+from dwellpath.operators import query as Q
 from dwellpath.operators import trips as T
 from dwellpath.operators.slices import time_slices
 from dwellpath.plans import fixtures as X
 from dwellpath.plans import sqltext
-from dwellpath.plans.lookup_queries import geocoded, r3
+from dwellpath.plans.lookup_queries import SPOT, geocoded, r3
 from dwellpath.plans.sqltext import hav, spheroid, sql
 from dwellpath.plans.trip_queries import trips as found_trips
 from dwellpath.sources.exports import TIMELINE, TRACKER, _fields, append_visits, movement_store, read_anchor_ranges, read_timeline, read_timeline_lines, read_tracker, read_trips, replace_source, visit_store, write_movements, write_trips
@@ -219,6 +220,25 @@ def q_visit_sink(spark, d):
     return visit_store(spark, path).read().select("subject_id", "id", "month")
 
 
+def stored_visits(spark: SparkSession, d: str):
+    append_visits(X.visits(spark, d), path := f"{scratch_folder(spark)}/visits")
+    return visit_store(spark, path)
+
+
+@query(f"SELECT subject_id, id, start_time FROM visits WHERE {spheroid('lat', 'lon', f'{SPOT[0]}::DOUBLE', f'{SPOT[1]}::DOUBLE')} <= {SPOT[2] * 1000}")
+def q_stored_visits_in_radius(spark, d):
+    """From the stored visits, by ranges of their layout's key."""
+    return Q.apply_filter(stored_visits(spark, d).read(), Q.VisitFilter(near=SPOT)).select("subject_id", "id", "start_time")
+
+
+@query("SELECT subject_id, id, start_time FROM visits ORDER BY start_time DESC, id DESC LIMIT 100 OFFSET 50")
+def q_visits_after(spark, d):
+    """The page of stored visits that follows the last row of a first page of 50."""
+    store = stored_visits(spark, d)
+    last = Q.newest_after(store, 50).collect()[-1]
+    return Q.newest_after(store, 100, (last["start_time"], last["id"])).select("subject_id", "id", "start_time")
+
+
 @query("SELECT subject_id, id, source, strftime(start_time, '%Y-%m') AS month FROM movements WHERE source <> 'phone' OR id % 3 = 0")
 def q_movement_sink(spark, d):
     """Movements written, then one source's replaced by a part of them as stored."""
