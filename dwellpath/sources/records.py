@@ -38,13 +38,12 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int]
     """((file, block), whether it begins here, rows): a task may read several ranges, each in order."""
     last = None
     for batch in batches:
-        files, blocks = (batch.column(k).to_pylist() for k in (0, 1))
+        ends = set()
+        for k in (0, 1):
+            ends |= set(pc.run_end_encode(batch.column(k)).run_ends.to_pylist())
         a = 0
-        while a < len(files):
-            at = (files[a], blocks[a])
-            b = a + 1
-            while b < len(files) and (files[b], blocks[b]) == at:
-                b += 1
+        for b in sorted(ends):
+            at = (batch.column(0)[a].as_py(), batch.column(1)[a].as_py())
             yield at, at != last, batch.slice(a, b - a)
             last, a = at, b
 
