@@ -1,6 +1,6 @@
-"""License scans by sentence rules, as DataFrame expressions.
+"""License scans by sentence rules.
 
-Texts are cut into sentences, sentences are normalised (lower case, letters, digits and dots
+A text without any word of the hints has no licence sentence and is passed over. Others are cut into sentences, which are normalised (lower case, letters, digits and dots
 only) and looked up among known licence sentences. Lines are joined before the cut, so a sentence
 can be wrapped; one that isn't a full sentence of a standard notice is cut again at its line
 breaks, and these parts are looked up among the short sentences. The sequence of known identifiers
@@ -19,6 +19,9 @@ sentences count each time; repeated rows are scanned one by one; an empty table
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,8 +88,8 @@ NOTICES = (
     (("agpl3-notice",), _COPY + _GPL.replace("general", "affero general") + _FSF + r" either version 3 of the license or at your option any later version"),
     (("unlicense-notice",), r"(?:the unlicense )?this is free and unencumbered software released into the public domain"),
     (("zlib-grant",), r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
-    (("epl2-notice",), _COPY + r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:version |v\.? ?)?2\.0(?: which (?:[a-z0-9.]+ ?){1,20})?"),
-    (("epl1-notice",), _COPY + r"(?:all rights reserved )?this program and the accompanying materials are made available under the terms of the eclipse public license (?:version |v\.? ?)?1\.0(?: which (?:[a-z0-9.]+ ?){1,20})?"),
+    (("epl2-notice",), _COPY + r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:version |v\.? ?)?2\.0(?: which(?: [a-z0-9.]+){1,20})?"),
+    (("epl1-notice",), _COPY + r"(?:all rights reserved )?this program and the accompanying materials are made available under the terms of the eclipse public license (?:version |v\.? ?)?1\.0(?: which(?: [a-z0-9.]+){1,20})?"),
     (("boost-notice",), _COPY + r"distributed under the boost software license version 1\.0"),
     (("boost-grant",), _COPY + r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (?:[a-z0-9.]+ ){20,80}all subject to the following"),
     (("bsd-advertise",), _ITEM + r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
@@ -142,16 +145,21 @@ RULES = (
 )
 
 #: A sentence over joined lines ends at a blank line (one of comment signs is blank), or at a mark of an
-#: end with white space or the text's end after it, but not at the marks inside 'v. 2.0' and the GPL's notice.
-STOP = r"(?<!\b[vV])[.!?]+(?=\s|$)|(?<!(?i:\bfree[\s*#/]{1,20}software))(?<!(?i:\bsoftware[\s*#/]{1,20}foundation))[;:]+(?=\s|$)|\n(?:[\s*#/;%>|-]*\n)+"
+#: end with white space or the text's end after it, but not at the point of 'v. 2.0'.
+STOP = re.compile(r"(?<!\b[vV])[.!?]+(?=\s|\Z)|[;:]+(?=\s|\Z)|\n[\s*#/;%>|-]*\n", re.ASCII)
+#: What a colon or semicolon inside the GPL's notice follows; at most _REACH characters.
+INSIDE = re.compile(r"\b(?:free[\s*#/]{1,20}software|software[\s*#/]{1,20}foundation)\Z", re.ASCII | re.IGNORECASE)
+_REACH = 40
 #: A part of a sentence ends at a line break, or at a mark of an end with white space or the text's end after it.
-END = r"[.!?;:]+(?=\s|$)|\n+"
+END = re.compile(r"[.!?;:]+(?=\s|\Z)|\n+", re.ASCII)
 #: Sentences without any of these are no licence sentences.
-HINT = "licen|permission|redistribut|rights reserved|public domain|warranty|as is|contributors|advertising materials|released under|distributed under"
+HINTS = ("licen", "permission", "redistribut", "rights reserved", "public domain", "warranty", "as is", "contributors", "advertising materials", "released under", "distributed under")
+#: Whole notices can have this one too.
+ALSO = "waived"
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^a-z0-9.]+", " "))
+def normalised(sentence: str) -> str:
+    return re.sub(r"[^a-z0-9.]+", " ", sentence.lower()).strip(" ")
 
 
 def _sure(pattern: str) -> str:
@@ -177,70 +185,84 @@ def _sure(pattern: str) -> str:
     return max(pieces, key=len)
 
 
-def _compact(found: list[Column]) -> Column:
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+_SHORT = {sentence: name for name, sentence in SENTENCES}
+_WHOLE = tuple((names, _sure(pattern), re.compile(pattern)) for names, pattern in NOTICES)
+_SAYS = re.compile(SAID)
+_SAYS_NAME = tuple((f"says-{name}", re.compile(f"{SAID}{pattern}(?: |$)")) for name, pattern in NAMES)
+_SPDX_LINE, _WITH, _SUFFIX = re.compile(_SPDX), re.compile(r"\bwith\s+\S+", re.ASCII), re.compile(r"(?:-only|-or-later|\+)\Z")
+_SPDX_NAMES = {name.lower(): f"spdx-{name}" for name, _ in NAMES}
+
+
+def sentences(text: str) -> list[str]:
+    """A text's sentences over joined lines."""
+    out, at = [], 0
+    for m in STOP.finditer(text):
+        start, end = m.span()
+        if text[start] in ";:" and INSIDE.search(text, max(0, start - _REACH), start):
+            # of several marks only the first follows the words
+            start += 1
+            if start == end:
+                continue
+        out.append(text[at:start])
+        at = end
+    return [*out, text[at:]]
 
 
-def said(sentence: Column) -> Column:
+def hinted(text: str, *more: str) -> bool:
+    low = text.lower()
+    return any(h in low for h in (*HINTS, *more))
+
+
+def said(sentence: str) -> list[str]:
     """Identifiers of the licences that a normalised sentence says something is under."""
-    hits = [F.when(sentence.rlike(f"{SAID}{name}(?: |$)"), F.lit(f"says-{licence}")) for licence, name in NAMES]
-    return F.when(sentence.rlike(SAID), _compact(hits)).otherwise(F.array().cast("array<string>"))
+    return [name for name, pattern in _SAYS_NAME if pattern.search(sentence)] if _SAYS.search(sentence) else []
 
 
-def spdx(text: Column) -> Column:
+def spdx(text: str) -> list[str]:
     """Identifiers of the known licences in a text's SPDX expressions, in order."""
-    known = F.create_map(*[F.lit(x) for name, _ in NAMES for x in (name.lower(), f"spdx-{name}")])
-    words = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_SPDX), F.lit(1)), lambda e: F.split(F.regexp_replace(F.lower(e), r"\bwith\s+\S+", ""), r"[\s()]+")))
-    found = F.transform(words, lambda w: F.try_element_at(known, F.regexp_replace(w, r"(?:-only|-or-later|\+)$", "")))
-    return F.when(text.contains("SPDX-License-Identifier"), F.filter(found, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    found = (re.split(r"[\s()]+", _WITH.sub("", e.lower()), flags=re.ASCII) for e in _SPDX_LINE.findall(text))
+    return [_SPDX_NAMES[w] for words in found for w in (_SUFFIX.sub("", x) for x in words) if w in _SPDX_NAMES]
 
 
-def identifiers(text: Column) -> Column:
-    """The identifiers of a text's known sentences, in order."""
-    hinted = F.filter(F.split(F.coalesce(text, F.lit("")), STOP), lambda s: F.lower(s).rlike(HINT + "|waived"))
-    both = F.transform(hinted, lambda s: F.struct(s.alias("raw"), normalised(s).alias("plain")))
-
-    def names_of(s: Column) -> Column:
-        parts = parts_identifiers(s["raw"])
-        found = F.when(F.size(parts) > 0, parts).otherwise(said(s["plain"]))
-        for names, pattern in NOTICES:
-            whole = F.array(*map(F.lit, names))
-            # what a notice's first lines say is kept ahead of it
-            ahead = F.filter(parts, lambda x: ~x.isin(*names) & ~x.startswith("says-"))  # noqa: B023
-            found = F.when(s["plain"].contains(_sure(pattern)) & s["plain"].rlike(f"^{pattern}$"), F.concat(ahead, whole)).otherwise(found)
-        short = name_of(s["plain"])
-        return F.when(short.isNotNull(), F.array(short)).otherwise(found)
+def of_part(part: str) -> list[str]:
+    """The identifier of a short sentence, or what it says."""
+    s = normalised(part)
+    return [_SHORT[s]] if s in _SHORT else said(s)
 
-    return F.flatten(F.transform(both, names_of))
 
+def of_sentence(sentence: str) -> list[str]:
+    """The identifiers of a sentence over joined lines: a short one, a notice's, or those of its parts, in order."""
+    s = normalised(sentence)
+    if s in _SHORT:
+        return [_SHORT[s]]
+    parts = [x for p in END.split(sentence) if hinted(p) for x in of_part(p)]
+    for names, sure, pattern in reversed(_WHOLE):
+        if sure in s and pattern.fullmatch(s):
+            # what a notice's first lines say is kept ahead of it
+            return [*(x for x in parts if x not in names and not x.startswith("says-")), *names]
+    return parts or said(s)
 
-def name_of(sentence: Column) -> Column:
-    """The identifier of a short sentence, or null."""
-    known: dict[str, list[str]] = {}
-    for name, short in SENTENCES:
-        known.setdefault(name, []).append(short)
-    found = F.lit(None).cast("string")
-    for name, sentences in known.items():
-        found = F.when(sentence.isin(sentences), F.lit(name)).otherwise(found)
-    return found
 
+def identify(text: str) -> list[str]:
+    """The identifiers of a text's known sentences, in order, then those of its SPDX lines."""
+    if not hinted(text, ALSO):
+        return []
+    return [x for s in sentences(text) if hinted(s, ALSO) for x in of_sentence(s)] + spdx(text)
 
-def parts_identifiers(text: Column) -> Column:
-    """The identifiers of the short sentences among a text's parts, and of what other parts say, in order."""
-    hinted = F.transform(F.filter(F.split(text, END), lambda s: F.lower(s).rlike(HINT)), normalised)
 
-    def of_part(s: Column) -> Column:
-        short = name_of(s)
-        return F.when(short.isNotNull(), F.array(short)).otherwise(said(s))
+def identifiers(text: Column) -> Column:
+    """The identifiers of each text; none of a null text."""
+
+    @F.arrow_udf("array<string>")
+    def of_texts(texts: pa.Array) -> pa.Array:
+        return pa.array([identify(t.as_py() or "") for t in texts], pa.list_(pa.string()))
 
-    return F.flatten(F.transform(hinted, of_part))
+    return of_texts(text)
 
 
 def scan(documents: DataFrame) -> DataFrame:
     """doc_id, n_known, sentence_ids and licenses (comma-joined, licences in name order)."""
-    rough = F.coalesce(F.col("text"), F.lit("")).rlike("(?i)" + HINT + "|waived")
-    ids = F.when(rough, F.concat(identifiers(F.col("text")), spdx(F.col("text")))).otherwise(F.array().cast("array<string>"))
-    d = documents.select("doc_id", ids.alias("ids")).withColumn("chain", F.concat(F.lit(","), F.array_join("ids", ","), F.lit(",")))
+    d = documents.select("doc_id", identifiers(F.col("text")).alias("ids")).withColumn("chain", F.concat(F.lit(","), F.array_join("ids", ","), F.lit(",")))
     by_name: dict[str, list] = {}
     for name, chain in RULES:
         by_name.setdefault(name, []).append(F.col("chain").contains("," + ",".join(chain) + ","))
@@ -271,7 +293,7 @@ def oracle() -> str:
 WITH parts AS (
   SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid, regexp_split_to_array(coalesce(text, ''), '[.!?;:]+(\\s|$)|\\n+') AS sentences FROM documents
 ), normal AS (
-  SELECT rid, doc_id, text, list_transform(list_filter(sentences, lambda x: regexp_matches(lower(x), '{HINT}')),
+  SELECT rid, doc_id, text, list_transform(list_filter(sentences, lambda x: regexp_matches(lower(x), '{'|'.join(HINTS)}')),
     lambda x: trim(regexp_replace(lower(x), '[^a-z0-9.]+', ' ', 'g'))) AS sentences FROM parts
 ), named AS (
   SELECT rid, doc_id, text, flatten(list_transform(sentences, lambda s: CASE WHEN (CASE {case} END) IS NOT NULL THEN [CASE {case} END] WHEN regexp_matches(s, '{SAID}') THEN list_filter([{says}], lambda x: x IS NOT NULL) ELSE [] END)) AS said,

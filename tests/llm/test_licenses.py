@@ -1,5 +1,7 @@
 """Licence scans: further standard notices in four wrappings, licences named in sentences, SPDX expressions, and the SQL for the latter."""
 
+import time
+
 import duckdb
 import pyarrow as pa
 import pytest
@@ -86,3 +88,17 @@ def test_repeated_sentences_count_each_time(spark):
 def test_plain_stretches_of_patterns():
     assert licenses._sure(r"(?:a )?b c{0,3} deep x\.y(?:z| w) tail") == " deep x.y" and licenses._sure(r"non ?commercial 4\.0") == "commercial 4.0"
     assert all(len(licenses._sure(p)) > 10 for _, p in licenses.NOTICES)
+
+
+def test_sentences_of_great_length_take_linear_time():
+    words = "word " * 200_000
+    texts = ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which " + words, "licensed under " + words, "copyright " + words + "all rights reserved", "licence\n" + "-" * 500_000 + "\n" + " *\n" * 100_000, "free software " + "; : " * 100_000 + "permission"]
+    began = time.process_time()
+    found = [licenses.identify(t) for t in texts]
+    assert time.process_time() - began < 5
+    assert found == [["says-EPL-2.0"], [], [], [], []]
+
+
+def test_marks_inside_a_notice_do_not_end_it():
+    text = "is free\n * software; you v. 2.0 Free Software Foundation: either. Then;; free software;; so V. x! end."
+    assert [s.strip() for s in licenses.sentences(text)] == ["is free\n * software; you v. 2.0 Free Software Foundation: either", "Then", "free software;", "so V. x", "end", ""]
