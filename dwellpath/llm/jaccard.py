@@ -57,8 +57,8 @@ FEW = 8
 FILTER_BITS = 1 << 23
 #: Slots of the table of bucket sizes that costs are read from; 4 MB when broadcast.
 COST_SLOTS = 1 << 20
-#: Signatures that a task holds before it sends them on.
-FLUSH = 1_000_000
+#: Signatures that a task holds before it sends them on; some 100 bytes each while they are sorted.
+FLUSH = 1 << 18
 #: Pairs whose bitmaps a task compares at a time; some 100 bytes each while it does.
 PAIRS = 1 << 19
 #: Tables of pairs, labels and large buckets are written from an eighth of the partitions.
@@ -173,8 +173,11 @@ def _sign(parts: int):
                 held.append((docs, np.concatenate(sigs), np.concatenate(entry_of), np.concatenate(entry_key), np.concatenate(entry_own)))
                 size += len(held[-1][1])
                 if size > FLUSH:
-                    yield _pack(held, parts)
+                    packed = _pack(held, parts)
                     held, size = [], 0
+                    yield packed
+                    del packed
+            del batch, raw, off  # before the next one comes
         if held:
             yield _pack(held, parts)
 
@@ -190,6 +193,7 @@ def _pack(held: list, parts: int) -> pa.RecordBatch:
     part = (sig >> _U(33)) % _U(parts)
     order = np.lexsort((entry, part))
     sig, entry, part = sig[order], entry[order], part[order]
+    del order
     cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
     of, kind, body = [], [], []
     for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):

@@ -414,3 +414,15 @@ def test_packing_of_special_tokens_in_any_case(order):
     packing.WordIds.of(packing.tokenizer_path()).forget()
     got = [out[b[k] : b[k + 1]].tolist() for t in texts for _, _, out, b in packing.encode(pa.array([t]), packing.tokenizer_path()) for k in range(len(b) - 1)]
     assert got == [[*tok.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_stored_tables_are_made_from_small_batches(spark):
+    from dwellpath.llm.spark import BATCH_KEY, BATCH_ROWS, stored
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]}, schema=pa.schema([("n", pa.int64())]))
+
+    before = spark.conf.get(BATCH_KEY)
+    n = [r["n"] for r in stored(spark.range(0, 9_000, 1, 1).mapInArrow(sizes, "n long")).collect()]
+    assert sum(n) == 9_000 and max(n) <= BATCH_ROWS and spark.conf.get(BATCH_KEY) == before
