@@ -36,8 +36,17 @@ def read_timeline(spark: SparkSession, path: str, more: str = "") -> DataFrame:
 
 
 def _parsed(texts: DataFrame, more: str) -> DataFrame:
-    record = f"struct<{_fields(_with(more, TIMELINE))}>"
-    return texts.select("file", "seq", F.from_json("value", record).alias("r")).filter("r is not null").select("file", "seq", "r.*")
+    return parsed_once(texts, _with(more, TIMELINE), "file", "seq")
+
+
+def parsed_once(texts: DataFrame, schema: str, *keep: str) -> DataFrame:
+    """``texts`` with the fields of their JSON ``value`` in place of it.
+
+    Each text is parsed once: filters on the fields don't pass an explode, while below a mere
+    projection each field in a filter would be parsed, and its text made, again.
+    """
+    record = F.from_json("value", f"struct<{_fields(schema)}>")
+    return texts.select(*keep, F.explode(F.array(record)).alias("r")).filter("r is not null").select(*keep, "r.*")
 
 
 def _with(more: str, schema: str) -> str:
