@@ -73,9 +73,13 @@ def read_tracker(spark: SparkSession, path: str, more: str = "") -> DataFrame:
     return raw.select(F.col("_metadata.file_name").alias("file"), F.posexplode("timelineItems").alias("seq", "r")).select("file", "seq", "r.*")
 
 
-def read_anchor_ranges(spark: SparkSession, path: str, more: str = "") -> DataFrame:
-    """Home or work ranges in listed order; null dates are open sides."""
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<struct<{_fields(_with(more, ANCHORS))}>>")).alias("pos", "r"))
+def read_anchor_ranges(spark: SparkSession, path: str, more: str = "", lines: bool = False) -> DataFrame:
+    """Home or work ranges in listed order; null dates are open sides.
+
+    A file is one list. With ``lines`` each line of a file is one, as for the ranges of many people:
+    a file for each person would cost more to open than to read.
+    """
+    raw = spark.read.text(path, wholetext=not lines).select(F.posexplode(F.from_json("value", f"array<struct<{_fields(_with(more, ANCHORS))}>>")).alias("pos", "r"))
     r = raw.select("pos", "r.*")
     return r.withColumn("start_date", F.to_date("start_date")).withColumn("end_date", F.to_date("end_date"))
 
