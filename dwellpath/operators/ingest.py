@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dwellpath.functions import parse as P
 from dwellpath.functions.geo import distance_m, path_length_m
-from dwellpath.operators.joins import between_micros, near_in_time, nearest_record, overlapping
+from dwellpath.operators.joins import between_micros, near_in_time, nearest_record, overlapping, shuffled
 from dwellpath.operators.slices import SLICE_ROWS, time_slices
 
 MINUTE = 60_000_000
@@ -161,7 +161,7 @@ def dedupe_visits(new: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     key = ["subject_id", "start_time", "end_time", "_lat", "_lon"]
     n = keyed(new)
     if stored is not None:
-        n = n.join(keyed(stored.filter("visit_type = 'timeline'")).select(*key), key, "left_anti")
+        n = n.join(shuffled(keyed(stored.filter("visit_type = 'timeline'")).select(*key)), key, "left_anti")
     return first_of_equal(n, *key).drop("_lat", "_lon")
 
 
@@ -197,7 +197,7 @@ def revision(stored: DataFrame, new: DataFrame, source: str, days: int = 7) -> t
 def revision_kept(stored: DataFrame, going: DataFrame) -> DataFrame:
     """Stored rows without those that go."""
     key = ["subject_id", "id", "source", "start_time", "end_time"]
-    return stored.join(going.select(*key), key, "left_anti")
+    return stored.join(shuffled(going.select(*key)), key, "left_anti")
 
 
 def merge_revision_window(stored: DataFrame, new: DataFrame, source: str, days: int = 7, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
@@ -236,8 +236,8 @@ def link_visits(movements: DataFrame, visits: DataFrame, minutes: int = 5, metre
         rank = F.struct(F.abs(between_micros("_t", "_vt")).alias("g"), F.col("_d"), F.col("_v"))
         return c.groupBy("subject_id", F.col("_m").alias("id")).agg(F.min_by("_v", rank).alias(name))
 
-    out = movements.join(best("start_time", "start_lat", "start_lon", "end_time", "preceding_visit_id"), ["subject_id", "id"], "left")
-    return out.join(best("end_time", "end_lat", "end_lon", "start_time", "following_visit_id"), ["subject_id", "id"], "left")
+    out = movements.join(shuffled(best("start_time", "start_lat", "start_lon", "end_time", "preceding_visit_id")), ["subject_id", "id"], "left")
+    return out.join(shuffled(best("end_time", "end_lat", "end_lon", "start_time", "following_visit_id")), ["subject_id", "id"], "left")
 
 
 def route_length(movements: DataFrame, model: str = "spheroid") -> DataFrame:
@@ -254,4 +254,4 @@ def label_places(visits: DataFrame, labels: DataFrame, metres: float = 250.0) ->
     v = visits.select("subject_id", F.col("id").alias("_v"), "start_time", "end_time", "lat", "lon")
     hit = overlapping(v, labels, ["subject_id"], ("start_time", "end_time"), ("label_start", "label_end")).filter(distance_m("lat", "lon", "label_lat", "label_lon") <= metres)
     names = hit.groupBy("subject_id", F.col("_v").alias("id")).agg(F.max_by("label", "seq").alias("_label"))
-    return visits.join(names, ["subject_id", "id"], "left").withColumn("place_name", F.coalesce("_label", "place_name")).drop("_label")
+    return visits.join(shuffled(names), ["subject_id", "id"], "left").withColumn("place_name", F.coalesce("_label", "place_name")).drop("_label")

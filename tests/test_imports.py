@@ -7,12 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from dwellpath.operators import imports as IM
+from dwellpath.operators import ingest as I
 from dwellpath.operators import places as H
 from dwellpath.operators import trips as T
 from dwellpath.operators.query import spots
+from dwellpath.plans import registry
 from dwellpath.sources import exports as E
 from dwellpath.sources.store import Conflict, Store
-from tests.conftest import plain
+from tests.conftest import DATA, plain
 from tests.test_models import T0, plain_orphans
 
 VISITS = "subject_id long, id long, start_time timestamp_ntz, end_time timestamp_ntz, lat double, lon double"
@@ -171,3 +173,35 @@ def test_spot_names(spark):
     for c in ("start_time", "end_time", "local_start_ts"):
         v = v.withColumn(c, F.lit(T0).cast("timestamp_ntz"))
     assert {(r["lat6"], r["n_visits"], r["minutes"], r["place_name"]) for r in spots(v).collect()} == {(1.0, 8, 8, "a"), (5.0, 1, 1, None), (9.0, 3000, 3000, "name 00000")}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["tracker_movements", "activities_old", "activities_new", "breadcrumbs"])
+def test_a_record_is_parsed_once(spark, name):
+    plan = _plan(registry.queries()[name](spark, DATA))
+    assert plan.count("from_json(") == 1
+
+
+def test_files_of_records_are_parsed_once(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"subject_id": 1, "startTime": "x", "visit": {}}\n')
+    records = I.route_records(E.read_timeline_lines(spark, str(tmp_path), "subject_id bigint")).filter("kind = 'visit' and startTime = 'x'")
+    assert _plan(records).count("from_json(") == 1 and records.count() == 1
+
+
+def test_anchor_ranges_need_no_file_a_subject(spark):
+    found = registry.queries()["anchor_ranges"](spark, DATA)
+    assert len(found.inputFiles()) <= 8 < found.select("subject_id").distinct().count()
+
+
+def test_anchor_ranges_of_a_whole_file(spark, tmp_path):
+    (tmp_path / "homes.json").write_text('[\n {"lat": 1.5, "lon": 2.0, "name": "a", "end_date": "2024-01-02"},\n {"lat": 3.0, "lon": 4.0, "name": "b"}\n]\n')
+    r = E.read_anchor_ranges(spark, str(tmp_path)).orderBy("pos").collect()
+    assert [(x["pos"], x["name"], x["lat"], str(x["end_date"])) for x in r] == [(0, "a", 1.5, "2024-01-02"), (1, "b", 3.0, "None")]
+
+
+def test_growing_sides_of_joins_are_not_broadcast(spark):
+    v, m = (registry.queries()[name](spark, DATA) for name in ("link_visits", "label_places"))
+    assert "BroadcastHashJoin" not in _plan(v) + _plan(m)
