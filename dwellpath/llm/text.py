@@ -59,11 +59,11 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         a = b
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, and for each text the number of words before it (one entry more)."""
+def words_at(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each word."""
     n = len(raw)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     solid = ~_IS_SPACE[raw]
     first = np.zeros(n + 1, dtype=bool)
     first[offsets] = True
@@ -83,7 +83,13 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         k = np.arange(int(more.sum())) - np.repeat(first, more) + 1
         x = block[np.repeat(s[long], more) + 8 * k] & _FIRST[np.minimum(np.repeat(size[long], more) - 8 * k, 8)]
         h[long] += np.add.reduceat(scramble(x ^ scramble(k.astype(np.uint64) * _U(_BASE))), first)
-    return scramble(h + size.astype(np.uint64) * _U(0xD6E8FEB86659FD93)), np.searchsorted(s, offsets)
+    return scramble(h + size.astype(np.uint64) * _U(0xD6E8FEB86659FD93)), s, e
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word, and for each text the number of words before it (one entry more)."""
+    h, s, _ = words_at(raw, offsets)
+    return h, np.searchsorted(s, offsets)
 
 
 #: Odd multipliers, one for each place of a word in a shingle.

@@ -426,3 +426,22 @@ def test_stored_tables_are_made_from_small_batches(spark):
     before = spark.conf.get(BATCH_KEY)
     n = [r["n"] for r in stored(spark.range(0, 9_000, 1, 1).mapInArrow(sizes, "n long")).collect()]
     assert sum(n) == 9_000 and max(n) <= BATCH_ROWS and spark.conf.get(BATCH_KEY) == before
+
+
+def test_packing_encodes_letters_once_and_keeps_common_words(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    tok, book = Tokenizer.from_file(path), packing.WordIds.of(path)
+    seen, tokenize = collections.Counter(), book.tokenize
+    monkeypatch.setattr(book, "tokenize", lambda w: seen.update([w]) or tokenize(w))
+    book.forget()
+    monkeypatch.setattr(book, "parts", {"": b""}, raising=False)
+    monkeypatch.setattr(packing, "MEMORY_WORDS", 60)
+    g = random.Random(5)
+    made = lambda: "".join(g.choices("abcdeé", k=9))
+    texts = ["zebra Zebra, zebra### ZEBRA!", None, " ", *(f"zebra zebra {made()} <|endoftext|> <|EndOfText|> {made()}. it's {made()}&&& 12 x{made()}" for _ in range(100))]
+    got = [out[b[k] : b[k + 1]].tolist() for t in texts for _, _, out, b in packing.encode(pa.array([t], pa.string()), path) for k in range(len(b) - 1)]
+    assert got == [tok.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    assert seen["zebra"] == 1
+    assert len(book.hash) < 120
