@@ -57,6 +57,10 @@ FEW = 8
 FILTER_BITS = 1 << 23
 #: Slots of the table of bucket sizes that costs are read from; 4 MB when broadcast.
 COST_SLOTS = 1 << 20
+#: Bytes of a signature.
+SIG_BYTES = 6
+#: Rounds in which a task goes through its signatures; each holds its share of them.
+ROUNDS = 4
 #: Signatures that a task holds before it sends them on; some 100 bytes each while they are sorted.
 FLUSH = 1 << 18
 #: Pairs whose bitmaps a task compares at a time; some 100 bytes each while it does.
@@ -107,7 +111,31 @@ def set_keys(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _signature(content: np.ndarray, band: np.ndarray, segment: np.ndarray, space: int) -> np.ndarray:
-    return scramble(content + scramble(band.astype(np.uint64) * _U(1 << 40) + segment.astype(np.uint64) * _U(4) + _U(space)))
+    """Signatures of SIG_BYTES bytes; two that are equal by chance join two buckets, which only adds pairs to test."""
+    return scramble(content + scramble(band.astype(np.uint64) * _U(1 << 40) + segment.astype(np.uint64) * _U(4) + _U(space))) >> _U(64 - 8 * SIG_BYTES)
+
+
+def _share(sig: np.ndarray, parts: int) -> np.ndarray:
+    """The share of the hash space that a signature or a hash lies in."""
+    return (sig >> _U(16)) % _U(parts)
+
+
+def _narrow(sig: np.ndarray) -> bytes:
+    return np.ascontiguousarray(sig, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES].tobytes()
+
+
+def _wide(body: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(body) // SIG_BYTES, 8), dtype=np.uint8)
+    out[:, :SIG_BYTES] = body.reshape(-1, SIG_BYTES)
+    return out.view("<u8").ravel()
+
+
+def _repeated(sig: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Of each row, how many of its signatures are equal to another one of its own, which counts in a bucket once."""
+    x = scramble(sig + scramble(row.astype(np.uint64) + _U(1)))
+    again = np.sort(x)
+    again = again[1:][again[1:] == again[:-1]]
+    return np.bincount(row[np.isin(x, again)], minlength=rows) if len(again) else np.zeros(rows, np.int64)
 
 
 def _subsets(h: np.ndarray, bounds: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -129,7 +157,8 @@ _SENT = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("body", pa.binary
 _NUMBERS = ("n", "band", "own_used", "own_filled", "low_used", "low_filled", "own_spare", "low_spare")
 _FOUND = "kind byte, a long, b long, " + ", ".join(f"{c} int" for c in _NUMBERS)
 _FOUND_ARROW = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), *[(c, pa.int32()) for c in _NUMBERS]])
-_ENTRY = np.dtype([("key", "<u8"), ("count", "<u2"), ("own", "u1")])
+#: A set's signatures in one share: how many of its own band, then of the band below.
+_ENTRY = np.dtype([("key", "<u8"), ("own", "u1"), ("low", "u1")])
 _DOC = np.dtype([("id", "<i8"), ("key", "<u8"), *[(c, "<i4") for c in _NUMBERS], ("null", "u1")])
 
 
@@ -152,8 +181,7 @@ def _sign(parts: int):
                 able = np.flatnonzero((n > 0) & ~null[a:b])
                 sign = np.zeros(b - a, dtype=bool)
                 sign[able[np.unique(keys[able], return_index=True)[1]]] = True
-                sigs, entry_of, entries = [], [], 0
-                entry_key, entry_own = [], []
+                sigs, entry_of = [], []
                 for own, (band, m, used) in zip((1, 0), schemes(np.maximum(n, 1)), strict=True):
                     row, seg, _, content = _subsets(h, bounds, m)
                     inside = seg < used[row]
@@ -166,11 +194,13 @@ def _sign(parts: int):
                     take = inside & sign[row] & (band[row] >= 0)
                     row, seg, content = row[take], seg[take], content[take]
                     sigs.append(_signature(content, band[row], seg, 0))
-                    entry_of.append(row + entries)
-                    entry_key.append(keys)
-                    entry_own.append(np.full(b - a, own, np.uint8))
-                    entries += b - a
-                held.append((docs, np.concatenate(sigs), np.concatenate(entry_of), np.concatenate(entry_key), np.concatenate(entry_own)))
+                    entry_of.append(2 * row + 1 - own)
+                sig, entry = np.concatenate(sigs), np.concatenate(entry_of)
+                once = _repeated(sig, entry >> 1, b - a)
+                if once.any():  # they count as empty segments do, as their buckets show them once
+                    for c in ("own_filled", "low_filled", "own_spare", "low_spare"):
+                        docs[c] -= once.astype(np.int32)
+                held.append((docs, sig, entry, keys))
                 size += len(held[-1][1])
                 if size > FLUSH:
                     packed = _pack(held, parts)
@@ -186,11 +216,11 @@ def _sign(parts: int):
 
 def _pack(held: list, parts: int) -> pa.RecordBatch:
     docs = np.concatenate([x[0] for x in held])
-    base = np.cumsum([0] + [len(x[3]) for x in held])
+    base = np.cumsum([0] + [2 * len(x[3]) for x in held])
     sig = np.concatenate([x[1] for x in held])
     entry = np.concatenate([x[2] + o for x, o in zip(held, base, strict=False)])
-    key, own = np.concatenate([x[3] for x in held]), np.concatenate([x[4] for x in held])
-    part = (sig >> _U(33)) % _U(parts)
+    key = np.concatenate([x[3] for x in held])
+    part = _share(sig, parts)
     order = np.lexsort((entry, part))
     sig, entry, part = sig[order], entry[order], part[order]
     del order
@@ -199,16 +229,18 @@ def _pack(held: list, parts: int) -> pa.RecordBatch:
     for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
         if a == b:
             continue
-        heads = np.flatnonzero(np.concatenate([[True], entry[a + 1 : b] != entry[a : b - 1]]))
+        row, low = entry[a:b] >> 1, entry[a:b] & 1
+        heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         counts = np.diff(np.append(heads, b - a))
-        long = np.flatnonzero(counts > 65535)
+        long = np.flatnonzero(counts > 255)
         if len(long):  # an entry of very many signatures is written in pieces
-            heads = np.unique(np.concatenate([heads, *[np.arange(heads[i], heads[i] + counts[i], 65535) for i in long]]))
+            heads = np.unique(np.concatenate([heads, *[np.arange(heads[i], heads[i] + counts[i], 255) for i in long]]))
             counts = np.diff(np.append(heads, b - a))
         table = np.zeros(len(heads), dtype=_ENTRY)
-        table["key"], table["own"], table["count"] = key[entry[a:b][heads]], own[entry[a:b][heads]], counts
+        table["key"], table["low"] = key[row[heads]], np.add.reduceat(low, heads)
+        table["own"] = counts - table["low"]
         of.append(p), kind.append(1)
-        body.append(np.int64(len(table)).tobytes() + table.tobytes() + sig[a:b].tobytes())
+        body.append(np.int64(len(table)).tobytes() + table.tobytes() + _narrow(sig[a:b]))
     place = (docs["key"] >> _U(33)) % _U(parts)
     for p in np.unique(place):
         of.append(int(p)), kind.append(2), body.append(docs[place == p].tobytes())
@@ -236,23 +268,38 @@ def _counted_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs and noted members from the signatures of one share of the hash space."""
-    sigs, keys, owns = [], [], []
+    bodies: list[pa.Buffer] = []
     for batch in batches:
         for kind, body in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
             buf = body.as_buffer()
             if kind == 2:
                 d = np.frombuffer(buf, dtype=_DOC)
                 yield _rows(2, d["id"], d["key"], {c: d[c] for c in _NUMBERS}, null=d["null"].astype(bool))
-                continue
+            else:
+                bodies.append(buf)
+    left, right = [], []
+    for k in range(ROUNDS):
+        sigs, keys, owns = [], [], []
+        for buf in bodies:
             t = int(np.frombuffer(buf, np.int64, 1)[0])
             table = np.frombuffer(buf, dtype=_ENTRY, count=t, offset=8)
-            sigs.append(np.frombuffer(buf, dtype=np.uint64, offset=8 + t * _ENTRY.itemsize))
-            keys.append(np.repeat(table["key"], table["count"]))
-            owns.append(np.repeat(table["own"], table["count"]))
-    if not sigs:
-        return
-    sig, key, own = np.concatenate(sigs), np.concatenate(keys), np.concatenate(owns)
-    del sigs, keys, owns
+            sig = _wide(np.frombuffer(buf, dtype=np.uint8, offset=8 + t * _ENTRY.itemsize))
+            mine = sig % _U(ROUNDS) == k
+            sigs.append(sig[mine])
+            keys.append(np.repeat(table["key"], table["own"].astype(np.int64) + table["low"])[mine])
+            owns.append(np.repeat(np.tile(np.array([1, 0], np.uint8), t), np.stack([table["own"], table["low"]], axis=1).ravel())[mine])
+        if sum(map(len, sigs)):
+            yield from _met(np.concatenate(sigs), np.concatenate(keys), np.concatenate(owns), left, right)
+    del bodies
+    if left:
+        x, y, n = _counted_pairs(np.concatenate(left), np.concatenate(right))
+        for a in range(0, len(x), 1 << 16):
+            b = a + (1 << 16)
+            yield _rows(0, x[a:b], y[a:b], {"n": n[a:b]})
+
+
+def _met(sig: np.ndarray, key: np.ndarray, own: np.ndarray, left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The members of large buckets; the pairs of small ones go to ``left`` and ``right``."""
     order = np.argsort(sig)
     s = sig[order]
     same = s[1:] == s[:-1]
@@ -271,7 +318,6 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     heads = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     count = np.diff(np.append(heads, len(sig)))
     owners = np.add.reduceat(own.astype(np.int64), heads)
-    left, right = [], []
     for c in range(2, SMALL + 1):
         at = heads[(count == c) & (owners > 0)]
         if len(at):
@@ -282,11 +328,6 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     large = np.repeat((count > SMALL) & (owners > 0), count)
     if large.any():
         yield _rows(1, sig[large], key[large], {"n": own[large]})
-    if left:
-        x, y, n = _counted_pairs(np.concatenate(left), np.concatenate(right))
-        for a in range(0, len(x), 1 << 16):
-            b = a + (1 << 16)
-            yield _rows(0, x[a:b], y[a:b], {"n": n[a:b]})
 
 
 # ---------------------------------------------------------------- verification
@@ -579,7 +620,7 @@ def _dealt(docs: list[tuple], out: list[tuple[np.ndarray, int, int]], parts: int
         return
     n = [len(o[0]) for o in out]
     sig, doc, role = np.concatenate([o[0] for o in out]), np.repeat([o[1] for o in out], n), np.repeat([o[2] for o in out], n)
-    part = ((sig >> _U(33)) % _U(parts)).astype(np.int64)
+    part = _share(sig, parts).astype(np.int64)
     order = np.argsort(part, kind="stable")
     cuts = np.searchsorted(part[order], np.arange(parts + 1))
     for k in np.flatnonzero(np.diff(cuts)).tolist():
@@ -817,7 +858,7 @@ def join_components(documents: DataFrame, with_key: bool = False) -> DataFrame:
     large = found.filter("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("key"), F.col("n").alias("own"))
     # a set has no more large buckets than segments
     lists = large.groupBy("key").agg(*[F.collect_list(F.when(F.col("own") == own, F.col("sig"))).alias(f"{c}_sigs") for c, own in (("own", 1), ("low", 0))])
-    classes = docs.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in _NUMBERS])
+    classes = docs.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in _NUMBERS])
     classes = classes.join(lists, "key", "left")
     for c in ("own", "low"):
         classes = classes.withColumn(f"{c}_sigs", F.coalesce(f"{c}_sigs", F.array().cast("array<long>"))).withColumn(f"{c}_large", F.size(f"{c}_sigs"))

@@ -445,3 +445,33 @@ def test_packing_encodes_letters_once_and_keeps_common_words(monkeypatch):
     assert got == [tok.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
     assert seen["zebra"] == 1
     assert len(book.hash) < 120
+
+
+def test_jaccard_sends_few_bytes_a_signature():
+    g = random.Random(7)
+    texts = [" ".join(g.choices("abcdefghijklmnop", k=g.randrange(5, 900))) for _ in range(60)] + ["one two three", "x " * 40_000 + "y", " ".join(map(str, range(20_000)))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    sent = [(k, b) for out in jaccard._sign(50)(iter([batch])) for k, b in zip(out.column(1).to_pylist(), out.column(2).to_pylist(), strict=True)]
+    raw, off = text.utf8(pa.array(texts))
+    h, bounds = text.shingle_sets(raw, off)
+    n = 0
+    for band, m, used in jaccard.schemes(np.maximum(np.diff(bounds), 1)):
+        row, seg, _, _ = jaccard._subsets(h, bounds, m)
+        n += int(((seg < used[row]) & (band[row] >= 0)).sum())
+    assert sum(len(b) for k, b in sent if k == 1) < 9 * n
+
+
+def test_jaccard_signatures_equal_by_chance_count_as_empty_segments(monkeypatch):
+    plain_signature = jaccard._signature
+    monkeypatch.setattr(jaccard, "_signature", lambda *a: plain_signature(*a) % np.uint64(64))
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([" ".join(map(str, range(300)))])], names=["doc_id", "text"])
+    bodies: dict = {}
+    for out in jaccard._sign(1)(iter([batch])):
+        bodies |= dict(zip(out.column(1).to_pylist(), out.column(2).to_pylist(), strict=True))
+    doc = np.frombuffer(bodies[2], dtype=jaccard._DOC)[0]
+    t = int(np.frombuffer(bodies[1], np.int64, 1)[0])
+    table = np.frombuffer(bodies[1], dtype=jaccard._ENTRY, count=t, offset=8)
+    sig = jaccard._wide(np.frombuffer(bodies[1], dtype=np.uint8, offset=8 + t * jaccard._ENTRY.itemsize))
+    assert int(table["own"].sum()) + int(table["low"].sum()) == len(sig)
+    assert doc["own_filled"] <= 64 and doc["low_filled"] <= 64
+    assert jaccard._repeated(np.array([5, 5, 6, 5], np.uint64), np.array([0, 0, 0, 1]), 3).tolist() == [2, 0, 0]
