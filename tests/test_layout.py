@@ -12,6 +12,8 @@ from dwellpath.operators import ingest as I
 from dwellpath.operators import joins as J
 from dwellpath.operators import query as Q
 from dwellpath.sources import exports as E
+from dwellpath.plans import registry
+from tests.conftest import DATA
 from tests.test_models import T0
 
 
@@ -144,3 +146,9 @@ def test_surveyed_orders(spark):
     assert [r["id"] for r in Q.when_at(v, 0.0, 0.0).collect()] == [1, 2, 0, 3]
     m = m.withColumn("distance_meters", F.lit(1.0)).withColumn("duration_minutes", F.lit(1)).withColumn("route", F.lit(None).cast("array<int>"))
     assert S.movement_stats(m, "activity_type").first()["confidence"] == 0.467
+
+
+@pytest.mark.parametrize("name", ["trips", "trip_summary"])
+def test_trips_that_are_read_twice_are_found_once(spark, name):
+    plan = registry.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bridged" not in plan
