@@ -95,6 +95,12 @@ class WordIds:
         self.ids, self.at = self._gathered(kept)
         self.hash, self.count, self.used = self.hash[kept], self.count[kept], self.used[kept] // 2
 
+    def rest(self) -> None:
+        """Between tasks a worker, which may go on to other work, remembers the words used most alone."""
+        self._make_room()
+        self.parts = {"": b""}
+        pa.default_memory_pool().release_unused()
+
     def _gathered(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words at places ``k``, one after the other, and where each begins."""
         count = self.count[k]
@@ -218,6 +224,7 @@ def pack(documents: DataFrame, path: str | None = None, with_ids: bool = False)
                             rows[-1].append(ids[at : at + n].astype(np.int32))
                         at += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
+        WordIds.of(path).rest()
 
     out = documents.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int" + (", ids array<int>" if with_ids else ""))
     return out.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
