@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; ``run``
 applies the stages to ``documents``, writing and reading Parquet between them in the folder
-that the cluster names in ``spark.checkpoint.dir``.
+that the cluster names in ``spark.checkpoint.dir``. Stages with Python steps set the session's Arrow
+batches to 2,000 rows, so that JVM and Python hold few texts at a time.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwellpath.llm import jaccard, mixing, packing, quality, secret_scan
-from dwellpath.llm.spark import stored
+from dwellpath.llm.spark import small_batches, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -27,6 +28,7 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows without a doc_id can't be linked and stay. Rows of one doc_id are told apart by the keys
     of their sets; of rows that share doc_id and set, one stays.
     """
+    small_batches(spark)
     groups = jaccard.join_components(docs, with_key=True).filter("doc_id is not null")
     first = groups.groupBy("component_id", (F.col("n_shingles") > 0).alias("linked")).agg(F.min(F.struct("doc_id", "key")).alias("first"))
     first = first.select("first.doc_id", F.col("first.key").alias("_key"))
@@ -37,6 +39,7 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts replaced by the names of their kinds."""
+    small_batches(spark)
     return secret_scan.redact(docs.select(*COLUMNS))
 
 
@@ -57,6 +60,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, each a sequence of a power of two tokens."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwellpath.llm.graph import components
-from dwellpath.llm.spark import forget, shuffle_width, stored
+from dwellpath.llm.spark import forget, rested, shuffle_width, stored
 from dwellpath.llm.text import exact_sets, scramble, shingle_sets, slices, utf8
 
 _U = np.uint64
@@ -387,7 +387,7 @@ def tested(pairs: DataFrame, documents: DataFrame) -> DataFrame:
         .join(texts.select(F.col("doc_id").alias("rb"), F.col("text").alias("tb")), "rb")
         .select("a", "b", "ta", "tb")
     )
-    return stored(rows.mapInArrow(_test, _TESTED))
+    return stored(rows.mapInArrow(rested(_test), _TESTED))
 
 
 # ---------------------------------------------------------------- steps 2 and 3
@@ -492,7 +492,7 @@ def _spanning(sets: DataFrame) -> DataFrame:
 
     ``few``: whether at most FEW members lie outside the main component.
     """
-    parts = sets.select("own_sigs", "low_sigs", "component").mapInArrow(_parts, "sig long, component long, k long").groupBy("sig", "component").agg(F.sum("k").alias("k"))
+    parts = sets.select("own_sigs", "low_sigs", "component").mapInArrow(rested(_parts), "sig long, component long, k long").groupBy("sig", "component").agg(F.sum("k").alias("k"))
     main = parts.groupBy("sig").agg(F.sum("k").alias("size"), F.count(F.lit(1)).alias("parts"), F.max(F.col("component").isNull()).alias("many"), F.max(F.when(F.col("component").isNotNull(), F.struct("k", "component"))).alias("m"))
     few = ~F.col("many") & (F.col("size") - F.col("m.k") <= FEW)
     return main.filter("parts > 1 or many").select("sig", F.col("m.component").alias("main"), few.alias("few"))
@@ -823,18 +823,22 @@ def _late_pairs(sets: DataFrame, large: DataFrame, documents: DataFrame) -> Data
     parts = shuffle_width(spark)
     texts = with_texts(documents, sets.select(F.col("rep").alias("doc_id")))
     held = stored(sets.join(texts, F.col("rep") == F.col("doc_id")).select("key", "text", F.concat("own_sigs", "low_sigs").alias("sigs"), "component", "n"))
-    tokens = held.select("key", "text", F.array("component").alias("component")).mapInArrow(_spread(parts), "part int, kind byte, body binary")
-    found = stored(tokens.repartitionById(parts, F.col("part")).mapInArrow(_rare, "kind byte, a long, b long"), "kind")
+    tokens = held.select("key", "text", F.array("component").alias("component")).mapInArrow(rested(_spread(parts)), "part int, kind byte, body binary")
+    found = stored(tokens.repartitionById(parts, F.col("part")).mapInArrow(rested(_rare), "kind byte, a long, b long"), "kind")
     rare = found.filter("kind = 1").groupBy(F.col("a").alias("key")).agg(F.sum("b").alias("rare"))
     common = held.join(rare, "key", "left").withColumn("rare", F.coalesce("rare", F.lit(0))).filter(3 * F.col("rare") <= F.col("n")).select("key", "text", "sigs", F.array("component", "rare").alias("more"))
     bucket_sizes = spark.sparkContext.broadcast(_bucket_sizes(large))
-    sent = common.mapInArrow(_allocate(parts, bucket_sizes), "part int, kind byte, body binary").repartitionById(parts, F.col("part"))
-    met = sent.mapInArrow(_meet, "a long, b long")
+    sent = common.mapInArrow(rested(_allocate(parts, bucket_sizes)), "part int, kind byte, body binary").repartitionById(parts, F.col("part"))
+    met = sent.mapInArrow(rested(_meet), "a long, b long")
     return met.unionByName(found.filter("kind = 0").select("a", "b")).distinct()
 
 
 def set_key(text: Column) -> Column:
-    """The key of a text's set, which is what ``join_components`` calls a row's ``key``; 0 for the empty set."""
+    """The key of a text's set, which is what ``join_components`` calls a row's ``key``; 0 for the empty set.
+
+    Never null. It is marked as if a second call could differ, so that no filter on it is moved below
+    it: the texts would go through two Python workers a task, one for the filter and one for the key.
+    """
 
     @F.arrow_udf("long")
     def keys(texts: pa.Array) -> pa.Array:
@@ -842,7 +846,7 @@ def set_key(text: Column) -> Column:
         found = [set_keys(*shingle_sets(raw[off[a] : off[b]], off[a : b + 1] - off[a])) for a, b in slices(off)]
         return pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())
 
-    return keys(text)
+    return keys.asNondeterministic()(text)
 
 
 def join_components(documents: DataFrame, with_key: bool = False) -> DataFrame:
@@ -852,8 +856,8 @@ def join_components(documents: DataFrame, with_key: bool = False) -> DataFrame:
     """
     spark = documents.sparkSession
     parts = shuffle_width(spark)
-    sent = documents.select("doc_id", "text").mapInArrow(_sign(parts), "part int, kind byte, body binary")
-    found = stored(sent.repartitionById(parts, F.col("part")).mapInArrow(_bucket, _FOUND), "kind")
+    sent = documents.select("doc_id", "text").mapInArrow(rested(_sign(parts)), "part int, kind byte, body binary")
+    found = stored(sent.repartitionById(parts, F.col("part")).mapInArrow(rested(_bucket), _FOUND), "kind")
     docs = found.filter("kind = 2").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), *_NUMBERS)
     large = found.filter("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("key"), F.col("n").alias("own"))
     # a set has no more large buckets than segments

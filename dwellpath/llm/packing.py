@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dwellpath.llm import spark
 from dwellpath.llm.text import slices, utf8, words_at
 
 _U = np.uint64
@@ -99,7 +100,7 @@ class WordIds:
         """Between tasks a worker, which may go on to other work, remembers the words used most alone."""
         self._make_room()
         self.parts = {"": b""}
-        pa.default_memory_pool().release_unused()
+        spark.rest()
 
     def _gathered(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words at places ``k``, one after the other, and where each begins."""

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from dwellpath.llm.spark import rested
 from dwellpath.llm.text import utf8
 
 KINDS = ("assign", "access", "hex", "entropy")
@@ -248,4 +249,4 @@ def redact(documents: DataFrame) -> DataFrame:
                         cols[chars] = pa.array([len(t) if s else c for t, s, c in zip(texts, spans, cols[chars].to_pylist(), strict=True)], cols[chars].type)
                 yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(rested(run), documents.schema)
