@@ -10,8 +10,9 @@ that overlap the likeliest stays; a proposal that overlaps a base span is never
 The trees learn from the corpus itself. Positive: base spans where they stand, rewritten to forms
 that the patterns don't catch. Negative: proposals in the texts, and the same places with dates,
 sums, versions, serial numbers and the like. In half of the rewritten rows a word that goes with
-the kind (or against it) is put before the span. At most ``MAX_ROWS`` rows are learned from, those
-first by a hash of the span and its surroundings; everything else looks at all texts whole.
+the kind (or against it) is put before the span. All rows of all texts are learned from: they stay where
+they are, and the driver gets sums by node, feature and bin for each level of a tree, and how many rows held out
+have which score. Equal rows are one with a number, and a kind and label that has very many weighs less a row.
 
 Defined results: a null text is empty; a text without spans has zero counts, an empty span list and
 the digest of the empty string; without base spans in the whole table there is nothing to learn
@@ -26,23 +27,28 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellpath.llm.boosting import Trees, boost, calibrate, sigmoid, threshold
-from dwellpath.llm.spark import stored
+from dwellpath.llm.boosting import BINS, Trees, bin_cuts, calibrate, codes, grow, sigmoid, sums, threshold
+from dwellpath.llm.spark import rested, stored
 from dwellpath.llm.text import slices, utf8
 
 KINDS = ("email", "ip", "card", "phone", "likely_email", "likely_card", "likely_phone")
 EMAIL, IP, CARD, PHONE = range(4)
 #: The kind of a proposal less the kind of the base pattern of the same thing.
 _LIKELY = {EMAIL: 4, CARD: 5, PHONE: 6}
-#: Rows learned from, of each kind and label; the share held out for calibration is one in four.
-MAX_ROWS = 2500
+#: What the rows of a kind and label weigh together at most, so that none outweighs the others; one row in so many is held out for calibration.
+WEIGHT, HELD = 2500, 4
+#: Scores are in steps of one so many-th, so that all scores of the rows held out fit a table of bounded size.
+STEPS = 1024
+#: Up to so many different rows the driver adds up the same sums itself, as a job for each level of a tree would take longer.
+AT_DRIVER = 1 << 14
 #: The share of selected spans of held-out rows that must be true.
 PRECISION = 0.98
 
@@ -265,7 +271,7 @@ class Model:
 
     def chances(self, kinds: np.ndarray, x: np.ndarray) -> np.ndarray:
         """Calibrated probabilities of proposals, less than nothing below their kind's threshold."""
-        z = self.trees.raw(x)
+        z = np.rint(self.trees.raw(x) * STEPS) / STEPS
         out = np.full(len(z), -1.0)
         for kind, (a, b) in self.lines.items():
             own = kinds == kind
@@ -274,30 +280,89 @@ class Model:
         return out
 
 
-def sample(documents: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """(kind, label, h, x): of each kind and label the rows first by hash, equal ones once."""
-    rows = stored(documents.filter("text is not null").select("text").mapInArrow(_examples, "kind int, label int, h long, x array<float>"))
-    first = Window.partitionBy("kind", "label").orderBy("h")
-    ids = rows.select("kind", "label", "h").distinct().withColumn("place", F.row_number().over(first)).filter(F.col("place") <= max_rows)
-    # at most six times max_rows rows are broadcast
-    return rows.join(F.broadcast(ids), ["kind", "label", "h"]).groupBy("kind", "label", "place").agg(F.min("x").alias("x"))
+def training_rows(documents: DataFrame) -> DataFrame:
+    """(kind, label, held, x, n): all rows to learn from, equal ones together with their number ``n``; ``held`` ones are for calibration."""
+    rows = documents.filter("text is not null").select("text").mapInArrow(rested(_examples), "kind int, label int, h long, x array<float>")
+    # a copy of a span with its surroundings counts once, and lies on one side
+    rows = rows.groupBy("kind", "label", "h", "x").agg(F.count(F.lit(1)).alias("copies")).withColumn("held", F.pmod(F.xxhash64("h"), F.lit(HELD)) == 0)
+    return stored(rows.groupBy("kind", "label", "held", "x").agg(F.count(F.lit(1)).alias("n")))
 
 
-def fit(documents: DataFrame, max_rows: int = MAX_ROWS) -> Model | None:
+def _columns(batch: pa.RecordBatch, shares: dict[tuple[int, int], float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Kinds, features, labels and weights of training rows (kind, label, x, n)."""
+    kind, label, n = (np.asarray(batch.column(k)) for k in (0, 1, 3))
+    x = np.asarray(batch.column(2).flatten()).reshape(len(kind), len(FEATURES)).astype(np.float64)
+    return kind, x, label.astype(np.float64), n * np.array([shares[k] for k in zip(kind.tolist(), label.tolist(), strict=True)])
+
+
+def _summed(rows: DataFrame, cuts: list[np.ndarray], shares: dict[tuple[int, int], float], trees: Trees, feature: np.ndarray, limit: np.ndarray, level: int) -> np.ndarray:
+    """The sums of a level's nodes over all rows: at most 2 ** level times features times bins come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            _, x, y, w = _columns(batch, shares)
+            own = sums(codes(x, cuts), x, y, w, trees, feature, limit, level)
+            total = own if total is None else total + own
+        if total is not None:
+            flat = total.reshape(2, -1)
+            some = np.flatnonzero(flat.any(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(flat[0, some]), pa.array(flat[1, some])], names=["cell", "g", "h"])
+
+    found = rows.mapInArrow(run, "cell long, g long, h long").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
+    out = np.zeros((2, 2**level * len(cuts) * BINS), dtype=np.int64)
+    out[:, found["cell"].to_numpy()] = found[["g", "h"]].to_numpy().T
+    return out.reshape(2, 2**level, len(cuts), BINS)
+
+
+def _scores(rows: DataFrame, shares: dict[tuple[int, int], float], trees: Trees) -> DataFrame:
+    """(kind, label, z, n): how many rows have a score, in steps of one ``STEPS``-th."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, x, _, _ = _columns(batch, shares)
+            z = pa.array(np.rint(trees.raw(x) * STEPS).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), z, batch.column(3)], names=["kind", "label", "z", "n"])
+
+    return rows.mapInArrow(run, "kind int, label int, z long, n long").groupBy("kind", "label", "z").agg(F.sum("n").alias("n"))
+
+
+def fit(documents: DataFrame) -> Model | None:
     """Learn from all of ``documents``; None where no base span is found or a label is missing."""
-    rows = sample(documents, max_rows).orderBy("kind", "label", "place").collect()  # bounded by max_rows a kind and label
-    if len({r["label"] for r in rows}) < 2:
+    rows = training_rows(documents)
+    found = rows.groupBy("kind", "label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    counts = {(r["kind"], r["label"]): r["n"] for r in found}
+    if len({label for _, label in counts}) < 2:
+        return None
+    # no row is left out: where a kind and label has more, each weighs less
+    shares = {k: min(1.0, WEIGHT / n) for k, n in counts.items()}
+    weight = F.create_map(*[F.lit(v) for (kind, label), s in shares.items() for v in (2 * kind + label, s)])[F.col("kind") * 2 + F.col("label")]
+    learned = rows.filter("not held").select("kind", "label", "x", "n")
+    # features are small numbers, so a feature has some hundred values at most, however many rows
+    valued = learned.select(F.posexplode("x").alias("f", "v"), "label", (weight * F.col("n")).alias("w")).groupBy("f", "v", "label").agg(F.sum("w").alias("w")).orderBy("f", "v", "label").toPandas()
+    if not len(valued):
         return None
-    x, y = np.array([r["x"] for r in rows], dtype=np.float64), np.array([r["label"] for r in rows])
-    kinds, held = np.array([r["kind"] for r in rows]), np.array([r["place"] % 4 == 0 for r in rows])
-    trees = boost(x[~held], y[~held])
+    first = valued[valued["f"] == 0]
+    share = round(float(first.loc[first["label"] == 1, "w"].sum() / first["w"].sum()), 6)
+    cuts = []
+    for f in range(len(FEATURES)):
+        v = valued[valued["f"] == f].groupby("v")["w"].sum().round(6)  # sums of fractions differ in their last digits by the order of rows
+        cuts.append(bin_cuts(v.index.to_numpy(np.float64), v.to_numpy()))
+    if sum(r["rows"] for r in found) <= AT_DRIVER:
+        _, x, y, w = _columns(learned.toArrow().combine_chunks().to_batches()[0], shares)
+        summed = partial(sums, codes(x, cuts), x, y, w)
+    else:
+        summed = partial(_summed, learned, cuts, shares)
+    trees = grow(summed, cuts, share)
     lines, limits = {}, {}
+    scores = _scores(rows.filter("held").select("kind", "label", "x", "n"), shares, trees).orderBy("kind", "label", "z").toPandas()
     for kind in _LIKELY:
-        own = held & (kinds == kind)
-        if len(set(y[own].tolist())) == 2:
-            z = trees.raw(x[own])
-            lines[kind] = calibrate(z, y[own])
-            limits[kind] = threshold(sigmoid(lines[kind][0] * z + lines[kind][1]), y[own], PRECISION)
+        own = scores[scores["kind"] == kind]
+        y, z = own["label"].to_numpy(), own["z"].to_numpy() / STEPS
+        if len(set(y.tolist())) == 2:
+            w = own["n"].to_numpy() * np.array([shares[kind, k] for k in y.tolist()])
+            lines[kind] = calibrate(z, y, w=w)
+            limits[kind] = threshold(sigmoid(lines[kind][0] * z + lines[kind][1]), y, PRECISION, w)
     return Model(trees, lines, limits) if lines else None
 
 
